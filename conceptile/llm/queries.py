@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .sharding import op1_jump_sharding
+from .token_counts import op4_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_jump_sharding,)}
+QUERIES = {f.__name__: f for f in (op1_jump_sharding, op4_token_counts)}
 SQL: dict[str, str] = {}
