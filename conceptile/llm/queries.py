@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .quality_rules import op7_quality_rules
 from .sharding import op1_jump_sharding
 from .token_counts import op4_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_jump_sharding, op4_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_jump_sharding, op4_token_counts, op7_quality_rules)}
 SQL: dict[str, str] = {}
