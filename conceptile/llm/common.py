@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -43,6 +45,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark, self.paths = spark, {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -61,6 +64,7 @@ class Scratch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -118,15 +122,18 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def numbered(scratch: Scratch, df: DataFrame, group: str, order: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+def numbered(scratch: Scratch, df: DataFrame, group: str, order: list[str], name: str, narrow: bool = True) -> tuple[DataFrame, DataFrame]:
     """Adds ``rank``, gapless from 0 in each group by ``order``, and keeps the counts by group.
 
     One key may hold any share of the rows: rows are range-partitioned by (group, order, position read), so that even equal rows
     spread over tasks; each task's first rank comes from the counts of the tasks before it. The table of counts has at most one
-    row for each task and group that meet, and is broadcast only as Spark's own size threshold allows.
+    row for each task and group that meet, and is broadcast only as Spark's own size threshold allows. ``narrow`` rows are written
+    first, as what they come from would be read twice, once for the ranges.
     """
     keys = [group, *order]
-    df = scratch.keep(df.withColumn("_at", F.monotonically_increasing_id()), f"{name}-rows")
+    df = df.withColumn("_at", F.monotonically_increasing_id())
+    if narrow:
+        df = scratch.keep(df, f"{name}-rows")
     sorted_ = df.repartitionByRange(*keys, "_at").sortWithinPartitions(*keys, "_at").drop("_at")
     placed = scratch.keep(sorted_.withColumn("_pos", F.monotonically_increasing_id()), f"{name}-sorted")
     scratch.drop(df)

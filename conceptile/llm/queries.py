@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .decontamination import op10_decontamination
 from .language import op8_language
+from .mixing import op6_pfair_mixture
 from .near_duplicates import op3_near_duplicates
 from .pii import op2_sanitised
 from .quality_rules import op7_quality_rules
 from .sharding import op1_jump_sharding
 from .token_counts import op4_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_jump_sharding, op2_sanitised, op3_near_duplicates, op4_token_counts, op7_quality_rules, op8_language)}
+QUERIES = {f.__name__: f for f in (op1_jump_sharding, op2_sanitised, op3_near_duplicates, op4_token_counts, op6_pfair_mixture, op7_quality_rules, op8_language, op10_decontamination)}
 SQL: dict[str, str] = {}
