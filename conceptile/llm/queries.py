@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op10_decontamination
 from .language import op8_language
+from .language_model import op5_language_model
 from .mixing import op6_pfair_mixture
 from .near_duplicates import op3_near_duplicates
 from .pii import op2_sanitised
@@ -12,5 +13,5 @@ from .sharding import op1_jump_sharding
 from .token_counts import op4_token_counts
 from .warc import op9_warc_derivatives
 
-QUERIES = {f.__name__: f for f in (op1_jump_sharding, op2_sanitised, op3_near_duplicates, op4_token_counts, op6_pfair_mixture, op7_quality_rules, op8_language, op9_warc_derivatives, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_jump_sharding, op2_sanitised, op3_near_duplicates, op4_token_counts, op5_language_model, op6_pfair_mixture, op7_quality_rules, op8_language, op9_warc_derivatives, op10_decontamination)}
 SQL: dict[str, str] = {}
