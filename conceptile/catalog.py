@@ -1,6 +1,603 @@
-"""The queries over the driver's tables, by name, and their SQL."""
+"""The queries over the driver's tables, by name, and the same in SQL.
+
+The concept corpus is ``documents``; query texts are the items of ``benchmark``. Wiki pages are made of the other tables: every
+part is an article that links to its suppliers and is filed under its brand, suppliers are articles that redirect to their nation.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .functions.weights import WeightSpec, bm25, true_bm25_idf, true_tf_idf
+from .operators import analyze as A
+from .operators import evaluate as E
+from .operators import graph as G
+from .operators import index as I
+from .operators import vectors as V
+from .sources import files as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+STOP = ("the", "of", "and", "to", "in", "is", "that", "it", "der", "die", "und", "de", "la", "le", "que", "en")
+RARE, LIMIT, WINDOW, DROP = 3, 20, 5, 0.05
+WORD = r"[\p{L}\p{N}]+"
+
+# ---------------------------------------------------------------------------------------------------------------- SQL parts
+
+_TOKENS = f"tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM documents)"
+_COUNTS = "tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2)"
+_PER = "per AS (SELECT doc_id, sum(tf) AS dl, max(tf) AS max_tf, avg(tf) AS avg_tf FROM tf GROUP BY 1)"
+_DF = "df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)"
+_STATS = "st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM tok) * 1.0 / (SELECT count(*) FROM documents) AS avg_dl)"
+_BASE = ", ".join((_TOKENS, _COUNTS, _PER, _DF, _STATS))
+_QTOK = f"qtok AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM benchmark)"
+_QTF = "qtf AS (SELECT item_id, term, count(*) AS tf FROM qtok GROUP BY 1, 2)"
+_QPER = "qper AS (SELECT item_id, sum(tf) AS dl, max(tf) AS max_tf, avg(tf) AS avg_tf FROM qtf GROUP BY 1)"
+_TF = {"n": "tf", "l": "(1 + ln(tf))", "a": "(0.5 + 0.5 * tf / max_tf)", "b": "1.0", "L": "((1 + ln(tf)) / (1 + ln(avg_tf)))"}
+_IDF = {"n": "1.0", "t": "ln(n / df)", "p": "greatest(0.0, ln(CASE WHEN n > df THEN (n - df) / df END))", "b": "ln(1 + (n - df + 0.5) / (df + 0.5))"}
+_NORM = {"n": "1.0", "c": "sqrt(sum(raw * raw) OVER (PARTITION BY {k}))", "b": "sum(greatest(1.0, raw) * length(term)) OVER (PARTITION BY {k})"}
+
+
+def _weights(mode: str, name: str = "post", tf: str = "tf", per: str = "per", key: str = "doc_id", join: str = "JOIN") -> str:
+    x = f"CAST({_TF[mode[0]]} AS DOUBLE)"
+    idf = _IDF[mode[1]].replace("n /", "CAST(n AS DOUBLE) /").replace("(n - df)", "CAST(n - df AS DOUBLE)").replace("(n - df + 0.5)", "(CAST(n - df AS DOUBLE) + 0.5)")
+    return f"""{name}_raw AS (SELECT t.{key}, t.term, ({x} * 2.2 / ({x} + 1.2 * (0.5 + 0.5 * dl / avg_dl)) + 0.5) * CASE WHEN df > 0 THEN coalesce({idf}, 0.0) ELSE 0.0 END AS raw
+        FROM {tf} t JOIN {per} USING ({key}) {join} df USING (term) CROSS JOIN st),
+      {name}_n AS (SELECT *, nullif({_NORM[mode[2]].format(k=key)}, 0.0) AS norm FROM {name}_raw),
+      {name} AS (SELECT {key}, term, raw / norm AS score FROM {name}_n WHERE norm IS NOT NULL)"""
+
+
+_POST = f"{_BASE}, {_weights('ltc')}"
+_QUERY = f"{_QTOK}, {_QTF}, {_QPER}, {_weights('ltc', 'q', 'qtf', 'qper', 'item_id', 'LEFT JOIN')}"
+_VEC = f"{_POST}, {_QUERY}, vec AS (SELECT item_id, doc_id, sum(q.score * post.score) AS score FROM q JOIN post USING (term) WHERE q.score > 0 GROUP BY 1, 2 HAVING sum(q.score * post.score) > 0)"
+_TOP = f"{_VEC}, top AS (SELECT item_id, doc_id, score FROM vec QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) <= 100)"
+_PAIRS = "pairs AS (SELECT x.item_id AS a, y.item_id AS b FROM benchmark x JOIN benchmark y ON y.item_id BETWEEN x.item_id + 1 AND x.item_id + 8)"
+_COS = """nrm AS (SELECT item_id, sqrt(sum(score * score)) AS norm FROM top GROUP BY 1),
+  dots AS (SELECT a, b, sum(u.score * v.score) AS dot FROM pairs JOIN top u ON u.item_id = a JOIN top v ON v.item_id = b AND v.doc_id = u.doc_id GROUP BY 1, 2),
+  cos AS (SELECT a, b, coalesce(dot, 0.0) / (na.norm * nb.norm) AS cosine FROM pairs LEFT JOIN dots USING (a, b) JOIN nrm na ON na.item_id = a JOIN nrm nb ON nb.item_id = b)"""
+_PRUNED = """ord AS (SELECT *, row_number() OVER w AS rk, lead(score, {w}) OVER w AS ahead FROM {t} WINDOW w AS (PARTITION BY term ORDER BY score DESC, doc_id)),
+  stp AS (SELECT *, coalesce(sum(CASE WHEN score - ahead < score * {d} THEN 1 ELSE 0 END) OVER (PARTITION BY term ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM ord)"""
+_ARTICLES = """art AS (SELECT 'Part_' || p_partkey AS title, p_partkey AS doc_id, 'About ' || p_name || ' [[Category:' || p_brand || ']] ' || (SELECT string_agg('[[Supplier_' || l_suppkey || '|s]]', ' ' ORDER BY l_suppkey) FROM (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_partkey = p_partkey)) AS text FROM part)"""
+
+
+def _sql(with_: str, select: str) -> str:
+    return f"WITH {with_} {select}" if with_ else select
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return put
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(spark, d):
+    return _t(spark, d, "documents").select("doc_id", "text")
+
+
+def _items(spark, d):
+    return _t(spark, d, "benchmark").select("item_id", "text")
+
+
+def _index(spark, d, mode: str = "ltc") -> I.Index:
+    return I.build_index(_docs(spark, d), weights=WeightSpec(mode))
+
+
+def _vectors(spark, d) -> DataFrame:
+    index = _index(spark, d)
+    return V.concept_vectors(V.query_weights(_items(spark, d), index), index.postings)
+
+
+def _top(spark, d) -> DataFrame:
+    return V.top(_vectors(spark, d), 100, digits=9)
+
+
+def _pairs(spark, d) -> DataFrame:
+    """Each item with the next eight."""
+    ids = _items(spark, d).select("item_id")
+    return ids.select(F.col("item_id").alias("a"), F.explode(F.sequence(F.col("item_id") + 1, F.col("item_id") + 8)).alias("b")).join(ids.withColumnRenamed("item_id", "b"), "b", "left_semi").select("a", "b")
+
+
+def _r(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# ------------------------------------------------------------------------------------------------------ the flagship query
+
+
+@query("slice", _sql(_VEC, f"SELECT item_id, doc_id, round(score, 6) AS score FROM vec WHERE item_id = 0 ORDER BY round(score, 9) DESC, doc_id LIMIT {LIMIT}"))
+def slice_(spark, d):
+    """The best concepts of one text."""
+    index = _index(spark, d)
+    one = V.query_weights(_items(spark, d).where("item_id = 0"), index)
+    return _r(V.top(V.concept_vectors(one, index.postings), LIMIT, digits=9), "score")
+
+
+# -------------------------------------------------------------------------------------------------------- tokens and filters
+
+
+def _counts_sql(tokens: str, where: str = "", term: str = "term") -> str:
+    return f"WITH tok AS ({tokens}) SELECT doc_id, {term} AS term, count(*) AS tf FROM tok {where} GROUP BY 1, 2"
+
+
+_FOLD = f"translate(text, '{T.FOLD_FROM}', '{T.FOLD_TO}')"
+for _a, _b in T.FOLD_TWO.items():
+    _FOLD = f"replace({_FOLD}, '{_a}', '{_b}')"
+_RAW = "SELECT doc_id, unnest(regexp_extract_all({t}, '{p}')) AS term FROM documents"
+_SINGULAR = """CASE WHEN length(term) < 3 OR NOT ends_with(term, 's') OR ends_with(term, 'us') OR ends_with(term, 'ss') THEN term
+  WHEN ends_with(term, 'ies') AND length(term) > 3 AND NOT ends_with(term, 'eies') AND NOT ends_with(term, 'aies') THEN left(term, length(term) - 3) || 'y'
+  WHEN ends_with(term, 'ies') OR ends_with(term, 'aes') OR ends_with(term, 'oes') OR ends_with(term, 'ees') THEN term ELSE left(term, length(term) - 1) END"""
+_CLASSIC_BARE = r"regexp_replace(term, '''[sS]$', '')"
+_CLASSIC = rf"CASE WHEN regexp_matches({_CLASSIC_BARE}, '^\p{{L}}(?:\.\p{{L}})+$') THEN replace({_CLASSIC_BARE}, '.', '') ELSE {_CLASSIC_BARE} END"
+_STOPS = ", ".join(f"'{w}'" for w in STOP)
+
+
+def _analysed(spec: A.AnalyzerSpec):
+    return lambda spark, d: A.term_counts(_docs(spark, d), spec).select("doc_id", "term", "tf")
+
+
+query("tokenize", _sql("", f"SELECT doc_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS t FROM documents)"))(lambda spark, d: A.token_rows(_docs(spark, d)).withColumn("pos", F.col("pos").cast("long")))
+query("tok_length", _counts_sql(_RAW.format(t="lower(text)", p=WORD), "WHERE length(term) BETWEEN 4 AND 1000"))(_analysed(A.AnalyzerSpec(min_length=4)))
+query("tok_ascii", _counts_sql(_RAW.format(t=f"lower({_FOLD})", p=WORD)))(_analysed(A.AnalyzerSpec(ascii=True)))
+query("tok_singular", _counts_sql(_RAW.format(t="lower(text)", p=WORD), term=_SINGULAR))(_analysed(A.AnalyzerSpec(singular=True)))
+query("tok_classic", _counts_sql(_RAW.format(t="lower(text)", p=T.CLASSIC_TOKEN.replace("'", "''")), term=_CLASSIC))(_analysed(A.AnalyzerSpec(pattern=T.CLASSIC_TOKEN, classic=True)))
+query("tok_types", _counts_sql(_RAW.format(t=r"lower(regexp_replace(text, '\[?\bhttps?://[^\s\]]+\]?', ' ', 'g'))", p=WORD)))(_analysed(A.AnalyzerSpec(drop_links=True)))
+query("stopwords", _counts_sql(_RAW.format(t="lower(text)", p=WORD), f"WHERE term NOT IN ({_STOPS})"))(_analysed(A.AnalyzerSpec(stop_words=frozenset(STOP))))
+query("dictionary", _counts_sql(_RAW.format(t="lower(text)", p=WORD), f"WHERE term IN ({_STOPS})"))(_analysed(A.AnalyzerSpec(dictionary=frozenset(STOP))))
+query("analyze", _sql("", f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {_SINGULAR} AS term FROM ({_RAW.format(t=f'lower({_FOLD})', p=WORD)})) WHERE length(term) BETWEEN 3 AND 1000 AND term NOT IN ({_STOPS}) GROUP BY 1, 2"))(_analysed(A.AnalyzerSpec(ascii=True, singular=True, min_length=3, stop_words=frozenset(STOP))))
+query("tf", _sql(f"{_TOKENS}, {_COUNTS}", "SELECT doc_id, term, tf FROM tf"))(_analysed(A.DEFAULT))
+
+
+@query("doc_length", _sql(f"{_TOKENS}", "SELECT doc_id, coalesce(dl, 0) AS dl FROM documents LEFT JOIN (SELECT doc_id, count(*) AS dl FROM tok GROUP BY 1) USING (doc_id)"))
+def doc_length(spark, d):
+    return A.counted(_docs(spark, d)).select("doc_id", "dl")
+
+
+@query("tf_stats", _sql(f"{_TOKENS}, {_COUNTS}, {_PER}", "SELECT doc_id, CAST(dl AS BIGINT) AS dl, max_tf, round(avg_tf, 6) AS avg_tf FROM per"))
+def tf_stats(spark, d):
+    return _r(A.term_counts(_docs(spark, d)).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("dl", "max_tf", "avg_tf")]), "avg_tf")
+
+
+@query("df", _sql(f"{_TOKENS}, {_COUNTS}, {_DF}", "SELECT term, df FROM df"))
+def df_(spark, d):
+    return I.document_frequency(A.term_counts(_docs(spark, d)))
+
+
+@query("collection_stats", _sql(f"{_TOKENS}, {_STATS}", "SELECT n, round(CAST(avg_dl AS DOUBLE), 6) AS avg_dl FROM st"))
+def collection_stats(spark, d):
+    return _r(I.collection_stats(_docs(spark, d)), "avg_dl")
+
+
+@query("rare_words", _sql(f"{_TOKENS}, {_COUNTS}, {_DF}", f"SELECT term FROM df WHERE df < {RARE}"))
+def rare_words(spark, d):
+    return I.rare_words(df_(spark, d), RARE)
+
+
+@query("rare_word_stats", _sql(f"{_TOKENS}, {_COUNTS}, {_DF}", f"SELECT (SELECT count(*) FROM documents) AS docs, count(*) AS terms, count(*) FILTER (df < {RARE}) AS rare, round(count(*) FILTER (df < {RARE}) * 100.0 / count(*), 6) AS percent FROM df"))
+def rare_word_stats(spark, d):
+    got = I.rare_word_stats(_docs(spark, d), df_(spark, d), RARE)
+    return _r(got.withColumn("percent", F.col("percent").cast("double")), "percent")
+
+
+@query("rare_word_filter", _sql(f"{_TOKENS}, {_COUNTS}, {_DF}, kept AS (SELECT tf.* FROM tf JOIN df USING (term) WHERE df >= {RARE}), dls AS (SELECT doc_id, sum(tf) AS dl FROM kept GROUP BY 1)", "SELECT doc_id, term, tf, CAST(dl AS BIGINT) AS dl FROM kept JOIN dls USING (doc_id)"))
+def rare_word_filter(spark, d):
+    counts = A.term_counts(_docs(spark, d))
+    return A.without_terms(counts, I.rare_words(I.document_frequency(counts), RARE)).select("doc_id", "term", "tf", "dl")
+
+
+@query("stem")
+def stem(spark, d):
+    return A.stemmed(A.term_counts(_docs(spark, d)).select("doc_id", "term", "tf"), 3).select("doc_id", "term", "tf", "dl")
+
+
+# ------------------------------------------------------------------------------------------------------------------ weights
+
+
+def _postings(mode: str):
+    return lambda spark, d: _r(_index(spark, d, mode).postings, "score")
+
+
+for _mode in ("nnn", "ltc", "atc", "btc", "Ltc", "lpc", "lbc", "ltb", "ntn", "anb", "Lpb", "bbc"):
+    query(f"w_{_mode}", _sql(f"{_BASE}, {_weights(_mode)}", "SELECT doc_id, term, round(score, 6) AS score FROM post"))(_postings(_mode))
+query("postings", SQL["w_ltc"])(_postings("ltc"))
+
+
+@query("bm25_tf", _sql(_BASE, "SELECT doc_id, term, round(CAST(tf AS DOUBLE) * 2.2 / (tf + 1.2 * (0.5 + 0.5 * dl / avg_dl)) + 0.5, 6) AS x FROM tf JOIN per USING (doc_id) CROSS JOIN st"))
+def bm25_tf(spark, d):
+    counts = A.term_counts(_docs(spark, d))
+    x = I.with_stats(counts, I.document_frequency(counts), I.collection_stats(_docs(spark, d)))
+    return x.select("doc_id", "term", F.round(bm25(F.col("tf").cast("double"), F.col("dl"), F.col("avg_dl")), 6).alias("x"))
+
+
+@query("build_index", _sql(f"{_BASE}, {_weights('ltc')}", "SELECT doc_id, term, score, row_number() OVER (PARTITION BY term ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, term, round(score, 6) AS score FROM post)"))
+def build_index(spark, d):
+    return I.impact_ordered(_r(_index(spark, d).postings, "score")).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _scratch(spark) -> str:
+    from .operators.graph import ensure_checkpoints
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir", None)
+    if not root:
+        ensure_checkpoints(spark.range(1))
+        root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+@query("index_roundtrip", SQL["w_ltc"])
+def index_roundtrip(spark, d):
+    """The postings of an index that was written and read again."""
+    path = _scratch(spark)
+    _index(spark, d).save(path)
+    return _r(I.Index.load(spark, path).postings, "score")
+
+
+@query("sim_true_tfidf", _sql(_BASE, "SELECT doc_id, term, round(tf * (CAST(n - df AS DOUBLE) / df), 6) AS score FROM tf JOIN df USING (term) CROSS JOIN st"))
+def sim_true_tfidf(spark, d):
+    counts = A.term_counts(_docs(spark, d))
+    x = I.with_stats(counts, I.document_frequency(counts), I.collection_stats(_docs(spark, d)))
+    return x.select("doc_id", "term", F.round(true_tf_idf(F.col("tf"), F.col("n"), F.col("df"), F.lit(1.0)), 6).alias("score"))
+
+
+@query("sim_true_bm25", _sql(_BASE, "SELECT term, round(CAST(n - df AS DOUBLE) / df, 6) AS idf FROM df CROSS JOIN st"))
+def sim_true_bm25(spark, d):
+    n = _docs(spark, d).count()
+    return df_(spark, d).select("term", F.round(true_bm25_idf(F.lit(n), F.col("df")), 6).alias("idf"))
+
+
+# ------------------------------------------------------------------------------------------------------------------ vectors
+
+
+@query("query_weights", _sql(f"{_BASE}, {_QUERY}", "SELECT item_id, term, round(score, 6) AS score FROM q"))
+def query_weights(spark, d):
+    return _r(V.query_weights(_items(spark, d), _index(spark, d)), "score")
+
+
+@query("concept_vector", _sql(_VEC, "SELECT item_id, doc_id, round(score, 6) AS score FROM vec"))
+def concept_vector(spark, d):
+    return _r(_vectors(spark, d), "score")
+
+
+@query("prune_window", _sql(f"{_POST}, {_PRUNED.format(t='post', w=WINDOW, d=DROP)}", "SELECT doc_id, term, round(score, 6) AS score FROM stp WHERE bef = 0"))
+def prune_window(spark, d):
+    return _r(V.prune_window(_index(spark, d).postings, WINDOW, DROP), "score")
+
+
+_QPOST = "qpost AS (SELECT post.* FROM post WHERE term IN (SELECT term FROM q WHERE score > 0))"
+
+
+@query("prune_index", _sql(f"{_POST}, {_QUERY}, {_QPOST}, {_PRUNED.format(t='qpost', w=WINDOW, d=DROP)}", "SELECT item_id, stp.doc_id, round(sum(q.score * stp.score), 6) AS score FROM q JOIN stp USING (term) WHERE bef = 0 AND q.score > 0 GROUP BY 1, 2 HAVING sum(q.score * stp.score) > 0"))
+def prune_index(spark, d):
+    """Vectors of the items over pruned postings."""
+    index = _index(spark, d)
+    return _r(V.concept_vectors(V.query_weights(_items(spark, d), index), index.postings, V.PruneSpec(WINDOW, DROP)), "score")
+
+
+@query("vector_topk", _sql(_TOP, "SELECT item_id, doc_id, round(score, 6) AS score FROM top"))
+def vector_topk(spark, d):
+    return _r(_top(spark, d), "score")
+
+
+@query("vector_merge", _sql(_TOP, "SELECT a AS item_id, doc_id, round(sum(score), 6) AS score FROM (SELECT item_id - item_id % 2 AS a, doc_id, score FROM top) GROUP BY 1, 2"))
+def vector_merge(spark, d):
+    """Vectors of neighbouring items added up."""
+    v = _top(spark, d)
+    even, odd = v.where("item_id % 2 = 0"), v.where("item_id % 2 = 1").withColumn("item_id", F.col("item_id") - 1)
+    return _r(V.merged(even, odd), "score")
+
+
+@query("top_concepts", _sql(_TOP, f"SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM top QUALIFY rank <= {LIMIT}"))
+def top_concepts(spark, d):
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc(F.round("score", 9)), "doc_id")).cast("long")
+    return _r(V.top(_top(spark, d), LIMIT, digits=9).withColumn("rank", rank), "score")
+
+
+@query("cosine", _sql(f"{_TOP}, {_PAIRS}, {_COS}", "SELECT a, b, round(cosine, 6) AS cosine FROM cos"))
+def cosine(spark, d):
+    return _r(V.cosines(_pairs(spark, d), _top(spark, d)).where(~F.isnan("cosine")), "cosine")
+
+
+@query("similarity", _sql(f"{_VEC}, {_PAIRS}, {_COS.replace('top', 'vec')}", "SELECT a, b, round(cosine, 6) AS cosine FROM cos"))
+def similarity(spark, d):
+    return _r(V.similarities(_pairs(spark, d), _items(spark, d), _index(spark, d)).where(~F.isnan("cosine")), "cosine")
+
+
+@query("relevance", _sql(f"{_POST}, {_QTOK}, asked AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id FROM documents WHERE source = 'src0') CROSS JOIN (SELECT term FROM qtok WHERE item_id = 0))", "SELECT doc_id, term, round(coalesce(score, 0.0), 6) AS score FROM asked LEFT JOIN post USING (doc_id, term)"))
+def relevance(spark, d):
+    """How relevant one text's terms are in the documents of one source."""
+    terms = A.term_counts(_items(spark, d).where("item_id = 0"), key="item_id").select(F.collect_set("term").alias("terms"))
+    asked = _t(spark, d, "documents").where("source = 'src0'").select("doc_id").join(F.broadcast(terms)).select("doc_id", F.explode("terms").alias("term"))
+    return _r(V.relevance(asked, _index(spark, d).postings), "score")
+
+
+@query("weighted_query", _sql(f"{_BASE}, {_QUERY}, seq AS (SELECT item_id, generate_subscripts(t, 1) AS pos, unnest(t) AS term FROM (SELECT item_id, regexp_extract_all(lower(text), '{WORD}') AS t FROM benchmark))", "SELECT item_id, string_agg(term || '^' || printf('%.2f', w), ' ' ORDER BY pos) AS query FROM (SELECT item_id, pos, term, round(pow(q.score, 1.0 / qtf.tf), 2) AS w FROM seq JOIN q USING (item_id, term) JOIN qtf USING (item_id, term)) GROUP BY 1"))
+def weighted_query(spark, d):
+    index = _index(spark, d)
+    got = V.weighted_query(_items(spark, d), V.query_weights(_items(spark, d), index), index, digits=2)
+    fixed = F.transform(F.split("query", " "), lambda x: F.concat(F.substring_index(x, "^", 1), F.lit("^"), F.format_string("%.2f", F.substring_index(x, "^", -1).cast("double"))))
+    return got.withColumn("query", F.array_join(fixed, " "))
+
+
+@query("term_lookup", _sql(_POST, "SELECT doc_id, round(score, 6) AS score FROM post WHERE term = 'the'"))
+def term_lookup(spark, d):
+    return _r(I.look_up(_index(spark, d).postings, ["the"]), "score").select("doc_id", "score")
+
+
+@query("term_lookup_multi", _sql(_POST, "SELECT doc_id, term, round(score, 6) AS score FROM post WHERE term IN ('the', 'und', 'nunca', 'que')"))
+def term_lookup_multi(spark, d):
+    return _r(I.look_up(_index(spark, d).postings, ["the", "und", "nunca", "que"]), "score")
+
+
+def _embedded(spark, d) -> DataFrame:
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("concept", "weight")).withColumn("weight", F.col("weight").cast("double"))
+
+
+_EMB = "emb AS (SELECT vec_id AS id, generate_subscripts(embedding, 1) - 1 AS concept, CAST(unnest(embedding) AS DOUBLE) AS weight FROM embeddings), nrm AS (SELECT id, sqrt(sum(weight * weight)) AS norm FROM emb GROUP BY 1)"
+
+
+@query("related_docs", _sql(f"{_EMB}, dots AS (SELECT x.id, y.id AS other, sum(x.weight * y.weight) AS dot FROM emb x JOIN emb y ON x.concept = y.concept AND x.id <> y.id WHERE x.id < 5 GROUP BY 1, 2), sc AS (SELECT d.id, other, dot / (a.norm * b.norm) AS cosine FROM dots d JOIN nrm a ON a.id = d.id JOIN nrm b ON b.id = d.other)", f"SELECT id, other, round(cosine, 6) AS cosine FROM sc QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(cosine, 9) DESC, other) <= {LIMIT}"))
+def related_docs(spark, d):
+    """The vectors nearest to five asked ones, among all."""
+    emb = _embedded(spark, d)
+    return _r(V.related(emb, spark.createDataFrame([(i,) for i in range(5)], "id long"), LIMIT), "cosine")
+
+
+@query("quick_score", _sql(f"{_EMB}, pr AS (SELECT vec_id AS a, vec_id + 1 AS b FROM embeddings WHERE vec_id + 1 IN (SELECT vec_id FROM embeddings)), dots AS (SELECT a, b, sum(x.weight * y.weight) AS dot FROM pr JOIN emb x ON x.id = a JOIN emb y ON y.id = b AND y.concept = x.concept GROUP BY 1, 2)", "SELECT a, b, round(coalesce(dot, 0.0) / (u.norm * v.norm), 6) AS cosine FROM dots JOIN nrm u ON u.id = a JOIN nrm v ON v.id = b"))
+def quick_score(spark, d):
+    ids = _t(spark, d, "embeddings").select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
+    pairs = ids.join(ids.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
+    return _r(V.quick_scores(pairs, _embedded(spark, d)), "cosine")
+
+
+@query("vector_store", _sql(_EMB, "SELECT lower(printf('%016x', id)) AS id, concept, round(CAST(CAST(weight AS FLOAT) AS DOUBLE), 6) AS weight FROM emb"))
+def vector_store(spark, d):
+    """Vectors as they come back from the store."""
+    path = _scratch(spark)
+    S.write_vectors(_embedded(spark, d).withColumn("id", F.format_string("%016x", "id")), path)
+    return spark.read.parquet(path).select(F.lower(F.hex("id")).alias("id"), F.col("concept").cast("long").alias("concept"), F.round(F.col("weight").cast("double"), 6).alias("weight"))
+
+
+# --------------------------------------------------------------------------------------------------------- titles and links
+
+
+def _articles(spark, d) -> DataFrame:
+    """(title, text, doc_id): the parts as articles."""
+    edges = _t(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    links = edges.groupBy("l_partkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("l_suppkey")), lambda s: F.concat(F.lit("[[Supplier_"), s.cast("string"), F.lit("|s]]"))), " ").alias("links"))
+    p = _t(spark, d, "part").join(links, F.col("p_partkey") == F.col("l_partkey"), "left")
+    return p.select(F.concat(F.lit("Part_"), F.col("p_partkey").cast("string")).alias("title"), F.concat(F.lit("About "), "p_name", F.lit(" [[Category:"), "p_brand", F.lit("]] "), "links").alias("text"), F.col("p_partkey").alias("doc_id"))
+
+
+@query("normalize_title", _sql("", r"""SELECT c_custkey, trim(regexp_replace(lower(left(x, 1)) || CASE WHEN instr(x, ':') > 0 THEN substr(x, 2, instr(x, ':') - 1) || lower(substr(x, instr(x, ':') + 1, 1)) || substr(x, instr(x, ':') + 2) ELSE substr(x, 2) END, '[\s_]+', ' ', 'g')) AS title
+  FROM (SELECT c_custkey, c_mktsegment || ':' || replace(c_name, '#', '__') || ' ' AS x FROM customer)"""))
+def normalize_title(spark, d):
+    raw = F.concat("c_mktsegment", F.lit(":"), F.replace("c_name", F.lit("#"), F.lit("__")), F.lit(" "))
+    return _t(spark, d, "customer").select("c_custkey", T.normalize_title(raw).alias("title"))
+
+
+@query("extract_links", _sql(_ARTICLES, r"SELECT doc_id, generate_subscripts(t, 1) - 1 AS pos, replace(lower(left(unnest(t), 1)) || substr(unnest(t), 2), '_', ' ') AS link FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '\[\[([^|#\]]+)[^\]]*\]\]', 1), x -> NOT starts_with(x, 'Category:')) AS t FROM art WHERE text IS NOT NULL)"))
+def extract_links(spark, d):
+    links = F.filter(T.links(F.col("text")), lambda x: ~x.startswith("category:"))
+    return _articles(spark, d).select("doc_id", F.posexplode(links).alias("pos", "link")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("extract_categories", _sql(_ARTICLES, "SELECT doc_id, 'category:' || lower(left(p_brand, 1)) || substr(p_brand, 2) AS category FROM art JOIN part ON p_partkey = doc_id WHERE text IS NOT NULL"))
+def extract_categories(spark, d):
+    return _articles(spark, d).select("doc_id", F.explode(T.categories(F.col("text"))).alias("category"))
+
+
+@query("category_counts", _sql(_ARTICLES, "SELECT 'category:' || lower(left(p_brand, 1)) || substr(p_brand, 2) AS category, count(*) AS articles FROM art JOIN part ON p_partkey = doc_id WHERE text IS NOT NULL GROUP BY 1"))
+def category_counts(spark, d):
+    return G.category_counts(_articles(spark, d))
+
+
+@query("category_exclusion", _sql(_ARTICLES, "SELECT title FROM art JOIN part ON p_partkey = doc_id WHERE p_brand <> (SELECT min(p_brand) FROM part) OR text IS NULL"))
+def category_exclusion(spark, d):
+    """Articles that aren't filed under the first brand."""
+    first = _t(spark, d, "part").agg(T.normalize_title(F.concat(F.lit("Category:"), F.min("p_brand"))).alias("node"))
+    pages = _articles(spark, d)
+    return pages.join(G.in_categories(pages, first), "title", "left_anti").select("title")
+
+
+@query("title_map", _sql("", "SELECT 'supplier:' || s_suppkey AS title, CASE WHEN s_suppkey % 3 = 0 THEN 'nation:' || lower(left(n_name, 1)) || substr(n_name, 2) ELSE 'supplier:' || s_suppkey END AS redirect FROM supplier JOIN nation ON s_nationkey = n_nationkey"))
+def title_map(spark, d):
+    """Every third supplier redirects to its nation."""
+    s = _t(spark, d, "supplier").join(_t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    text = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("#REDIRECT [[Nation:"), "n_name", F.lit("]]"))).otherwise(F.lit("an article"))
+    return G.title_map(s.select(F.concat(F.lit("Supplier:"), F.col("s_suppkey").cast("string")).alias("title"), text.alias("text")))
+
+
+@query("redirects", _sql("", "SELECT 'Supplier:' || s_suppkey AS title FROM supplier WHERE s_suppkey % 3 = 0"))
+def redirects(spark, d):
+    s = _t(spark, d, "supplier")
+    text = F.when(F.col("s_suppkey") % 3 == 0, F.lit("#REDIRECT [[Home]]")).otherwise(F.lit("first line\n#REDIRECT [[Home]]"))
+    return s.select(F.concat(F.lit("Supplier:"), F.col("s_suppkey").cast("string")).alias("title"), text.alias("text")).where(T.redirect_target(F.col("text")).isNotNull()).select("title")
+
+
+@query("stub_filter", _sql("", "SELECT p_partkey FROM part WHERE p_size % 5 <> 0"))
+def stub_filter(spark, d):
+    text = F.concat("p_name", F.when(F.col("p_size") % 5 == 0, " {{part-stub|x}}").otherwise(" {{cite|stub}"))
+    return _t(spark, d, "part").where(~T.is_stub(text)).select("p_partkey")
+
+
+@query("title_exclusion", _sql("", "SELECT p_partkey FROM part WHERE NOT (lower(p_name) LIKE '%green%' OR regexp_matches(lower(p_name), '^p.*1[0-9]$'))"))
+def title_exclusion(spark, d):
+    return _t(spark, d, "part").where(~G.excluded_title(F.col("p_name"), ["green", "^p.*1[0-9]$"])).select("p_partkey")
+
+
+@query("title_matcher", _sql("", "SELECT p_partkey FROM part WHERE regexp_matches(p_type, 'STEEL|BRASS') OR starts_with(p_name, 'part') OR contains(p_brand, '#1')"))
+def title_matcher(spark, d):
+    p = _t(spark, d, "part")
+    either = G.title_matcher(F.col("p_type"), ["STEEL|BRASS"]) | G.title_matcher(F.col("p_name"), starts=["part"]) | G.title_matcher(F.col("p_brand"), contains=["#1"])
+    return p.where(either).select("p_partkey")
+
+
+@query("title_boost", _sql("", "SELECT p_partkey, 1.0::DOUBLE + CASE WHEN starts_with(x, 'category') THEN 1.5 WHEN starts_with(x, 'list of') THEN 0.7 ELSE 0.0 END::DOUBLE AS boost FROM (SELECT p_partkey, lower(CASE p_size % 3 WHEN 0 THEN 'Category:' WHEN 1 THEN 'List of ' ELSE '' END || p_name) AS x FROM part)"))
+def title_boost(spark, d):
+    title = F.concat(F.when(F.col("p_size") % 3 == 0, "Category:").when(F.col("p_size") % 3 == 1, "List of ").otherwise(""), "p_name")
+    return _t(spark, d, "part").select("p_partkey", G.title_boost(title).alias("boost"))
+
+
+def _edges(spark, d) -> DataFrame:
+    return _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+
+
+@query("link_counts", _sql("tg AS (SELECT DISTINCT l_partkey AS src, l_suppkey * 2 - l_suppkey % 2 AS dst FROM lineitem JOIN part p ON p.p_partkey = l_partkey), e AS (SELECT DISTINCT src, dst FROM tg WHERE dst IN (SELECT p_partkey FROM part))", "SELECT 'part ' || p_partkey AS title, coalesce(i.n, 0) AS incoming, coalesce(o.n, 0) AS outgoing FROM part LEFT JOIN (SELECT dst, count(*) AS n FROM e GROUP BY 1) i ON i.dst = p_partkey LEFT JOIN (SELECT src, count(*) AS n FROM e GROUP BY 1) o ON o.src = p_partkey"))
+def link_counts(spark, d):
+    """Links to suppliers, which redirect to parts (two suppliers may share one); other targets aren't articles."""
+    pages = _articles(spark, d)
+    s = _t(spark, d, "supplier").select(F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("title"), F.concat(F.lit("part "), (F.col("s_suppkey") * 2 - F.col("s_suppkey") % 2).cast("string")).alias("target"))
+    return G.link_counts(pages, G.link_edges(pages, s))
+
+
+@query("link_threshold", _sql("e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem)", "SELECT dst AS title, count(*) AS incoming FROM e GROUP BY 1 HAVING count(*) >= 26"))
+def link_threshold(spark, d):
+    return _edges(spark, d).groupBy(F.col("dst").alias("title")).agg(F.count("*").alias("incoming")).where("incoming >= 26")
+
+
+@query("link_core")
+def link_core(spark, d):
+    return G.link_core(_edges(spark, d), 26)
+
+
+@query("redirect_closure", _sql("RECURSIVE m AS (SELECT p_partkey AS title, CASE WHEN p_partkey % 7 = 0 THEN p_partkey ELSE p_partkey - 1 END AS redirect FROM part), c AS (SELECT title, redirect AS target FROM m UNION SELECT c.title, m.redirect FROM c JOIN m ON m.title = c.target)", "SELECT CAST(title AS VARCHAR) AS title, CAST(min(target) AS VARCHAR) AS target FROM c GROUP BY 1"))
+def redirect_closure(spark, d):
+    """Each part redirects to the one before it, up to the last number that 7 divides; some lead to what isn't there."""
+    k = F.col("p_partkey")
+    return G.redirect_closure(_t(spark, d, "part").select(k.cast("string").alias("title"), F.when(k % 7 == 0, k).otherwise(k - 1).cast("string").alias("redirect")))
+
+
+@query("category_closure", _sql("RECURSIVE e AS (SELECT c_custkey // 3 AS parent, c_custkey AS child FROM customer), c AS (SELECT 2::BIGINT AS node UNION SELECT child FROM c JOIN e ON parent = node)", "SELECT node FROM c"))
+def category_closure(spark, d):
+    """All customers below one in a tree of three children each."""
+    edges = _t(spark, d, "customer").select(F.floor(F.col("c_custkey") / 3).cast("long").alias("parent"), F.col("c_custkey").alias("child"))
+    return G.descendants(edges, spark.createDataFrame([(2,)], "node long")).select("node")
+
+
+@query("can_index", _sql("n AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS i, CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE count(*) END AS t FROM lineitem GROUP BY 1)", "SELECT l_partkey FROM n WHERE i >= 20 AND (t IS NULL OR (t >= 25 AND t <= 40))"))
+def can_index(spark, d):
+    n = _t(spark, d, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("i"), F.count("*").alias("c")).withColumn("t", F.when(F.col("l_partkey") % 4 != 0, F.col("c")))
+    return n.where(G.can_index(F.col("i"), F.col("i"), F.col("t"), min_in=20, min_terms=25, max_terms=40)).select("l_partkey")
+
+
+@query(
+    "article_stats",
+    _sql(
+        f"{_TOKENS}, {_COUNTS}, per AS (SELECT doc_id, sum(tf) AS terms, count(*) AS uniq FROM tf GROUP BY 1), a AS (SELECT doc_id, coalesce(terms, 0) AS terms, coalesce(uniq, 0) AS uniq, n_chars % 11 AS incoming, n_chars % 7 AS outgoing FROM documents LEFT JOIN per USING (doc_id))",
+        "SELECT count(*) AS docs, "
+        + ", ".join(f"CAST(sum({c}) AS BIGINT) AS sum_{n}, round(avg({c}), 6) AS mean_{n}, arg_max(doc_id, {c} * 1000000000 - doc_id) AS most_{n}" for c, n in (("terms", "terms"), ("uniq", "unique"), ("incoming", "incoming"), ("outgoing", "outgoing")))
+        + ", (SELECT count(DISTINCT term) FROM tf) AS distinct_terms FROM a",
+    ),
+)
+def article_stats(spark, d):
+    articles = _t(spark, d, "documents").select("doc_id", (F.col("n_chars") % 11).alias("incoming"), (F.col("n_chars") % 7).alias("outgoing"))
+    return _r(G.article_stats(A.term_counts(_docs(spark, d)), articles), *[f"mean_{c}" for c in ("terms", "unique", "incoming", "outgoing")])
+
+
+@query("find_article", _sql("", "SELECT p_partkey, p_name FROM part WHERE p_name = (SELECT min(p_name) FROM part) ORDER BY p_partkey LIMIT 1"))
+def find_article(spark, d):
+    p = _t(spark, d, "part")
+    first = p.agg(F.min("p_name")).first()[0]
+    return S.find_article(p.select("p_partkey", "p_name", F.col("p_name").alias("title")).orderBy("p_partkey"), first).select("p_partkey", "p_name")
+
+
+# ------------------------------------------------------------------------------------------------- preprocessors and quality
+
+
+@query("pre_standard", _sql("", r"""SELECT doc_id, regexp_replace(text, '[+\-&|!(){}\[\]^"~*?:;,/\\]+', ' ', 'g') AS text FROM documents"""))
+def pre_standard(spark, d):
+    return _docs(spark, d).withColumn("text", T.standard(F.col("text")))
+
+
+@query("pre_wiki", _sql("", f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{WORD}'), ' ') || ' ' AS text FROM documents"))
+def pre_wiki(spark, d):
+    return _docs(spark, d).withColumn("text", T.rejoined(F.col("text")))
+
+
+@query("pre_chain", _sql("", rf"""SELECT doc_id, array_to_string(regexp_extract_all(regexp_replace(text, '[+\-&|!(){{}}\[\]^"~*?:;,/\\]+', ' ', 'g'), '{WORD}'), ' ') || ' ' AS text FROM documents"""))
+def pre_chain(spark, d):
+    return _docs(spark, d).withColumn("text", T.preprocessor(["standard", "unheard of", "wiki"])(F.col("text")))
+
+
+@query("scrub_attrs", _sql("", r"SELECT doc_id, regexp_replace(text, '\|\s*[a-zA-Z_-]+\s*=\s*[^|]+\|', ' ', 'g') AS text FROM (SELECT doc_id, '{| align = left | ' || text AS text FROM documents)"))
+def scrub_attrs(spark, d):
+    return _docs(spark, d).withColumn("text", T.scrub_attributes(F.concat(F.lit("{| align = left | "), "text")))
+
+
+@query("repeat_content", _sql(_ARTICLES, "SELECT doc_id, text || ' category:' || lower(left(p_brand, 1)) || substr(p_brand, 2) || ' category:' || lower(left(p_brand, 1)) || substr(p_brand, 2) || coalesce((SELECT string_agg(' supplier ' || l_suppkey || ' supplier ' || l_suppkey, '' ORDER BY l_suppkey) FROM (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_partkey = doc_id)), '') || ' ' || title AS text FROM art JOIN part ON p_partkey = doc_id WHERE text IS NOT NULL"))
+def repeat_content(spark, d):
+    pages = _articles(spark, d).where("text is not null")
+    return pages.select("doc_id", T.repeat_content(F.col("title"), F.col("text"), 2, 1).alias("text"))
+
+
+@query("dream_scan", _sql("", "SELECT conv_id, turn, role || ' ' || coalesce(text, '') AS text FROM conversations"))
+def dream_scan(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", S.dream_text(F.col("role"), F.col("text")).alias("text"))
+
+
+_GOLD = "gold AS (SELECT l.quality * 1.0 AS human, CAST(n_chars AS DOUBLE) AS score FROM labels l JOIN documents USING (doc_id))"
+
+
+def _gold(spark, d) -> DataFrame:
+    return _t(spark, d, "labels").join(_t(spark, d, "documents"), "doc_id").select(F.col("quality").cast("double").alias("human"), F.col("n_chars").cast("double").alias("score"))
+
+
+@query("pearson", _sql(_GOLD, "SELECT round(corr(human, score), 6) AS pearson FROM gold"))
+def pearson(spark, d):
+    return _r(E.pearson(_gold(spark, d)), "pearson")
+
+
+@query("spearman", _sql(f"{_GOLD}, r AS (SELECT rank() OVER (ORDER BY human) + (count(*) OVER (PARTITION BY human) - 1) / 2.0 AS x, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS y FROM gold)", "SELECT round(corr(x, y), 6) AS spearman FROM r"))
+def spearman(spark, d):
+    return _r(E.spearman(_gold(spark, d)), "spearman")
+
+
+@query("tune_grid")
+def tune_grid(spark, d):
+    """Neighbouring items, judged by how near their numbers are, over a small grid."""
+    gold = _pairs(spark, d).withColumn("human", 1.0 / (F.col("b") - F.col("a")))
+    return _r(E.tune(gold, _items(spark, d), _index(spark, d), [5, 20], [0.02, 0.05]), "pearson")
+
+
+# ---------------------------------------------------------------------------------------------------------------- templates
+
+
+def _templated(spark, d) -> DataFrame:
+    """Every customer's text uses a template with a named and a numbered value, an unknown one, and a title variable."""
+    c = _t(spark, d, "customer")
+    text = F.concat(F.lit("{{greet|who="), "c_name", F.lit("|"), "c_mktsegment", F.lit("}} {{nope|"), F.col("c_nationkey").cast("string"), F.lit("}}at {{PAGENAME}}"))
+    return c.select("c_custkey", F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("title"), text.alias("text"))
+
+
+@query("parse_templates", _sql("", "SELECT c_custkey, i AS ref, CASE i WHEN 0 THEN 'greet' WHEN 1 THEN 'nope' ELSE 'PAGENAME' END AS name, CASE i WHEN 0 THEN 'who=' || c_name || ',2=' || c_mktsegment WHEN 1 THEN '1=' || c_nationkey ELSE '' END AS params FROM customer CROSS JOIN (SELECT unnest([0, 1, 2])::BIGINT AS i)"))
+def parse_templates(spark, d):
+    from .functions.templates import parsed_templates
+    from .shipping import ship
+
+    ship(spark)
+    params = F.array_join(F.transform("r.params", lambda p: F.concat(p["name"], F.lit("="), p["value"])), ",")
+    return _templated(spark, d).select("c_custkey", F.posexplode(parsed_templates(F.col("text"))).alias("ref", "r")).select("c_custkey", F.col("ref").cast("long").alias("ref"), "r.name", params.alias("params"))
+
+
+@query("expand_templates", _sql("", "SELECT c_custkey, 'hello ' || c_name || ' of ' || c_mktsegment || '! ' || c_nationkey || ' at C' || c_custkey AS text FROM customer"))
+def expand_templates(spark, d):
+    from .functions.templates import TemplateTable
+
+    bodies = spark.createDataFrame([("greet", "hello {{{who}}} {{inner|{{{2}}}}}!"), ("inner", "of {{{1|nobody}}}")], "name string, body string")
+    table = TemplateTable(spark, bodies)
+    return _templated(spark, d).select("c_custkey", table.expanded(F.col("text"), F.col("title")).alias("text"))
