@@ -56,6 +56,12 @@ class AnalyzerSpec:
 DEFAULT = AnalyzerSpec()
 
 
+def once(c: Column) -> Column:
+    """The same column, computed once a row: what isn't deterministic is neither copied into the filters that are pushed below it
+    nor into the lambdas that use it, where it would be computed for each element."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def token_rows(docs: DataFrame, spec: AnalyzerSpec = DEFAULT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, term): every token in order."""
     return docs.select(F.col(key), F.posexplode(spec.tokens(F.col(text))).alias("pos", "term"))
@@ -63,20 +69,21 @@ def token_rows(docs: DataFrame, spec: AnalyzerSpec = DEFAULT, key: str = "doc_id
 
 def counted(docs: DataFrame, spec: AnalyzerSpec = DEFAULT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, terms: array<struct<term, tf>>, dl): counts by runs of the sorted tokens, in the document's own row."""
-    df = docs.select(F.col(key), F.sort_array(spec.tokens(F.col(text))).alias("_t"))
+    df = docs.select(F.col(key), once(F.sort_array(spec.tokens(F.col(text)))).alias("_t"))
     t, n = F.col("_t"), F.size("_t")
     starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (t[i] != t[F.greatest(i - 1, F.lit(0))]))
-    df = df.withColumn("_s", F.when(n > 0, starts).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn("_s", once(F.when(n > 0, starts).otherwise(F.array().cast("array<int>"))))
     ends = F.concat(F.slice("_s", F.lit(2), F.size("_s")), F.array(n))
     runs = F.zip_with(F.col("_s"), ends, lambda a, b: F.struct(t[a].alias("term"), (b - a).cast("long").alias("tf")))
-    return df.select(key, F.when(n > 0, runs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>")).alias("terms"), n.cast("long").alias("dl"))
+    return df.select(key, once(F.when(n > 0, runs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))).alias("terms"), n.cast("long").alias("dl"))
 
 
 def term_counts(docs: DataFrame, spec: AnalyzerSpec = DEFAULT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term, tf, dl, max_tf, avg_tf) without a shuffle: terms of one document never leave its task."""
     most = F.array_max(F.transform("terms", lambda x: x["tf"]))
-    df = counted(docs, spec, key, text).where(F.size("terms") > 0)
-    return df.select(key, F.explode("terms").alias("x"), "dl", most.alias("max_tf"), (F.col("dl") / F.size("terms")).alias("avg_tf")).select(key, "x.term", "x.tf", "dl", "max_tf", "avg_tf")
+    df = counted(docs, spec, key, text)
+    mean = F.col("dl") / F.nullif(F.size("terms"), F.lit(0))
+    return df.select(key, F.explode_outer("terms").alias("x"), "dl", most.alias("max_tf"), mean.alias("avg_tf")).where("x is not null").select(key, "x.term", "x.tf", "dl", "max_tf", "avg_tf")
 
 
 def restated(counts: DataFrame, key: str = "doc_id") -> DataFrame:
