@@ -19,6 +19,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.analyze import once
 from .common import Scratch, table
 
 SPACE, CUTS, MAX_RULES, MAX_CONDITIONS, LEAST_PRECISION, LEAST_COVER = r"[\x20\x09-\x0D]+", 16, 8, 3, 0.9, 5
@@ -29,13 +30,13 @@ MEASURES = ["n_words", "chars_per_word", "symbols_per_word", "dup_line_share", "
 def measured(docs: DataFrame) -> DataFrame:
     """The input's columns with ``_m``, a struct of the counts of the contract and of MEASURES (doubles; 0 without words)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.withColumns({"_w": F.filter(F.split(text, SPACE), lambda x: x != ""), "_l": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
+    df = docs.withColumns({"_w": once(F.filter(F.split(text, SPACE), lambda x: x != "")), "_l": once(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))})
     w, n = F.col("_w"), F.size("_w")
     window = lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("p"))
-    df = df.withColumn("_s", F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window))))
+    df = df.withColumn("_s", once(F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window)))))
     s = F.col("_s")
     twice = lambda x, i: ((i > 0) & (s[F.greatest(i - 1, F.lit(0))]["h"] == x["h"])) | ((i < F.size(s) - 1) & (s[F.least(i + 1, F.size(s) - 1)]["h"] == x["h"]))
-    df = df.withColumn("_p", F.sort_array(F.transform(F.filter(s, twice), lambda x: x["p"])))
+    df = df.withColumn("_p", once(F.sort_array(F.transform(F.filter(s, twice), lambda x: x["p"]))))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
     covered = F.aggregate("_p", start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")))["n"]
     long = lambda c: F.coalesce(c, F.lit(0)).cast("long")
@@ -44,7 +45,7 @@ def measured(docs: DataFrame) -> DataFrame:
         long(F.char_length(F.regexp_replace(text, r"[^#*$%&|<>]+", ""))).alias("n_symbols"), long(F.size("_l") - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
         long(covered).alias("n_repeat_words"), long(F.size("_l")).alias("n_lines"), long(F.size(F.array_distinct("_w"))).alias("n_distinct"),
     )
-    df = df.withColumn("_r", raw).drop("_w", "_l", "_s", "_p")
+    df = df.withColumn("_r", once(raw)).drop("_w", "_l", "_s", "_p")
     share = lambda a, b: (F.col(f"_r.{a}") / F.greatest(F.col(f"_r.{b}"), F.lit(1))).cast("double")
     rates = {"chars_per_word": share("word_chars", "n_words"), "symbols_per_word": share("n_symbols", "n_words"), "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words"), "distinct_share": share("n_distinct", "n_words"), "words_per_line": share("n_words", "n_lines")}
     return df.withColumn("_m", F.struct(*[F.col(f"_r.{c}").alias(c) for c in COUNTS], *[c.alias(k) for k, c in rates.items()])).drop("_r")
