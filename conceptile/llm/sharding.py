@@ -87,5 +87,21 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return assign_shards(docs)
 
 
+#: The same walk on 128-bit integers; the CRC by the table of its reflected polynomial, a fixed value.
+SQL = f"""WITH RECURSIVE walk AS (
+  SELECT doc_id, (CAST(doc_id AS HUGEINT) + 18446744073709551616) % 18446744073709551616 AS k, -1::BIGINT AS b, 0::BIGINT AS j FROM (SELECT DISTINCT doc_id FROM documents)
+  UNION ALL
+  SELECT doc_id, nk, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / CAST(nk // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT doc_id, j, (k * {MULTIPLIER} + 1) % 18446744073709551616 AS nk FROM walk WHERE j < {SHARDS})),
+moved AS (SELECT doc_id, max(b) AS shard, max(j) AS nxt FROM walk GROUP BY 1),
+steps AS (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) AS v FROM range(256) r(i)),
+crc AS (SELECT list(v ORDER BY i) AS tb FROM steps),
+raw AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+bytes AS (SELECT doc_id, strlen(t) + 8 AS size, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS l FROM raw),
+sums AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, l), lambda c, x: xor(c >> 8, tb[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, crc)
+SELECT s.doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY s.doc_id, text_crc32, size) - 1 AS slot,
+  CAST(CASE WHEN nxt = {SHARDS} THEN {SHARDS} ELSE shard END AS INTEGER) AS grown_shard FROM sums s JOIN moved m ON m.doc_id = s.doc_id"""
+
+
 def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_slots(table(spark, sf_dir, "documents"))
