@@ -6,13 +6,15 @@
    truncated to 16 bits. Sketches of unions are maxima of registers, and two registers agree with about the probability of the
    Jaccard similarity. Only the few points below a bound are drawn; a set that leaves a register empty is drawn again with a
    higher bound, so that the registers do not depend on it.
-3. Bands of ROWS registers are hashed. In each bucket every member is paired with the least one (the hub): a linear number of
-   pairs, however large the bucket.
+3. Bands of ROWS registers are hashed. In a bucket of a few members all are paired; in a larger one, every member with the least
+   one (the hub) and with the least of a few random hands: a linear number of pairs, however large the bucket.
 4. For each pair the similarity is estimated jointly from the registers that are larger, smaller and equal and from both sizes,
    by maximum likelihood; pairs more than six standard deviations below the threshold are let go.
 5. What is left is verified on the whole sets; links make components by alternating large and small stars.
-6. A bucket whose members are now in several components has pairs that no hub has tested. All pairs across its components are
-   tested as in 4 and 5 (pairs within one component change nothing), so that no link that shares a bucket is lost.
+6. A large bucket whose members are now in several components has pairs that no hub has tested. They are tested as in 4 and 5,
+   in chunks of bounded size against one another, and only links are returned (pairs within one component change nothing): no
+   pair is listed, and no link that shares a bucket is lost. The work for texts that look alike but are no near-duplicates
+   grows with the square of their number; nothing else does.
 
 Copies are never expanded into pairs. Everything between the steps is written to the shared folder.
 
@@ -39,6 +41,7 @@ REGISTERS, ROWS, BASE, SCALE, TOP = 128, 5, 1.001, 20.0, (1 << 16) - 1
 BANDS = REGISTERS // ROWS
 THRESHOLD = 85  # per cent
 DEVIATIONS = 6
+DEALS, HAND, CHUNK, CHUNK_SHINGLES = 3, 8, 256, 1 << 21
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,10 +126,15 @@ def bands(classes: DataFrame) -> DataFrame:
     return classes.select("cid", "sketch").mapInArrow(run, schema(cid=LONG, band=LONG))
 
 
+def lowest(threshold: int) -> float:
+    """The least estimate at which a pair may still reach the threshold."""
+    t = threshold / 100
+    return t - DEVIATIONS * float(np.sqrt(t * (1 - t) / REGISTERS))
+
+
 def likely(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) that the sketches do not rule out, with both sizes."""
-    t = threshold / 100
-    floor = t - DEVIATIONS * float(np.sqrt(t * (1 - t) / REGISTERS))
+    floor = lowest(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 2048):
@@ -179,6 +187,64 @@ def set_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted.select("cid", "key"), "key").select("cid", "shingles").dropDuplicates(["cid"])
 
 
+def hub_pairs(shared: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of members (band, cid, hub, n): all of a bucket of up to HAND members, and in larger ones each
+    with the hub and with the least members of DEALS random deals into hands of about HAND. Linear in the members of a bucket."""
+    few = shared.where(F.col("n") <= HAND)
+    all_ = few.select("band", F.col("cid").alias("a")).join(few.select("band", F.col("cid").alias("b")), "band").where("a < b").select("a", "b")
+    many = shared.where(F.col("n") > HAND)
+    hand = lambda d: F.struct(F.lit(d).alias("deal"), F.pmod(F.xxhash64("cid", F.lit(d)), F.ceil(F.col("n") / HAND)).alias("hand"))
+    dealt = many.select("band", "cid", F.explode(F.array(*map(hand, range(DEALS)))).alias("d")).select("band", "cid", "d.*")
+    firsts = dealt.groupBy("band", "deal", "hand").agg(F.min("cid").alias("hub"))
+    both = many.select("hub", "cid").unionByName(dealt.join(firsts, ["band", "deal", "hand"]).select("hub", "cid"))
+    return both.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).unionByName(all_).distinct()
+
+
+def across(members: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between members (band, cid, root, n_shingles, sketch, shingles) of one bucket with different roots.
+
+    A bucket is cut into chunks of at most about CHUNK members and CHUNK_SHINGLES shingles; each two chunks are one group, which
+    compares them in place and returns nothing but links. A pair is tested in the first band that it shares, and no longer once
+    its components are known to be one."""
+    size = members.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    cut = members.join(size, "band").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
+    both = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("chunk", k).alias("lo"), F.greatest("chunk", k).alias("hi")))
+    pairs = cut.withColumn("p", F.explode(both)).select("band", "cid", "root", "n_shingles", "sketch", "shingles", "chunk", "p.lo", "p.hi")
+    floor = lowest(threshold)
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        band, lo, hi = (k.as_py() for k in key)
+        group = group.sort_by("cid")
+        cid, root, size, chunk = (group[c].to_numpy() for c in ("cid", "root", "n_shingles", "chunk"))
+        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+        shingles = group["shingles"].combine_chunks()
+        values, at = shingles.values.to_numpy(), shingles.offsets.to_numpy()
+        j = int(np.flatnonzero(band_hashes(sketch[:1])[0] == band)[0])
+        root, links = root.copy(), []
+        for x in range(len(cid)):
+            other = (root != root[x]) & (100 * np.minimum(size, size[x]) >= threshold * np.maximum(size, size[x]))
+            other &= (chunk != chunk[x]) if lo != hi else True
+            other[: x + 1] = False
+            ys = np.flatnonzero(other)
+            if len(ys) == 0:
+                continue
+            same = (sketch[ys, : j * ROWS] == sketch[x, : j * ROWS]).reshape(len(ys), j, ROWS).all(axis=2).any(axis=1)
+            ys = ys[~same]
+            if len(ys) == 0:
+                continue
+            mine = np.broadcast_to(sketch[x], (len(ys), REGISTERS))
+            likely = estimates(mine, sketch[ys], np.full(len(ys), float(size[x])), size[ys].astype(np.float64)) >= floor
+            for y in ys[likely]:
+                if root[y] != root[x]:
+                    n = len(np.intersect1d(values[at[x] : at[x + 1]], values[at[y] : at[y + 1]], assume_unique=True))
+                    if 100 * n >= threshold * (size[x] + size[y] - n):
+                        links.append((cid[x], cid[y]))
+                        root[root == root[y]] = root[x]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return pairs.groupBy("band", "lo", "hi").applyInArrow(run, schema(a=LONG, b=LONG))
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     scratch = Scratch(docs.sparkSession)
@@ -186,24 +252,18 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     one_each = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = scratch.keep(one_each.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    buckets = bands(classes).groupBy("band").agg(F.min("cid").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    buckets = bands(classes).groupBy("band").agg(F.min("cid").alias("hub"), F.count("*").alias("n")).where("n > 1")
     shared = scratch.keep(bands(classes).join(buckets, "band"), "buckets")
     wanted = classes.join(shared.select("cid").distinct(), "cid", "left_semi")
     sets = scratch.keep(set_rows(docs, wanted), "sets")
 
-    tested = shared.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-    links = scratch.keep(verified(likely(tested, classes, threshold), sets, threshold), "links")
+    links = scratch.keep(verified(likely(hub_pairs(shared), classes, threshold), sets, threshold), "links")
     roots = scratch.keep(components(links, scratch), "roots")
 
-    placed = shared.join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("band", "cid", F.coalesce("root", "cid").alias("root"))
+    placed = shared.where(F.col("n") > HAND).join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("band", "cid", F.coalesce("root", "cid").alias("root"))
     several = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    open_ = scratch.keep(placed.join(several, "band", "left_semi"), "open-buckets")
-    sizes = open_.groupBy("band", "root").count().groupBy("band").agg(F.max_by("root", F.struct("count", "root")).alias("major"))
-    members = open_.join(sizes, "band")
-    minors = members.where("root <> major").select("band", F.col("cid").alias("x"), F.col("root").alias("x_root"))
-    across = minors.join(members, "band").where("root <> x_root and (root = major or x < cid)")
-    untested = across.select(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = scratch.keep(verified(likely(untested, classes, threshold), sets, threshold), "more-links")
+    members = placed.join(several, "band", "left_semi").join(classes.select("cid", "n_shingles", "sketch"), "cid").join(sets, "cid")
+    more = scratch.keep(across(members, threshold), "more-links")
     scratch.drop(sets)
 
     name = lambda df, c: df.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(c, F.coalesce(f"r{c}", c)).drop(f"r{c}")
@@ -212,7 +272,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     labelled = labelled.join(merged.select(F.col("id").alias("root"), F.col("root").alias("last")), "root", "left").withColumn("root", F.coalesce("last", "root"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component"))
     named = scratch.keep(labelled.join(least, "root").select("key", F.col("component"), F.lit(True).alias("found")), "components")
-    scratch.drop(classes, shared, open_, links, more, roots, merged)
+    scratch.drop(classes, shared, links, more, roots, merged)
     out = rows.select("doc_id", "key", "n_shingles").join(named, "key", "left").withColumn("component_id", F.when(F.col("found"), F.col("component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
