@@ -69,7 +69,7 @@ def phases(rows: Mapping[str, int], weights: Mapping[str, float], block: int, pe
         for i, s in enumerate(one_period(parts)):
             places[s].append(i)
         ends = {s: (left[s] - 1) // parts[s] * length + places[s][(left[s] - 1) % parts[s]] + 1 for s in parts}
-        end = min(ends.values())
+        end, short = min(ends.values()), 0
         for s in sorted(parts):
             n = end // length * parts[s] + sum(p < end % length for p in places[s])
             if n:
@@ -77,9 +77,9 @@ def phases(rows: Mapping[str, int], weights: Mapping[str, float], block: int, pe
             done[s] += n
             left[s] -= n
             if not left[s]:
-                missing += -rows[s] % block
+                short = -rows[s] % block  # its last block is the phase's last slot
                 del left[s]
-        slot += end
+        slot, missing = slot + end, missing + short
         phase += 1
     return out
 
