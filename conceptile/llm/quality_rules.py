@@ -160,7 +160,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     labelled = scratch.keep(labelled_rows(measured(docs.select("doc_id", "text")).drop("text"), table(spark, sf_dir, "labels")), "labelled")
     rules = learn_list(labelled)
     scratch.drop(labelled)
-    return measured(docs).where(~base_failed() & (verdict(rules) == 0)).select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "text")  # whatever the columns are called
+    return measured(whole).where(~base_failed() & (verdict(rules) == 0)).select("_doc.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
