@@ -101,6 +101,19 @@ def only_terms(counts: DataFrame, terms: DataFrame, key: str = "doc_id") -> Data
     return restated(counts.join(terms.select("term").distinct(), "term", "left_semi"), key)
 
 
+def lemmatised(counts: DataFrame, lemmas: DataFrame, keep: tuple[str, ...] = (), key: str = "doc_id") -> DataFrame:
+    """Terms as the lemmas that a table (term, lemma, pos) gives them, if their part of speech starts with one of ``keep`` (none:
+    any); terms that it doesn't know stay. A term with several rows takes the least lemma."""
+    if keep:
+        known = F.lit(False)
+        for k in keep:
+            known = known | F.col("pos").startswith(k)
+        lemmas = lemmas.where(known)
+    forms = lemmas.groupBy("term").agg(F.min("lemma").alias("lemma"))
+    named = counts.join(forms, "term", "left").select(key, F.coalesce("lemma", "term").alias("term"), "tf")
+    return restated(named, key)
+
+
 def stemmed(counts: DataFrame, depth: int = 1, key: str = "doc_id") -> DataFrame:
     """Porter stems, applied so many times; each distinct term is stemmed once and joined back."""
     from ..functions.porter import stems

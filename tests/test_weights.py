@@ -2,7 +2,7 @@ import math
 
 import pytest
 from conceptile.functions.weights import WeightSpec, bm25, true_bm25_idf
-from conceptile.operators.analyze import AnalyzerSpec
+from conceptile.operators.analyze import AnalyzerSpec, lemmatised, only_terms, term_counts, without_terms
 from conceptile.operators.index import Index, build_index, impact_ordered
 from conceptile.operators.vectors import PruneSpec, concept_vectors, cosines, prune_window, query_weights, top, weighted_query
 from pyspark.sql import functions as F
@@ -88,3 +88,13 @@ def test_analyzer_order(spark):
     spec = AnalyzerSpec(ascii=True, singular=True, min_length=3, stop_words=frozenset(["The", "cat"]), dictionary=frozenset(["cat", "pony", "bus", "elan", "the"]))
     text = "The cats, ponies; BUS élan élans xy dogs"
     assert spark.createDataFrame([(text,)], "t string").select(spec.tokens(F.col("t"))).first()[0] == ["pony", "bus", "elan", "elan"]
+
+
+def test_lists_that_are_joined(spark):
+    counts = term_counts(spark.createDataFrame([(1, "mice mouse ran the"), (2, "the the")], "doc_id long, text string"))
+    lemmas = spark.createDataFrame([("mice", "mouse", "NNS"), ("ran", "run", "VBD")], "term string, lemma string, pos string")
+    flat = lambda df: sorted((r.doc_id, r.term, r.tf, r.dl) for r in df.collect())
+    assert flat(lemmatised(counts, lemmas, ("N",))) == [(1, "mouse", 2, 4), (1, "ran", 1, 4), (1, "the", 1, 4), (2, "the", 2, 2)]
+    the = spark.createDataFrame([("the",)], "term string")
+    assert flat(without_terms(counts, the)) == [(1, "mice", 1, 3), (1, "mouse", 1, 3), (1, "ran", 1, 3)]
+    assert flat(only_terms(counts, the)) == [(1, "the", 1, 1), (2, "the", 2, 2)]
