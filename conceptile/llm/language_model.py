@@ -9,8 +9,9 @@ share of the class's count, so that the model is a proper distribution over know
 
 Training: counts of all tokens of all training documents give the vocabulary, the constants and the unigram part. Weights are
 then learned in ``ROUNDS`` rounds, each over its own part of the training documents, so that every training token is used once:
-every task takes gradient steps over its documents from the weights last agreed, and the tasks' changes to each row of weights
-are averaged over those that touched it (summed as blocks of rows, by block and salt, then by block, as a stream). Weights and
+every task takes gradient steps over its documents (about ``PER_MODEL`` tokens or more) from the weights last agreed, and the
+tasks' changes to each row of weights are averaged by how often they touched it (as blocks of rows in half precision, by block
+and salt, then by block, as a stream). Weights and
 the ``HEAD`` most frequent counts are of fixed size, and are all that is broadcast or collected.
 
 Scoring: sparse batches in numpy, one pass. Counts of words outside the head are joined: a document sends each such word once.
@@ -36,6 +37,7 @@ from .common import BINARY, BOOL, DOUBLE, INT, LONG, Scratch, batches_of, column
 SMOOTH, HEAD, WORDS, NEAR, FAR = 0.1, 1 << 20, 512, 16, 16
 CLASSES, SLOTS = NEAR + FAR, WORDS // NEAR
 BUCKETS, BLOCK, ROUNDS, STEP, RATE = 1 << 15, 512, 2, 8192, 0.15
+PER_MODEL = 1 << 21  # training tokens of a task in a round, at least
 HELD = 10
 END = np.uint64(0x0E4D0F7E47000001)
 START = np.uint64(0x57A2701000000001)
@@ -227,20 +229,21 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np
     rows = np.zeros((2 * BUCKETS, CLASSES), dtype=np.float32)
     blocks = 2 * BUCKETS // BLOCK
     fields = schema(block=INT, salt=INT, touched=BINARY, change=BINARY)
+    # what a task sends is of one size: its share of the documents is not to be smaller than that
+    models = max(spark.sparkContext.defaultParallelism, vocabulary.n // (rounds * PER_MODEL))
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums by block: no more than all blocks are held, whatever the number of rows."""
         sums: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for k, t, c in zip(column(batch, "block"), column(batch, "touched"), column(batch, "change"), strict=True):
-                t, c = np.frombuffer(t, dtype=np.float32), np.frombuffer(c, dtype=np.float32)
-                if k in sums:
-                    sums[k][0] += t
-                    sums[k][1] += c
-                else:
-                    sums[k] = [t.copy(), c.copy()]
+                t, c = np.frombuffer(t, dtype=np.float32), np.frombuffer(c, dtype=np.float16).reshape(BLOCK, CLASSES)
+                s = sums.setdefault(k, [np.zeros(BLOCK, dtype=np.float32), np.zeros((BLOCK, CLASSES))])
+                s[0] += t
+                s[1] += c * t[:, None].astype(np.float64)
         for k, (t, c) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int32()), pa.array([t.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], fields.names)
+            mean = (c / np.maximum(t, 1)[:, None]).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int32()), pa.array([t.tobytes()], pa.binary()), pa.array([mean.tobytes()], pa.binary())], fields.names)
 
     for r in range(rounds):
         sent = spark.sparkContext.broadcast((vocabulary, rows))
@@ -252,7 +255,7 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np
             w = Weights(known, start.copy())
             for batch in batches_of(batches):
                 w.learn(Batch(known, [token_hashes(t) for t in column(batch, "text")]))
-            change = (w.rows - start) * w.touched[:, None]
+            change = (w.rows - start).astype(np.float16)
             salt = TaskContext.get().partitionId() % 64
             for k in range(blocks):
                 s = slice(k * BLOCK, (k + 1) * BLOCK)
@@ -260,11 +263,10 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([w.touched[s].tobytes()], pa.binary()), pa.array([change[s].tobytes()], pa.binary())], fields.names)
 
         mine = docs.where((remainder() != 0) & (F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(rounds)) == r)).select("text")
-        once = mine.mapInArrow(run, fields).repartition("block", "salt").mapInArrow(added, fields)
+        once = mine.coalesce(models).mapInArrow(run, fields).repartition("block", "salt").mapInArrow(added, fields)
         for x in once.repartition("block").mapInArrow(added, fields).collect():  # one row for each block
             s = slice(x.block * BLOCK, (x.block + 1) * BLOCK)
-            touched, change = np.frombuffer(x.touched, dtype=np.float32), np.frombuffer(x.change, dtype=np.float32).reshape(BLOCK, CLASSES)
-            rows[s] += change / np.maximum(touched, 1)[:, None]
+            rows[s] += np.frombuffer(x.change, dtype=np.float16).reshape(BLOCK, CLASSES)
         sent.unpersist()
     return rows
 
