@@ -186,7 +186,7 @@ class Weights:
 
     def descend(self, rows: np.ndarray, error: np.ndarray) -> None:
         """One adaptive step for the rows of several features, each with the same errors."""
-        flat = rows.ravel()
+        flat = rows.ravel().astype(np.uint16)  # 2 * BUCKETS fit, and numpy sorts these by radix
         order = np.argsort(flat, kind="stable")
         first = np.flatnonzero(np.append(True, flat[order][1:] != flat[order][:-1]))
         at = flat[order][first]
