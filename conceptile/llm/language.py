@@ -3,8 +3,8 @@
 A text is the bag of its hashed 1- to 4-byte n-grams over lower-cased letters, as root counts of unit length. A linear support
 vector machine for each family of languages (one against the rest) picks the family; within a family of several languages, one
 machine for each pair votes, ties going to the larger sum of margins and then to the name. All machines are trained on the
-driver by dual coordinate descent on a bounded sample: at most ``PER_LANGUAGE`` labelled texts of each language, those with the
-smallest hashes of their ids, so that neither the number of rows nor a hot language or source changes its size. Predictions read
+driver by dual coordinate descent on a bounded sample: at most ``PER_LANGUAGE`` labelled texts of each language, picked by
+hashes, so that neither the number of rows nor a hot language or source changes its size. Predictions read
 whole texts, in one pass without a shuffle.
 
 Families are a parameter; a language in none of them is a family of its own.
@@ -130,16 +130,18 @@ def fold(column_: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, families: dict[str, tuple[str, ...]] = FAMILIES, per_language: int = PER_LANGUAGE) -> Model:
-    """The sample is picked by hashes of ids: the largest hash taken of each language is collected (one row a language), then the
-    texts below it are read, and turned to vectors before they are sent to the driver."""
-    known = docs.where((fold() != 2) & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", F.xxhash64(F.lit("sample"), "doc_id").alias("h"), "text")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = known.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("h").alias("h")).collect()
-    if not last:
+    """Rows are counted by language first; hashes of rows then pick about twice the bound of each, and a rank cuts that down, so that
+    a language's rows never meet in one task. Picked texts are turned to vectors before they are sent to the driver."""
+    known = docs.where((fold() != 2) & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("h")).collect()  # one row a language
+    if not sizes:
         return Model(np.zeros((0, 1)), [], families)
-    limit = F.create_map(*[F.lit(v) for r in last for v in (r.lang, r.h)])
-    # rows that repeat an id tie at the limit: the second rank keeps the bound, in each task before any row is moved
-    picked = known.where(F.col("h") <= F.element_at(limit, F.col("lang"))).withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "text")
+    own = lambda f: F.element_at(F.create_map(*[F.lit(v) for r in sizes for v in (r.lang, f(r))]), F.col("lang"))
+    share = own(lambda r: min(1.0, (2 * per_language + 64) / r.n))
+    some = known.where((F.shiftrightunsigned("h", 11).cast("double") < share * float(1 << 53)) | (F.col("h") == own(lambda r: r.h)))
+    # equal rows come together or not at all: each task ranks its own first, before any row is moved
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches):
