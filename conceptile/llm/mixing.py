@@ -2,13 +2,13 @@
 
 Each source's documents, in an order drawn from a hash of their ids, are cut into blocks. The i-th block of a source of weight w
 is released at slot floor((i - 1) / w) and due by ceil(i / w); in each slot the released block that is due first is taken. So
-every source is less than one block away from its share at all times. Weights are whole parts of a period, at whose end every
-source has exactly its share: the schedule repeats, and one period of at most ``PERIOD`` slots (or 4 for each source) gives every
-block its slot by arithmetic, however many blocks there are. When a source has no more blocks, the weights of the others are
-scaled up and a new phase begins; no document is dropped or repeated.
+every source is less than one block away from its share at all times. Weights are taken as they are given, as exact fractions:
+nothing is rounded, however long the schedule. When a source has no more blocks, the weights of the others are scaled up and a
+new phase begins; no document is dropped or repeated.
 
 Numbers within sources come from range-partitioned rows, so that a source with a third of all rows is no hot group; the
-schedule is a table of sources and phases, of which one period's slots are the bulk.
+schedule is a table of all blocks, a row for each ``BLOCK_ROWS`` documents, made on the driver and joined as Spark's own
+threshold has it.
 
 Defined cases: a null source is a source; sources without a weight in ``weights``, or with one that is not positive, come after
 all others, mixed by their square-root sizes; a null doc_id is ordered first; rows that repeat an id are placed each; texts are
@@ -18,8 +18,13 @@ not read; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Mapping
+from fractions import Fraction
+from math import lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +63,8 @@ def one_period(parts: Mapping[str, int]) -> list[str]:
 
 
 def phases(rows: Mapping[str, int], weights: Mapping[str, float], block: int, period: int = PERIOD) -> list[tuple]:
-    """(source, phase, first block, blocks, parts, period, first slot, slots within the period, missing rows before) for all."""
+    """(source, phase, first block, blocks, parts, period, first slot, slots within the period, missing rows before) for all, with
+    weights cut to parts of a period: equal to ``blocks_in_turn`` only where the parts are exact or the schedule is short."""
     left = {s: -(-n // block) for s, n in rows.items() if n}
     done, out, slot, missing, phase = dict.fromkeys(left, 0), [], 0, 0, 0
     while left:
@@ -84,6 +90,46 @@ def phases(rows: Mapping[str, int], weights: Mapping[str, float], block: int, pe
     return out
 
 
+def whole(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * scale) for s, x in exact.items()}
+
+
+def blocks_in_turn(rows: Mapping[str, int], weights: Mapping[str, float], block: int) -> tuple[list[str], dict[str, np.ndarray]]:
+    """The sources, and for all blocks in the order of their slots: source (its number), phase, block, missing rows before.
+
+    A slot is taken as in ``one_period``, with weights that are not cut to parts of a period."""
+    names = sorted(s for s, n in rows.items() if n)
+    left = {s: -(-rows[s] // block) for s in names}
+    number, done, phase, missing = {s: i for i, s in enumerate(names)}, dict.fromkeys(names, 0), 0, 0
+    out = {"source": array("i"), "phase": array("i"), "block": array("q"), "missing": array("q")}
+    while left:
+        parts = whole({s: weights[s] for s in left if weights.get(s, 0) > 0} or {s: rows[s] ** 0.5 for s in left})
+        total = sum(parts.values())
+        waiting = [(0, -(-total // q), -q, s, 1) for s, q in parts.items()]
+        heapq.heapify(waiting)
+        ready: list = []
+        for slot in range(sum(left.values())):
+            while waiting and waiting[0][0] <= slot:
+                _, due, minus, s, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (due, minus, s, i))
+            due, minus, s, i = heapq.heappop(ready)
+            assert slot < due, "a deadline is missed"
+            for name, x in zip(out, (number[s], phase, done[s], missing), strict=True):
+                out[name].append(x)
+            done[s] += 1
+            left[s] -= 1
+            if not left[s]:
+                missing += -rows[s] % block  # its last block is the phase's last slot
+                del left[s]
+                break
+            heapq.heappush(waiting, (i * total // -minus, -(-(i + 1) * total // -minus), minus, s, i + 1))
+        phase += 1
+    return names, {k: np.frombuffer(v, dtype=v.typecode) if len(v) else np.zeros(0, v.typecode) for k, v in out.items()}
+
+
 def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
@@ -99,12 +145,12 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bl
     ranked, counts = numbered(scratch, rows, "key", ["h", "id"], "mixing", narrow=False)
     sizes = {r.key: r.n for r in counts.collect()}  # one row for each source
     target = {s: n**0.5 for s, n in sizes.items()} if weights is None else {"" if s is None else f"={s}": w for s, w in weights.items()}
-    plan = phases(sizes, target, block)
-    schedule = spark.createDataFrame(plan, "key string, phase int, first long, n long, parts int, period int, start long, places array<int>, missing long")
-    at = ranked.withColumn("block", F.floor(F.col("rank") / block).cast("long")).join(schedule, "key").where("block >= first and block < first + n")
-    turn = F.col("block") - F.col("first")
-    slot = F.col("start") + F.floor(turn / F.col("parts")) * F.col("period") + F.element_at("places", (turn % F.col("parts") + 1).cast("int"))
-    out = at.withColumn("slot", slot.cast("long")).withColumn("position", F.col("slot") * block + F.col("rank") % block - F.col("missing"))
+    names, plan = blocks_in_turn(sizes, target, block)
+    source = pa.DictionaryArray.from_arrays(pa.array(plan["source"]), pa.array(names, pa.string())).dictionary_decode()
+    turns = pa.table({"key": source, "block": plan["block"], "phase": plan["phase"], "slot": np.arange(len(source)), "missing": plan["missing"]})
+    schedule = scratch.keep(spark.createDataFrame(turns), "schedule")
+    at = ranked.withColumn("block", F.floor(F.col("rank") / block).cast("long")).join(schedule, ["key", "block"])
+    out = at.withColumn("position", F.col("slot") * block + F.col("rank") % block - F.col("missing"))
     return out.select("row.*", *[F.col(c).cast("long").alias(c) for c in ("phase", "block", "slot", "position")])
 
 

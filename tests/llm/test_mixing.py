@@ -2,7 +2,7 @@ from collections import Counter
 from math import ceil, floor
 
 import pytest
-from conceptile.llm.mixing import mixed, mixing_stage, one_period, op6_pfair_mixture, phases, quanta
+from conceptile.llm.mixing import blocks_in_turn, mixed, mixing_stage, one_period, op6_pfair_mixture, phases, quanta
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -80,3 +80,29 @@ def test_defined_cases(spark, docs):
 
 def test_query_keeps_all(spark, sf_dir):
     assert op6_pfair_mixture(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.9999, "b": 0.0001}, {"hot": 1825.7, **{f"s{i}": 592.3 for i in range(19)}}, {f"s{i:03}": 1.0 + 20 * (i == 0) for i in range(300)}])
+def test_every_prefix_of_a_long_schedule_is_within_one_block_of_the_true_weights(weights):
+    """Parts of a period of 1024 drift from such weights by more blocks the longer the schedule is."""
+    from fractions import Fraction
+
+    rows = {s: 40_000 if w == max(weights.values()) else 20_000 for s, w in weights.items()}
+    names, got = blocks_in_turn(rows, weights, 1)
+    total, done = sum(map(Fraction, weights.values())), Counter()
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    for t, (i, phase) in enumerate(zip(got["source"], got["phase"]), 1):
+        if phase:
+            break
+        s = names[i]
+        done[s] += 1
+        assert abs(done[s] - t * share[s]) < 1
+        if t % 5000 == 0:
+            assert all(abs(done[x] - t * share[x]) < 1 for x in share)
+    assert t > 30_000 and len(got["source"]) == sum(rows.values())
+
+
+def test_no_source_is_behind_in_a_schedule_of_two():
+    names, got = blocks_in_turn({"a": 20_000, "b": 20_000}, {"a": 0.9999, "b": 0.0001}, 1)
+    of_b = [t for t, (i, p) in enumerate(zip(got["source"], got["phase"])) if names[i] == "b" and not p]
+    assert len(of_b) in (2, 3)  # two ten-thousandths of 20,000 blocks, not one in 1024
