@@ -101,3 +101,14 @@ def test_components(spark):
 
 def test_words_are_lowered_in_ascii_only():
     assert words("ÀB Cd\x0be f") == ["Àb".encode(), b"cd", "e f".encode()] and len(shingles(words("a b c d e f"))) == 2
+
+
+def test_the_stage_can_drop_copies_of_eighty_per_cent(spark, docs):
+    """Forty pairs at exactly 0.80 and three below: the default keeps both of each, the stage at 80 % one of each of the forty."""
+    word = lambda k: [f"k{k}w{i}" for i in range(94)]  # noqa: E731  90 shingles
+    pairs = [(k, word(k)) for k in range(40)]
+    rows = [(2 * k, " ".join(w)) for k, w in pairs] + [(2 * k + 1, " ".join(w[:84] + [f"k{k}x{i}" for i in range(10)])) for k, w in pairs]
+    rows += [(1000 + 2 * k, " ".join(word(100 + k))) for k in range(3)] + [(1001 + 2 * k, " ".join(word(100 + k)[:83] + [f"k{k}y{i}" for i in range(11)])) for k in range(3)]
+    left = sorted(r.doc_id for r in dedup_stage(spark, docs(rows), "", 80, 4).collect())
+    assert left == [2 * k for k in range(40)] + list(range(1000, 1006))
+    assert all(r.kept for r in near_duplicates(docs(rows)).collect())
