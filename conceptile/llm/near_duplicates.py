@@ -103,16 +103,16 @@ def class_key(tokens: list[bytes]) -> bytes | None:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the words; null without), n_shingles, sketch."""
+    """doc_id, text_hash, key (of the words; null without), n_shingles, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches):
             tokens = [words(t) for t in column(batch, "text")]
             sets = [shingles(w) for w in tokens]
             arrays = [pa.array([class_key(w) for w in tokens], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in sketches(sets)], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "key", "n_shingles", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], ["doc_id", "text_hash", "key", "n_shingles", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema(doc_id=LONG, key=BINARY, n_shingles=LONG, sketch=BINARY))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema(doc_id=LONG, text_hash=LONG, key=BINARY, n_shingles=LONG, sketch=BINARY))
 
 
 def bands(classes: DataFrame, rows: int = ROWS) -> DataFrame:
@@ -245,8 +245,8 @@ def across(members: DataFrame, threshold: int, rows: int = ROWS) -> DataFrame:
     return pairs.groupBy("band", "lo", "hi").applyInArrow(run, schema(a=LONG, b=LONG))
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, band_rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
+def decided(docs: DataFrame, threshold: int, band_rows: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept: a row for each of the documents."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(sketched(docs), "sketches")
     one_each = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
@@ -273,14 +273,22 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, band_rows: int
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component"))
     named = scratch.keep(labelled.join(least, "root").select("key", F.col("component"), F.lit(True).alias("found")), "components")
     scratch.drop(classes, shared, links, more, roots, merged)
-    out = rows.select("doc_id", "key", "n_shingles").join(named, "key", "left").withColumn("component_id", F.when(F.col("found"), F.col("component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = rows.select("doc_id", "text_hash", "key", "n_shingles").join(named, "key", "left").withColumn("component_id", F.when(F.col("found"), F.col("component")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, band_rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept."""
+    return decided(docs, threshold, band_rows).drop("text_hash")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: int = THRESHOLD, band_rows: int = ROWS) -> DataFrame:
-    """One document of each group, the one with the least doc_id; rows without an id stay."""
-    gone = near_duplicates(docs, threshold, band_rows).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(Scratch(spark).keep(gone, "near-duplicates"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group, the one with the least doc_id; rows without an id stay, and so do all of a group that have its
+    least id. Of rows that share an id, only those whose own text is a copy go."""
+    gone = decided(docs, threshold, band_rows).where(~F.col("kept") & F.col("doc_id").isNotNull())
+    gone = Scratch(spark).keep(gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_copy")).distinct(), "near-duplicates")
+    safe = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))  # whatever the columns are called
+    return safe.join(gone, (F.col("_id") == F.col("_gone")) & (F.col("_text") == F.col("_copy")), "left_anti").select("doc.*")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,3 +112,11 @@ def test_the_stage_can_drop_copies_of_eighty_per_cent(spark, docs):
     left = sorted(r.doc_id for r in dedup_stage(spark, docs(rows), "", 80, 4).collect())
     assert left == [2 * k for k in range(40)] + list(range(1000, 1006))
     assert all(r.kept for r in near_duplicates(docs(rows)).collect())
+
+
+def test_a_clean_row_stays_beside_a_copy_with_its_id(spark, docs):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(50))
+    df = docs([(1, text(1)), (5, text(1) + " end"), (5, text(2)), (5, text(1).upper()), (7, text(2)), (8, None)], ["_gone", "_id", "text_hash"])
+    left = dedup_stage(spark, df, "")
+    assert left.columns == df.columns and sorted((r.doc_id, r.text) for r in left.where("text is not null").collect()) == [(1, text(1)), (5, text(2))]
+    assert left.count() == 3
