@@ -6,13 +6,14 @@ information content of e that it discloses:
 
     PMI(e; t) / IC(e),   PMI = log(N c(e,t) / (c(e) c(t))),   IC = log(N / c(e))
 
-with document counts c over N documents. In a document whose entity e is masked, a term that discloses ``remove_at`` of it or
-more would give it back, and is removed; from ``generalise_at`` on it is generalised. Entities and pairs need ``support``
-different texts, so that copies of one text prove nothing.
+with counts c over the N different texts, so that copies count once. In a document whose entity e is masked, a term that
+discloses ``remove_at`` of it or more would give it back, and is removed; from ``generalise_at`` on it is generalised. Entities
+and pairs of every count take part, those of one text too: most personal data is that rare.
 
-Only documents with base spans are shuffled; a document's text is read once, and once more for each block of at most
-``BLOCK`` candidate terms whose counts over all documents are needed. A pair of an entity and a term is a summed count, so an
-entity in a third of all documents is no hot group.
+Entities that are in the same texts are one group, as each of them is disclosed alike; a document has at most as many pairs as
+terms and groups. Only documents with base spans are shuffled, unless the hashes of texts that have copies exceed what Spark
+broadcasts; a document's text is read once, and once more for each block of at most ``BLOCK`` candidate terms whose counts over
+all texts are needed. A pair of a group and a term is a summed count, so an entity in a third of all documents is no hot group.
 
 Defined cases: a null or empty text has no spans; rows that repeat a document are scanned and counted each; other columns are
 not read. Offsets are code points, ends exclusive.
@@ -31,10 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LONG, STRING, Scratch, batches_of, column, schema, signed, table
+from .common import DOUBLE, LONG, STRING, Scratch, batches_of, column, schema, signed, table
 
 KINDS = ["email", "ip", "card", "phone", "generalise", "remove"]
-SUPPORT, GENERALISE_AT, REMOVE_AT, BLOCK = 5, 0.6, 0.9, 1 << 20
+GENERALISE_AT, REMOVE_AT, BLOCK = 0.6, 0.9, 1 << 20
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -141,19 +142,27 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def term_rows(personal: DataFrame) -> DataFrame:
-    """(row, text_hash, entities, term): the distinct terms of documents with base spans, by hash."""
+    """(text_hash, terms): the distinct terms of each different text with base spans, by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches):
             found = [sorted({h64(w) for w, _, _ in terms(t, parsed(s))}) for t, s in zip(column(batch, "text"), column(batch, "spans"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["row", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["text_hash", "terms"])
 
-    return personal.select("row", "text", "spans").mapInArrow(run, schema(row=LONG, terms=T.ArrayType(LONG)))
+    return personal.select("text_hash", "text", "spans").mapInArrow(run, schema(text_hash=LONG, terms=T.ArrayType(LONG))).dropDuplicates(["text_hash"])
+
+
+def copies_of(docs: DataFrame) -> DataFrame:
+    """(_copy, n): the hash of each text that several documents have, and how many."""
+    return docs.groupBy(F.xxhash64("text").alias("_copy")).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def document_counts(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """(term, c): in how many documents each wanted term is. Wanted terms go out in sorted blocks of bounded size, one pass each."""
+    """(term, c): in how many different texts each wanted term is. Wanted terms go out in sorted blocks of bounded size, one pass
+    each; a copy counts as its part of the text."""
     spark, out, last = docs.sparkSession, [], None
+    copies = scratch.keep(copies_of(docs), "copies")
+    texts = docs.select("text", F.xxhash64("text").alias("_text")).join(copies, F.col("_text") == F.col("_copy"), "left").select("text", (1 / F.coalesce("n", F.lit(1))).alias("part"))
     while True:
         block = wanted.select("term").distinct() if last is None else wanted.select("term").distinct().where(F.col("term") > last)
         part = np.array([r.term for r in block.orderBy("term").limit(BLOCK).collect()], dtype=np.int64)
@@ -163,9 +172,9 @@ def document_counts(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> Dat
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block, known = sent.value, {}
-            n = np.zeros(len(block), dtype=np.int64)
+            n = np.zeros(len(block))
             for batch in batches_of(batches):
-                for t in column(batch, "text"):
+                for t, part in zip(column(batch, "text"), column(batch, "part"), strict=True):
                     own = set(map(str.lower, TERM.findall(t or "")))
                     if len(known) > 1 << 19:
                         known.clear()
@@ -175,11 +184,11 @@ def document_counts(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> Dat
                         known[w] = i if i < len(block) and block[i] == h else -1
                     at = {known[w] for w in own}
                     at.discard(-1)
-                    n[list(at)] += 1
+                    n[list(at)] += part
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(block[some]), pa.array(n[some])], ["term", "c"])
 
-        out.append(scratch.keep(docs.select("text").mapInArrow(run, schema(term=LONG, c=LONG)).groupBy("term").agg(F.sum("c").alias("c")), "term-counts"))
+        out.append(scratch.keep(texts.mapInArrow(run, schema(term=LONG, c=DOUBLE)).groupBy("term").agg(F.round(F.sum("c")).cast("long").alias("c")), "term-counts"))
         sent.unpersist()
         if len(part) < BLOCK:
             break
@@ -189,36 +198,35 @@ def document_counts(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> Dat
     return total
 
 
-def disclosures(docs: DataFrame, personal: DataFrame, scratch: Scratch, support: int, generalise_at: float) -> DataFrame | None:
-    """(row, term, share): the terms that reveal an entity of their own document, and how much of it."""
-    pairs = personal.select("row", "text_hash", F.explode("entities").alias("entity"))
-    common = pairs.groupBy("entity").agg(F.count("*").alias("c_e"), F.count_distinct("text_hash").alias("texts")).where(F.col("texts") >= support).drop("texts")
-    common = scratch.keep(common, "entities")
-    if common.isEmpty():
-        return None
-    n = docs.count()
-    pairs = pairs.join(common, "entity")
-    held = scratch.keep(pairs.join(term_rows(personal), "row").select("row", "text_hash", "entity", "c_e", F.explode("terms").alias("term")), "entity-terms")
-    both = held.groupBy("entity", "term").agg(F.count("*").alias("c_et"), F.count_distinct("text_hash").alias("texts"), F.first("c_e").alias("c_e")).where(F.col("texts") >= support).drop("texts")
+def disclosures(docs: DataFrame, personal: DataFrame, scratch: Scratch, generalise_at: float) -> DataFrame:
+    """(text_hash, term, share): the terms that reveal an entity of their own text, and how much of it."""
+    pairs = scratch.keep(personal.select("text_hash", F.explode("entities").alias("entity")).distinct(), "entities")
+    # entities of the same texts: as many, with the same sum
+    alike = pairs.groupBy("entity").agg(F.count("*").alias("c_e"), F.bit_xor(F.xxhash64("text_hash")).alias("texts"))
+    groups = pairs.join(alike, "entity").select("text_hash", F.xxhash64("texts", "c_e").alias("entity"), "c_e").distinct()
+    n = docs.count() - (copies_of(docs).agg(F.sum(F.col("n") - 1)).first()[0] or 0)
+    groups = groups.where(F.col("c_e") < n)
+    held = scratch.keep(groups.join(term_rows(personal), "text_hash").select("text_hash", "entity", "c_e", F.explode("terms").alias("term")), "entity-terms")
     share = lambda c_t: F.log(F.lit(float(n)) * F.col("c_et") / (F.col("c_e") * c_t)) / F.log(F.lit(float(n)) / F.col("c_e"))
-    # a term is in c_et documents at least: pairs that fail with that fail with any count
-    both = scratch.keep(both.where((F.col("c_e") < n) & (share(F.col("c_et")) >= generalise_at)), "candidates")
-    counts = document_counts(docs, both, scratch)
-    strong = both.join(counts, "term").withColumn("share", share(F.greatest("c", "c_et"))).where(F.col("share") >= generalise_at)
-    return held.join(strong.select("entity", "term", "share"), ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
-
-
-def sanitise(docs: DataFrame, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+    several = held.where("c_e > 1").groupBy("entity", "term").agg(F.count("*").alias("c_et"), F.first("c_e").alias("c_e"))
+    # a term is in c_et texts at least: pairs that fail with that fail with any count
+    several = scratch.keep(several.where(share(F.col("c_et")) >= generalise_at), "candidates")
+    single = held.where("c_e = 1").withColumn("c_et", F.lit(1).cast("long"))
+    counts = document_counts(docs, scratch.keep(several.select("term").unionByName(single.select("term")).distinct(), "candidate-terms"), scratch)
+    strong = lambda df, counts=counts: df.join(counts, "term").withColumn("share", share(F.greatest("c", "c_et"))).where(F.col("share") >= generalise_at)
+    of_several = held.join(strong(several).select("entity", "term", "share"), ["entity", "term"]).select("text_hash", "term", "share")
+    rare = counts.where(F.log(F.lit(float(n)) / F.greatest("c", F.lit(1))) >= generalise_at * float(np.log(max(n, 1))) - 1e-9)
+    return strong(single, rare).select("text_hash", "term", "share").unionByName(of_several).groupBy("text_hash", "term").agg(F.max("share").alias("share"))
+
+
+def sanitise(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and, where there are spans, the sanitised text."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     found = scratch.keep(scanned(docs), "personal")
     personal = found.where("text is not null")
-    revealing = disclosures(docs, personal, scratch, support, generalise_at)
-    if revealing is None:
-        revealing = spark.createDataFrame([], schema(row=LONG, term=LONG, share=T.DoubleType()))
-    # a document's own terms: as many as it has, and no more
-    by_row = revealing.groupBy("row").agg(F.collect_list(F.struct("term", (F.col("share") >= remove_at).alias("remove"))).alias("reveals"))
+    revealing = disclosures(docs, personal, scratch, generalise_at)
+    # a text's own terms: as many as it has, and no more
+    by_text = revealing.groupBy("text_hash").agg(F.collect_list(F.struct("term", (F.col("share") >= remove_at).alias("remove"))).alias("reveals"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches):
@@ -237,7 +245,7 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, generalise_at: float = GEN
     head = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
     out = schema(**dict.fromkeys(head[:5], LONG), base_sha256=STRING, spans=STRING, sanitised=STRING)
     clean = found.where("text is null").select(*head, "spans", F.lit(None).cast("string").alias("sanitised"))
-    return clean.unionByName(personal.join(by_row, "row", "left").select(*head, "spans", "text", "reveals").mapInArrow(run, out))
+    return clean.unionByName(personal.join(by_text, "text_hash", "left").select(*head, "spans", "text", "reveals").mapInArrow(run, out))
 
 
 def masked(text: str, spans: list[Span]) -> str:

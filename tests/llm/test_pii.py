@@ -69,3 +69,21 @@ def test_defined_cases(spark, docs):
     empty = hashlib.sha256(b"").hexdigest()
     assert sorted((r.doc_id or 0, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256 == empty) for r in got) == [(0, 0, 0, 0, 0, True), (1, 0, 0, 0, 0, True), (2, 0, 0, 0, 0, True), (3, 1, 1, 1, 1, False), (3, 1, 1, 1, 1, False), (6, 0, 0, 0, 0, True)]
     assert sanitise(docs([])).collect() == [] and list(terms("ab abc", [])) == [("abc", 3, 6)] and scanned(docs([])).count() == 0
+
+
+def test_an_entity_of_one_text_is_protected_and_copies_count_once(spark, docs):
+    """Most personal data is in one text only; here one with three copies, and an address of two texts."""
+    own = "the quexil wrote from bob@x.org and more"
+    held = [(i, own) for i in range(3)] + [(3, "the vontar said eve@x.org and more"), (4, "the vontar met eve@x.org and more often")]
+    rest = [(100 + i, f"the common words and more {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}xyz" + " wrote said met"[: 6 * (i % 2)]) for i in range(90)]
+    got = {r.doc_id: r for r in sanitise(docs(held + rest)).collect()}
+    for i, t in held:
+        kinds = {t[int(a) : int(b)]: k for k, a, b in (x.split(":") for x in got[i].spans.split(","))}
+        assert kinds["quexil" if i < 3 else "vontar"] == "remove" and kinds[t.split("@")[0][-3:] + "@x.org"] == "email" and not {"the", "and", "more"} & set(kinds)
+    assert all(got[i].sanitised is None for i, _ in rest)
+
+
+def test_counts_take_copies_once(spark, docs):
+    wanted = spark.createDataFrame([(h64(w),) for w in ("aaa", "bbb")], schema(term=LONG))
+    df = docs([(i, "aaa bbb") for i in range(7)] + [(8, "bbb ccc"), (9, None), (10, None)])
+    assert {r.term: r.c for r in document_counts(df, wanted, Scratch(spark)).collect()} == {h64("aaa"): 1, h64("bbb"): 2}
