@@ -41,7 +41,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TERM = re.compile(r"[^\W\d_]{3,}")
+RUN = re.compile(r"[^\W_]{3,}|[^\W_]?[^\W_a-z][^\W_]?")
+CHAIN = re.compile(r"[^\W_]+(?:[-_./:][^\W_]+)*")
+DIGIT = re.compile(r"\d")
 Span = tuple[int, str, int]  # start, kind, end
 
 
@@ -108,14 +110,34 @@ def h64(x: str) -> int:
     return n - (1 << 64) if n >= 1 << 63 else n
 
 
+def in_chain(chain: str) -> list[str]:
+    """The terms of runs joined by single signs: all of it as one if it has a digit (a date, an identifier), else its runs."""
+    return [chain] if DIGIT.search(chain) else RUN.findall(chain)
+
+
 def terms(text: str, spans: list[Span]) -> Iterator[tuple[str, int, int]]:
-    """Lower-cased runs of three letters or more that no base span touches."""
+    """Lower-cased terms that no base span touches: chains with digits, and runs of three letters or more, or of one or two that
+    are not just a to z (capitals, other scripts)."""
     i = 0
-    for m in TERM.finditer(text):
+    for m in CHAIN.finditer(text):
         while i < len(spans) and spans[i][2] <= m.start():
             i += 1
-        if i == len(spans) or m.end() <= spans[i][0]:
-            yield m[0].lower(), m.start(), m.end()
+        free = i == len(spans) or m.end() <= spans[i][0]
+        j = i
+        for r in [m] if free and DIGIT.search(m[0]) else RUN.finditer(text, *m.span()):
+            while j < len(spans) and spans[j][2] <= r.start():
+                j += 1
+            if j == len(spans) or r.end() <= spans[j][0]:
+                yield r[0].lower(), r.start(), r.end()
+
+
+def distinct_terms(text: str | None) -> set[str]:
+    """The terms of a text outside its base spans."""
+    if not text:
+        return set()
+    if spans := base_spans(text):
+        return {w for w, _, _ in terms(text, spans)}
+    return {w.lower() for chain in set(CHAIN.findall(text)) for w in in_chain(chain)}
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -175,7 +197,7 @@ def document_counts(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> Dat
             n = np.zeros(len(block))
             for batch in batches_of(batches):
                 for t, part in zip(column(batch, "text"), column(batch, "part"), strict=True):
-                    own = set(map(str.lower, TERM.findall(t or "")))
+                    own = distinct_terms(t)
                     if len(known) > 1 << 19:
                         known.clear()
                     for w in own.difference(known):

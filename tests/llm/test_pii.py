@@ -87,3 +87,22 @@ def test_counts_take_copies_once(spark, docs):
     wanted = spark.createDataFrame([(h64(w),) for w in ("aaa", "bbb")], schema(term=LONG))
     df = docs([(i, "aaa bbb") for i in range(7)] + [(8, "bbb ccc"), (9, None), (10, None)])
     assert {r.term: r.c for r in document_counts(df, wanted, Scratch(spark)).collect()} == {h64("aaa"): 1, h64("bbb"): 2}
+
+
+def test_numbers_dates_and_short_names_are_terms(spark, docs):
+    found = [w for w, _, _ in terms("Li 王五 met user_7x on 2021-03-04, customer 4711 re a.b of it", [])]
+    assert found == ["li", "王五", "met", "user_7x", "2021-03-04", "customer", "4711"]
+    text = "see host/1.2.3.4 and 1.2.3.4x"
+    assert [w for w, _, _ in terms(text, base_spans(text))] == ["see", "host", "and"]
+    held = [(1, "the Li with 4711-x of 2021-03-04 has ann@x.org and more")]
+    rest = [(100 + i, f"the common words and more {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}xyz has with of") for i in range(90)]
+    got = {r.doc_id: r for r in sanitise(docs(held + rest)).collect()}
+    assert got[1].sanitised == "the  with  of  has <EMAIL> and more"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abA1 .-_@é王", max_size=40))
+def test_both_ways_to_terms_are_one(text):
+    from conceptile.llm.pii import distinct_terms
+
+    assert distinct_terms(text) == {w for w, _, _ in terms(text, base_spans(text))}
