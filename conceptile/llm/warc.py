@@ -46,7 +46,9 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, chr(0).join(parts))}>"
 
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b([^<>]*)>|<(head)(?=[\s/>])[^<>]*>", re.S | re.I)
+_IN_HEAD = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)\b[^<>]*>|</head\s*>|<(?!/|!|(?:base|basefont|bgsound|link|meta|head)\b)[a-zA-Z]", re.S | re.I)
+_END = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "noscript", "template", "svg", "title")}
 _BREAK = re.compile(r"<(?:br|/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|aside|main|blockquote|pre|dd|dt|dl|form|title|body|html))\b[^<>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^<>]*>")
 _TITLE = re.compile(r"<title\b[^<>]*>(.*?)</title\s*>", re.S | re.I)
@@ -58,9 +60,45 @@ def spaced(text: str) -> str:
     return " ".join(html.unescape(_TAG.sub("", text)).split())
 
 
+def after(kind: str, page: str, at: int, never: set[str]) -> int:
+    """Where the element ends whose content begins here. One that is never closed is its tag only; scripts and styles are text
+    that is not shown, and end with the page. ``never`` holds the kinds that have no end from here on."""
+    end = None if kind in never else _END[kind].search(page, at)
+    if end:
+        return end.end()
+    never.add(kind)
+    return len(page) if kind in ("script", "style") else at
+
+
+def after_head(page: str, at: int, never: set[str]) -> int:
+    """Where the head ends whose content begins here: after </head>, or before the first tag that cannot stand in one."""
+    while m := _IN_HEAD.search(page, at):
+        if m[1]:
+            at = after(m[1].lower(), page, m.end(), never)
+        elif m[0].startswith("<!--"):
+            at = m.end()
+        else:
+            return m.end() if m[0].startswith("</") else m.start()
+    never.add("head")
+    return at
+
+
+def shown(page: str) -> str:
+    """The page without its head, comments and hidden elements; of an svg that closes itself only the tag goes."""
+    out, at, never = [], 0, set()
+    while m := _HIDDEN.search(page, at):
+        out.append(page[at : m.start()])
+        at = m.end()
+        if m[3] and "head" not in never:
+            at = after_head(page, at, never)
+        elif m[1] and not (m[1].lower() == "svg" and m[2].rstrip().endswith("/")):
+            at = after(m[1].lower(), page, at, never)
+    return " ".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """Text of a page: lines for its blocks, without what is not shown."""
-    lines = _BREAK.sub("\n", _DROP.sub(" ", page)).split("\n")
+    lines = _BREAK.sub("\n", shown(page)).split("\n")
     return "\n".join(x for x in map(spaced, lines) if x)
 
 

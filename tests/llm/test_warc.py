@@ -67,3 +67,15 @@ def test_defined_cases(spark, table_dir):
     assert len(got) == 10 and {r.block for r in got if r.page_id == 2 and r.record_type == "conversion"} == {""}
     assert all(r.target_uri is None for r in got if r.page_id == 1) and max(r.content_length for r in got) > 499_000
     assert op9_warc_derivatives(spark, table_dir(pages=pages.limit(0))).collect() == []
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<html><head><title>T</title><meta charset=utf-8><body><p>One", "One"),
+    ("<head><title>T</title><link rel=x><script>if (a<b) x('<p>')</script><!-- <p> --><p>One<p>two", "One\ntwo"),
+    ("<head><title>T <b>x</b></title><style>p{}</style></head><p>One", "One"),
+    ("<p>One<svg width=1 /><p>two<svg><text>no</text></svg><p>three", "One\ntwo\nthree"),
+    ("<p>One<template><p>two<noscript><p>three", "One\ntwo\nthree"),
+    ("<header>Top</header><p>One<script>never closed <p>two", "Top\nOne"),
+])
+def test_open_heads_and_elements_leave_the_body(page, text):
+    assert plain_text(page) == text
