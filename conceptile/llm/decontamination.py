@@ -3,7 +3,8 @@
 Texts become lower-cased runs of word characters. Windows of ``LEAST`` words of the benchmark, hashed by Karp-Rabin, are the
 seeds; documents are scanned for them, and each pair of a document and an item that share one is tiled: again and again the
 longest match of words that no tile has taken, at least ``LEAST`` long, becomes a tile. Tiles may lie in any order, so that
-reordered passages are caught. A document is contaminated by an item when tiles cover ``COVERAGE`` of the item's words.
+reordered passages are caught. A document is contaminated by an item when tiles cover ``COVERAGE`` of the item's words, or when
+one tile has ``PASSAGE`` words or more: so long a verbatim passage is a leak however much longer the item is.
 
 The benchmark is the stated query set. It goes out in blocks of at most ``BLOCK_WORDS`` words (one item may be longer), each
 against all documents, in one pass without a shuffle; its size bounds nothing but the number of passes.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import DOUBLE, LONG, STRING, Scratch, batches_of, column, mixed, schema, table
 
-LEAST, COVERAGE, BLOCK_WORDS = 5, 0.8, 1 << 21
+LEAST, COVERAGE, PASSAGE, BLOCK_WORDS = 5, 0.8, 50, 1 << 21
 TOKEN = re.compile(r"\w+")
 RADIX = np.uint64(0x9E3779B97F4A7C15)
 Tile = tuple[int, int, int]  # first word in the item, in the document, length
@@ -138,7 +139,7 @@ def blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int | None,
         yield part
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST, block_words: int = BLOCK_WORDS, passage: int = PASSAGE) -> DataFrame:
     """doc_id, item_id, coverage, n_tiles, tiled_words, item_words, tiles (item:document:length in words, comma-joined)."""
     spark = docs.sparkSession
     scratch, out = Scratch(spark), None
@@ -152,7 +153,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
                 for d, t in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
                     for item, found, n in sent.value.matches(t):
                         covered = sum(x[2] for x in found)
-                        if covered >= coverage * n:
+                        if covered >= coverage * n or max((x[2] for x in found), default=0) >= passage:
                             rows.append((d, item, covered / n, len(found), covered, n, ",".join(f"{p}:{q}:{k}" for p, q, k in found)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string()], strict=True)], fields.names)

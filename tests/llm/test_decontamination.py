@@ -79,3 +79,10 @@ def test_defined_cases(spark, docs, table_dir):
 
 def test_windows_shorter_than_their_width():
     assert len(karp_rabin(hashes(["a"] * 4), 5)) == 0 and len(set(karp_rabin(hashes(list("ababab")), 2))) == 2
+
+
+def test_a_long_passage_of_a_longer_item_is_caught(spark, docs):
+    item, rest = [f"b{i}" for i in range(200)], [f"r{i}" for i in range(100)]
+    rows = [(1, " ".join(rest + item[20:170])), (2, " ".join(item[:50] + rest)), (3, " ".join(item[:49] + rest + item[60:109]))]
+    bench = spark.createDataFrame([(7, " ".join(item))], ITEMS)
+    assert sorted((r.doc_id, r.tiled_words) for r in contaminated(docs(rows), bench).collect()) == [(1, 150), (2, 50)]
