@@ -6,8 +6,8 @@ part is an article that links to its suppliers and is filed under its brand, sup
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,8 @@ from .operators import evaluate as E
 from .operators import graph as G
 from .operators import index as I
 from .operators import vectors as V
+from .operators.staging import fresh, kept
+from .plans.corpus import annotated
 from .sources import files as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,8 +94,27 @@ def _items(spark, d):
     return _t(spark, d, "benchmark").select("item_id", "text")
 
 
+_STORED: dict[tuple, DataFrame | I.Index] = {}
+
+
+def _counts(spark, d) -> DataFrame:
+    """Counts of the documents' terms, made once for an application and a folder."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _STORED:
+        _STORED[at] = kept(A.term_counts(_docs(spark, d)), "counts")
+    return _STORED[at]
+
+
 def _index(spark, d, mode: str = "ltc") -> I.Index:
-    return I.build_index(_docs(spark, d), weights=WeightSpec(mode))
+    """The stored index of the documents: the first query that needs it builds it, all others open it."""
+    at = (spark.sparkContext.applicationId, d, mode)
+    if at not in _STORED:
+        _STORED[at] = I.stored_index(_docs(spark, d), fresh(spark, f"index-{mode}"), weights=WeightSpec(mode), counts=_counts(spark, d))
+    return _STORED[at]
+
+
+def _scores(index: I.Index) -> DataFrame:
+    return index.postings.select("doc_id", "term", "score")
 
 
 def _vectors(spark, d) -> DataFrame:
@@ -207,7 +228,7 @@ def stem(spark, d):
 
 
 def _postings(mode: str):
-    return lambda spark, d: _r(_index(spark, d, mode).postings, "score")
+    return lambda spark, d: _r(_scores(_index(spark, d, mode)), "score")
 
 
 for _mode in ("nnn", "ltc", "atc", "btc", "Ltc", "lpc", "lbc", "ltb", "ntn", "anb", "Lpb", "bbc"):
@@ -224,25 +245,16 @@ def bm25_tf(spark, d):
 
 @query("build_index", _sql(f"{_BASE}, {_weights('ltc')}", "SELECT doc_id, term, score, row_number() OVER (PARTITION BY term ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, term, round(score, 6) AS score FROM post)"))
 def build_index(spark, d):
-    return I.impact_ordered(_r(_index(spark, d).postings, "score")).withColumn("rank", F.col("rank").cast("long"))
-
-
-def _scratch(spark) -> str:
-    from .operators.graph import ensure_checkpoints
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir", None)
-    if not root:
-        ensure_checkpoints(spark.range(1))
-        root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{root}/{uuid.uuid4().hex}"
+    """Built from the texts, whatever is stored."""
+    return I.impact_ordered(_r(_scores(I.build_index(_docs(spark, d))), "score"))
 
 
 @query("index_roundtrip", SQL["w_ltc"])
 def index_roundtrip(spark, d):
     """The postings of an index that was written and read again."""
-    path = _scratch(spark)
+    path = fresh(spark, "index")
     _index(spark, d).save(path)
-    return _r(I.Index.load(spark, path).postings, "score")
+    return _r(_scores(I.Index.load(spark, path)), "score")
 
 
 @query("sim_true_tfidf", _sql(_BASE, "SELECT doc_id, term, round(tf * (CAST(n - df AS DOUBLE) / df), 6) AS score FROM tf JOIN df USING (term) CROSS JOIN st"))
@@ -263,7 +275,7 @@ def sim_true_bm25(spark, d):
 
 @query("query_weights", _sql(f"{_BASE}, {_QUERY}", "SELECT item_id, term, round(score, 6) AS score FROM q"))
 def query_weights(spark, d):
-    return _r(V.query_weights(_items(spark, d), _index(spark, d)), "score")
+    return _r(V.query_weights(_items(spark, d), _index(spark, d)).select("item_id", "term", "score"), "score")
 
 
 @query("concept_vector", _sql(_VEC, "SELECT item_id, doc_id, round(score, 6) AS score FROM vec"))
@@ -276,7 +288,7 @@ _NINE = "pst AS (SELECT doc_id, term, round(score, 9) AS score FROM post)"  # wh
 
 @query("prune_window", _sql(f"{_POST}, {_NINE}, {_PRUNED.format(t='pst', w=WINDOW, d=DROP)}", "SELECT doc_id, term, round(score, 6) AS score FROM stp WHERE bef = 0"))
 def prune_window(spark, d):
-    return _r(V.prune_window(_r(_index(spark, d).postings, "score", digits=9), WINDOW, DROP), "score")
+    return _r(V.prune_window(_r(_scores(_index(spark, d)), "score", digits=9), WINDOW, DROP), "score")
 
 
 _QPOST = "qpost AS (SELECT pst.* FROM pst WHERE term IN (SELECT term FROM q WHERE score > 0))"
@@ -326,7 +338,7 @@ def relevance(spark, d):
     items = _items(spark, d)
     terms = A.term_counts(items, key="item_id").select("item_id", "term")
     asked = _docs(spark, d).select("doc_id", (F.col("doc_id") % items.count()).alias("item_id")).join(terms, "item_id").select("doc_id", "term")
-    return _r(V.relevance(asked, _index(spark, d).postings), "score")
+    return _r(V.relevance(asked, _scores(_index(spark, d))), "score")
 
 
 @query("weighted_query", _sql(f"{_BASE}, {_QUERY}, seq AS (SELECT item_id, generate_subscripts(t, 1) AS pos, unnest(t) AS term FROM (SELECT item_id, regexp_extract_all(lower(text), '{WORD}') AS t FROM benchmark))", "SELECT item_id, string_agg(term || '^' || printf('%.2f', w), ' ' ORDER BY pos) AS query FROM (SELECT item_id, pos, term, round(pow(q.score, 1.0 / qtf.tf), 2) AS w FROM seq JOIN q USING (item_id, term) JOIN qtf USING (item_id, term)) GROUP BY 1"))
@@ -339,12 +351,12 @@ def weighted_query(spark, d):
 
 @query("term_lookup", _sql(_POST, "SELECT doc_id, round(score, 6) AS score FROM post WHERE term = 'the'"))
 def term_lookup(spark, d):
-    return _r(I.look_up(_index(spark, d).postings, ["the"]), "score").select("doc_id", "score")
+    return _r(_index(spark, d).look_up(["the"]), "score").select("doc_id", "score")
 
 
 @query("term_lookup_multi", _sql(_POST, "SELECT doc_id, term, round(score, 6) AS score FROM post WHERE term IN ('the', 'und', 'nunca', 'que')"))
 def term_lookup_multi(spark, d):
-    return _r(I.look_up(_index(spark, d).postings, ["the", "und", "nunca", "que"]), "score")
+    return _r(_index(spark, d).look_up(["the", "und", "nunca", "que"]), "score")
 
 
 def _embedded(spark, d) -> DataFrame:
@@ -371,7 +383,7 @@ def quick_score(spark, d):
 @query("vector_store", _sql(_EMB, "SELECT lower(printf('%016x', id)) AS id, concept, round(CAST(CAST(weight AS FLOAT) AS DOUBLE), 6) AS weight FROM emb"))
 def vector_store(spark, d):
     """Vectors as they come back from the store."""
-    path = _scratch(spark)
+    path = fresh(spark, "vectors")
     S.write_vectors(_embedded(spark, d).withColumn("id", F.format_string("%016x", "id")), path)
     return spark.read.parquet(path).select(F.lower(F.hex("id")).alias("id"), F.col("concept").cast("long").alias("concept"), F.round(F.col("weight").cast("double"), 6).alias("weight"))
 
@@ -471,10 +483,23 @@ def link_counts(spark, d):
 
 @query("link_threshold", _sql("e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem)", "SELECT dst AS title, count(*) AS incoming FROM e GROUP BY 1 HAVING count(*) >= 26"))
 def link_threshold(spark, d):
-    return _edges(spark, d).groupBy(F.col("dst").alias("title")).agg(F.count("*").alias("incoming")).where("incoming >= 26")
+    """Suppliers as articles that link to their parts; the parts that enough of them link to are annotated and kept."""
+    parts = F.sort_array(F.collect_set(F.concat(F.lit("[[P "), F.col("dst").cast("string"), F.lit("]]"))))
+    e = _edges(spark, d)
+    pages = e.groupBy(F.concat(F.lit("S "), F.col("src").cast("string")).alias("title")).agg(F.array_join(parts, " ").alias("text"))
+    pages = pages.unionByName(e.select(F.concat(F.lit("P "), F.col("dst").cast("string")).alias("title"), F.lit("a part").alias("text")).distinct())
+    found = annotated(pages, min_in=26, min_terms=1)
+    return found.select(F.substring("title", 3, 20).cast("long").alias("title"), F.col("incoming_links").cast("long").alias("incoming"))
+
+
+# the rounds until no edge goes, and some more
+_CORE = ["c0 AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem)"]
+for _i in range(24):
+    _c = ("src", "dst")[_i % 2]
+    _CORE.append(f"c{_i + 1} AS MATERIALIZED (SELECT * FROM c{_i} WHERE {_c} IN (SELECT {_c} FROM c{_i} GROUP BY 1 HAVING count(*) >= 26))")
 
 
-@query("link_core")
+@query("link_core", _sql(", ".join(_CORE), f"SELECT src, dst FROM c{len(_CORE) - 1}"))
 def link_core(spark, d):
     return G.link_core(_edges(spark, d), 26)
 
@@ -571,11 +596,22 @@ def spearman(spark, d):
     return _r(E.spearman(_gold(spark, d)), "spearman")
 
 
-@query("tune_grid")
+_CELLS = [(w, x) for w in (5, 20) for x in (0.02, 0.05)]
+_GRID = []
+for _i, (_w, _x) in enumerate(_CELLS):
+    _GRID.append(
+        _PRUNED.format(t="qpost", w=_w, d=_x).replace("ord AS", f"ord{_i} AS").replace("FROM ord)", f"FROM ord{_i})").replace("stp AS", f"stp{_i} AS")
+        + f", top{_i} AS (SELECT item_id, x.doc_id, sum(q.score * x.score) AS score FROM q JOIN stp{_i} x USING (term) WHERE bef = 0 AND q.score > 0 GROUP BY 1, 2 HAVING sum(q.score * x.score) > 0), "
+        + _COS.replace("top", f"top{_i}").replace("nrm", f"nrm{_i}").replace("dots", f"dots{_i}").replace("cos AS", f"cos{_i} AS")
+    )
+
+
+@query("tune_grid", _sql(f"{_POST}, {_NINE}, {_QUERY}, {_QPOST}, {_PAIRS}, {', '.join(_GRID)}", " UNION ALL ".join(f'SELECT {w} AS "window", CAST({x} AS DOUBLE) AS drop_off, round(corr(1.0 / (b - a), cosine), 6) AS pearson FROM cos{i}' for i, (w, x) in enumerate(_CELLS))))
 def tune_grid(spark, d):
     """Neighbouring items, judged by how near their numbers are, over a small grid."""
     gold = _pairs(spark, d).withColumn("human", 1.0 / (F.col("b") - F.col("a")))
-    return _r(E.tune(gold, _items(spark, d), _index(spark, d), [5, 20], [0.02, 0.05]), "pearson")
+    index = _index(spark, d)
+    return _r(E.tune(gold, _items(spark, d), replace(index, postings=_r(_scores(index), "score", digits=9)), [5, 20], [0.02, 0.05]), "pearson")
 
 
 # ---------------------------------------------------------------------------------------------------------------- templates

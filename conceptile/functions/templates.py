@@ -1,13 +1,13 @@
 """Templates of wiki markup: references, their parameters, and expansion.
 
-Expansion needs the whole table of templates in hand. It is sent to the executors, which is why ``TemplateTable`` checks its size
-against ``LIMIT`` bytes; a larger table is cut down first to the templates that the pages can reach.
+Expansion needs the templates that it meets in hand. They are sent to the executors, which is why ``reachable`` cuts a table down
+to those that the pages can reach within the depth, and ``TemplateTable`` refuses what takes more than ``LIMIT`` bytes even so.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -18,14 +18,86 @@ from pyspark.sql import types as T
 from ..shipping import ship
 
 #: fixed values: names that no template has, by their beginnings; those that format and swallow their pipes; those of titles
-MAGIC_STARTS = tuple(
-    "__TOC__ __FORCETOC__ __NOTOC__ __NOEDITSECTION__ __NEWSECTIONLINK__ __NONEWSECTIONLINK__ __NOGALLERY__ __HIDDENCAT__ __INDEX__ __NOINDEX__ "
-    "__STATICREDIRECT__ __DISAMBIG__ DISPLAYTITLE DEFAULTSORT NOEXTERNALLANGLINKS SUBPAGENAME ARTICLEPAGENAME SUBJECTPAGENAME TALKPAGENAME "
-    "NAMESPACENUMBER NAMESPACE ARTICLESPACE SUBJECTSPACE TALKSPACE SHORTDESC SITENAME SERVER SCRIPTPATH CURRENTVERSION CURRENTYEAR CURRENTMONTH "
-    "CURRENTDAY CURRENTDOW CURRENTTIME CURRENTHOUR CURRENTWEEK REVISIONDAY REVISIONMONTH REVISIONYEAR REVISIONTIMESTAMP REVISIONUSER "
-    "NUMBEROFPAGES NUMBEROFARTICLES NUMBEROFFILES NUMBEROFEDITS NUMBEROFUSERS NUMBEROFADMINS NUMBEROFACTIVEUSERS PAGEID PAGESIZE PROTECTIONLEVEL "
-    "PROTECTIONEXPIRY PENDINGCHANGELEVEL PAGESINCATEGORY NUMBERINGROUP formatnum padleft padright plural gender localurl fullurl canonicalurl "
-    "filepath urlencode anchorencode ns int".split()
+MAGIC_STARTS = (
+    "__TOC__",
+    "__FORCETOC__",
+    "__NOTOC__",
+    "__NOEDITSECTION__",
+    "__NEWSECTIONLINK__",
+    "__NONEWSECTIONLINK__",
+    "__NOGALLERY__",
+    "__HIDDENCAT__",
+    "__INDEX__",
+    "__NOINDEX__",
+    "__STATICREDIRECT__",
+    "__DISAMBIG__",
+    "DISPLAYTITLE",
+    "DEFAULTSORT",
+    "NOEXTERNALLANGLINKS",
+    "SUBPAGENAME",
+    "ARTICLEPAGENAME",
+    "SUBJECTPAGENAME",
+    "TALKPAGENAME",
+    "NAMESPACENUMBER",
+    "NAMESPACE",
+    "ARTICLESPACE",
+    "SUBJECTSPACE",
+    "TALKSPACE",
+    "SUBPAGENAMEE",
+    "ARTICLEPAGENAMEE",
+    "SUBJECTPAGENAMEE",
+    "TALKPAGENAMEE",
+    "SHORTDESC",
+    "SITENAME",
+    "SERVER",
+    "SERVERNAME",
+    "SCRIPTPATH",
+    "CURRENTVERSION",
+    "CURRENTYEAR",
+    "CURRENTMONTH",
+    "CURRENTMONTHNAME",
+    "CURRENTMONTHABBREV",
+    "CURRENTDAY",
+    "CURRENTDAY2",
+    "CURRENTDOW",
+    "CURRENTDAYNAME",
+    "CURRENTTIME",
+    "CURRENTHOUR",
+    "CURRENTWEEK",
+    "CURRENTTIMESTAMP",
+    "REVISIONDAY",
+    "REVISIONDAY2",
+    "REVISIONMONTH",
+    "REVISIONYEAR",
+    "REVISIONTIMESTAMP",
+    "REVISIONUSER",
+    "NUMBEROFPAGES",
+    "NUMBEROFARTICLES",
+    "NUMBEROFFILES",
+    "NUMBEROFEDITS",
+    "NUMBEROFUSERS",
+    "NUMBEROFADMINS",
+    "NUMBEROFACTIVEUSERS",
+    "PAGEID",
+    "PAGESIZE",
+    "PROTECTIONLEVEL",
+    "PROTECTIONEXPIRY",
+    "PENDINGCHANGELEVEL",
+    "PAGESINCATEGORY",
+    "NUMBERINGROUP",
+    "formatnum",
+    "padleft",
+    "padright",
+    "plural",
+    "gender",
+    "localurl",
+    "fullurl",
+    "canonicalurl",
+    "filepath",
+    "urlencode",
+    "anchorencode",
+    "ns",
+    "int",
 )
 FORMATS = ("lc:", "uc:", "lcfirst:", "ucfirst:")
 TITLES = ("FULLPAGENAME", "PAGENAME", "BASEPAGENAME", "ROOTPAGENAME")
@@ -174,15 +246,53 @@ def parsed_templates(text: Column) -> Column:
     return run(text)
 
 
-def template_bodies(pages: DataFrame, stripped: Column | None = None) -> DataFrame:
-    """(name, body) of the template pages (title, text) that are kept; ``stripped`` says which titles are not."""
-    from .text import normalize_title, only_included, without_noinclude
+def template_bodies(pages: DataFrame, stripped: Column | None = None, min_terms: int = 0, tokens: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(name, body) of the template pages (title, text) that are kept: ``stripped`` says which titles are not, and bodies of fewer
+    than ``min_terms`` tokens are not either. Of several pages of one name the one with the least body counts."""
+    from . import text as X
 
     kept = pages.where(F.col("title").startswith("Template:") & ~F.col("text").contains("#invoke"))
     if stripped is not None:
         kept = kept.where(~stripped)
-    name = normalize_title(F.col("title").substr(F.lit(10), F.length("title")))
-    return kept.select(name.alias("name"), only_included(without_noinclude(F.col("text"))).alias("body")).where("name <> ''").dropDuplicates(["name"])
+    name = X.normalize_title(F.col("title").substr(F.lit(10), F.length("title")))
+    bodies = kept.select(name.alias("name"), X.only_included(X.without_noinclude(F.col("text"))).alias("body")).where("name <> ''")
+    if min_terms > 0:
+        bodies = bodies.where(F.size((tokens or X.tokens)(F.col("body"))) >= min_terms)
+    return bodies.groupBy("name").agg(F.min("body").alias("body"))
+
+
+def template_names(text: Column) -> Column:
+    """The distinct normalised names of the templates that a text refers to, at any depth of nesting."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        def names(t: str) -> set[str]:
+            out, todo = set(), [t]
+            while todo:
+                for r in references(todo.pop()):
+                    out.add(normal_title(r.name))
+                    todo += [v for _, _, v in r.parameters if "{{" in v]
+            return out
+
+        return texts.map(lambda t: sorted(names(t)) if t and "{{" in t else [])
+
+    return run(text)
+
+
+def reachable(bodies: DataFrame, texts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """The bodies (name, body) that the texts (text) name, and those that these name in turn, down to the depth of expansion."""
+    from ..operators.staging import kept
+
+    ship(bodies.sparkSession)
+    rows = kept(bodies.select("name", "body", template_names(F.col("body")).alias("names")), "templates")
+    found = front = kept(texts.select(F.explode(template_names(F.col("text"))).alias("name")).distinct(), "names")
+    for _ in range(depth):
+        step = rows.join(front, "name", "left_semi").select(F.explode("names").alias("name")).distinct()
+        front = kept(step.join(found, "name", "left_anti"), "names")
+        if front.isEmpty():
+            break
+        found = kept(found.unionByName(front), "names")
+    return rows.join(found, "name", "left_semi").select("name", "body")
 
 
 class TemplateTable:

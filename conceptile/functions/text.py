@@ -43,9 +43,9 @@ def trimmed(c: Column) -> Column:
 
 def normalize_title(title: Column) -> Column:
     """First letter of the title and of what follows the first colon in lower case; underscores and runs of space as one space."""
-    first = F.concat(F.lower(F.substring(title, 1, 1)), title.substr(F.lit(2), F.length(title)))
-    at = F.locate(":", first)
-    both = F.when(at > 0, F.concat(first.substr(F.lit(1), at), F.lower(first.substr(at + 1, F.lit(1))), first.substr(at + 2, F.length(first)))).otherwise(first)
+    at, n = F.locate(":", title), F.length(title)
+    rest = F.when(at > 0, F.concat(title.substr(F.lit(2), at - 1), F.lower(title.substr(at + 1, F.lit(1))), title.substr(at + 2, n))).otherwise(title.substr(F.lit(2), n))
+    both = F.concat(F.lower(F.substring(title, 1, 1)), rest)
     return F.when(non_empty(title), F.regexp_replace(trimmed(F.translate(both, "_", " ")), r"\s+", " ")).otherwise(title)
 
 

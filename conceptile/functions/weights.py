@@ -71,3 +71,17 @@ def true_tf_idf(freq: Column, n: Column, df: Column, boost: Column) -> Column:
 
 def true_bm25_idf(n: Column, df: Column) -> Column:
     return (n - df).cast("double") / df
+
+
+#: by name: the score of a term of frequency f in a document of length dl, where df of n documents have it
+SIMILARITIES = {
+    "BM25": lambda f, dl, mean_dl, n, df, boost: boost * F.log1p((n - df + 0.5) / (df + 0.5)) * f / (f + 1.2 * (0.25 + 0.75 * dl / mean_dl)),
+    "TFIDF": lambda f, dl, mean_dl, n, df, boost: boost * F.sqrt(f) * F.pow(F.log((n + 1.0) / (df + 1.0)) + 1.0, F.lit(2.0)) / F.sqrt(dl),
+    "trueBM25": lambda f, dl, mean_dl, n, df, boost: boost * true_bm25_idf(n, df) * f / (f + 1.2 * (0.25 + 0.75 * dl / mean_dl)),
+    "trueTFIDF": lambda f, dl, mean_dl, n, df, boost: true_tf_idf(f, n, df, boost),
+}
+
+
+def similarity(name: str = "BM25"):
+    """The similarity of this name, BM25 for an unknown one; lengths are taken as they are, not cut to a byte."""
+    return SIMILARITIES.get(name, SIMILARITIES["BM25"])

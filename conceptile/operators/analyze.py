@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .staging import spread
 
 
 @dataclass(frozen=True)
@@ -64,12 +65,12 @@ def once(c: Column) -> Column:
 
 def token_rows(docs: DataFrame, spec: AnalyzerSpec = DEFAULT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, term): every token in order."""
-    return docs.select(F.col(key), F.posexplode(spec.tokens(F.col(text))).alias("pos", "term"))
+    return spread(docs.select(key, text)).select(F.col(key), F.posexplode(spec.tokens(F.col(text))).alias("pos", "term"))
 
 
 def counted(docs: DataFrame, spec: AnalyzerSpec = DEFAULT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, terms: array<struct<term, tf>>, dl): counts by runs of the sorted tokens, in the document's own row."""
-    df = docs.select(F.col(key), once(F.sort_array(spec.tokens(F.col(text)))).alias("_t"))
+    df = spread(docs.select(key, text)).select(F.col(key), once(F.sort_array(spec.tokens(F.col(text)))).alias("_t"))
     t, n = F.col("_t"), F.size("_t")
     starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (t[i] != t[F.greatest(i - 1, F.lit(0))]))
     df = df.withColumn("_s", once(F.when(n > 0, starts).otherwise(F.array().cast("array<int>"))))
@@ -120,3 +121,8 @@ def stemmed(counts: DataFrame, depth: int = 1, key: str = "doc_id") -> DataFrame
 
     forms = counts.select("term").distinct().select("term", stems(depth)("term").alias("stem"))
     return restated(counts.join(forms, "term").select(key, F.col("stem").alias("term"), "tf"), key)
+
+
+def dumped_tokens(docs: DataFrame, spec: AnalyzerSpec = DEFAULT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, tokens): the tokens of each text in order, joined by spaces, as a look at what the chain leaves."""
+    return docs.select(F.col(key), F.array_join(spec.tokens(F.col(text)), " ").alias("tokens"))

@@ -10,15 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .staging import shared_root
 
 
 def ensure_checkpoints(df: DataFrame) -> DataFrame:
-    """The frame, checkpointed; a folder of our own only where the session names none."""
+    """The frame, checkpointed in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="conceptile-"))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 
@@ -36,19 +35,29 @@ def title_map(pages: DataFrame, excluded: list[str] | None = None) -> DataFrame:
     return rows.where(~excluded_title(F.col("title"), excluded or []) & ~excluded_title(F.col("redirect"), excluded or []))
 
 
+def one_redirect(titles: DataFrame) -> DataFrame:
+    """(title, redirect) with one row a title. Titles that normalise alike meet here: an article wins over redirects of its title,
+    and the least redirect over others."""
+    other = F.min(F.when(F.col("redirect") != F.col("title"), F.col("redirect")))
+    article = F.max(F.col("redirect") == F.col("title"))
+    one = titles.where("title is not null and redirect is not null").groupBy("title").agg(article.alias("article"), other.alias("other"))
+    return one.select("title", F.when(F.col("article"), F.col("title")).otherwise(F.col("other")).alias("redirect"))
+
+
 def redirect_closure(titles: DataFrame) -> DataFrame:
-    """(title, target): redirects followed to their end, by doubling. Titles on a cycle lead to the least title of the cycle."""
-    hop = ensure_checkpoints(titles.select("title", F.col("redirect").alias("target"), F.least("title", "redirect").alias("least")))
-    rows = hop.count()
+    """(title, target), a row for each title: redirects followed to their end, by doubling. Titles on a cycle lead to the least title
+    of the cycle; of a title that occurs several times one redirect counts (``one_redirect``), so that no round adds rows."""
+    titles = ensure_checkpoints(one_redirect(titles))
+    hop = titles.select("title", F.col("redirect").alias("target"), F.least("title", "redirect").alias("least"))
+    rows = titles.count()
     steps = 1
     while True:
         nxt = hop.select(F.col("title").alias("target"), F.col("target").alias("t2"), F.col("least").alias("l2"))
         after = hop.join(nxt, "target", "left").select("title", F.coalesce("t2", "target").alias("target"), F.least("least", F.coalesce("l2", "least")).alias("least"), (F.col("t2").isNotNull() & (F.col("t2") != F.col("target"))).alias("moved"))
         after = ensure_checkpoints(after)
         moved, hop, steps = after.where("moved").count(), after.drop("moved"), steps * 2
-        if moved == 0:
-            return hop.select("title", "target")
-        if steps > 2 * rows:  # longer than any path: what still moves leads into a cycle, whose titles all have its least by now
+        # all have ended, or gone longer than any path: what leads into a cycle has been round it, and its titles have its least
+        if moved == 0 or steps > 2 * rows:
             cycle = hop.alias("a").join(titles.alias("b"), F.col("a.target") == F.col("b.title")).select("a.title", (F.col("b.redirect") != F.col("b.title")).alias("turns"))
             ends = hop.select(F.col("title").alias("target"), F.col("least").alias("end"))
             return hop.join(cycle, "title", "left").join(ends, "target", "left").select("title", F.when(F.col("turns"), F.col("end")).otherwise(F.col("target")).alias("target"))
@@ -114,6 +123,13 @@ def category_counts(pages: DataFrame) -> DataFrame:
     return pages.select(T.normalize_title(F.col("title")).alias("title"), F.explode(T.categories(F.col("text"))).alias("category")).distinct().groupBy("category").agg(F.count("*").alias("articles"))
 
 
+def category_info(pages: DataFrame) -> DataFrame:
+    """(category, articles, subcategories): what is filed under each category, pages and categories apart."""
+    title = T.normalize_title(F.col("title"))
+    filed = pages.select(title.startswith("category:").alias("sub"), title.alias("title"), F.explode(T.categories(F.col("text"))).alias("category")).distinct()
+    return filed.groupBy("category").agg(F.count(F.when(~F.col("sub"), 1)).alias("articles"), F.count(F.when(F.col("sub"), 1)).alias("subcategories"))
+
+
 def in_categories(pages: DataFrame, categories: DataFrame) -> DataFrame:
     """The titles filed under one of the categories (node)."""
     filed = pages.select("title", F.explode(T.categories(F.col("text"))).alias("node"))
@@ -134,6 +150,10 @@ def title_boost(title: Column) -> Column:
     return F.lit(1.0) + F.when(lower.startswith("category"), 1.5).when(lower.startswith("list of"), 0.7).otherwise(0.0)
 
 
+#: fixed value: what the titles of templates have that are left out of the text
+STRIPPED_TEMPLATES = "stub|user[ s]|disambig|copy-?edit|cleanup|page|article|/meta|/doc|category|documentation|cite|css|see below|see at|aka|see above|image|/format|wiki|disputed|please|wrongtitle|color([^a]|$)|font|lang-|time zone|icon|todo|style/|unit of|^template:[.]{1,3}$|warn-|^template:.*template.*$|discussion|usertalk|column|col-| age |did you know|uw-|see also|this is|don't|word|split|styles|^template:[A-Z]+$|citation|str "
+
+
 def title_matcher(title: Column, patterns: list[str] | None = None, starts: list[str] | None = None, contains: list[str] | None = None) -> Column:
     """Whether any condition holds."""
     out = F.lit(False)
@@ -146,6 +166,11 @@ def title_matcher(title: Column, patterns: list[str] | None = None, starts: list
     return out
 
 
+def stripped_template(title: Column) -> Column:
+    """Whether a template of this title (as it is written, with its namespace) is left out by the built-in pattern."""
+    return title_matcher(title, [STRIPPED_TEMPLATES])
+
+
 def article_stats(counts: DataFrame, articles: DataFrame) -> DataFrame:
     """One row over articles (doc_id, incoming, outgoing) and their term counts (doc_id, term, tf)."""
     per = counts.groupBy("doc_id").agg(F.sum("tf").alias("terms"), F.count("*").alias("unique"))

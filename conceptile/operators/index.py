@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.weights import WeightSpec
 from .analyze import DEFAULT, AnalyzerSpec, term_counts
+from .staging import kept, numbered, spread
+
+BLOCK_ROWS = 1 << 16  # postings of a term that one task joins
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -18,7 +21,13 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 
 def collection_stats(docs: DataFrame, spec: AnalyzerSpec = DEFAULT, text: str = "text") -> DataFrame:
     """One row (n, avg_dl) over all documents, those without tokens too."""
-    return docs.select(F.size(spec.tokens(F.col(text))).alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_dl"))
+    return spread(docs.select(text)).select(F.size(spec.tokens(F.col(text))).alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_dl"))
+
+
+def counted_stats(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """The same row from counts that are there already: texts are not read again."""
+    n, tokens = docs.count(), counts.agg(F.sum("tf")).first()[0] or 0
+    return docs.sparkSession.createDataFrame([(n, tokens / n if n else 0.0)], "n long, avg_dl double")
 
 
 def with_stats(counts: DataFrame, df: DataFrame, stats: DataFrame, how: str = "inner") -> DataFrame:
@@ -28,15 +37,22 @@ def with_stats(counts: DataFrame, df: DataFrame, stats: DataFrame, how: str = "i
 
 
 def weighted(counts: DataFrame, df: DataFrame, stats: DataFrame, spec: WeightSpec = WeightSpec(), key: str = "doc_id", how: str = "inner") -> DataFrame:
-    """(key, term, score). Documents whose scores are all 0 have no norm, and no rows."""
-    raw = with_stats(counts, df, stats, how).select(key, "term", (spec.tf(F.col("tf"), F.col("max_tf"), F.col("avg_tf"), F.col("dl"), F.col("avg_dl")) * spec.idf(F.col("n"), F.col("df"))).alias("raw"))
+    """(key, term, score, blocks). Documents whose scores are all 0 have no norm, and no rows. ``blocks`` says into how many blocks of
+    about BLOCK_ROWS the postings of the term are cut, so that a term that nearly all documents have is no hot group."""
+    blocks = F.greatest(F.ceil(F.coalesce("df", F.lit(0)) / BLOCK_ROWS), F.lit(1)).cast("int").alias("blocks")
+    raw = with_stats(counts, df, stats, how).select(key, "term", (spec.tf(F.col("tf"), F.col("max_tf"), F.col("avg_tf"), F.col("dl"), F.col("avg_dl")) * spec.idf(F.col("n"), F.col("df"))).alias("raw"), blocks)
     normed = raw.withColumn("norm", spec.norm(F.col("raw"), F.col("term"), key))
-    return normed.where("norm is not null").select(key, "term", (F.col("raw") / F.col("norm")).alias("score"))
+    return normed.where("norm is not null").select(key, "term", (F.col("raw") / F.col("norm")).alias("score"), "blocks")
+
+
+def in_blocks(weights: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, term, score, block): each row in one of its term's blocks, by a hash of its key."""
+    return weights.select(key, "term", "score", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int").alias("block"))
 
 
 @dataclass(frozen=True)
 class Index:
-    """Postings (doc_id, term, score), df (term, df), stats (n, avg_dl), and how they were made."""
+    """Postings (doc_id, term, score, block), df (term, df), stats (n, avg_dl), and how they were made."""
 
     postings: DataFrame
     df: DataFrame
@@ -45,9 +61,11 @@ class Index:
     weights: WeightSpec = WeightSpec()
 
     def save(self, path: str, partitions: int | None = None) -> None:
-        """Postings lie by term, best first, so that a look-up of terms prunes row groups; the write is the index's own order."""
-        by_term = self.postings.repartition(partitions, "term") if partitions else self.postings.repartition("term")
-        by_term.sortWithinPartitions("term", F.desc("score"), "doc_id").write.parquet(f"{path}/postings")
+        """Postings lie by term, best first, in ranges of rows: a look-up of terms prunes files and row groups, and a term that
+        nearly all documents have lies in several files."""
+        order = ["term", F.desc("score"), "doc_id"]
+        ranges = self.postings.repartitionByRange(partitions, *order) if partitions else self.postings.repartitionByRange(*order)
+        ranges.sortWithinPartitions(*order).write.parquet(f"{path}/postings")
         self.df.write.parquet(f"{path}/df")
         self.stats.write.parquet(f"{path}/stats")
 
@@ -55,17 +73,36 @@ class Index:
     def load(cls, spark: SparkSession, path: str, analyzer: AnalyzerSpec = DEFAULT, weights: WeightSpec = WeightSpec()) -> Index:
         return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "df", "stats")), analyzer, weights)
 
+    def look_up(self, terms: list[str], counter: Observation | None = None) -> DataFrame:
+        """Postings (doc_id, term, score) of the given terms. ``counter`` observes how many rows were read."""
+        rows = look_up(self.postings, terms).select("doc_id", "term", "score")
+        return rows.observe(counter, F.count("*").alias("postings_read"), F.approx_count_distinct("term").alias("terms_read")) if counter else rows
+
+    def cached(self, terms: DataFrame | None = None) -> Index:
+        """The same index with its postings (of the given terms) kept in memory and on executors' disks once they are read."""
+        rows = self.postings if terms is None else self.postings.join(terms.select("term").distinct(), "term", "left_semi")
+        return Index(rows.persist(), self.df, self.stats, self.analyzer, self.weights)
+
+
+def build_index(docs: DataFrame, analyzer: AnalyzerSpec = DEFAULT, weights: WeightSpec = WeightSpec(), counts: DataFrame | None = None) -> Index:
+    """Texts are tokenised once, into a kept table of counts that frequencies, statistics and weights are made of. Two shuffles of
+    that table: by term for the frequencies and their join, by document for the norms."""
+    if counts is None:
+        counts = kept(term_counts(docs, analyzer), "counts")
+    df, stats = kept(document_frequency(counts), "df"), counted_stats(docs, counts)
+    return Index(in_blocks(weighted(counts, df, stats, weights)), df, stats, analyzer, weights)
+
 
-def build_index(docs: DataFrame, analyzer: AnalyzerSpec = DEFAULT, weights: WeightSpec = WeightSpec()) -> Index:
-    """Two shuffles: by term for the document frequencies and their join, by document for the norms."""
-    counts = term_counts(docs, analyzer)
-    df, stats = document_frequency(counts), collection_stats(docs, analyzer)
-    return Index(weighted(counts, df, stats, weights), df, stats, analyzer, weights)
+def stored_index(docs: DataFrame, path: str, analyzer: AnalyzerSpec = DEFAULT, weights: WeightSpec = WeightSpec(), counts: DataFrame | None = None) -> Index:
+    """The index, built into ``path`` and opened from there: what it is asked does not depend on the corpus any more."""
+    build_index(docs, analyzer, weights, counts).save(path)
+    return Index.load(docs.sparkSession, path, analyzer, weights)
 
 
 def impact_ordered(postings: DataFrame) -> DataFrame:
-    """Postings with their rank in their term: best score first, then the document's id."""
-    return postings.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "doc_id")))
+    """Postings with their rank in their term: best score first, then the document's id. Ranks come from ranges of rows, so that
+    no term's list is one task's."""
+    return numbered(postings, ["term"], [F.desc("score"), "doc_id"]).drop("_part")
 
 
 def rare_words(df: DataFrame, threshold: int) -> DataFrame:

@@ -5,14 +5,22 @@ A vector is long: (key, doc_id, score). Pairs are compared in batches through th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.weights import WeightSpec
+from ..shipping import ship
 from .analyze import term_counts, token_rows
 from .index import Index, weighted
+from .staging import carried, kept, numbered, spread
+
+ASKED, PAIRS, MATCHES = 1 << 20, 1 << 21, 1 << 14  # concepts of a block of asked vectors; pairs, and concepts of vectors, at a time
 
 
 @dataclass(frozen=True)
@@ -25,19 +33,47 @@ class PruneSpec:
 
 
 def query_weights(queries: DataFrame, index: Index, weights: WeightSpec | None = None, key: str = "item_id") -> DataFrame:
-    """(key, term, score) by the index's statistics; terms that it doesn't know weigh 0 but count in lengths and means."""
+    """(key, term, score, blocks) by the index's statistics; terms that it doesn't know weigh 0 but count in lengths and means."""
     return weighted(term_counts(queries, index.analyzer, key), index.df, index.stats, weights or index.weights, key, "left")
 
 
+def pruned_cells(postings: DataFrame, cells: list[tuple[int, float]], by: str = "term") -> DataFrame:
+    """The columns with ``cells``, the places of the (window, drop_off) cells in which a posting stays; those in none are gone.
+
+    Postings of a term, best first, stay up to and with the first that is hardly better than the one ``window`` places on. A
+    term's list is cut into ranges of rows, so that no list is one task's: what the end of a range compares with in the next
+    one is joined by rank, and a stop in an earlier range is carried, a row for each range."""
+    rows = kept(numbered(postings, [by], [F.desc("score"), "doc_id"], "_rank"), "ranked")
+    within = Window.partitionBy(by, "_part").orderBy("_rank")
+    windows = sorted({w for w, _ in cells if w > 0})
+    if not windows:
+        return postings.withColumn("cells", F.array(*[F.lit(i) for i in range(len(cells))]))
+    # the ranges that are not the last of their term, and those that are not its first
+    last = rows.groupBy(by, "_part").agg(F.max("_rank").alias("_end"))
+    whole = Window.partitionBy(by)
+    ends = F.broadcast(last.withColumn("_all", F.max("_end").over(whole)).where("_end < _all"))  # at most one for each range
+    tail = rows.join(ends, [by, "_part"]).where(F.col("_rank") > F.col("_end") - windows[-1])
+    asked = tail.select(by, "_end", F.col("_rank").alias("_from"), F.explode(F.array(*map(F.lit, windows))).alias("_w")).where(F.col("_from") + F.col("_w") > F.col("_end"))
+    asked = asked.select(by, "_from", "_w", (F.col("_from") + F.col("_w")).alias("_rank"))
+    found = rows.select(by, "_rank", F.col("score").alias("_far")).join(asked, [by, "_rank"])
+    found = found.groupBy(by, F.col("_from").alias("_rank")).agg(F.map_from_entries(F.collect_list(F.struct("_w", "_far"))).alias("_beyond"))
+    ahead = {w: f"_far{w}" for w in windows}
+    rows = rows.withColumns({c: F.lead("score", w).over(within) for w, c in ahead.items()}).join(found, [by, "_rank"], "left")
+    far = lambda w: F.coalesce(F.col(ahead[w]), F.element_at("_beyond", F.lit(w)))
+    stop = lambda w, d: F.coalesce((F.col("score") - far(w)) < F.col("score") * d, F.lit(False)) if w > 0 else F.lit(False)
+    rows = rows.withColumn("_stops", F.array(*[stop(w, d) for w, d in cells])).drop("_beyond", *ahead.values())
+    rows = kept(rows, "stops") if len(cells) > 1 else rows
+    flags = {f"_s{i}": F.max(F.col("_stops")[i].cast("int")) for i in range(len(cells))}
+    earlier = carried(rows, [by], flags)
+    first = Window.partitionBy(by, "_part")
+    ranked = rows.withColumns({f"_f{i}": F.min(F.when(F.col("_stops")[i], F.col("_rank"))).over(first) for i in range(len(cells))}).join(earlier, [by, "_part"], "left")
+    stays = [F.when((F.coalesce(F.col(f"_s{i}"), F.lit(0)) == 0) & (F.coalesce(F.col(f"_f{i}"), F.col("_rank")) >= F.col("_rank")), F.lit(i)) for i in range(len(cells))]
+    return ranked.withColumn("cells", F.array_compact(F.array(*stays))).where(F.size("cells") > 0).select(*postings.columns, "cells")
+
+
 def prune_window(postings: DataFrame, window: int, drop_off: float, by: str = "term") -> DataFrame:
     """Postings of a term, best first, up to and with the first that is hardly better than the one ``window`` places on."""
-    if window <= 0:
-        return postings
-    order = Window.partitionBy(by).orderBy(F.desc("score"), "doc_id")
-    ahead = F.lead("score", window).over(order)
-    stop = F.coalesce(((F.col("score") - ahead) < F.col("score") * drop_off).cast("int"), F.lit(0))
-    before = F.coalesce(F.sum("_stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return postings.withColumn("_stop", stop).withColumn("_before", before).where("_before = 0").drop("_stop", "_before")
+    return pruned_cells(postings, [(window, drop_off)], by).drop("cells") if window > 0 else postings
 
 
 def positive(score: Column) -> Column:
@@ -45,11 +81,16 @@ def positive(score: Column) -> Column:
 
 
 def concept_vectors(weights: DataFrame, postings: DataFrame, prune: PruneSpec = PruneSpec(), key: str = "item_id") -> DataFrame:
-    """(key, doc_id, score): sums over shared terms, positive ones only. The queries' terms first reduce the postings."""
-    wanted = weights.where(positive(F.col("score"))).select(key, "term", F.col("score").alias("q"))
+    """(key, doc_id, score): sums over shared terms, positive ones only. The queries' terms first reduce the postings; those of a
+    frequent term are joined block by block."""
+    on = ["term"]
+    wanted = weights.where(positive(F.col("score"))).select(key, "term", F.col("score").alias("q"), *[c for c in ("blocks",) if c in weights.columns])
     if prune.window:
         postings = prune_window(postings.join(wanted.select("term").distinct(), "term", "left_semi"), prune.window, prune.drop_off)
-    out = wanted.join(postings, "term").groupBy(key, "doc_id").agg(F.sum(F.col("q") * F.col("score")).alias("score")).where(positive(F.col("score")))
+    if "block" in postings.columns and "blocks" in wanted.columns:
+        on.append("block")
+        wanted = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    out = wanted.join(postings, on).groupBy(key, "doc_id").agg(F.sum(F.col("q") * F.col("score")).alias("score")).where(positive(F.col("score")))
     return top(out, prune.limit, key) if prune.limit else out
 
 
@@ -80,21 +121,113 @@ def cosines(pairs: DataFrame, vectors: DataFrame, key: str = "item_id") -> DataF
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, index: Index, prune: PruneSpec = PruneSpec(), key: str = "item_id") -> DataFrame:
-    """(a, b, cosine) of the texts behind pairs of keys: each text is projected once."""
-    return cosines(pairs, concept_vectors(query_weights(texts, index, key=key), index.postings, prune, key), key)
-
-
-def related(vectors: DataFrame, ids: DataFrame, limit: int, key: str = "id", concept: str = "concept", weight: str = "weight") -> DataFrame:
-    """(key, other, cosine): the stored vectors nearest to each of the given ones, through shared concepts."""
-    n = vectors.groupBy(key).agg(F.sqrt(F.sum(F.col(weight) * F.col(weight))).alias("norm"))
-    mine = vectors.join(ids.select(key).distinct(), key, "left_semi").select(F.col(key).alias("a"), concept, F.col(weight).alias("wa"))
-    dots = mine.join(vectors.withColumnRenamed(key, "b"), concept).where("a <> b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col(weight)).alias("dot"))
-    norm = lambda c: n.select(F.col(key).alias(c), F.col("norm").alias(f"n{c}"))
-    out = dots.join(norm("a"), "a").join(norm("b"), "b").select("a", F.col("b").alias("other"), (F.col("dot") / F.nullif(F.col("na") * F.col("nb"), F.lit(0.0))).alias("cosine"))
+    """(a, b, cosine) of the texts behind pairs of keys: each different text is projected once, whatever keys name it."""
+    first = texts.groupBy("text").agg(F.min(key).alias("_first"))
+    named = kept(texts.join(first, texts["text"].eqNullSafe(first["text"])).select(texts[key], "_first"), "texts")
+    own = texts.join(named.select(F.col("_first").alias(key)).distinct(), key, "left_semi")
+    own = own.dropDuplicates([key])
+    vectors = concept_vectors(query_weights(own, index, key=key), index.postings, prune, key)
+    side = lambda c: named.select(F.col(key).alias(c), F.col("_first").alias(f"_{c}"))
+    asked = kept(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_a", "_b"), "pairs")
+    got = cosines(asked.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), vectors, key)
+    return asked.join(got.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "cosine"), ["_a", "_b"]).select("a", "b", "cosine")
+
+
+def related(vectors: DataFrame, ids: DataFrame, limit: int, key: str = "id", concept: str = "concept", weight: str = "weight", block: int = ASKED) -> DataFrame:
+    """(key, other, cosine): the stored vectors nearest to each of the given ones, of those that share a concept with it.
+
+    Vectors are packed, a row each. The asked ones go out in blocks of at most ``block`` concepts, each against all vectors: a
+    task multiplies its vectors with the block through the block's concepts, and keeps only the best of each asked vector, so
+    that what is shuffled is bounded by tasks, asked vectors and ``limit``, not by pairs."""
+    spark = vectors.sparkSession
+    ship(spark)
+    one = F.struct(F.col(concept).cast("long").alias("c"), F.col(weight).cast("double").alias("w"))
+    packed = kept(vectors.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("v")).select(key, F.col("v.c").alias("c"), F.col("v.w").alias("w")), "packed")
+    asked = kept(packed.join(ids.select(key).distinct(), key, "left_semi"), "asked")
+    kind = packed.schema[key].dataType
+    fields = T.StructType([T.StructField("a", kind), T.StructField("other", kind), T.StructField("cosine", T.DoubleType())])
+    out = None
+    for part in blocks_of(asked, key, block):
+        sent = spark.sparkContext.broadcast(part)
+        found = kept(spread(packed).mapInArrow(nearest(sent, limit, key), fields), "nearest")
+        out = found if out is None else out.unionByName(found)
+        sent.unpersist()
+    if out is None:
+        out = spark.createDataFrame([], fields)
     order = Window.partitionBy("a").orderBy(F.desc(F.round("cosine", 9)), "other")
     return out.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).select(F.col("a").alias(key), "other", "cosine")
 
 
+def blocks_of(asked: DataFrame, key: str, most: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Asked vectors in blocks: their keys and norms, and their concepts in order with the place of the vector and the weight."""
+
+    def block(rows: list) -> tuple:
+        c = np.concatenate([np.array(r.c, dtype=np.int64) for r in rows])
+        w = np.concatenate([np.array(r.w, dtype=np.float64) for r in rows])
+        i = np.repeat(np.arange(len(rows)), [len(r.c) for r in rows])
+        order = np.argsort(c, kind="stable")
+        return [r[key] for r in rows], np.sqrt(np.bincount(i, w * w, len(rows))), c[order], i[order], w[order]
+
+    rows, size = [], 0
+    for r in asked.toLocalIterator():
+        if rows and size + len(r.c) > most:
+            yield block(rows)
+            rows, size = [], 0
+        rows.append(r)
+        size += len(r.c)
+    if rows:
+        yield block(rows)
+
+
+def nearest(sent, limit: int, key: str):
+    """What a task does with a block: dot products through shared concepts, and the best of each asked vector at its end."""
+
+    def best(cosine: np.ndarray, a: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """The places of the best of each asked vector: by cosine to nine digits (none last), then by key."""
+        order = np.lexsort((other, -np.nan_to_num(np.round(cosine, 9), nan=-np.inf), a))
+        first = np.flatnonzero(np.append(True, a[order][1:] != a[order][:-1])) if len(order) else order
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        return order[rank < limit]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, norms, concepts, places, weights = sent.value
+        n, kind = len(keys), None
+        a, cosine, other = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=object)
+        for batch in batches:
+            kind = batch.schema.field(key).type
+            step = max(1, PAIRS // n)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                ids = np.array(part.column(part.schema.names.index(key)).to_pylist(), dtype=object)
+                c, w = (part.column(part.schema.names.index(x)) for x in ("c", "w"))
+                row = np.repeat(np.arange(len(ids)), c.value_lengths().to_numpy(zero_copy_only=False))
+                c, w = c.flatten().to_numpy(zero_copy_only=False), w.flatten().to_numpy(zero_copy_only=False)
+                norm = np.sqrt(np.bincount(row, w * w, len(ids)))
+                lo, hi = np.searchsorted(concepts, c), np.searchsorted(concepts, c, side="right")
+                dot, shared = np.zeros(len(ids) * n), np.zeros(len(ids) * n, dtype=bool)
+                for k in range(0, len(c), MATCHES):
+                    few = hi[k : k + MATCHES] - lo[k : k + MATCHES]
+                    whose = np.repeat(np.arange(k, k + len(few)), few)
+                    match = np.arange(len(whose)) - np.repeat(np.cumsum(few) - few, few) + lo[whose]
+                    pair = row[whose] * n + places[match]
+                    dot += np.bincount(pair, w[whose] * weights[match], len(dot))
+                    shared[pair] = True
+                pair = np.flatnonzero(shared)
+                x, y = pair // n, pair % n
+                mine = np.array(keys, dtype=object)
+                pair, x, y = (v[ids[x] != mine[y]] for v in (pair, x, y))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    value = dot[pair] / (norm[x] * norms[y])
+                value[~np.isfinite(value)] = np.nan
+                a, cosine, other = np.concatenate([a, y]), np.concatenate([cosine, value]), np.concatenate([other, ids[x]])
+                top = best(cosine, a, other)
+                a, cosine, other = a[top], cosine[top], other[top]
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in a], kind), pa.array(list(other), kind), pa.array(cosine, mask=np.isnan(cosine))], ["a", "other", "cosine"])
+
+    return run
+
+
 def quick_scores(pairs: DataFrame, vectors: DataFrame, key: str = "id", concept: str = "concept", weight: str = "weight") -> DataFrame:
     """(a, b, cosine) of stored vectors; 0 where none is shared."""
     return cosines(pairs, vectors.select(F.col(key), F.col(concept).alias("doc_id"), F.col(weight).alias("score")), key).withColumn("cosine", F.coalesce(F.nanvl("cosine", F.lit(0.0)), F.lit(0.0)))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.templates import TemplateTable, template_bodies
+from ..functions.templates import TemplateTable, reachable, template_bodies
 from ..operators.analyze import DEFAULT, AnalyzerSpec
-from ..operators.graph import category_edges, descendants, excluded_title, in_categories, link_counts, link_edges, redirect_closure, title_map
+from ..operators.graph import category_edges, descendants, excluded_title, in_categories, link_counts, link_edges, redirect_closure, stripped_template, title_map
 
 
 @dataclass(frozen=True)
@@ -18,6 +18,8 @@ class PrepareSpec:
     excluded_titles: tuple[str, ...] = ()
     keep_stubs: bool = False
     depth: int = 5
+    min_template_terms: int = 0
+    strip_templates: bool = True  # by the built-in pattern
 
 
 def prepared(pages: DataFrame, seeds: DataFrame | None = None, spec: PrepareSpec = PrepareSpec()) -> DataFrame:
@@ -28,7 +30,9 @@ def prepared(pages: DataFrame, seeds: DataFrame | None = None, spec: PrepareSpec
     kept = pages.where(~title.startswith("category:") & ~title.startswith("template:") & ~excluded_title(F.col("title"), list(spec.excluded_titles)) & T.redirect_target(F.col("text")).isNull())
     if not spec.keep_stubs:
         kept = kept.where(~T.is_stub(F.col("text")))
-    table = TemplateTable(pages.sparkSession, template_bodies(pages), spec.depth)
+    stripped = stripped_template(F.col("title")) if spec.strip_templates else None
+    bodies = template_bodies(pages, stripped, spec.min_template_terms)
+    table = TemplateTable(pages.sparkSession, reachable(bodies, kept.select("text"), spec.depth), spec.depth)
     articles = kept.select(title.alias("title"), table.expanded(F.col("text"), F.col("title")).alias("text"))
     if seeds is not None:
         out = in_categories(articles, descendants(category_edges(pages), seeds).select("node"))

@@ -45,16 +45,18 @@ def gold_pairs(spark: SparkSession, path: str, scale: float = 10.0) -> DataFrame
 
 
 def numbered_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(id, text): the records of one CSV file that judgements name by number, from 1, without empty lines. One small file is
-    one task's: the numbers are the order in it."""
-    df = spark.read.schema("text string").option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    """(id, text): the records of one CSV file that judgements name by number, from 1, without empty lines. The list is written by
+    hand and small, and is read as one part: the numbers are the order in it."""
+    df = spark.read.schema("text string").option("multiLine", True).option("quote", '"').option("escape", '"').csv(path).coalesce(1)
     return df.select((F.monotonically_increasing_id() + 1).alias("id"), "text")
 
 
 def judged_texts(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """Pairs of numbers with their texts."""
-    side = lambda c: documents.select(F.col("id").cast("string").alias(c), F.col("text").alias(f"text{c[-1]}"))
-    return pairs.join(side("doc1"), "doc1").join(side("doc2"), "doc2")
+    """Pairs of numbers with their texts; a number that no document has is an error."""
+    side = lambda c: documents.select(F.col("id").cast("string").alias(c), F.col("text").alias(f"text{c[-1]}"), F.lit(True).alias(f"_{c}"))
+    both = pairs.join(side("doc1"), "doc1", "left").join(side("doc2"), "doc2", "left")
+    known = lambda c: F.when(F.col(f"_{c}"), F.col(f"text{c[-1]}")).otherwise(F.raise_error(F.concat(F.lit("no document "), F.coalesce(c, F.lit("null")))))
+    return both.withColumns({"text1": known("doc1"), "text2": known("doc2")}).drop("_doc1", "_doc2")
 
 
 def words(spark: SparkSession, path: str, more: list[str] | None = None) -> DataFrame:
@@ -87,5 +89,18 @@ def read_jdbc(spark: SparkSession, table: str, options: dict[str, str]) -> DataF
     return spark.read.format("jdbc").options(**options).option("dbtable", table).load()
 
 
+def ordered_scores(scores: DataFrame, term: str, limit: int = 0) -> DataFrame:
+    """Stored scores (term, document, score) of one term, best first; over JDBC filter, order and limit go to the database."""
+    out = scores.where(F.col("term") == term).orderBy(F.desc("score"), "document")
+    return out.limit(limit) if limit else out
+
+
+def pruned_scores(scores: DataFrame, window: int, drop_off: float) -> DataFrame:
+    """Stored scores (term, document, score) without the tails of their terms, to be written in place of the table."""
+    from ..operators.vectors import prune_window
+
+    return prune_window(scores.withColumnRenamed("document", "doc_id"), window, drop_off).withColumnRenamed("doc_id", "document")
+
+
 def find_article(articles: DataFrame, title: str) -> DataFrame:
     return articles.where(F.col("title") == title).limit(1)

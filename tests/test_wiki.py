@@ -136,3 +136,68 @@ def test_small_sources(spark, tmp_path):
     assert S.whole_text(spark, str(tmp_path / "w.txt")).first().text == "The\n\nof\nTHE\n"
     S.write_terms(S.words(spark, str(tmp_path / "w.txt")), str(tmp_path / "t"))
     assert {r.value for r in spark.read.text(str(tmp_path / "t")).collect()} == {"the", "of"}
+
+
+def test_repeated_titles_lead_to_one_target(spark):
+    """Two rows for one title, on a path of many hops: a row for each title, whatever the number of rounds."""
+    rows = [("a", "b"), ("a", "c"), ("a", "b"), ("x", "y"), ("x", "x"), *[(f"n{i:02}", f"n{i + 1:02}") for i in range(30) for _ in range(3)], ("n30", "n30"), ("n30", "n30"), ("b", "n00"), ("p", "q"), ("p", "q"), ("q", "p"), (None, "a")]
+    got = G.redirect_closure(spark.createDataFrame(rows, "title string, redirect string")).collect()
+    assert len(got) == len({r.title for r in got}) == 36
+    target = {r.title: r.target for r in got}
+    assert target["a"] == target["b"] == target["n00"] == "n30" and target["x"] == "x" and target["p"] == target["q"] == "p"
+    pages = spark.createDataFrame([("a_b", "[[c]]"), ("A b", "#REDIRECT [[c]]"), ("c", "[[a b]]")], "title string, text string")
+    links = G.link_edges(pages.limit(3), G.redirect_closure(G.title_map(pages)))
+    assert {(r.src, r.dst) for r in links.collect()} == {("a b", "c"), ("c", "a b")}
+
+
+def test_built_in_template_pattern_and_minimum(spark):
+    titles = ["Template:Geo-stub", "Template:Infobox color", "Template:Infobox cola", "Template:ABC", "Template:Taxon", "Template:str x"]
+    assert column(spark, titles, G.stripped_template) == [True, True, False, False, False, True]
+    pages = spark.createDataFrame([("Template:Long", "one two three"), ("Template:Short", "one"), ("Template:long", "zzz four five")], "title string, text string")
+    assert [(r.name, r.body) for r in template_bodies(pages, min_terms=2).collect()] == [("long", "one two three")]
+
+
+def test_templates_are_cut_down_to_what_pages_reach(spark):
+    from conceptile.functions.templates import reachable
+
+    bodies = spark.createDataFrame([("a", "x {{b|{{c}}}}"), ("b", "y"), ("c", "{{d}}"), ("d", "{{a}} {{e}}"), ("e", "deep"), ("z", "unused {{a}}")], "name string, body string")
+    texts = spark.createDataFrame([("{{A|1}} and",), (None,), ("none",)], "text string")
+    names = lambda depth: sorted(r.name for r in reachable(bodies, texts, depth).collect())
+    assert names(5) == ["a", "b", "c", "d", "e"] and names(1) == ["a", "b", "c"]
+    table = TemplateTable(spark, reachable(bodies, texts, 5))
+    assert set(table.templates) == {"a", "b", "c", "d", "e"}
+
+
+def test_similarities_by_name(spark):
+    from math import log, sqrt
+
+    from conceptile.functions.weights import similarity
+
+    row = spark.createDataFrame([(3.0, 20.0, 10.0, 100.0, 4.0)], "f double, dl double, m double, n double, df double")
+    score = lambda name: row.select(similarity(name)(*[F.col(c) for c in ("f", "dl", "m", "n", "df")], F.lit(2.0))).first()[0]
+    tf = 3 / (3 + 1.2 * (0.25 + 0.75 * 2))
+    want = {"BM25": 2 * log(1 + 96.5 / 4.5) * tf, "TFIDF": 2 * sqrt(3) * (log(101 / 5) + 1) ** 2 / sqrt(20), "trueBM25": 2 * 24 * tf, "trueTFIDF": 2 * 3 * 24, "other": 2 * log(1 + 96.5 / 4.5) * tf}
+    assert {k: round(score(k), 9) for k in want} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_numbers_without_a_document_are_an_error(spark, tmp_path):
+    (tmp_path / "g.csv").write_text("1,9,7.5\n")
+    (tmp_path / "d.csv").write_text('"first"\n')
+    with pytest.raises(Exception, match="no document 9"):
+        S.judged_texts(S.gold_pairs(spark, str(tmp_path / "g.csv")), S.numbered_documents(spark, str(tmp_path / "d.csv"))).collect()
+
+
+def test_category_info_and_token_dump(spark):
+    from conceptile.operators.analyze import dumped_tokens
+
+    pages = spark.createDataFrame([("a", "[[Category:X]]"), ("b", "[[Category:X]] [[Category:Y]]"), ("Category:Y", "[[Category:X]]")], "title string, text string")
+    assert {(r.category, r.articles, r.subcategories) for r in G.category_info(pages).collect()} == {("category:x", 2, 1), ("category:y", 1, 0)}
+    assert dumped_tokens(spark.createDataFrame([(1, "A b, C")], "doc_id long, text string")).first().tokens == "a b c"
+
+
+def test_scores_of_a_store_are_read_in_order_and_pruned(spark):
+    rows = [("t", i, 1.0 / (i + 1)) for i in range(30)] + [("u", 1, 0.5)]
+    df = spark.createDataFrame(rows, "term string, document long, score double")
+    assert [r.document for r in S.ordered_scores(df, "t", 3).collect()] == [0, 1, 2]
+    left = S.pruned_scores(df, 2, 0.5)
+    assert set(left.columns) == {"term", "document", "score"} and 2 <= left.where("term = 't'").count() < 30
