@@ -82,9 +82,9 @@ def counted(docs: DataFrame, spec: AnalyzerSpec = DEFAULT, key: str = "doc_id",
 def term_counts(docs: DataFrame, spec: AnalyzerSpec = DEFAULT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term, tf, dl, max_tf, avg_tf) without a shuffle: terms of one document never leave its task."""
     most = F.array_max(F.transform("terms", lambda x: x["tf"]))
-    df = counted(docs, spec, key, text)
     mean = F.col("dl") / F.nullif(F.size("terms"), F.lit(0))
-    return df.select(key, F.explode_outer("terms").alias("x"), "dl", most.alias("max_tf"), mean.alias("avg_tf")).where("x is not null").select(key, "x.term", "x.tf", "dl", "max_tf", "avg_tf")
+    df = counted(docs, spec, key, text).select(key, "terms", "dl", once(most).alias("max_tf"), once(mean).alias("avg_tf"))  # before a row becomes many
+    return df.select(key, F.explode("terms").alias("x"), "dl", "max_tf", "avg_tf").select(key, "x.term", "x.tf", "dl", "max_tf", "avg_tf")
 
 
 def restated(counts: DataFrame, key: str = "doc_id") -> DataFrame:
