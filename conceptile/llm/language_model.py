@@ -1,18 +1,23 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
-    P(word | context) = P(class | context) P(word | class, context)
+    P(word | context) = P(class | context) P(slot | class, context) P(slot | class, slot, context) ...
 
-The ``WORDS`` most frequent words of the training documents are dealt to ``NEAR`` classes by rank; all others, known or not, to
-``FAR`` classes by hash. Class and, in the first kind of class, word are softmaxes over hashed features: the word before (bigram),
-the two before (trigram), and the one before the last alone (skip), with a constant. In the second kind a word has its smoothed
-share of the class's count, so that the model is a proper distribution over known words and one unknown.
+All words of the head, the ``HEAD`` most frequent of the training documents, are dealt to ``NEAR`` classes of about equal mass, each
+of these to ``SLOTS`` parts of about equal mass, and so on until a part is one word: frequent words have short paths, and classes
+and parts grow with the vocabulary. Every step of a path is a softmax whose logits are the log shares of the counts and the weights
+of hashed features of the place in the tree and of the context: the word before (bigram), the two before (trigram), and the one
+before the last alone (skip). Words outside the head, known or not, are in ``FAR`` classes by hash, in which a word has its
+smoothed share of the class's count: these are the rarest words of a corpus of more than HEAD. The model is a proper
+distribution over known words and one unknown word for each far class.
 
-Training: counts of all tokens of all training documents give the vocabulary, the constants and the unigram part. Weights are
+Training: counts of all tokens of all training documents give the vocabulary, the shares and the unigram part. Weights are
 then learned in ``ROUNDS`` rounds, each over its own part of the training documents, so that every training token is used once:
 every task takes gradient steps over its documents (about ``PER_MODEL`` tokens or more) from the weights last agreed, and the
 tasks' changes to each row of weights are averaged by how often they touched it (as blocks of rows in half precision, by block
-and salt, then by block, as a stream). Weights and
-the ``HEAD`` most frequent counts are of fixed size, and are all that is broadcast or collected.
+and salt, then by block, as a stream; a change is off by at most 1 part in 2,048 of itself). There is a row of weights for every
+four training tokens, ``MOST_ROWS`` at most. Weights and the head's counts are of bounded size, and are all that is broadcast or
+collected. How documents lie in parts decides in which task they are learned, so that ``score`` (not ``base_score``) changes in
+its last digits when the same rows are read in other parts or by another number of cores; read alike, it is the same.
 
 Scoring: sparse batches in numpy, one pass. Counts of words outside the head are joined: a document sends each such word once.
 Words are known by 64-bit hashes.
@@ -34,10 +39,10 @@ from pyspark.sql import functions as F
 
 from .common import BINARY, BOOL, DOUBLE, INT, LONG, Scratch, batches_of, column, mixed, odd_constants, schema, signed, table, word_hashes, words
 
-SMOOTH, HEAD, WORDS, NEAR, FAR = 0.1, 1 << 20, 512, 16, 16
-CLASSES, SLOTS = NEAR + FAR, WORDS // NEAR
-BUCKETS, BLOCK, ROUNDS, STEP, RATE = 1 << 15, 512, 2, 8192, 0.15
-PER_MODEL = 1 << 21  # training tokens of a task in a round, at least
+SMOOTH, HEAD, NEAR, FAR = 0.1, 1 << 19, 12, 4
+CLASSES = SLOTS = NEAR + FAR
+MOST_ROWS, BLOCK, ROUNDS, STEP, RATE = 1 << 19, 1 << 12, 2, 8192, 0.15
+PER_MODEL = 1 << 22  # training tokens of a task in a round, at least
 HELD = 10
 END = np.uint64(0x0E4D0F7E47000001)
 START = np.uint64(0x57A2701000000001)
@@ -85,30 +90,85 @@ def counted(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """What is known of words: totals, the head of the counts by hash, and the constants of each class."""
+    """What is known of words: totals, the head of the counts by hash, and the tree of classes and slots."""
 
     n: int
     v: int
     hashes: np.ndarray  # of the head, sorted
     logs: np.ndarray  # log10(count + SMOOTH)
-    near: np.ndarray  # class * SLOTS + slot of the words of the first kind, else -1
-    class_logs: np.ndarray  # log10 of the denominator of each class of the second kind
-    class_bias: np.ndarray
-    slot_bias: np.ndarray
+    start: np.ndarray  # of the path of each word of the head, then of each far class
+    depth: np.ndarray  # how many steps it has
+    nodes: np.ndarray  # the steps of all paths: where in the tree (0 is its root, which chooses the class)
+    digits: np.ndarray  # and the part chosen there
+    shares: np.ndarray  # log share of each part, a row for each node
+    salts: np.ndarray  # a hash of each node
+    class_logs: np.ndarray  # log10 of the denominator of each far class
 
     @property
     def base_log(self) -> float:
         return float(np.log10(self.n + SMOOTH * (self.v + 1)))
 
-    def place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each hash: its place in the head or -1, its class, its slot or -1."""
-        far = (NEAR + (h >> np.uint64(60)).astype(np.int64) % FAR).astype(np.int64)
+    @property
+    def rows(self) -> int:
+        """Of weights: a power of 2, and whole blocks."""
+        return min(MOST_ROWS, max(BLOCK, 1 << int(self.n // 4).bit_length()))
+
+    def place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each hash: its place in the head or -1, and the number of its path."""
+        far = len(self.hashes) + (h >> np.uint64(62)).astype(np.int64)
         if not len(self.hashes):
-            return np.full(len(h), -1), far, np.full(len(h), -1)
+            return np.full(len(h), -1), far
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         at = np.where(self.hashes[at] == h, at, -1)
-        near = np.where(at >= 0, self.near[at], -1)
-        return at, np.where(near >= 0, near // SLOTS, far), np.where(near >= 0, near % SLOTS, -1)
+        return at, np.where(at >= 0, at, far)
+
+
+def starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, dtype=np.int64)
+
+
+def tree(counts: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Start and depth of the paths, nodes, digits and shares for words of these counts and far classes of these masses."""
+    order = np.argsort(-counts, kind="stable")
+    mass = counts[order].astype(np.float64)
+
+    def parts(mass: np.ndarray, group: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+        """The part, of n, of each word of a group: where the middle of its mass lies in that of the group."""
+        sums = np.cumsum(mass)
+        whole = np.add.reduceat(mass, first)
+        below = sums - mass / 2 - (sums[first] - mass[first])[group]
+        return np.clip((below / whole[group] * n).astype(np.int64), 0, n - 1)
+
+    def logs(sums: np.ndarray) -> np.ndarray:
+        """An empty part can't be told from an impossible one."""
+        whole = sums.sum(axis=1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(sums > 0, np.log(sums / whole), -30.0).astype(np.float32)
+
+    word, n = np.arange(len(mass)), 1
+    cls = parts(mass, np.zeros(len(mass), dtype=np.int64), np.zeros(1, dtype=np.int64), NEAR) if len(mass) else word
+    steps = [(np.append(word, len(mass) + np.arange(FAR)), np.zeros(len(mass) + FAR, dtype=np.int64), np.append(cls, NEAR + np.arange(FAR)))]
+    shares = [logs(np.append(np.bincount(cls, mass, NEAR), far)[None, :])]
+    key = cls
+    while True:
+        size = np.diff(np.append(starts(key), len(key)))
+        several = np.repeat(size > 1, size)
+        word, key = word[several], key[several]
+        if not len(word):
+            break
+        first = starts(key)
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        digit = parts(mass[word], group, first, SLOTS)
+        steps.append((word, n + group, digit))
+        key = group * SLOTS + digit
+        shares.append(logs(np.bincount(key, mass[word], len(first) * SLOTS).reshape(-1, SLOTS)))
+        n += len(first)
+    words, nodes, digits = (np.concatenate(x) for x in zip(*steps, strict=True))
+    names = np.append(order, len(mass) + np.arange(FAR))[words]
+    by_word = np.argsort(names, kind="stable")  # steps of a word stay in their order
+    depth = np.bincount(names, minlength=len(mass) + FAR)
+    return np.cumsum(depth) - depth, depth, nodes[by_word].astype(np.int32), digits[by_word].astype(np.int8), np.concatenate(shares)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -128,25 +188,18 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     h, c = head["h"].to_numpy().view(np.uint64), head["c"].to_numpy()
     order = np.argsort(h)
     h, c = h[order], c[order]
-    near = np.full(len(h), -1)
-    top = np.lexsort((h, -c))[:WORDS]
-    near[top] = np.arange(len(top)) % NEAR * SLOTS + np.arange(len(top)) // NEAR
-    far_class = F.shiftrightunsigned("h", 60) % FAR
-    mass, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.groupBy(far_class.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
-        mass[NEAR + r.k], kinds[NEAR + r.k] = r.c, r.v
-    for i in top:  # these are not in the classes of their hashes
-        k = NEAR + int(h[i] >> np.uint64(60)) % FAR
-        mass[k], kinds[k] = mass[k] - c[i], kinds[k] - 1
-    mass[:NEAR] = np.bincount(near[top] // SLOTS, weights=c[top], minlength=NEAR) if len(top) else 0
-    slots = np.full((NEAR, SLOTS), -30.0)  # an empty slot can't be told from an impossible word
-    slots[near[top] // SLOTS, near[top] % SLOTS] = np.log(c[top] + SMOOTH)
-    floor = np.where(np.arange(CLASSES) < NEAR, 1e-12, SMOOTH)
-    return Vocabulary(int(total.n), int(total.v), h, np.log10(c + SMOOTH), near, np.log10(mass[NEAR:] + SMOOTH * (kinds[NEAR:] + 1)), np.log(mass + floor).astype(np.float32), slots.astype(np.float32))
+    mass, kinds = np.zeros(FAR), np.zeros(FAR)
+    tail = counts if least is None else counts.where(step < least)
+    for r in tail.groupBy(F.shiftrightunsigned("h", 62).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+        mass[r.k], kinds[r.k] = r.c, r.v
+    start, depth, nodes, digits, shares = tree(c, mass + SMOOTH)
+    with np.errstate(over="ignore"):
+        salts = mixed(np.arange(len(shares), dtype=np.uint64) * _M[5] + _M[6])
+    return Vocabulary(int(total.n), int(total.v), h, np.log10(c + SMOOTH), start.astype(np.int32), depth.astype(np.int32), nodes, digits, shares, salts, np.log10(mass + SMOOTH * (kinds + 1)))
 
 
 class Batch:
-    """The tokens of some documents: hashes, feature buckets, classes and slots."""
+    """The tokens of some documents: hashes, hashes of their features, places in the head, paths, and slots (-1 outside the head)."""
 
     def __init__(self, vocabulary: Vocabulary, hashes: list[np.ndarray]):
         self.h = np.concatenate(hashes)
@@ -157,11 +210,9 @@ class Batch:
         two = before(one)
         two[self.first] = START
         with np.errstate(over="ignore"):
-            keys = [one * _M[0], two * _M[1] + _M[2], one * _M[3] + two * _M[4]]
-            self.features = np.stack([(mixed(k) >> np.uint64(64 - 15)).astype(np.int64) for k in keys])
-            self.at, self.cls, self.slot = vocabulary.place(self.h)
-            inner = [mixed(k + (self.cls.astype(np.uint64) + np.uint64(1)) * _M[5]) for k in keys]
-            self.inner = np.stack([(k >> np.uint64(64 - 15)).astype(np.int64) for k in inner])
+            self.features = [mixed(one * _M[0]), mixed(two * _M[1] + _M[2]), mixed(one * _M[3] + two * _M[4])]
+        self.at, self.path = vocabulary.place(self.h)
+        self.slot = np.where(self.at >= 0, 0, -1)
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -170,64 +221,86 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 
 
 class Weights:
-    """Rows of weights by bucket for classes, then for slots; both have CLASSES = SLOTS columns."""
+    """Rows of weights, one for each part of a node, by hash of node and feature."""
 
     def __init__(self, vocabulary: Vocabulary, rows: np.ndarray | None = None):
         self.vocabulary = vocabulary
-        self.rows = np.zeros((2 * BUCKETS, CLASSES), dtype=np.float32) if rows is None else rows
-        self.squares = np.full(2 * BUCKETS, 1e-3, dtype=np.float32)
-        self.touched = np.zeros(2 * BUCKETS, dtype=np.float32)
+        n = vocabulary.rows
+        self.shift = np.uint64(64 - (n.bit_length() - 1))
+        self.rows = np.zeros((n, SLOTS), dtype=np.float32) if rows is None else rows
+        self.squares = np.full(n, 1e-3, dtype=np.float32)
+        self.touched = np.zeros(n, dtype=np.float32)
+
+    def logits(self, nodes: np.ndarray, features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of the parts of these nodes in these contexts, and which rows they are made of, a line for each feature."""
+        salt = np.take(self.vocabulary.salts, nodes)
+        rows = np.stack([(f + salt) >> self.shift for f in features]).view(np.int64)
+        x = np.take(self.vocabulary.shares, nodes, axis=0)
+        part = np.empty_like(x)
+        for r in rows:
+            np.take(self.rows, r, axis=0, out=part, mode="clip")
+            x += part
+        return np.clip(x, -60, 60, out=x), rows  # what exp can take
 
     def classes(self, b: Batch, s: slice) -> np.ndarray:
-        return softmax(self.vocabulary.class_bias + sum(self.rows[f[s]] for f in b.features))
-
-    def slots(self, b: Batch, near: np.ndarray) -> np.ndarray:
-        return softmax(self.vocabulary.slot_bias[b.cls[near]] + sum(self.rows[BUCKETS + f[near]] for f in b.inner))
+        features = [f[s] for f in b.features]
+        return softmax(self.logits(np.zeros(len(features[0]), dtype=np.int64), features)[0])
+
+    def steps(self, b: Batch, s: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the steps of the paths of some tokens: whose they are, the parts chosen, logits, rows."""
+        v, path = self.vocabulary, b.path[s]
+        depth = v.depth[path]
+        token = np.repeat(np.arange(len(path)), depth)
+        at = np.arange(len(token)) + np.take(v.start[path] - (np.cumsum(depth) - depth), token)
+        x, rows = self.logits(np.take(v.nodes, at), [np.take(f[s], token) for f in b.features])
+        return token, np.take(v.digits, at), x, rows
 
     def descend(self, rows: np.ndarray, error: np.ndarray) -> None:
-        """One adaptive step for the rows of several features, each with the same errors."""
-        flat = rows.ravel().astype(np.uint16)  # 2 * BUCKETS fit, and numpy sorts these by radix
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.append(True, flat[order][1:] != flat[order][:-1]))
-        at = flat[order][first]
-        gradient = np.add.reduceat(error[order % len(error)], first, axis=0)
-        self.squares[at] += (gradient * gradient).mean(axis=1)
-        self.touched[at] += np.diff(np.append(first, len(flat)))
-        self.rows[at] -= RATE * gradient / np.sqrt(self.squares[at])[:, None]
+        """One adaptive step: the errors that meet in a row of weights are summed first. Most are alone in theirs."""
+        flat, m = rows.ravel(), len(error)
+        alone = np.bincount(flat, minlength=len(self.rows))[flat] == 1
+        for k, row in enumerate(rows):
+            i = np.flatnonzero(alone[k * m : (k + 1) * m])
+            self.move(row[i], np.take(error, i, axis=0), 1)
+        i = np.flatnonzero(~alone)
+        if len(i):
+            i = i[np.argsort(flat[i].astype(np.int32))]
+            first = starts(flat[i])
+            gradient = np.add.reduceat(np.take(error, i % m, axis=0), first, axis=0)
+            self.move(flat[i[first]], gradient, np.diff(np.append(first, len(i))))
+
+    def move(self, at: np.ndarray, gradient: np.ndarray, times) -> None:
+        squares = self.squares[at] + np.einsum("ij,ij->i", gradient, gradient) / SLOTS
+        self.squares[at] = squares
+        self.touched[at] += times
+        self.rows[at] -= gradient * (RATE / np.sqrt(squares))[:, None]
 
     def learn(self, b: Batch) -> None:
         for i in range(0, len(b.h), STEP):
-            s = slice(i, i + STEP)
-            error = self.classes(b, s)
-            error[np.arange(len(error)), b.cls[s]] -= 1
-            self.descend(b.features[:, s], error)
-            near = i + np.flatnonzero(b.slot[s] >= 0)
-            if len(near):
-                error = self.slots(b, near)
-                error[np.arange(len(error)), b.slot[near]] -= 1
-                self.descend(BUCKETS + b.inner[:, near], error)
+            _, digit, x, rows = self.steps(b, slice(i, i + STEP))
+            np.exp(x, out=x)
+            x *= (1 / x.sum(axis=1))[:, None]
+            x[np.arange(len(x)), digit] -= 1
+            self.descend(rows, x)
 
     def log10s(self, b: Batch) -> np.ndarray:
-        """log10 P of each token, without log10(count + SMOOTH) for tokens outside the first kind of class."""
+        """log10 P of each token, without log10(count + SMOOTH) for tokens outside the head."""
         out = np.empty(len(b.h))
         for i in range(0, len(b.h), STEP):
-            s = slice(i, i + STEP)
-            p = self.classes(b, s)
-            out[s] = np.log10(np.maximum(p[np.arange(len(p)), b.cls[s]], 1e-30))
-            near = i + np.flatnonzero(b.slot[s] >= 0)
-            if len(near):
-                p = self.slots(b, near)
-                out[near] += np.log10(np.maximum(p[np.arange(len(p)), b.slot[near]], 1e-30))
+            token, digit, x, _ = self.steps(b, slice(i, i + STEP))
+            chosen = x[np.arange(len(x)), digit]
+            np.exp(x, out=x)
+            out[i : i + STEP] = np.bincount(token, (chosen - np.log(x.sum(axis=1))) / np.log(10), len(out[i : i + STEP]))
         far = b.slot < 0
-        out[far] -= self.vocabulary.class_logs[b.cls[far] - NEAR]
+        out[far] -= self.vocabulary.class_logs[b.path[far] - len(self.vocabulary.hashes)]
         return out
 
 
 def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """The weights' rows after so many rounds of gradient steps."""
     spark = docs.sparkSession
-    rows = np.zeros((2 * BUCKETS, CLASSES), dtype=np.float32)
-    blocks = 2 * BUCKETS // BLOCK
+    rows = np.zeros((vocabulary.rows, SLOTS), dtype=np.float32)
+    blocks = len(rows) // BLOCK
     fields = schema(block=INT, salt=INT, touched=BINARY, change=BINARY)
     # what a task sends is of one size: its share of the documents is not to be smaller than that
     models = max(spark.sparkContext.defaultParallelism, vocabulary.n // (rounds * PER_MODEL))
@@ -237,8 +310,8 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np
         sums: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for k, t, c in zip(column(batch, "block"), column(batch, "touched"), column(batch, "change"), strict=True):
-                t, c = np.frombuffer(t, dtype=np.float32), np.frombuffer(c, dtype=np.float16).reshape(BLOCK, CLASSES)
-                s = sums.setdefault(k, [np.zeros(BLOCK, dtype=np.float32), np.zeros((BLOCK, CLASSES))])
+                t, c = np.frombuffer(t, dtype=np.float32), np.frombuffer(c, dtype=np.float16).reshape(BLOCK, SLOTS)
+                s = sums.setdefault(k, [np.zeros(BLOCK, dtype=np.float32), np.zeros((BLOCK, SLOTS))])
                 s[0] += t
                 s[1] += c * t[:, None].astype(np.float64)
         for k, (t, c) in sums.items():
@@ -266,7 +339,7 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np
         once = mine.coalesce(models).mapInArrow(run, fields).repartition("block", "salt").mapInArrow(added, fields)
         for x in once.repartition("block").mapInArrow(added, fields).collect():  # one row for each block
             s = slice(x.block * BLOCK, (x.block + 1) * BLOCK)
-            rows[s] += np.frombuffer(x.change, dtype=np.float16).reshape(BLOCK, CLASSES)
+            rows[s] += np.frombuffer(x.change, dtype=np.float16).reshape(BLOCK, SLOTS)
         sent.unpersist()
     return rows
 

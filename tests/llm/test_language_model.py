@@ -75,3 +75,26 @@ def test_defined_cases(spark, docs):
 
 def test_softmax_is_stable():
     assert np.allclose(softmax(np.array([[1e4, 0.0], [0.0, 0.0]])), [[1, 0], [0.5, 0.5]]) and CLASSES == SLOTS
+
+
+def test_the_tree_is_prefix_free_and_its_shares_are_those_of_the_counts():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 15, 3000):
+        counts = rng.zipf(1.3, n).clip(1, 10**6).astype(np.int64)
+        start, depth, nodes, digits, shares = lm.tree(counts, np.full(lm.FAR, 0.1))
+        paths = [tuple(zip(nodes[a : a + d].tolist(), digits[a : a + d].tolist())) for a, d in zip(start, depth, strict=True)]
+        assert len(set(paths)) == n + lm.FAR and not any(p[:k] in set(paths) for p in paths for k in range(1, len(p)))
+        assert all(p[0][0] == 0 for p in paths) and {p[0][1] for p in paths[n:]} == set(range(NEAR, CLASSES))
+        got = [math.exp(sum(shares[i, d] for i, d in p)) for p in paths]
+        want = np.append(counts, np.full(lm.FAR, 0.1)) / (counts.sum() + 0.1 * lm.FAR)
+        assert got == pytest.approx(list(want), rel=1e-4)
+
+
+def test_contexts_choose_rare_words(spark, docs):
+    """Of 4,000 words of one count each follows one other: without features in their softmaxes all would cost the same."""
+    rows = [(i, " ".join(f"a{k} b{k}" for k in range(i % 40, 4000, 40))) for i in range(400)]
+    known = vocabulary(counted(docs(rows)))
+    w = Weights(known, trained(docs(rows), known, 2))
+    b = Batch(known, [token_hashes(f"a{k} b{k}") for k in range(0, 4000, 7)])
+    cost = w.log10s(b).reshape(-1, 3)
+    assert cost[:, 1].mean() > cost[:, 0].mean() + 0.8
