@@ -1,9 +1,11 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts become lower-cased runs of word characters. Windows of ``LEAST`` words of the benchmark, hashed by Karp-Rabin, are the
+Texts become lower-cased runs of word characters. Windows of ``LEAST`` words of the benchmark, by their Karp-Rabin hashes, are the
 seeds; documents are scanned for them, and each pair of a document and an item that share one is tiled: again and again the
-longest match of words that no tile has taken, at least ``LEAST`` long, becomes a tile. Tiles may lie in any order, so that
-reordered passages are caught. A document is contaminated by an item when tiles cover ``COVERAGE`` of the item's words, or when
+longest match of words that no tile has taken, at least ``LEAST`` long, becomes a tile. The hashes are running: sums over all words
+before a place, from which that of any window of any width is two look-ups; so the longest width at which free windows of both
+match is searched by halving, and all matches of that width become tiles before the next. No pairs of places are listed, and the
+work grows with the seeds, however often words repeat. Tiles may lie in any order, so that reordered passages are caught. A document is contaminated by an item when tiles cover ``COVERAGE`` of the item's words, or when
 one tile has ``PASSAGE`` words or more: so long a verbatim passage is a leak however much longer the item is.
 
 The benchmark is the stated query set. It goes out in blocks of at most ``BLOCK_WORDS`` words (one item may be longer), each
@@ -16,7 +18,6 @@ null in the result; empty tables give no rows; other columns are not read.
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,6 +33,7 @@ from .common import DOUBLE, LONG, STRING, Scratch, batches_of, column, mixed, sc
 LEAST, COVERAGE, PASSAGE, BLOCK_WORDS = 5, 0.8, 50, 1 << 21
 TOKEN = re.compile(r"\w+")
 RADIX = np.uint64(0x9E3779B97F4A7C15)
+BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 Tile = tuple[int, int, int]  # first word in the item, in the document, length
 
 
@@ -44,50 +46,108 @@ def hashes(words: list[str]) -> np.ndarray:
     return np.fromiter((h(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=len(words))
 
 
-def karp_rabin(wh: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all windows of so many words: the next is the last times the radix, with a word more and a word less."""
+class Running:
+    """Karp-Rabin hashes of all windows of any width: sums of words times powers of the radix, from which a window's is what its
+    last word adds to what its first had, turned to the same power."""
+
+    powers = backs = np.ones(1, dtype=np.uint64)  # of the radix and of its inverse; as many as the longest text had words
+
+    def __init__(self, wh: np.ndarray):
+        n = len(wh)
+        if n > len(Running.powers):
+            size = max(n, 2 * len(Running.powers))
+            one = np.ones(1, dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                Running.powers, Running.backs = (np.cumprod(np.append(one, np.full(size - 1, x)), dtype=np.uint64) for x in (RADIX, BACK))
+        with np.errstate(over="ignore"):
+            self.sums = np.append(np.zeros(1, dtype=np.uint64), np.cumsum(wh * Running.backs[:n], dtype=np.uint64))
+
+    def windows(self, at: np.ndarray, width: int) -> np.ndarray:
+        """Hashes of the windows of so many words that begin at these places."""
+        with np.errstate(over="ignore"):
+            return mixed((self.sums[at + width] - self.sums[at]) * Running.powers[at])
+
+
+def karp_rabin(wh: np.ndarray, width: int, running: Running | None = None) -> np.ndarray:
+    """Hashes of all windows of so many words."""
     n = len(wh) - width + 1
-    if n <= 0:
-        return wh[:0]
-    out = np.zeros(n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(width):
-            out = out * RADIX + wh[i : i + n]
-        return mixed(out)
-
-
-def tiles(item: list[str], text: list[str], at: np.ndarray, least: int = LEAST) -> list[Tile]:
-    """Greedy tiling, given the places in the text at which a window of ``least`` words may match one of the item."""
-    windows = defaultdict(list)
-    for p in range(len(item) - least + 1):
-        windows[tuple(item[p : p + least])].append(p)
-    seeds = [(p, int(t)) for t in at for p in windows.get(tuple(text[t : t + least]), ())]
-    runs: dict[tuple[int, int], int] = {}  # by their end, matches so far: each seed goes on the one before it
-    queue = []
-    for p, t in seeds:
-        runs[p + 1, t + 1] = runs.pop((p, t), 0) + 1
-    for (p, t), n in runs.items():
-        queue.append((-(n + least - 1), p - n, t - n))
-    heapq.heapify(queue)
-    item_taken, text_taken, out = np.zeros(len(item), dtype=bool), set(), []
-    while queue:
-        minus, p, t = heapq.heappop(queue)
-        free = [not item_taken[p + i] and t + i not in text_taken for i in range(-minus)]
-        if all(free):
-            out.append((p, t, -minus))
-            item_taken[p : p - minus] = True
-            text_taken.update(range(t, t - minus))
-            if item_taken.all():
-                break
-            continue
-        i = 0
-        while i < -minus:  # what other tiles have left of it waits for its turn
-            j = i
-            while j < -minus and free[j]:
-                j += 1
-            if j - i >= least:
-                heapq.heappush(queue, (i - j, p + i, t + i))
-            i = j + 1
+    return wh[:0] if n <= 0 else (running or Running(wh)).windows(np.arange(n), width)
+
+
+def lengths(places: np.ndarray, least: int) -> np.ndarray:
+    """For sorted places of seeds: how many words each run of neighbouring seeds covers from there on."""
+    last = np.flatnonzero(np.append(places[1:] != places[:-1] + 1, True))
+    return places[last[np.searchsorted(last, np.arange(len(places)))]] - places + least
+
+
+class Free:
+    """The words of a text that no tile has taken."""
+
+    def __init__(self, places: np.ndarray, reach: np.ndarray, size: int):
+        self.places, self.reach, self.taken = places, reach, np.zeros(size, dtype=bool)
+        self.before: np.ndarray | None = None
+
+    def take(self, at: int, width: int) -> None:
+        self.taken[at : at + width] = True
+        self.before = None
+
+    def is_free(self, at: int, width: int) -> bool:
+        return not self.taken[at : at + width].any()
+
+    def windows(self, width: int) -> np.ndarray:
+        """The places at which so many free words may match."""
+        if self.before is None:
+            self.before = np.append(0, np.cumsum(self.taken))
+        some = self.places[self.reach >= width]
+        return some[self.before[some + width] == self.before[some]]
+
+
+def tiles(item: list[str], text: list[str], at: np.ndarray, least: int = LEAST, sums: tuple[Running, Running] | None = None) -> list[Tile]:
+    """Greedy tiling, given the places in the text at which a window of ``least`` words may match one of the item. Of matches of one
+    length the first in the item, then in the text, becomes a tile."""
+    mine, its = sums or (Running(hashes(item)), Running(hashes(text)))
+    n = len(item) - least + 1
+    p_free, t_free = Free(np.arange(n), len(item) - np.arange(n), len(item)), Free(at, lengths(at, least), len(text))
+    out: list[Tile] = []
+
+    def match(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places in the item and in the text whose free windows have hashes in common, and the hashes."""
+        p, t = p_free.windows(width), t_free.windows(width)
+        hp, ht = mine.windows(p, width), its.windows(t, width)
+        p_in, t_in = np.isin(hp, ht), np.isin(ht, hp)
+        return p[p_in], hp[p_in], t[t_in], ht[t_in]
+
+    width = int(min(len(item), t_free.reach.max(initial=0)))
+    while width >= least:
+        low, found = least, match(least)
+        if not len(found[0]):
+            break
+        while low < width:  # windows of ``low`` match, those of more than ``width`` don't
+            middle = (low + width + 1) // 2
+            more = match(middle)
+            if len(more[0]):
+                low, found = middle, more
+            else:
+                width = middle - 1
+        p, hp, t, ht = found
+        order = np.argsort(ht, kind="stable")
+        t, ht = t[order], ht[order]
+        first, last = np.searchsorted(ht, hp), np.searchsorted(ht, hp, side="right")
+        passed: dict[int, int] = {}  # places of a hash that were taken are not looked at again
+        for i, a, b in zip(p.tolist(), first.tolist(), last.tolist(), strict=True):
+            if not p_free.is_free(i, low):
+                continue
+            k = passed.get(a, a)
+            while k < b and not t_free.is_free(int(t[k]), low):
+                k += 1
+            passed[a] = k
+            for j in (int(t[x]) for x in range(k, b)):
+                if t_free.is_free(j, low) and item[i : i + low] == text[j : j + low]:
+                    out.append((i, j, low))
+                    p_free.take(i, low)
+                    t_free.take(j, low)
+                    break
+        width = low - 1
     return sorted(out)
 
 
@@ -113,8 +173,9 @@ class Block:
         """(item_id, tiles, words of the item) for each item that shares a seed."""
         words = tokens(text)
         wh = hashes(words)
+        its = Running(wh)
         for width, (h, k, bits) in self.seeds.items():
-            windows = karp_rabin(wh, width)
+            windows = karp_rabin(wh, width, its)
             some = np.flatnonzero(bits[(windows >> np.uint64(48)).astype(np.int64)])
             lo, hi = np.searchsorted(h, windows[some]), np.searchsorted(h, windows[some], side="right")
             places = defaultdict(list)
@@ -123,7 +184,7 @@ class Block:
                     places[int(i)].append(int(t))
             for i, at in sorted(places.items()):
                 item_id, item = self.items[i]
-                yield item_id, tiles(item, words, np.array(at), width), len(item)
+                yield item_id, tiles(item, words, np.array(at), width, (Running(hashes(item)), its)), len(item)
 
 
 def blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int | None, str]]]:

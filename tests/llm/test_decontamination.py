@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from conceptile.llm.decontamination import Block, contaminated, decontamination_stage, karp_rabin, hashes, op10_decontamination, tokens
 from pyspark.sql import types as T
 
@@ -86,3 +87,36 @@ def test_a_long_passage_of_a_longer_item_is_caught(spark, docs):
     rows = [(1, " ".join(rest + item[20:170])), (2, " ".join(item[:50] + rest)), (3, " ".join(item[:49] + rest + item[60:109]))]
     bench = spark.createDataFrame([(7, " ".join(item))], ITEMS)
     assert sorted((r.doc_id, r.tiled_words) for r in contaminated(docs(rows), bench).collect()) == [(1, 150), (2, 50)]
+
+
+def test_running_hashes_are_those_of_the_words_alone():
+    from conceptile.llm.decontamination import Running
+
+    wh = hashes(list("xyzabcabxyzab"))
+    run = Running(wh)
+    for width in (1, 2, 5):
+        h = run.windows(np.arange(len(wh) - width + 1), width)
+        assert all((h[i] == h[j]) == (list(wh[i : i + width]) == list(wh[j : j + width])) for i in range(len(h)) for j in range(len(h)))
+        assert (h == np.concatenate([Running(wh[i : i + width]).windows(np.zeros(1, dtype=int), width) for i in range(len(h))])).all()
+
+
+def test_longer_random_texts_equal_brute_force():
+    rng = random.Random(8)
+    for _ in range(60):
+        p = [rng.choice("abcd") for _ in range(rng.randint(20, 45))]
+        t = [rng.choice("abcd") for _ in range(40)]
+        for _ in range(3):
+            i, k = rng.randrange(len(p)), rng.randint(3, 20)
+            t[rng.randrange(len(t)) : 0] = p[i : i + k]
+        got = [x for _, x, _ in Block([(1, " ".join(p))], 3).matches(" ".join(t))]
+        assert (got[0] if got else []) == greedy(p, t, 3)
+
+
+def test_repeated_words_do_not_multiply():
+    """A million words against an item of 800, all alike but for a few: pairs of places would be 8 * 10^8."""
+    import time
+
+    start = time.time()
+    block = Block([(1, "a " * 800), (2, "a b " * 300 + "a " * 200)])
+    got = {i: x for i, x, _ in block.matches("a " * 1_000_000 + "b a " * 3000)}
+    assert got[1] == [(0, 0, 800)] and sum(k for _, _, k in got[2]) == 800 and time.time() - start < 60
