@@ -12,8 +12,7 @@ and pairs of every count take part, those of one text too: most personal data is
 
 Entities that are in the same texts are one group, as each of them is disclosed alike; a document has at most as many pairs as
 terms and groups. Only documents with base spans are shuffled, unless the hashes of texts that have copies exceed what Spark
-broadcasts; a document's text is read once, and once more for each block of at most ``BLOCK`` candidate terms whose counts over
-all texts are needed. A pair of a group and a term is a summed count, so an entity in a third of all documents is no hot group.
+broadcasts; a document's text is read twice, once for base spans and once to count the candidate terms over all texts. A pair of a group and a term is a summed count, so an entity in a third of all documents is no hot group.
 
 Defined cases: a null or empty text has no spans; rows that repeat a document are scanned and counted each; other columns are
 not read. Offsets are code points, ends exclusive.
@@ -23,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +35,8 @@ from pyspark.sql import types as T
 from .common import DOUBLE, LONG, STRING, Scratch, batches_of, column, schema, signed, table
 
 KINDS = ["email", "ip", "card", "phone", "generalise", "remove"]
-GENERALISE_AT, REMOVE_AT, BLOCK = 0.6, 0.9, 1 << 20
+GENERALISE_AT, REMOVE_AT = 0.6, 0.9
+BLOCK, SIEVE = 1 << 18, 1 << 27  # terms whose sums a task holds; bits that say which terms are counted
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -179,52 +180,56 @@ def copies_of(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.xxhash64("text").alias("_copy")).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def sieve(wanted: DataFrame) -> np.ndarray:
+    """A bit for the hash of each wanted term, SIEVE bits in all whatever their number."""
+    bit = F.pmod("term", F.lit(SIEVE)) + 1
+    out = np.zeros(SIEVE // 8, dtype=np.uint8)
+    size = 4096  # bytes of Spark's bitmaps
+    for r in wanted.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).toLocalIterator():
+        out[(r.k - 1) * size : r.k * size] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out
+
+
 def document_counts(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """(term, c): in how many different texts each wanted term is. Wanted terms go out in sorted blocks of bounded size, one pass
-    each; a copy counts as its part of the text."""
-    spark, out, last = docs.sparkSession, [], None
+    """(term, c): in how many different texts each wanted term is. One pass, however many terms are wanted: a sieve of fixed size
+    says which terms of a text may be, tasks sum what passes and send it on whenever BLOCK terms have come together, and the
+    sums are joined with the wanted ones. A copy counts as its part of the text."""
     copies = scratch.keep(copies_of(docs), "copies")
     texts = docs.select("text", F.xxhash64("text").alias("_text")).join(copies, F.col("_text") == F.col("_copy"), "left").select("text", (1 / F.coalesce("n", F.lit(1))).alias("part"))
-    while True:
-        block = wanted.select("term").distinct() if last is None else wanted.select("term").distinct().where(F.col("term") > last)
-        part = np.array([r.term for r in block.orderBy("term").limit(BLOCK).collect()], dtype=np.int64)
-        if len(part) == 0:
-            break
-        last, sent = int(part[-1]), spark.sparkContext.broadcast(part)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block, known = sent.value, {}
-            n = np.zeros(len(block))
-            for batch in batches_of(batches):
-                for t, part in zip(column(batch, "text"), column(batch, "part"), strict=True):
-                    own = distinct_terms(t)
-                    if len(known) > 1 << 19:
-                        known.clear()
-                    for w in own.difference(known):
-                        h = h64(w)
-                        i = int(np.searchsorted(block, h))
-                        known[w] = i if i < len(block) and block[i] == h else -1
-                    at = {known[w] for w in own}
-                    at.discard(-1)
-                    n[list(at)] += part
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(block[some]), pa.array(n[some])], ["term", "c"])
-
-        out.append(scratch.keep(texts.mapInArrow(run, schema(term=LONG, c=DOUBLE)).groupBy("term").agg(F.round(F.sum("c")).cast("long").alias("c")), "term-counts"))
-        sent.unpersist()
-        if len(part) < BLOCK:
-            break
-    total = out[0] if out else spark.createDataFrame([], schema(term=LONG, c=LONG))
-    for x in out[1:]:
-        total = total.unionByName(x)
-    return total
+    sent, most = docs.sparkSession.sparkContext.broadcast(sieve(wanted)), BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, known, sums = sent.value, {}, defaultdict(float)
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.float64())], ["term", "c"])
+
+        for batch in batches_of(batches):
+            for t, part in zip(column(batch, "text"), column(batch, "part"), strict=True):
+                own = distinct_terms(t)
+                if len(known) > 1 << 19:
+                    known.clear()
+                for w in own.difference(known):
+                    h = h64(w)
+                    i = h % SIEVE
+                    known[w] = h if bits[i >> 3] >> (i & 7) & 1 else None
+                for h in {known[w] for w in own}:
+                    if h is not None:
+                        sums[h] += part
+            if len(sums) >= most:
+                yield rows()
+                sums.clear()
+        yield rows()
+
+    found = texts.mapInArrow(run, schema(term=LONG, c=DOUBLE)).groupBy("term").agg(F.round(F.sum("c")).cast("long").alias("c"))
+    return scratch.keep(found.join(wanted.select("term").distinct(), "term", "left_semi"), "term-counts")
 
 
 def disclosures(docs: DataFrame, personal: DataFrame, scratch: Scratch, generalise_at: float) -> DataFrame:
     """(text_hash, term, share): the terms that reveal an entity of their own text, and how much of it."""
     pairs = scratch.keep(personal.select("text_hash", F.explode("entities").alias("entity")).distinct(), "entities")
     # entities of the same texts: as many, with the same sum
-    alike = pairs.groupBy("entity").agg(F.count("*").alias("c_e"), F.bit_xor(F.xxhash64("text_hash")).alias("texts"))
+    alike = scratch.keep(pairs.groupBy("entity").agg(F.count("*").alias("c_e"), F.bit_xor(F.xxhash64("text_hash")).alias("texts")), "alike")
     groups = pairs.join(alike, "entity").select("text_hash", F.xxhash64("texts", "c_e").alias("entity"), "c_e").distinct()
     n = docs.count() - (copies_of(docs).agg(F.sum(F.col("n") - 1)).first()[0] or 0)
     groups = groups.where(F.col("c_e") < n)

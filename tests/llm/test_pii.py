@@ -106,3 +106,51 @@ def test_both_ways_to_terms_are_one(text):
     from conceptile.llm.pii import distinct_terms
 
     assert distinct_terms(text) == {w for w, _, _ in terms(text, base_spans(text))}
+
+
+def test_whole_table_against_an_independent_estimate(spark, sf_dir):
+    """Every span of every document, from plain sets of texts: PMI by counting, terms by their characters."""
+    from math import log
+
+    d = sf_dir.replace("sf0.001", "sf0.01")
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+
+    def parts(text):
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in brute(text).split(",") if x)]
+        named = {(k, text[a:b].lower() if k in ("email", "ip") else "".join(c for c in text[a:b] if c in "0123456789")) for k, a, b in spans}
+        taken = {i for _, a, b in spans for i in range(a, b)}
+        free = lambda a, b: not any(i in taken for i in range(a, b))
+        out = []
+        for m in re.finditer(r"[^\W_]+(?:[-_./:][^\W_]+)*", text):
+            if any(c.isdecimal() for c in m[0]) and free(*m.span()):
+                out.append((m[0].lower(), *m.span()))
+            else:
+                out += [(r[0].lower(), m.start() + r.start(), m.start() + r.end()) for r in re.finditer(r"[^\W_]{3,}|[^\W_]?[^\W_a-z][^\W_]?", m[0]) if free(m.start() + r.start(), m.start() + r.end())]
+        return spans, named, out
+
+    texts = {t: parts(t or "") for t in {t for _, t in docs}}
+    n, with_entity, with_term = len(texts), {}, {}
+    for t, (_, named, found) in texts.items():
+        for e in named:
+            with_entity.setdefault(e, set()).add(t)
+        for w in {w for w, _, _ in found}:
+            with_term.setdefault(w, set()).add(t)
+    got, added = {r.doc_id: r.spans for r in op2_sanitised(spark, d).collect()}, 0
+    for i, t in docs:
+        spans, named, found = texts[t]
+        want, unsure = list(spans), set()
+        for w, a, b in found:
+            shares = []
+            for e in named:
+                c_e, c_t, both = len(with_entity[e]), len(with_term[w]), len(with_entity[e] & with_term[w])
+                shares.append(log(n * both / (c_e * c_t)) / log(n / c_e))
+            share = max(shares, default=0)
+            if share >= 0.6 - 1e-9:
+                want.append(("remove" if share >= 0.9 - 1e-9 else "generalise", a, b))
+                if min(abs(share - 0.6), abs(share - 0.9)) < 1e-9:
+                    unsure.add((a, b))
+        want.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+        sure = lambda s: [x for x in s if x and tuple(map(int, x.split(":")[1:])) not in unsure]
+        assert sure(got[i].split(",")) == sure([f"{k}:{a}:{b}" for k, a, b in want])
+        added += len(want) - len(spans)
+    assert added > 100
