@@ -4,8 +4,8 @@ A text is the bag of its hashed 1- to 4-byte n-grams over lower-cased letters, a
 vector machine for each family of languages (one against the rest) picks the family; within a family of several languages, one
 machine for each pair votes, ties going to the larger sum of margins and then to the name. All machines are trained on the
 driver by dual coordinate descent on a bounded sample: at most ``PER_LANGUAGE`` labelled texts of each language, picked by
-hashes, so that neither the number of rows nor a hot language or source changes its size. Predictions read
-whole texts, in one pass without a shuffle.
+hashes, so that neither the number of rows nor a hot language or source changes its size; it grows with the number of languages
+only (16 kB a text). Predictions read whole texts, in one pass without a shuffle.
 
 Families are a parameter; a language in none of them is a family of its own.
 
@@ -35,31 +35,41 @@ FAMILIES = {
     "turkic": ("tr", "az", "kk", "uz"),
     "semitic": ("ar", "he", "mt"),
 }
-PER_LANGUAGE, BITS, GRAMS, C, EPOCHS = 600, 12, 4, 10.0, 30
+PER_LANGUAGE, BITS, GRAMS, C, EPOCHS, PIECE = 600, 12, 4, 10.0, 30, 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII that isn't a letter becomes a space; other bytes are parts of letters nearly always
 _CLEAN = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], dtype=np.uint8)
 _MIX = odd_constants(GRAMS + 1, 11)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; numbers written as single signs are none."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def vector(text: str) -> np.ndarray:
-    """Unit vector of root counts of the hashed n-grams of the whole text, read in pieces."""
+    """Unit vector of root counts of the hashed n-grams of the whole text between spaces, read in pieces: each n-gram is counted in the
+    piece that its last byte is in."""
     raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)
     counts = np.zeros(1 << BITS, dtype=np.float64)
-    step = 1 << 20
+    before = np.zeros(0, dtype=np.uint8)  # the last bytes that were kept
     with np.errstate(over="ignore"):
-        for at in range(0, len(raw), step):
-            part = _CLEAN[raw[max(0, at - GRAMS + 1) : at + step]]
-            part = np.concatenate([[32], part, [32]]).astype(np.uint64) if at == 0 else part.astype(np.uint64)
+        for at in range(0, max(1, len(raw)), PIECE):
+            part = _CLEAN[raw[at : at + PIECE]]
+            part = np.concatenate([before if at else [32], part, [32] if at + PIECE >= len(raw) else []]).astype(np.uint8)
             keep = np.ones(len(part), dtype=bool)
             keep[1:] = (part[1:] != 32) | (part[:-1] != 32)  # runs of spaces count once
-            part = part[keep]
+            keep[: len(before)] = True
+            part, old = part[keep], len(before)
+            before = part[1 - GRAMS :]
+            part = part.astype(np.uint64)
             code = np.zeros(len(part), dtype=np.uint64)
             for n in range(1, GRAMS + 1):
                 if len(part) < n:
                     break
                 code = code[: len(part) - n + 1] + part[n - 1 :] * (np.uint64(1) << np.uint64(8 * (n - 1)))
-                counts += np.bincount(((code + np.uint64(n) * _MIX[GRAMS]) * _MIX[n] >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+                new = code[max(0, old - n + 1) :]
+                counts += np.bincount(((new + np.uint64(n) * _MIX[GRAMS]) * _MIX[n] >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
     out = np.sqrt(counts)
     norm = np.sqrt(out @ out)
     return (out / norm if norm else out).astype(np.float32)
@@ -104,7 +114,7 @@ class Model:
         self.by_pair = {(a, b): machine((names == a) | (names == b), np.where(names == a, 1.0, -1.0)[(names == a) | (names == b)]) for m in self.members.values() for a, b in combinations(m, 2)}
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not text or not LETTER.search(text):
+        if not self.langs or not text or not has_letter(text):
             return "und", 0.0
         v, sure = np.append(vector(text), np.float32(1)), 1.0
         family = self.families[0]

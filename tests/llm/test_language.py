@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from conceptile.llm.language import Model, identify, op8_language, svm, train, vector
 from pyspark.sql import functions as F
 
@@ -55,3 +56,67 @@ def test_defined_cases(spark, docs):
 def test_a_repeated_id_keeps_the_bound(spark, docs):
     df = docs([(4, f"the text {i}", "en", "s") for i in range(500)] + [(9, "le texte", "fr", "s")])
     assert len(train(df, per_language=20).langs) == 2
+
+
+def test_numbers_and_signs_are_no_letters(spark, docs):
+    from conceptile.llm.language import has_letter
+
+    assert not any(map(has_letter, ["²½", "Ⅷ 12", "①", "_", "٣", "", "…"])) and all(map(has_letter, ["²a", "ª", "漢", "ʰ", "Ⅷé"]))
+    rows = [(i, t, lang, None) for i, (t, lang) in enumerate([("the cat is here", "en"), ("le chat est la", "fr")] * 20)] + [(100, "½ ²", None, None)]
+    got = {r.doc_id: r for r in identify(docs(rows), train(docs(rows))).collect()}
+    assert (got[100].lang_pred, got[100].score) == ("und", 0.0)
+
+
+def plain_vector(text):
+    """N-grams counted one by one over the text as one piece."""
+    from conceptile.llm.language import _MIX, BITS, GRAMS
+
+    letters = "".join(chr(b) if b >= 128 or chr(b).isalpha() else " " for b in text.lower().encode())
+    s = " " + letters + " "
+    while "  " in s:
+        s = s.replace("  ", " ")
+    counts = [0] * (1 << BITS)
+    for n in range(1, GRAMS + 1):
+        for i in range(len(s) - n + 1):
+            code = sum(ord(c) << (8 * k) for k, c in enumerate(s[i : i + n]))
+            counts[((code + n * int(_MIX[GRAMS])) * int(_MIX[n]) % 2**64) >> (64 - BITS)] += 1
+    whole = sum(counts) ** 0.5
+    return [c**0.5 / whole for c in counts]
+
+
+def test_pieces_do_not_change_a_vector(monkeypatch):
+    import conceptile.llm.language as language
+
+    texts = ["", "a", "Ab   cd..  é  x", "  two   words  ", "no spaces at the seams" * 3, "x     " * 9]
+    for size in (1, 2, 3, 5, 1 << 20):
+        monkeypatch.setattr(language, "PIECE", size)
+        for t in texts:
+            assert language.vector(t).tolist() == pytest.approx(plain_vector(t), abs=1e-6)
+
+
+def test_whole_table_against_plain_loops(spark, sf_dir):
+    """Vectors, margins, families and votes, one by one and by name, from the weights that were learned."""
+    from conceptile.llm.language import FAMILIES, op8_language
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = train(docs)
+    family = {lang: f for f, members in FAMILIES.items() for lang in members}
+    dot = lambda w, v: sum(float(a) * b for a, b in zip(w, v, strict=True))
+    got = {r.doc_id: r for r in op8_language(spark, sf_dir).collect()}
+    for r in docs.collect()[::4]:
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        v = [*plain_vector(r.text), 1.0]
+        margins = {f: dot(w, v) for f, w in model.by_family.items()}
+        first = max(margins, key=margins.get)
+        members = [x for x in model.langs if family.get(x, f"own:{x}") == first]
+        wins, sums = dict.fromkeys(members, 0), dict.fromkeys(members, 0.0)
+        for (a, b), w in model.by_pair.items():
+            if a in members:
+                m = dot(w, v)
+                wins[a if m >= 0 else b] += 1
+                sums[a] += m
+                sums[b] -= m
+        near = min([abs(m) for m in margins.values()] + [abs(x) for x in sums.values() if x], default=1)
+        assert near < 1e-4 or got[r.doc_id].lang_pred == max(members, key=lambda x: (wins[x], sums[x]))
