@@ -28,7 +28,7 @@ from .common import BOOL, LONG, batches_of, column, schema, table
 
 VOCABULARY = "byte_bpe_50k.json"
 CHUNK, OVERLAP, MARGIN, LIMIT = 1 << 15, 256, 64, 1024
-KEPT_PIECES = 1 << 18
+KEPT_PIECES, CHECKED = 1 << 18, 256  # one new piece of so many is asked of the library too
 #: fixed value: the pattern of the byte-level vocabulary's pre-tokenizer, for the characters of PLAIN, the most frequent case first
 PATTERN = r""" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
 #: Printable ASCII, its white space, letters and signs of Latin-1 and Latin Extended-A, general punctuation without white space
@@ -57,6 +57,7 @@ class Encoder:
         self.special = re.compile(f"({special})") if special else None
         self.known: dict[str, int] = {}
         self.older: dict[str, int] = {}
+        self.asked = 0
         order = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that byte-level vocabularies write as they are
         self.bytes = str.maketrans({chr(b): chr(b) for b in order} | {chr(b): chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in order)})
 
@@ -76,6 +77,9 @@ class Encoder:
         for p in set(pieces).difference(known):
             n = self.older.get(p)
             known[p] = self.of(p) if n is None else n
+            self.asked += 1
+            if self.asked % CHECKED == 1 and p not in self.added and len(self.tokenizer.encode(p, add_special_tokens=False).ids) != known[p]:
+                raise ValueError(f"the library counts other tokens in {p!r}")
         if len(known) > KEPT_PIECES:  # what was used lately is found again in the older half
             self.known, self.older = {}, known
         return map(known.__getitem__, pieces)
@@ -107,8 +111,9 @@ class Encoder:
 
 
 def resync_count(text: str, pieces: Callable[[str], Pieces], chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = MARGIN) -> int:
-    """Tokens of the whole text, of which no more than a chunk and its overlap are encoded at a time, unless pieces are longer."""
-    total, start, end = 0, 0, min(len(text), chunk)
+    """Tokens of the whole text, of which no more than a chunk and its overlap are encoded at a time, unless pieces are longer: what
+    has no proven boundary is encoded again with twice as much after it, so that a piece of any length costs a few times its size."""
+    total, start, end, step = 0, 0, min(len(text), chunk), chunk
     ends, counts = pieces(text[:end])
     while end < len(text):
         # boundaries of this chunk that the text after it cannot move
@@ -116,17 +121,17 @@ def resync_count(text: str, pieces: Callable[[str], Pieces], chunk: int = CHUNK,
         width = overlap
         while True:
             begin = max(start, end - margin - width)
-            stop = min(len(text), end + chunk)
+            stop = min(len(text), end + step)
             next_ends, next_counts = pieces(text[begin:stop])
             ours = {e: i for i, e in enumerate(ends[: bisect_left(ends, proven + 1)])}
             common = next((i for i, e in enumerate(next_ends[:-1]) if e + begin - start in ours), None)
             if common is not None:
                 total += sum(counts[: ours[next_ends[common] + begin - start] + 1])
                 start, ends, counts = begin + next_ends[common], [e - next_ends[common] for e in next_ends[common + 1 :]], next_counts[common + 1 :]
-                end = stop
+                end, step = stop, chunk
                 break
-            if begin == start:  # nothing of this chunk is proven: encode it again with what follows
-                ends, counts, end = next_ends, next_counts, stop
+            if begin == start:  # nothing of this chunk is proven
+                ends, counts, end, step = next_ends, next_counts, stop, 2 * step
                 break
             width *= 4
     return total + sum(counts)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import public_tokenizers
 import pytest
@@ -48,3 +49,17 @@ def test_null_empty_long_and_repeated(spark, docs, table_dir, encoder):
     got = op4_token_counts(spark, table_dir(documents=docs(rows, ["n_tokens", "n_bytes"]))).collect()
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == sorted((i or 0, len((t or "").encode()), n := library(encoder, t or ""), n > 1024) for i, t in rows)
     assert op4_token_counts(spark, table_dir(documents=docs([]))).collect() == []
+
+
+def test_one_huge_piece_is_not_encoded_again_and_again():
+    """A piece longer than many chunks: what is encoded in all is a few times its size."""
+    read = 0
+
+    def pieces(text):
+        nonlocal read
+        read += len(text)
+        ends = [m.end() for m in re.finditer(r"a+|.", text)]
+        return ends, [1] * len(ends)
+
+    text = "b" * 500 + "a" * 200_000 + "b" * 500
+    assert resync_count(text, pieces, chunk=100, overlap=16, margin=8) == 1001 and read < 8 * len(text)
