@@ -8,7 +8,8 @@ new phase begins; no document is dropped or repeated.
 
 Numbers within sources come from range-partitioned rows, so that a source with a third of all rows is no hot group; the
 schedule is a table of all blocks, a row for each ``BLOCK_ROWS`` documents, made on the driver and joined as Spark's own
-threshold has it.
+threshold has it. It has ``MOST_BLOCKS`` rows at most, and one for each source: larger corpora have larger blocks, so that the
+driver's work is bounded, and the deviation is below one block at any size.
 
 Defined cases: a null source is a source; sources without a weight in ``weights``, or with one that is not positive, come after
 all others, mixed by their square-root sizes; a null doc_id is ordered first; rows that repeat an id are placed each; texts are
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, numbered, table
 
-BLOCK_ROWS, PERIOD = 64, 1024
+BLOCK_ROWS, PERIOD, MOST_BLOCKS = 64, 1024, 1 << 20
 
 
 def quanta(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -100,33 +101,44 @@ def whole(weights: Mapping[str, float]) -> dict[str, int]:
 def blocks_in_turn(rows: Mapping[str, int], weights: Mapping[str, float], block: int) -> tuple[list[str], dict[str, np.ndarray]]:
     """The sources, and for all blocks in the order of their slots: source (its number), phase, block, missing rows before.
 
-    A slot is taken as in ``one_period``, with weights that are not cut to parts of a period."""
+    A slot is taken as in ``one_period``, with weights that are not cut to parts of a period. First blocks of a phase are due in the
+    order of the weights, so that a source is looked at only when its turn may come: work is by blocks, not by sources and phases."""
     names = sorted(s for s, n in rows.items() if n)
     left = {s: -(-rows[s] // block) for s in names}
     number, done, phase, missing = {s: i for i, s in enumerate(names)}, dict.fromkeys(names, 0), 0, 0
     out = {"source": array("i"), "phase": array("i"), "block": array("q"), "missing": array("q")}
-    while left:
-        parts = whole({s: weights[s] for s in left if weights.get(s, 0) > 0} or {s: rows[s] ** 0.5 for s in left})
-        total = sum(parts.values())
-        waiting = [(0, -(-total // q), -q, s, 1) for s, q in parts.items()]
-        heapq.heapify(waiting)
-        ready: list = []
-        for slot in range(sum(left.values())):
-            while waiting and waiting[0][0] <= slot:
-                _, due, minus, s, i = heapq.heappop(waiting)
-                heapq.heappush(ready, (due, minus, s, i))
-            due, minus, s, i = heapq.heappop(ready)
-            assert slot < due, "a deadline is missed"
-            for name, x in zip(out, (number[s], phase, done[s], missing), strict=True):
-                out[name].append(x)
-            done[s] += 1
-            left[s] -= 1
-            if not left[s]:
-                missing += -rows[s] % block  # its last block is the phase's last slot
-                del left[s]
-                break
-            heapq.heappush(waiting, (i * total // -minus, -(-(i + 1) * total // -minus), minus, s, i + 1))
-        phase += 1
+    for group in ({s: weights[s] for s in names if weights.get(s, 0) > 0}, {s: rows[s] ** 0.5 for s in names if not weights.get(s, 0) > 0}):
+        parts = whole(group) if group else {}
+        total, alive = sum(parts.values()), sorted(parts, key=lambda s: (-parts[s], s))
+        while alive:
+            waiting: list = []
+            ready: list = []
+            first, slot = 0, 0
+            while True:
+                while waiting and waiting[0][0] <= slot:
+                    heapq.heappush(ready, heapq.heappop(waiting)[1:])
+                turn = None
+                if first < len(alive):
+                    q = parts[alive[first]]
+                    turn = (-(-total // q), -q, alive[first], 1)
+                if turn and (not ready or turn < ready[0]):
+                    first += 1
+                else:
+                    turn = heapq.heappop(ready)
+                due, minus, s, i = turn
+                assert slot < due, "a deadline is missed"
+                for name, x in zip(out, (number[s], phase, done[s], missing), strict=True):
+                    out[name].append(x)
+                done[s] += 1
+                left[s] -= 1
+                slot += 1
+                if not left[s]:
+                    missing += -rows[s] % block  # its last block is the phase's last slot
+                    total += minus
+                    alive.remove(s)
+                    break
+                heapq.heappush(waiting, (i * total // -minus, -(-(i + 1) * total // -minus), minus, s, i + 1))
+            phase += 1
     return names, {k: np.frombuffer(v, dtype=v.typecode) if len(v) else np.zeros(0, v.typecode) for k, v in out.items()}
 
 
@@ -137,7 +149,8 @@ def source_key(source: Column) -> Column:
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK_ROWS, columns: list[str] | None = None) -> DataFrame:
     """``columns`` (doc_id and source) with phase, block, slot and position: the place of the row in the mixture, gapless from 0.
 
-    Without weights, sources weigh as the square roots of their sizes.
+    Without weights, sources weigh as the square roots of their sizes. Blocks have ``block`` rows, or more where there would be more
+    than ``MOST_BLOCKS`` of them (and one for each source).
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     columns = columns or ["doc_id", "source"]
@@ -145,6 +158,7 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bl
     ranked, counts = numbered(scratch, rows, "key", ["h", "id"], "mixing", narrow=False)
     sizes = {r.key: r.n for r in counts.collect()}  # one row for each source
     target = {s: n**0.5 for s, n in sizes.items()} if weights is None else {"" if s is None else f"={s}": w for s, w in weights.items()}
+    block = max(block, -(-sum(sizes.values()) // MOST_BLOCKS))
     names, plan = blocks_in_turn(sizes, target, block)
     source = pa.DictionaryArray.from_arrays(pa.array(plan["source"]), pa.array(names, pa.string())).dictionary_decode()
     turns = pa.table({"key": source, "block": plan["block"], "phase": plan["phase"], "slot": np.arange(len(source)), "missing": plan["missing"]})

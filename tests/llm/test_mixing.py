@@ -106,3 +106,52 @@ def test_no_source_is_behind_in_a_schedule_of_two():
     names, got = blocks_in_turn({"a": 20_000, "b": 20_000}, {"a": 0.9999, "b": 0.0001}, 1)
     of_b = [t for t, (i, p) in enumerate(zip(got["source"], got["phase"])) if names[i] == "b" and not p]
     assert len(of_b) in (2, 3)  # two ten-thousandths of 20,000 blocks, not one in 1024
+
+
+def plain(rows, weights):
+    """Earliest deadline first over a list of all blocks, slot by slot, in exact fractions; whoever ends, a new phase begins."""
+    from fractions import Fraction
+    from math import ceil, floor
+
+    left, done, order = {s: n for s, n in rows.items() if n}, Counter(), []
+    while left:
+        group = [s for s in left if weights.get(s, 0) > 0] or list(left)
+        of = {s: Fraction(weights[s]) if weights.get(s, 0) > 0 else Fraction(rows[s] ** 0.5) for s in group}
+        total, taken, t = sum(of.values()), Counter(), 0
+        while True:
+            share = {s: of[s] / total for s in group}
+            ready = [(ceil((taken[s] + 1) / share[s]), -of[s], s) for s in group if floor(taken[s] / share[s]) <= t]
+            s = min(ready)[2]
+            order.append((s, done[s]))
+            done[s] += 1
+            taken[s] += 1
+            left[s] -= 1
+            t += 1
+            if not left[s]:
+                del left[s]
+                break
+    return order
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.sampled_from([0.0, 0.1, 0.3, 1.0, 2.5, 1e-4, 100.0])), min_size=1, max_size=9))
+def test_schedules_equal_a_plain_one(sources):
+    rows, weights = {f"s{i}": n for i, (n, _) in enumerate(sources)}, {f"s{i}": w for i, (_, w) in enumerate(sources)}
+    names, got = blocks_in_turn(rows, weights, 1)
+    assert [(names[i], int(b)) for i, b in zip(got["source"], got["block"])] == plain(rows, weights)
+
+
+def test_many_sources_take_time_by_blocks():
+    import time
+
+    start = time.time()
+    names, got = blocks_in_turn({f"s{i:05}": 1 + i % 7 for i in range(20_000)}, {f"s{i:05}": 1.0 + i % 13 for i in range(20_000)}, 1)
+    assert len(got["source"]) == sum(1 + i % 7 for i in range(20_000)) and time.time() - start < 60
+
+
+def test_blocks_grow_with_a_large_corpus(spark, docs, monkeypatch):
+    import conceptile.llm.mixing as mixing
+
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 5)
+    got = mixed(docs([(i, "x", None, f"s{i % 3}") for i in range(100)]), block=2).collect()
+    assert sorted(r.position for r in got) == list(range(100)) and max(r.slot for r in got) < 5 + 3
