@@ -118,12 +118,13 @@ def resync_count(text: str, pieces: Callable[[str], Pieces], chunk: int = CHUNK,
     while end < len(text):
         # boundaries of this chunk that the text after it cannot move
         proven = max(0, min(end - start - margin, ends[-2] if len(ends) > 1 else 0))
-        width = overlap
+        safe = bisect_left(ends, proven + 1)
+        last, width = ends[safe - 1] if safe else 0, overlap
         while True:
-            begin = max(start, end - margin - width)
+            begin = max(start, start + last - width)  # an overlap without a boundary of ours can't have a common one
             stop = min(len(text), end + step)
             next_ends, next_counts = pieces(text[begin:stop])
-            ours = {e: i for i, e in enumerate(ends[: bisect_left(ends, proven + 1)])}
+            ours = {e: i for i, e in enumerate(ends[:safe])}
             common = next((i for i, e in enumerate(next_ends[:-1]) if e + begin - start in ours), None)
             if common is not None:
                 total += sum(counts[: ours[next_ends[common] + begin - start] + 1])
