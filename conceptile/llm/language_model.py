@@ -5,16 +5,16 @@
 All words of the head, the ``HEAD`` most frequent of the training documents, are dealt to ``NEAR`` classes of about equal mass, each
 of these to ``SLOTS`` parts of about equal mass, and so on until a part is one word: frequent words have short paths, and classes
 and parts grow with the vocabulary. Every step of a path is a softmax whose logits are the log shares of the counts and the weights
-of hashed features of the place in the tree and of the context: the word before (bigram), the two before (trigram), and the one
-before the last alone (skip). Words outside the head, known or not, are in ``FAR`` classes by hash, in which a word has its
+of hashed features of the place in the tree and of the context: the word before (bigram), the two before (trigram), and, for the
+class, the one before the last alone (skip). Words outside the head, known or not, are in ``FAR`` classes by hash, in which a word has its
 smoothed share of the class's count: these are the rarest words of a corpus of more than HEAD. The model is a proper
 distribution over known words and one unknown word for each far class.
 
 Training: counts of all tokens of all training documents give the vocabulary, the shares and the unigram part. Weights are
 then learned in ``ROUNDS`` rounds, each over its own part of the training documents, so that every training token is used once:
 every task takes gradient steps over its documents (about ``PER_MODEL`` tokens or more) from the weights last agreed, and the
-tasks' changes to each row of weights are averaged by how often they touched it (as blocks of rows in half precision, by block
-and salt, then by block, as a stream; a change is off by at most 1 part in 2,048 of itself). There is a row of weights for every
+tasks' changes to each row of weights are averaged by how often they touched it (as blocks of rows in half precision, those of up
+to ``DEALT`` tasks at once, as a stream; a change is off by at most 1 part in 2,048 of itself). There is a row of weights for every
 four training tokens, ``MOST_ROWS`` at most. Weights and the head's counts are of bounded size, and are all that is broadcast or
 collected. How documents lie in parts decides in which task they are learned, so that ``score`` (not ``base_score``) changes in
 its last digits when the same rows are read in other parts or by another number of cores; read alike, it is the same.
@@ -41,7 +41,8 @@ from .common import BINARY, BOOL, DOUBLE, INT, LONG, Scratch, batches_of, column
 
 SMOOTH, HEAD, NEAR, FAR = 0.1, 1 << 19, 12, 4
 CLASSES = SLOTS = NEAR + FAR
-MOST_ROWS, BLOCK, ROUNDS, STEP, RATE = 1 << 19, 1 << 12, 2, 8192, 0.15
+MOST_ROWS, BLOCK, ROUNDS, STEP, RATE = 1 << 18, 1 << 12, 2, 8192, 0.15
+DEALT = 256  # changes of one block that one task adds up
 PER_MODEL = 1 << 22  # training tokens of a task in a round, at least
 HELD = 10
 END = np.uint64(0x0E4D0F7E47000001)
@@ -210,7 +211,7 @@ class Batch:
         two = before(one)
         two[self.first] = START
         with np.errstate(over="ignore"):
-            self.features = [mixed(one * _M[0]), mixed(two * _M[1] + _M[2]), mixed(one * _M[3] + two * _M[4])]
+            self.features = [mixed(one * _M[0]), mixed(one * _M[3] + two * _M[4]), mixed(two * _M[1] + _M[2])]
         self.at, self.path = vocabulary.place(self.h)
         self.slot = np.where(self.at >= 0, 0, -1)
 
@@ -243,18 +244,23 @@ class Weights:
         return np.clip(x, -60, 60, out=x), rows  # what exp can take
 
     def classes(self, b: Batch, s: slice) -> np.ndarray:
-        features = [f[s] for f in b.features]
-        return softmax(self.logits(np.zeros(len(features[0]), dtype=np.int64), features)[0])
+        return softmax(self.root(b, s)[1])
 
-    def steps(self, b: Batch, s: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For the steps of the paths of some tokens: whose they are, the parts chosen, logits, rows."""
+    def below(self, b: Batch, s: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the steps below the root of the paths of some tokens: whose they are, the parts chosen, logits, rows."""
         v, path = self.vocabulary, b.path[s]
-        depth = v.depth[path]
+        depth = v.depth[path] - 1
         token = np.repeat(np.arange(len(path)), depth)
-        at = np.arange(len(token)) + np.take(v.start[path] - (np.cumsum(depth) - depth), token)
-        x, rows = self.logits(np.take(v.nodes, at), [np.take(f[s], token) for f in b.features])
+        at = np.arange(len(token)) + np.take(v.start[path] + 1 - (np.cumsum(depth) - depth), token)
+        x, rows = self.logits(np.take(v.nodes, at), [np.take(f[s], token) for f in b.features[:2]])
         return token, np.take(v.digits, at), x, rows
 
+    def root(self, b: Batch, s: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The classes of some tokens, logits, rows."""
+        path = b.path[s]
+        x, rows = self.logits(np.zeros(len(path), dtype=np.int64), [f[s] for f in b.features])
+        return self.vocabulary.digits[self.vocabulary.start[path]], x, rows
+
     def descend(self, rows: np.ndarray, error: np.ndarray) -> None:
         """One adaptive step: the errors that meet in a row of weights are summed first. Most are alone in theirs."""
         flat, m = rows.ravel(), len(error)
@@ -277,20 +283,28 @@ class Weights:
 
     def learn(self, b: Batch) -> None:
         for i in range(0, len(b.h), STEP):
-            _, digit, x, rows = self.steps(b, slice(i, i + STEP))
-            np.exp(x, out=x)
-            x *= (1 / x.sum(axis=1))[:, None]
-            x[np.arange(len(x)), digit] -= 1
-            self.descend(rows, x)
+            s = slice(i, i + STEP)
+            for digit, x, rows in (self.root(b, s), self.below(b, s)[1:]):
+                np.exp(x, out=x)
+                x *= (1 / x.sum(axis=1))[:, None]
+                x[np.arange(len(x)), digit] -= 1
+                self.descend(rows, x)
 
     def log10s(self, b: Batch) -> np.ndarray:
         """log10 P of each token, without log10(count + SMOOTH) for tokens outside the head."""
         out = np.empty(len(b.h))
-        for i in range(0, len(b.h), STEP):
-            token, digit, x, _ = self.steps(b, slice(i, i + STEP))
+
+        def logs(digit: np.ndarray, x: np.ndarray) -> np.ndarray:
             chosen = x[np.arange(len(x)), digit]
             np.exp(x, out=x)
-            out[i : i + STEP] = np.bincount(token, (chosen - np.log(x.sum(axis=1))) / np.log(10), len(out[i : i + STEP]))
+            return (chosen - np.log(x.sum(axis=1))) / np.log(10)
+
+        for i in range(0, len(b.h), STEP):
+            s = slice(i, i + STEP)
+            digit, x, _ = self.root(b, s)
+            out[s] = logs(digit, x)
+            token, digit, x, _ = self.below(b, s)
+            out[s] += np.bincount(token, logs(digit, x), len(out[s]))
         far = b.slot < 0
         out[far] -= self.vocabulary.class_logs[b.path[far] - len(self.vocabulary.hashes)]
         return out
@@ -304,6 +318,7 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np
     fields = schema(block=INT, salt=INT, touched=BINARY, change=BINARY)
     # what a task sends is of one size: its share of the documents is not to be smaller than that
     models = max(spark.sparkContext.defaultParallelism, vocabulary.n // (rounds * PER_MODEL))
+    salts = -(-models // DEALT)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums by block: no more than all blocks are held, whatever the number of rows."""
@@ -329,14 +344,16 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np
             for batch in batches_of(batches):
                 w.learn(Batch(known, [token_hashes(t) for t in column(batch, "text")]))
             change = (w.rows - start).astype(np.float16)
-            salt = TaskContext.get().partitionId() % 64
+            salt = TaskContext.get().partitionId() % salts
             for k in range(blocks):
                 s = slice(k * BLOCK, (k + 1) * BLOCK)
                 if w.touched[s].any():
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([w.touched[s].tobytes()], pa.binary()), pa.array([change[s].tobytes()], pa.binary())], fields.names)
 
         mine = docs.where((remainder() != 0) & (F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(rounds)) == r)).select("text")
-        once = mine.coalesce(models).mapInArrow(run, fields).repartition("block", "salt").mapInArrow(added, fields)
+        once = mine.coalesce(models).mapInArrow(run, fields)
+        if salts > 1:
+            once = once.repartition("block", "salt").mapInArrow(added, fields)
         for x in once.repartition("block").mapInArrow(added, fields).collect():  # one row for each block
             s = slice(x.block * BLOCK, (x.block + 1) * BLOCK)
             rows[s] += np.frombuffer(x.change, dtype=np.float16).reshape(BLOCK, SLOTS)
