@@ -75,7 +75,7 @@ def words(text: str | None) -> list[bytes]:
 
 def word_hashes(tokens: list[bytes]) -> np.ndarray:
     h = xxhash.xxh64_intdigest
-    return np.fromiter((h(w) for w in tokens), dtype=np.uint64, count=len(tokens))
+    return np.fromiter(map(h, tokens), dtype=np.uint64, count=len(tokens))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -276,10 +276,16 @@ class Weights:
             self.move(flat[i[first]], gradient, np.diff(np.append(first, len(i))))
 
     def move(self, at: np.ndarray, gradient: np.ndarray, times) -> None:
-        squares = self.squares[at] + np.einsum("ij,ij->i", gradient, gradient) / SLOTS
+        squares = np.take(self.squares, at)
+        squares += np.einsum("ij,ij->i", gradient, gradient) / SLOTS
         self.squares[at] = squares
         self.touched[at] += times
-        self.rows[at] -= gradient * (RATE / np.sqrt(squares))[:, None]
+        gradient *= (RATE / np.sqrt(squares))[:, None]
+        row = f"V{SLOTS * 4}"  # a row as one value, which numpy moves at once
+        whole = self.rows.view(row)[:, 0]
+        moved = np.take(whole, at).view(np.float32).reshape(-1, SLOTS)
+        moved -= gradient
+        whole[at] = moved.view(row)[:, 0]
 
     def learn(self, b: Batch) -> None:
         for i in range(0, len(b.h), STEP):
