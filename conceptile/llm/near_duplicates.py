@@ -14,7 +14,8 @@
 6. A large bucket whose members are now in several components has pairs that no hub has tested. They are tested as in 4 and 5,
    in chunks of bounded size against one another, and only links are returned (pairs within one component change nothing): no
    pair is listed, and no link that shares a bucket is lost. The work for texts that look alike but are no near-duplicates
-   grows with the square of their number; nothing else does.
+   grows with the square of their number (a pair is 128 comparisons of small integers, a member is copied once for each 256);
+   nothing else does.
 
 Copies are never expanded into pairs. Everything between the steps is written to the shared folder.
 
@@ -126,10 +127,10 @@ def bands(classes: DataFrame, rows: int = ROWS) -> DataFrame:
     return classes.select("cid", "sketch").mapInArrow(run, schema(cid=LONG, band=LONG))
 
 
-def lowest(threshold: int) -> float:
+def lowest(threshold: int, deviations: int = DEVIATIONS) -> float:
     """The least estimate at which a pair may still reach the threshold."""
     t = threshold / 100
-    return t - DEVIATIONS * float(np.sqrt(t * (1 - t) / REGISTERS))
+    return t - deviations * float(np.sqrt(t * (1 - t) / REGISTERS))
 
 
 def likely(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
@@ -200,17 +201,22 @@ def hub_pairs(shared: DataFrame) -> DataFrame:
     return both.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).unionByName(all_).distinct()
 
 
-def across(members: DataFrame, threshold: int, rows: int = ROWS) -> DataFrame:
-    """Links (a, b) between members (band, cid, root, n_shingles, sketch, shingles) of one bucket with different roots.
+def across(placed: DataFrame, classes: DataFrame, sets: DataFrame, scratch: Scratch, threshold: int, rows: int = ROWS) -> DataFrame:
+    """Links (a, b) between members (band, cid, root) of one bucket with different roots.
 
     A bucket is cut into chunks of at most about CHUNK members and CHUNK_SHINGLES shingles; each two chunks are one group, which
     compares them in place and returns nothing but links. A pair is tested in the first band that it shares, and no longer once
-    its components are known to be one."""
-    size = members.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    cut = members.join(size, "band").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
+    its components are known to be one. Chunks are dealt while rows are small; sketches and sets follow by class, so that nothing
+    large is ever moved by its bucket."""
+    several = scratch.keep(placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band"), "several")
+    light = scratch.keep(placed.join(several.hint("merge"), "band", "left_semi").join(classes.select("cid", "n_shingles"), "cid"), "members")
+    size = light.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    size = scratch.keep(size, "chunks")
+    cut = light.join(size.hint("merge"), "band").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
     both = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("chunk", k).alias("lo"), F.greatest("chunk", k).alias("hi")))
-    pairs = cut.withColumn("p", F.explode(both)).select("band", "cid", "root", "n_shingles", "sketch", "shingles", "chunk", "p.lo", "p.hi")
-    floor = lowest(threshold)
+    dealt = cut.withColumn("p", F.explode(both)).select("band", "cid", "root", "n_shingles", "chunk", "p.lo", "p.hi")
+    pairs = dealt.join(classes.select("cid", "sketch").join(sets, "cid"), "cid")
+    floor, fewest = lowest(threshold), lowest(threshold, DEVIATIONS + 1) * REGISTERS
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         band, lo, hi = (k.as_py() for k in key)
@@ -219,7 +225,7 @@ def across(members: DataFrame, threshold: int, rows: int = ROWS) -> DataFrame:
         sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
         shingles = group["shingles"].combine_chunks()
         values, at = shingles.values.to_numpy(), shingles.offsets.to_numpy()
-        j = int(np.flatnonzero(band_hashes(sketch[:1], rows)[0] == band)[0])
+        j = int(np.flatnonzero(band_hashes(sketch[:1], rows)[0] == band)[0]) if len(cid) else 0
         root, links = root.copy(), []
         for x in range(len(cid)):
             other = (root != root[x]) & (100 * np.minimum(size, size[x]) >= threshold * np.maximum(size, size[x]))
@@ -228,8 +234,9 @@ def across(members: DataFrame, threshold: int, rows: int = ROWS) -> DataFrame:
             ys = np.flatnonzero(other)
             if len(ys) == 0:
                 continue
-            same = (sketch[ys, : j * rows] == sketch[x, : j * rows]).reshape(len(ys), j, rows).all(axis=2).any(axis=1)
-            ys = ys[~same]
+            equal = sketch[ys] == sketch[x]
+            new = ~equal[:, : j * rows].reshape(len(ys), j, rows).all(axis=2).any(axis=1) & (equal.sum(axis=1) >= fewest)
+            ys = ys[new]
             if len(ys) == 0:
                 continue
             mine = np.broadcast_to(sketch[x], (len(ys), REGISTERS))
@@ -252,8 +259,9 @@ def decided(docs: DataFrame, threshold: int, band_rows: int) -> DataFrame:
     one_each = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = scratch.keep(one_each.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    buckets = bands(classes, band_rows).groupBy("band").agg(F.min("cid").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    shared = scratch.keep(bands(classes, band_rows).join(buckets, "band"), "buckets")
+    # a bucket of any size: counts are summed in each task first, and the join with them is one that Spark splits where it is skewed
+    sizes = scratch.keep(bands(classes, band_rows).groupBy("band").agg(F.min("cid").alias("hub"), F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = scratch.keep(bands(classes, band_rows).join(sizes.hint("merge"), "band"), "buckets")
     wanted = classes.join(shared.select("cid").distinct(), "cid", "left_semi")
     sets = scratch.keep(set_rows(docs, wanted), "sets")
 
@@ -261,9 +269,7 @@ def decided(docs: DataFrame, threshold: int, band_rows: int) -> DataFrame:
     roots = scratch.keep(components(links, scratch), "roots")
 
     placed = shared.where(F.col("n") > HAND).join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("band", "cid", F.coalesce("root", "cid").alias("root"))
-    several = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    members = placed.join(several, "band", "left_semi").join(classes.select("cid", "n_shingles", "sketch"), "cid").join(sets, "cid")
-    more = scratch.keep(across(members, threshold, band_rows), "more-links")
+    more = scratch.keep(across(placed, classes, sets, scratch, threshold, band_rows), "more-links")
     scratch.drop(sets)
 
     name = lambda df, c: df.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(c, F.coalesce(f"r{c}", c)).drop(f"r{c}")
@@ -291,5 +297,20 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: in
     return safe.join(gone, (F.col("_id") == F.col("_gone")) & (F.col("_text") == F.col("_copy")), "left_anti").select("doc.*")
 
 
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: the same groups by whole sets of shingles as strings, all that share one compared
+SQL = rf"""WITH RECURSIVE
+  w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM w),
+  n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+  h AS MATERIALIZED (SELECT doc_id, unnest(s) AS h FROM s),
+  shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM h x JOIN h y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2),
+  link AS (SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+  edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+  reach AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT e.b, r.root FROM reach r JOIN edge e ON e.a = r.doc_id)
+  SELECT doc_id, n AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM reach JOIN n USING (doc_id) GROUP BY doc_id, n"""
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

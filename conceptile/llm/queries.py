@@ -6,6 +6,7 @@ from .decontamination import op10_decontamination
 from .language import op8_language
 from .language_model import op5_language_model
 from .mixing import op6_pfair_mixture
+from .near_duplicates import SQL as NEAR_DUPLICATES_SQL
 from .near_duplicates import op3_near_duplicates
 from .pii import op2_sanitised
 from .quality_rules import op7_quality_rules
@@ -15,4 +16,4 @@ from .token_counts import op4_token_counts
 from .warc import op9_warc_derivatives
 
 QUERIES = {f.__name__: f for f in (op1_jump_sharding, op2_sanitised, op3_near_duplicates, op4_token_counts, op5_language_model, op6_pfair_mixture, op7_quality_rules, op8_language, op9_warc_derivatives, op10_decontamination)}
-SQL = {"op1_jump_sharding": SHARDING_SQL}
+SQL = {"op1_jump_sharding": SHARDING_SQL, "op3_near_duplicates": NEAR_DUPLICATES_SQL}
