@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,30 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.staging import removed, shared_root
 from ..shipping import ship
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; a folder of our own only where that is unset, as in tests on one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='conceptile-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(_remove, spark, root)
-    return root
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session has ended: whoever owns the folder clears it
-        pass
-
-
 class Scratch:
     """Tables written to the shared folder, so that no later step depends on an executor's memory or disk.
 
@@ -49,9 +30,9 @@ class Scratch:
         self.spark, self.paths = spark, {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{scratch_root(self.spark)}/{name}-{uuid.uuid4().hex}"
+        path = f"{shared_root(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
-        atexit.register(_remove, self.spark, path)
+        atexit.register(removed, self.spark, path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
@@ -60,7 +41,7 @@ class Scratch:
         for df in frames:
             path = self.paths.pop(id(df), None)
             if path:
-                _remove(self.spark, path)
+                removed(self.spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

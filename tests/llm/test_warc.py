@@ -79,3 +79,59 @@ def test_defined_cases(spark, table_dir):
 ])
 def test_open_heads_and_elements_leave_the_body(page, text):
     assert plain_text(page) == text
+
+
+def test_whole_table_against_another_parser(spark, sf_dir):
+    """Text, title, language and links of every page, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    hidden = {"script", "style", "noscript", "template", "svg", "head"}
+    breaks = set("br p div h1 h2 h3 h4 h5 h6 li ul ol tr table article section header footer nav aside main blockquote pre dd dt dl form title body html".split())
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.open, self.title, self.in_title, self.links, self.lang = [], [], [], False, [], None
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "title":
+                self.in_title = True
+            if tag in ("a", "area") and dict(attrs).get("href") is not None:
+                self.links.append(" ".join(dict(attrs)["href"].split()))
+            if tag == "html" and self.lang is None:
+                self.lang = dict(attrs).get("lang")
+            if tag in hidden:
+                self.open.append(tag)
+            elif tag in breaks and not self.open:
+                self.out.append("\n")
+
+        def handle_endtag(self, tag):
+            if tag == "title":
+                self.in_title = False
+            if tag in self.open:
+                self.open.remove(tag)
+                self.out.append(" ")
+            elif tag in breaks and not self.open:
+                self.out.append("\n")
+
+        def handle_data(self, data):
+            if self.in_title:
+                self.title.append(data)
+            if not self.open:
+                self.out.append(data.replace("\n", "\n"))
+
+    got = {}
+    for r in op9_warc_derivatives(spark, sf_dir).collect():
+        got[r.page_id, r.record_type] = r.block
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    for r in pages:
+        page = Reader()
+        page.feed(r.html or "")
+        page.close()
+        lines = [" ".join(x.split()) for x in "".join(page.out).split("\n")]
+        assert got[r.page_id, "conversion"].split() == "\n".join(x for x in lines if x).split()
+        fields = [x.split(": ", 1) for x in got[r.page_id, "metadata"].split("\r\n") if x]
+        assert [v for k, v in fields if k == "title"] == ([" ".join("".join(page.title).split())] if page.title else [])
+        assert [v for k, v in fields if k == "lang"] == ([page.lang] if page.lang else [])
+        assert [v for k, v in fields if k == "outlink"] == page.links
+    assert len(got) == 2 * len(pages)
