@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,6 +88,26 @@ def shingle_hashes(wh: np.ndarray, k: int = 5) -> np.ndarray:
         return mixed(out)
 
 
+SIEVE_BITS = 1 << 20
+
+
+def sieve(keys: DataFrame, name: str) -> Callable[[Column], Column]:
+    """Whether a value may be among the keys, as an expression without a shuffle: false for nearly all that aren't, true for all that
+    are. Its table has a fixed size (128 kB, as plans hold it as text), whatever the number of keys; many keys only let more values through. Null isn't a key."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
+    at, bits = bit(F.col(name)) + 1, bytearray(SIEVE_BITS // 8)
+    rows = keys.where(F.col(name).isNotNull()).groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    for r in rows.collect():  # one row for each 4 kB of the table
+        bits[(r.k - 1) * 4096 : r.k * 4096] = r.bits
+    known = F.unhex(F.lit(bits.hex()))
+
+    def may_be(c: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(known, F.floor(bit(c) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+        return c.isNotNull() & (F.bit_get(byte, (bit(c) % 8).cast("int")) == 1)
+
+    return may_be
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.names.index(name)).to_pylist()
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BINARY, LONG, Scratch, batches_of, column, mixed, odd_constants, schema, shingle_hashes, signed, table, word_hashes, words
+from .common import BINARY, LONG, Scratch, batches_of, column, mixed, odd_constants, schema, shingle_hashes, sieve, signed, table, word_hashes, words
 
 REGISTERS, ROWS, BASE, SCALE, TOP = 128, 5, 1.001, 20.0, (1 << 16) - 1
 THRESHOLD = 85  # per cent
@@ -163,12 +163,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     seen = state(e)
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        m = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = scratch.keep(both.join(m, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
-        m = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(m, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(m.select("a", F.col("m").alias("b")))
+        m = scratch.keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")  # a hub's rows are split in the joins
+        large = scratch.keep(both.join(m.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
+        scratch.drop(m)
+        m = scratch.keep(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(m.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(m.select("a", F.col("m").alias("b")))
         after = scratch.keep(small.distinct(), "small-star")
-        scratch.drop(e, large)
+        scratch.drop(e, large, m)
         e, before, seen = after, seen, state(after)
         if seen == before:
             return e.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
@@ -215,7 +216,9 @@ def across(placed: DataFrame, classes: DataFrame, sets: DataFrame, scratch: Scra
     cut = light.join(size.hint("merge"), "band").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
     both = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("chunk", k).alias("lo"), F.greatest("chunk", k).alias("hi")))
     dealt = cut.withColumn("p", F.explode(both)).select("band", "cid", "root", "n_shingles", "chunk", "p.lo", "p.hi")
-    pairs = dealt.join(classes.select("cid", "sketch").join(sets, "cid"), "cid")
+    needed = light.select("cid").distinct()
+    own = lambda df: df.join(needed, "cid", "left_semi")
+    pairs = dealt.join(own(classes.select("cid", "sketch")).join(own(sets), "cid"), "cid")
     floor, fewest = lowest(threshold), lowest(threshold, DEVIATIONS + 1) * REGISTERS
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
@@ -293,8 +296,11 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: in
     least id. Of rows that share an id, only those whose own text is a copy go."""
     gone = decided(docs, threshold, band_rows).where(~F.col("kept") & F.col("doc_id").isNotNull())
     gone = Scratch(spark).keep(gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_copy")).distinct(), "near-duplicates")
+    may_go = sieve(gone, "_gone")
     safe = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))  # whatever the columns are called
-    return safe.join(gone, (F.col("_id") == F.col("_gone")) & (F.col("_text") == F.col("_copy")), "left_anti").select("doc.*")
+    # only documents with an id that may go are joined, and shuffled
+    left = safe.where(may_go(F.col("_id"))).join(gone, (F.col("_id") == F.col("_gone")) & (F.col("_text") == F.col("_copy")), "left_anti")
+    return safe.where(~may_go(F.col("_id"))).unionByName(left).select("doc.*")
 
 
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -120,3 +120,17 @@ def test_a_clean_row_stays_beside_a_copy_with_its_id(spark, docs):
     left = dedup_stage(spark, df, "")
     assert left.columns == df.columns and sorted((r.doc_id, r.text) for r in left.where("text is not null").collect()) == [(1, text(1)), (5, text(2))]
     assert left.count() == 3
+
+
+def test_the_sieve_lets_all_keys_through(spark):
+    from conceptile.llm.common import sieve
+    from pyspark.sql import functions as F
+
+    keys = spark.range(0, 3000, 3).unionByName(spark.createDataFrame([(None,), (-7,), (2**62,)], "id long"))
+    may_be = sieve(keys, "id")
+    df = spark.range(-3000, 3000).unionByName(spark.createDataFrame([(None,), (2**62,)], "id long"))
+    got = {r.id for r in df.where(may_be(F.col("id"))).collect()}
+    want = {i for i in range(0, 3000, 3)} | {-7, 2**62}
+    assert want <= got and len(got - want) < 20 and None not in got
+    assert df.where(~may_be(F.col("id"))).count() == df.count() - len(got)
+    assert df.where(sieve(keys.limit(0), "id")(F.col("id"))).count() == 0
