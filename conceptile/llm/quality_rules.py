@@ -2,9 +2,11 @@
 
 Documents are measured once. Sequential covering then learns, from the counts of good and bad labels by measure and threshold,
 an ordered list of conjunctions that reject: each is grown one condition at a time by information gain on two thirds of the
-labelled rows, cut back to the prefix that does best on the other third, and kept only if it is precise there; what it covers is
-taken away before the next. Every statistic is a grouped count over all labelled rows; the driver sees one row for each measure
-and threshold. The list becomes one conditional expression.
+labelled rows, for as long as there is one, cut back to the prefix that does best on the other third of those that cover ``LEAST_COVER`` bad rows
+and ``LEAST_SHARE`` of all bad ones there, and kept only if ``LEAST_PRECISION`` of what it covers there is bad; what it covers is taken away before the
+next. The first rule that fails this ends the list: neither rules nor conditions are counted. Thresholds lie at the ``CUTS``
+quantiles (approximate ones, to a thousandth) of each measure among the good and among the bad. Every statistic is a grouped count
+over all labelled rows; the driver sees one row for each measure and threshold. The list becomes one conditional expression.
 
 Defined cases: a null or empty text has no words, fails the base rule and is rejected; labels that are null or for unknown
 documents are left out, and a document labelled both ways counts as good; without bad labels the list is empty and only the
@@ -14,15 +16,16 @@ base rule rejects; repeated rows are judged each; other columns are not read.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 from math import log2
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.analyze import once
-from .common import Scratch, table
+from .common import Scratch, sieve, table
 
-SPACE, CUTS, MAX_RULES, MAX_CONDITIONS, LEAST_PRECISION, LEAST_COVER = r"[\x20\x09-\x0D]+", 16, 8, 3, 0.9, 5
+SPACE, CUTS, LEAST_PRECISION, LEAST_COVER, LEAST_SHARE = r"[\x20\x09-\x0D]+", 16, 0.9, 5, 0.001
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MEASURES = ["n_words", "chars_per_word", "symbols_per_word", "dup_line_share", "repeat_share", "distinct_share", "words_per_line"]
 
@@ -84,51 +87,60 @@ def learn_list(labelled: DataFrame) -> list[Rule]:
     cuts = labelled.groupBy("bad").agg(*[F.percentile_approx(m, [(i + 0.5) / CUTS for i in range(CUTS)], 1000).alias(m) for m in MEASURES]).collect()
     if {r.bad for r in cuts} != {True, False}:
         return []
+    scratch = Scratch(labelled.sparkSession)
     at = {m: sorted({x for r in cuts for x in r[m]}) for m in MEASURES}
-    reached = lambda m: F.size(F.filter(F.array(*map(F.lit, at[m])), lambda t: t <= F.col(m)))
-    bins = F.array(*[F.struct(F.lit(m).alias("m"), reached(m).alias("bin")) for m in MEASURES])
-    rules: list[Rule] = []
-
-    def statistics(rule: Rule) -> tuple[dict, list]:
-        left = labelled.filter(verdict(rules, F.col) == 0) if rules else labelled
-        if rule:
-            left = left.filter(verdict([rule], F.col) == 1)
-        side = (F.col("fold") == 0).alias("prune")
-        got = left.select("bad", side, F.explode(bins).alias("x")).groupBy("prune", "x.m", "x.bin", "bad").count().collect()
-        counts: dict = {}
+    place = {m: {t: k for k, t in enumerate(at[m])} for m in MEASURES}
+    # a row's bin in a measure: how many thresholds it reaches; found once, rules are then conditions on whole numbers
+    reached = lambda m: F.size(F.filter(F.array(*map(F.lit, at[m])), lambda t: t <= F.col(m))).alias(m)
+    binned = scratch.keep(labelled.select("bad", (F.col("fold") == 0).alias("prune"), *map(reached, MEASURES)).groupBy("bad", "prune", *MEASURES).count(), "bins")
+    bins = F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).alias("bin")) for m in MEASURES])
+
+    def holds(rule: Rule) -> Column:
+        out = F.lit(True)
+        for c in rule:
+            reaches = F.col(c.measure) > place[c.measure][c.threshold]
+            out = out & (reaches if c.least else ~reaches)
+        return out
+
+    def statistics(left: DataFrame) -> tuple[dict, list]:
+        got = left.select("bad", "prune", "count", F.explode(bins).alias("x")).groupBy("prune", "x.m", "x.bin", "bad").agg(F.sum("count").alias("n")).collect()
+        counts: dict = {(m, p, b): [0] * (len(at[m]) + 1) for m in MEASURES for p in (False, True) for b in (False, True)}
         for r in got:
-            counts[r.m, r.bin, r.prune, r.bad] = r["count"]
-        total = [[sum(n for (m, _, p, b), n in counts.items() if (m, p, b) == (MEASURES[0], side, bad)) for bad in (True, False)] for side in (False, True)]
-        return counts, total
+            counts[r.m, r.prune, r.bad][r.bin] = r.n
+        return counts, [sum(counts[MEASURES[0], False, bad]) for bad in (True, False)]
 
-    while len(rules) < MAX_RULES:
+    rules: list[Rule] = []
+    least_cover = max(LEAST_COVER, LEAST_SHARE * (binned.where("prune and bad").agg(F.sum("count")).first()[0] or 0))
+    rest = binned
+    while True:
         rule: Rule = []
         pruned: list[tuple[int, int]] = []
-        counts, ((p0, n0), _) = statistics([])
-        while len(rule) < MAX_CONDITIONS and p0 and n0:
+        counts, (p0, n0) = statistics(rest)
+        while p0 and n0:
             best = None
             for m in MEASURES:
+                # how many rows are below each threshold, of either kind, in both parts
+                below = {k: list(accumulate(counts[m, *k])) for k in ((False, True), (False, False), (True, True), (True, False))}
                 for k, t in enumerate(at[m]):
                     for least in (True, False):
-                        took = lambda side, bad, m=m, k=k, least=least: sum(counts.get((m, b, side, bad), 0) for b in (range(k + 1, len(at[m]) + 1) if least else range(k + 1)))
-                        p, n = took(False, True), took(False, False)
+                        took = {kind: n[-1] - n[k] if least else n[k] for kind, n in below.items()}
+                        p, n = took[False, True], took[False, False]
                         if p >= LEAST_COVER:
                             gain = p * (log2(p / (p + n)) - log2(p0 / (p0 + n0)))
                             if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
-                                best = (gain, Condition(m, least, t), (took(True, True), took(True, False)))
+                                best = (gain, Condition(m, least, t), (took[True, True], took[True, False]))
             if best is None:
                 break
             rule.append(best[1])
             pruned.append(best[2])
-            counts, ((p0, n0), _) = statistics(rule)
-        value = [(p - n) / (p + n) if p + n else -1.0 for p, n in pruned]
-        if not value:
+            counts, (p0, n0) = statistics(rest.where(holds(rule)))
+        value = [(p - n) / (p + n) if p >= least_cover else -1.0 for p, n in pruned]
+        if not value or max(value) < 2 * LEAST_PRECISION - 1:
             break
         length = value.index(max(value)) + 1
-        p, n = pruned[length - 1]
-        if p < LEAST_COVER or p < LEAST_PRECISION * (p + n):
-            break
         rules.append(rule[:length])
+        rest = rest.where(~holds(rules[-1]))
+    scratch.drop(binned)
     return rules
 
 
@@ -155,9 +167,12 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that base rule and learned list keep, in their own columns; texts are measured again rather than shuffled."""
-    scratch = Scratch(spark)
-    labelled = scratch.keep(labelled_rows(measured(docs.select("doc_id", "text")).drop("text"), table(spark, sf_dir, "labels")), "labelled")
+    """The documents that base rule and learned list keep, in their own columns. Only those with labels are measured to learn the list;
+    all are measured when it is applied, so that no copy of the documents is written."""
+    scratch, labels = Scratch(spark), table(spark, sf_dir, "labels")
+    has_label = sieve(labels.where("quality is not null"), "doc_id")
+    named = docs.select("doc_id", "text").where(has_label(F.col("doc_id")))  # and few others, which labels are not joined with
+    labelled = scratch.keep(labelled_rows(measured(named).drop("text"), labels), "labelled")
     rules = learn_list(labelled)
     scratch.drop(labelled)
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), "text")  # whatever the columns are called
