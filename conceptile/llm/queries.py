@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .collocations import SQL as COLLOCATIONS_SQL
+from .collocations import op12_collocations
 from .decontamination import op10_decontamination
 from .filter_audit import SQL as FILTER_AUDIT_SQL
 from .filter_audit import op13_filter_audit
@@ -17,5 +19,5 @@ from .sharding import op1_jump_sharding
 from .token_counts import op4_token_counts
 from .warc import op9_warc_derivatives
 
-QUERIES = {f.__name__: f for f in (op1_jump_sharding, op2_sanitised, op3_near_duplicates, op4_token_counts, op5_language_model, op6_pfair_mixture, op7_quality_rules, op8_language, op9_warc_derivatives, op10_decontamination, op13_filter_audit)}
-SQL = {"op1_jump_sharding": SHARDING_SQL, "op3_near_duplicates": NEAR_DUPLICATES_SQL, "op13_filter_audit": FILTER_AUDIT_SQL}
+QUERIES = {f.__name__: f for f in (op1_jump_sharding, op2_sanitised, op3_near_duplicates, op4_token_counts, op5_language_model, op6_pfair_mixture, op7_quality_rules, op8_language, op9_warc_derivatives, op10_decontamination, op12_collocations, op13_filter_audit)}
+SQL = {"op1_jump_sharding": SHARDING_SQL, "op3_near_duplicates": NEAR_DUPLICATES_SQL, "op12_collocations": COLLOCATIONS_SQL, "op13_filter_audit": FILTER_AUDIT_SQL}
