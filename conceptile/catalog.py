@@ -21,6 +21,7 @@ from .operators import index as I
 from .operators import vectors as V
 from .operators.staging import fresh, kept
 from .plans.corpus import annotated
+from .sources import dump as D
 from .sources import files as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -545,6 +546,28 @@ def find_article(spark, d):
     return S.find_article(p.select("p_partkey", "p_name", F.col("p_name").alias("title")).orderBy("p_partkey"), first).select("p_partkey", "p_name")
 
 
+def _dump(spark, d) -> str:
+    """The articles as a multistream dump, written once for an application and a folder."""
+    at = (spark.sparkContext.applicationId, d, "dump")
+    if at not in _STORED:
+        _STORED[at] = fresh(spark, "dump")
+        D.write_dump(_articles(spark, d).select("title", "text").repartition("title"), _STORED[at])
+    return _STORED[at]
+
+
+@query("dump_multistream", _sql(_ARTICLES, "SELECT title, text FROM art"))
+def dump_multistream(spark, d):
+    """The articles as they come back from ranges of the dump's files."""
+    return D.read_dump(spark, _dump(spark, d), splitBytes=1 << 16).select("title", "text")
+
+
+@query("dump_lookup", _sql(_ARTICLES, "SELECT title, text FROM art WHERE title = (SELECT max(title) FROM art)"))
+def dump_lookup(spark, d):
+    """One title, by the index and its one stream."""
+    last = _articles(spark, d).agg(F.max("title")).first()[0]
+    return D.find_in_dump(spark, _dump(spark, d), last).select("title", "text")
+
+
 # ------------------------------------------------------------------------------------------------- preprocessors and quality
 
 
