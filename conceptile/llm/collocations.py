@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +25,20 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BOOL, INT, LONG, STRING, Scratch, batches_of, column, mixed, odd_constants, schema, table
+from .common import BOOL, LONG, STRING, Scratch, batches_of, column, mixed, odd_constants, schema, signed, table
 
 LONGEST, LEAST, HELD, TOP = 4, 30, 80, 2000
 SLOTS, HOT = 1 << 19, 1 << 18
-TEXT, VOCABULARY, FRAGMENTS = 1 << 22, 1 << 20, 1 << 21  # bytes, words and fragments that a task holds at a time
+TEXT, VOCABULARY, FRAGMENTS = 1 << 22, 1 << 19, 1 << 21  # bytes, words and fragments that a task holds at a time
+SENT, MINED = 1 << 17, 1 << 17  # fragments that it writes, and takes phrases from, at a time
 #: fixed values: what ends a piece of text, besides the full stop
 ENDS = b",;:!?\n\x0b\x0c\r"
 _STOP = b"."
 _ENDS = bytes.maketrans(ENDS, _STOP * len(ENDS))
-_MIX = odd_constants(3, 41)
+_MIX = odd_constants(2, 41)
+BYTE = T.ByteType()
 
 
 def tokens(texts: list[bytes]) -> list[bytes]:
@@ -147,7 +149,8 @@ def hashes(langs: list[str], words: list[bytes]) -> np.ndarray:
 
 
 def fragments(docs: DataFrame, common: np.ndarray, least: int = LEAST, longest: int = LONGEST, hot: int = HOT) -> DataFrame:
-    """(lang, pivot, deal, dealt, words, at, n): the stretches around pivots with how often they stand; ``at`` is the pivot's place."""
+    """(lang, key, dealt, words, at, n): the stretches around pivots with how often they stand. ``key`` is a hash of the pivot (and of the deal of
+    a hot one), ``at`` its place."""
     reach, size = longest - 1, common.shape[1]
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -186,11 +189,11 @@ def fragments(docs: DataFrame, common: np.ndarray, least: int = LEAST, longest:
         def full(self) -> bool:
             return self.n > FRAGMENTS or len(self.words) > VOCABULARY
 
-        def out(self) -> pa.RecordBatch | None:
+        def out(self) -> Iterator[pa.RecordBatch]:
             x = np.concatenate(self.parts, axis=1)
             self.parts, self.n = [], 0
             if not x.shape[1]:
-                return None
+                return
             with np.errstate(over="ignore"):
                 h = np.zeros(x.shape[1], dtype=np.uint64)
                 for row in x:
@@ -201,68 +204,116 @@ def fragments(docs: DataFrame, common: np.ndarray, least: int = LEAST, longest:
             first = np.flatnonzero(np.append(True, (x[:, 1:] != x[:, :-1]).any(axis=0)))  # equal hashes of different fragments only cost a row
             n = np.diff(np.append(first, x.shape[1]))
             x, h = x[:, first], h[order][first]
-            names = strings(list(self.words))
+            del order
+            names, deals = strings(list(self.words)), -(-self.count // hot)
+            for k in range(0, len(n), SENT):
+                yield self.batch(names, deals, x[:, k : k + SENT], h[k : k + SENT], n[k : k + SENT])
+
+        def batch(self, names: pa.Array, deals: np.ndarray, x: np.ndarray, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             cells = [names.take(pa.array(row, mask=row == 0)) for row in x]
             joined = pc.binary_join_element_wise(*cells, " ", null_handling="skip")
             pivot = x[reach]
-            deals = -(-self.count[pivot] // hot)
-            deal = (mixed(h) % deals.astype(np.uint64)).astype(np.int32)
-            at = (x[:reach] > 0).sum(axis=0)
-            return pa.RecordBatch.from_arrays([pa.array([self.lang] * len(n)), cells[reach], pa.array(deal), pa.array(deals > 1), joined, pa.array(at.astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "pivot", "deal", "dealt", "words", "at", "n"])
+            many = deals[pivot].astype(np.uint64)
+            with np.errstate(over="ignore"):
+                key = mixed(self.rank[pivot] * _MIX[1] + mixed(h) % many)
+            at = (x[:reach] > 0).sum(axis=0).astype(np.int8)
+            return pa.RecordBatch.from_arrays([pa.array([self.lang] * len(n)), pa.array(signed(key)), pa.array(many > 1), joined, pa.array(at), pa.array(n.astype(np.int64))], ["lang", "key", "dealt", "words", "at", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {}
         for lang, texts in by_language(batches):
             mine = held.setdefault(lang, Held(lang))
             mine.add(texts)
-            if mine.full() or sum(x.n for x in held.values()) > 2 * FRAGMENTS:
-                for x in [mine] if mine.full() else list(held.values()):
-                    yield from filter(None, [x.out()])
-                    del held[x.lang]
+            if mine.full() or sum(x.n for x in held.values()) > FRAGMENTS:
+                for x in list(held.values()):
+                    yield from x.out()
+                held = {}
         for x in held.values():
-            yield from filter(None, [x.out()])
-
-    return given(docs).mapInArrow(run, schema(lang=STRING, pivot=STRING, deal=INT, dealt=BOOL, words=STRING, at=INT, n=LONG))
-
-
-def owned(words: str, at: int, longest: int = LONGEST) -> Iterator[str]:
-    """The phrases of a fragment, of two words or more, that hold the pivot at ``at``."""
-    w = words.split(" ")
-    for i in range(at + 1):
-        for j in range(max(at + 1, i + 2), min(len(w), i + longest) + 1):
-            yield " ".join(w[i:j])
+            yield from x.out()
+
+    return given(docs).mapInArrow(run, schema(lang=STRING, key=LONG, dealt=BOOL, words=STRING, at=BYTE, n=LONG))
+
+
+def owned(x: np.ndarray, size: np.ndarray, at: np.ndarray, longest: int = LONGEST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The phrases, of two words or more, of fragments that hold the pivot: (fragments' numbers, their words, a column each). ``x`` has the fragments'
+    words, each from the left."""
+    for length in range(2, longest + 1):
+        for before in range(length):
+            first = at - before
+            some = np.flatnonzero((first >= 0) & (first + length <= size))
+            if len(some):
+                yield some, np.stack([x[first[some] + i, some] for i in range(length)])
+
+
+def counted(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different columns of word numbers, with the sums of their counts."""
+    if x.max() < 1 << 16:
+        key = np.zeros(x.shape[1], dtype=np.uint64)
+        for row in x:
+            key = key << np.uint64(16) | row.astype(np.uint64)
+        order = np.argsort(key)
+        new = np.append(True, key[order][1:] != key[order][:-1])
+    else:
+        order = np.lexsort(x)
+        y = x[:, order]
+        new = np.append(True, (y[:, 1:] != y[:, :-1]).any(axis=0))
+    first = np.flatnonzero(new)
+    return x[:, order[first]], np.add.reduceat(n[order], first)
 
 
 def mined(parts: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
-    """(lang, phrase, n) of the phrases that are frequent; a task holds the fragments of one pivot, or of one deal of a hot one's."""
+    """(lang, phrase, n) of the phrases that are frequent. A task takes the fragments pivot by pivot, some pivots at a time, each whole (or
+    one deal of a hot one's, whose counts are still parts)."""
+    columns = ["lang", "dealt", "words", "at", "n"]
+
+    def found(lang: str, dealt: bool, some: pa.Table) -> Iterator[pa.RecordBatch]:
+        lists = pc.split_pattern(some["words"], " ").combine_chunks()
+        words = lists.flatten().dictionary_encode()
+        size = lists.value_lengths().to_numpy(zero_copy_only=False)
+        begins = np.cumsum(size) - size
+        ids = words.indices.to_numpy()
+        x = np.zeros((int(size.max()), len(size)), dtype=np.int64)
+        for i in range(len(x)):
+            has = size > i
+            x[i, has] = ids[begins[has] + i]
+        n, at = some["n"].to_numpy(), some["at"].to_numpy().astype(np.int64)
+        by_length = {}
+        for rows, phrase in owned(x, size, at, longest):
+            by_length.setdefault(len(phrase), []).append((phrase, n[rows]))
+        for same in by_length.values():
+            phrase, many = counted(np.concatenate([p for p, _ in same], axis=1), np.concatenate([m for _, m in same]))
+            keep = np.ones(len(many), dtype=bool) if dealt else many >= least
+            if keep.any():
+                cells = [words.dictionary.take(pa.array(row)) for row in phrase[:, keep]]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * int(keep.sum())), pc.binary_join_element_wise(*cells, " "), pa.array(many[keep])], ["lang", "phrase", "n"])
+
+    def chunk(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        kinds = table.select(["lang", "dealt"]).group_by(["lang", "dealt"]).aggregate([]).to_pylist()
+        for kind in kinds:
+            mine = pc.and_(pc.equal(table["lang"], kind["lang"]), pc.equal(table["dealt"], kind["dealt"]))
+            yield from found(kind["lang"], kind["dealt"], table.filter(mine))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for b in batches:
-                yield from zip(*(column(b, c) for c in ("lang", "pivot", "deal", "dealt", "words", "at", "n")), strict=True)
-
-        langs, phrases, counts = [], [], []
-        for (lang, _, _, dealt), group in groupby(rows(), key=lambda r: r[:4]):
-            mine = [r[4:] for r in group]
-            if not dealt and sum(r[2] for r in mine) < least:
+        held, size, last = [], 0, None
+        for b in batches:
+            if not b.num_rows:
                 continue
-            found = defaultdict(int)
-            for words, at, n in mine:
-                for phrase in owned(words, at, longest):
-                    found[phrase] += n
-            for phrase, n in found.items():
-                if dealt or n >= least:
-                    langs.append(lang)
-                    phrases.append(phrase)
-                    counts.append(n)
-            if len(langs) > 1 << 16:
-                yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(phrases), pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
-                langs, phrases, counts = [], [], []
-        if langs:
-            yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(phrases), pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
-
-    key = ["lang", "pivot", "deal"]
-    local = parts.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema(lang=STRING, phrase=STRING, n=LONG))
+            key = b.column(b.schema.names.index("key")).to_numpy()
+            changes = np.flatnonzero(key[1:] != key[:-1]) + 1
+            edge = 0 if last is not None and key[0] != last else int(changes[0]) if len(changes) else None
+            own = b.select(columns)
+            if size >= MINED and edge is not None:  # the last pivot ends here
+                yield from chunk([*held, own.slice(0, edge)])
+                own = own.slice(edge)
+                held, size = [], 0
+            held.append(own)
+            size += own.num_rows
+            last = key[-1]
+        if held:
+            yield from chunk(held)
+
+    local = parts.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema(lang=STRING, phrase=STRING, n=LONG))
     return local.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
