@@ -12,13 +12,16 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import lexer as L
 from .functions import text as T
 from .functions.weights import WeightSpec, bm25, true_bm25_idf, true_tf_idf
 from .operators import analyze as A
 from .operators import evaluate as E
 from .operators import graph as G
+from .operators import impact as P
 from .operators import index as I
 from .operators import vectors as V
+from .operators.segments import Segments
 from .operators.staging import fresh, kept
 from .plans.corpus import annotated
 from .sources import dump as D
@@ -176,7 +179,7 @@ query("tok_length", _counts_sql(_RAW.format(t="lower(text)", p=WORD), "WHERE len
 query("tok_ascii", _counts_sql(_RAW.format(t=f"lower({_FOLD})", p=WORD)))(_analysed(A.AnalyzerSpec(ascii=True)))
 query("tok_singular", _counts_sql(_RAW.format(t="lower(text)", p=WORD), term=_SINGULAR))(_analysed(A.AnalyzerSpec(singular=True)))
 query("tok_classic", _counts_sql(_RAW.format(t="lower(text)", p=T.CLASSIC_TOKEN.replace("'", "''")), term=_CLASSIC))(_analysed(A.AnalyzerSpec(pattern=T.CLASSIC_TOKEN, classic=True)))
-query("tok_types", _counts_sql(_RAW.format(t=r"lower(regexp_replace(text, '\[?\bhttps?://[^\s\]]+\]?', ' ', 'g'))", p=WORD)))(_analysed(A.AnalyzerSpec(drop_links=True)))
+query("tok_types", _counts_sql(_RAW.format(t=r"lower(regexp_replace(text, '\[?\bhttps?://[^\s\]]+\]?', ' ', 'g'))", p=WORD)))(_analysed(A.AnalyzerSpec(drop_types=L.STOPPED)))
 query("stopwords", _counts_sql(_RAW.format(t="lower(text)", p=WORD), f"WHERE term NOT IN ({_STOPS})"))(_analysed(A.AnalyzerSpec(stop_words=frozenset(STOP))))
 query("dictionary", _counts_sql(_RAW.format(t="lower(text)", p=WORD), f"WHERE term IN ({_STOPS})"))(_analysed(A.AnalyzerSpec(dictionary=frozenset(STOP))))
 query("analyze", _sql("", f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {_SINGULAR} AS term FROM ({_RAW.format(t=f'lower({_FOLD})', p=WORD)})) WHERE length(term) BETWEEN 3 AND 1000 AND term NOT IN ({_STOPS}) GROUP BY 1, 2"))(_analysed(A.AnalyzerSpec(ascii=True, singular=True, min_length=3, stop_words=frozenset(STOP))))
@@ -244,6 +247,14 @@ def bm25_tf(spark, d):
     return x.select("doc_id", "term", F.round(bm25(F.col("tf").cast("double"), F.col("dl"), F.col("avg_dl")), 6).alias("x"))
 
 
+def _impact(spark, d) -> P.ImpactIndex:
+    """The index's postings by impact, stored once for an application and a folder."""
+    at = (spark.sparkContext.applicationId, d, "impact")
+    if at not in _STORED:
+        _STORED[at] = P.ImpactIndex.save(_scores(_index(spark, d)), fresh(spark, "impact"))
+    return _STORED[at]
+
+
 @query("build_index", _sql(f"{_BASE}, {_weights('ltc')}", "SELECT doc_id, term, score, row_number() OVER (PARTITION BY term ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, term, round(score, 6) AS score FROM post)"))
 def build_index(spark, d):
     """Built from the texts, whatever is stored."""
@@ -258,6 +269,32 @@ def index_roundtrip(spark, d):
     return _r(_scores(I.Index.load(spark, path)), "score")
 
 
+def _where(sql: str, rows: str) -> str:
+    """The same query over other documents."""
+    return sql.replace("FROM documents", f"FROM ({rows}) AS documents")
+
+
+@query("index_append", SQL["w_ltc"])
+def index_append(spark, d):
+    """An index of three batches, of which one is given twice."""
+    grown, docs = Segments(spark, fresh(spark, "segments")), _docs(spark, d)
+    for i in (0, 1, 2, 1):
+        grown.append(docs.where(f"doc_id % 3 = {i}"), f"batch-{i}")
+    return _r(_scores(grown.index()), "score")
+
+
+@query("index_delete", _where(SQL["w_ltc"], "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'a new text ' || text ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3"))
+def index_delete(spark, d):
+    """An index of which documents were deleted and others given again, after a compaction and one more deletion."""
+    grown, docs = Segments(spark, fresh(spark, "segments")), _docs(spark, d)
+    grown.append(docs, "all")
+    grown.delete(docs.where("doc_id % 14 = 3").select("doc_id"), "some")
+    grown.append(docs.where("doc_id % 5 = 0 and doc_id % 7 <> 3").withColumn("text", F.concat(F.lit("a new text "), "text")), "again")
+    grown.compact("merged")
+    grown.delete(docs.where("doc_id % 14 = 10").select("doc_id"), "more")
+    return _r(_scores(grown.index()), "score")
+
+
 @query("sim_true_tfidf", _sql(_BASE, "SELECT doc_id, term, round(tf * (CAST(n - df AS DOUBLE) / df), 6) AS score FROM tf JOIN df USING (term) CROSS JOIN st"))
 def sim_true_tfidf(spark, d):
     counts = A.term_counts(_docs(spark, d))
@@ -307,6 +344,18 @@ def vector_topk(spark, d):
     return _r(_top(spark, d), "score")
 
 
+@query("topk_early", SQL["vector_topk"])
+def topk_early(spark, d):
+    """The same from blocks of postings by impact, as far as they can matter."""
+    return _r(_impact(spark, d).best(V.query_weights(_items(spark, d), _index(spark, d)), 100), "score")
+
+
+@query("prune_stored", SQL["prune_window"])
+def prune_stored(spark, d):
+    """Pruning by the ranks that are stored."""
+    return _r(_impact(spark, d).pruned(WINDOW, DROP), "score")
+
+
 @query("vector_merge", _sql(_TOP, "SELECT a AS item_id, doc_id, round(sum(score), 6) AS score FROM (SELECT item_id - item_id % 2 AS a, doc_id, score FROM top) GROUP BY 1, 2"))
 def vector_merge(spark, d):
     """Vectors of neighbouring items added up."""
@@ -568,6 +617,29 @@ def dump_lookup(spark, d):
     return D.find_in_dump(spark, _dump(spark, d), last).select("title", "text")
 
 
+def _marked(spark, d) -> DataFrame:
+    """(p_partkey, text): a page of markup for every part."""
+    k = F.col("p_partkey").cast("string")
+    parts = ["== ", "p_name", " ==\nSee [[Supplier_", k, "|the ", "p_type", "]] or [http://x.org/", k, " home of it], https://y.org/a?b=", k, " <ref name='q'>cited ", "p_brand", " http://z.org/</ref><ref name='q' /> [[Category: ", "p_brand", "|k]]\n[[open ", k, " <ref>also open"]
+    return _t(spark, d, "part").select("p_partkey", F.concat(*[x if not isinstance(x, str) or x.startswith("p_") else F.lit(x) for x in parts]).alias("text"))
+
+
+_MARKED = """x AS (SELECT p_partkey, unnest([['heading', p_name], ['word', 'See'], ['link', 'Supplier ' || p_partkey || ' the ' || p_type], ['word', 'or'], ['url', 'http://x.org/' || p_partkey], ['external_link', 'home of it'],
+  ['url', 'https://y.org/a?b=' || p_partkey], ['citation', 'cited ' || p_brand || ' http z org'], ['category', p_brand || ' k'], ['word', 'open ' || p_partkey || ' ref also open']]) AS x FROM part),
+  y AS (SELECT p_partkey, x[1] AS type, unnest(CASE WHEN x[1] = 'url' THEN [x[2]] ELSE regexp_extract_all(x[2], '[\\p{L}\\p{N}]+') END) AS term FROM x)"""
+
+
+@query("typed_tokens", _sql(_MARKED, "SELECT p_partkey, type, term, count(*) AS n FROM y GROUP BY ALL"))
+def typed_tokens(spark, d):
+    """The tokens of the parts' pages by type."""
+    return _marked(spark, d).select("p_partkey", F.explode(L.lexed(F.col("text"))).alias("t")).groupBy("p_partkey", "t.type", "t.term").agg(F.count("*").alias("n"))
+
+
+@query("link_analyzer", _sql("", "SELECT p_partkey, concat_ws(' ', array_to_string(regexp_extract_all(p_name, '[\\p{L}\\p{N}]+'), ' '), 'See', 'Supplier_' || p_partkey || '|the ' || p_type, 'or', array_to_string(regexp_extract_all(p_brand, '[\\p{L}\\p{N}]+'), ' '), 'k open', p_partkey, 'ref also open') AS terms FROM part"))
+def link_analyzer(spark, d):
+    return _marked(spark, d).select("p_partkey", F.array_join(L.link_analyzer(F.col("text")), " ").alias("terms"))
+
+
 # ------------------------------------------------------------------------------------------------- preprocessors and quality
 
 

@@ -7,19 +7,20 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexer as L
 from ..functions import text as T
 from .staging import spread
 
 
 @dataclass(frozen=True)
 class AnalyzerSpec:
-    """What the chain does, in its fixed order: preprocess, tokenise, drop types, fold, lower, classic, singular, length,
-    dictionary, stop words, stem. Word lists of this size go into the plan; lists that grow with the data are joined, see
+    """What the chain does, in its fixed order: preprocess, tokenise, drop types (by the lexer of markup, if there are any), fold,
+    lower, classic, singular, length, dictionary, stop words, stem. Word lists of this size go into the plan; lists that grow with the data are joined, see
     ``without_terms`` and ``only_terms``."""
 
     preprocess: tuple[str, ...] = ()
     pattern: str = T.TOKEN
-    drop_links: bool = False
+    drop_types: tuple[str, ...] = ()
     ascii: bool = False
     lower: bool = True
     classic: bool = False
@@ -31,14 +32,17 @@ class AnalyzerSpec:
 
     def tokens(self, text: Column) -> Column:
         text = T.preprocessor(self.preprocess)(F.coalesce(text, F.lit("")))
-        if self.drop_links:  # external links, their addresses and citations
-            text = F.regexp_replace(text, r"(?is)<ref\b[^>]*/>|<ref\b.*?</ref>|\[?\bhttps?://[^\s\]]+\]?", " ")
+        each = []
         if self.ascii:
-            text = T.folded(text)
+            each.append(T.folded)
         if self.lower:
-            text = F.lower(text)
-        out = T.tokens(text, self.pattern)
-        each = []
+            each.append(F.lower)
+        if self.drop_types:  # tokens are folded, not the text, as the lexer reads markup as it is
+            out = L.terms(L.without_types(L.lexed(text, self.pattern), self.drop_types))
+        else:
+            for f in each:
+                text = f(text)
+            out, each = T.tokens(text, self.pattern), []
         if self.classic:
             each.append(T.classic)
         if self.singular:
