@@ -17,6 +17,7 @@ from .functions import text as T
 from .functions.weights import WeightSpec, bm25, true_bm25_idf, true_tf_idf
 from .operators import analyze as A
 from .operators import evaluate as E
+from .operators import expand as X
 from .operators import graph as G
 from .operators import impact as P
 from .operators import index as I
@@ -736,3 +737,18 @@ def expand_templates(spark, d):
     bodies = spark.createDataFrame([("greet", "hello {{{who}}} {{inner|{{{2}}}}}!"), ("inner", "of {{{1|nobody}}}")], "name string, body string")
     table = TemplateTable(spark, bodies)
     return _templated(spark, d).select("c_custkey", table.expanded(F.col("text"), F.col("title")).alias("text"))
+
+
+@query("expand_joined", _sql("", "SELECT c_custkey, 'C' || c_custkey AS title, 'hello ' || c_name || ' of ' || c_mktsegment || '! from ' || n_name || ' in ' || r_name || ' 1 at C' || c_custkey AS text FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"))
+def expand_joined(spark, d):
+    """Every nation and region has a template; each customer's text names its nation's, which names its region's by a parameter."""
+    n, r = _t(spark, d, "nation"), _t(spark, d, "region")
+    key = lambda c: F.col(c).cast("string")
+    bodies = n.select(F.concat(F.lit("n"), key("n_nationkey")).alias("name"), F.concat(F.lit("from "), "n_name", F.lit(" {{in|r"), key("n_regionkey"), F.lit("}}")).alias("body"))
+    bodies = bodies.unionByName(r.select(F.concat(F.lit("r"), key("r_regionkey")).alias("name"), F.concat("r_name", F.lit(" {{{1}}}")).alias("body")))
+    fixed = [("greet", "hello {{{who}}} {{inner|{{{2}}}}}!"), ("inner", "of {{{1|nobody}}}"), ("in", "in {{ {{{1}}} |1}}")]
+    bodies = bodies.unionByName(spark.createDataFrame(fixed, "name string, body string"))
+    c = _t(spark, d, "customer")
+    text = F.concat(F.lit("{{greet|who="), "c_name", F.lit("|"), "c_mktsegment", F.lit("}} {{n"), key("c_nationkey"), F.lit("}} at {{PAGENAME}}"))
+    pages = c.select("c_custkey", F.concat(F.lit("C"), key("c_custkey")).alias("title"), text.alias("text"))
+    return X.expanded_pages(pages, bodies)
