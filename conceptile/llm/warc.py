@@ -1,6 +1,7 @@
 """WARC records, and a derivative builder that turns responses into linked metadata and plain-text conversion records.
 
-A record is a row of RECORD: its type, id, what it refers to, target, date, content type, further headers and the block's bytes.
+A record is a row of RECORD: its type, id, what it refers to, target, date, content type, further headers and the block's bytes. A
+header that a record has several times is one entry with a line for each.
 ``derivatives`` makes two records of each response: a ``metadata`` record (application/warc-fields) with the source's HTTP status
 and headers, its digests and what was found in it (title, language, links), and a ``conversion`` record (text/plain) with the
 text. Both carry WARC-Refers-To with the id, target and date of the response; their ids follow from that id, so that a lost
@@ -9,7 +10,8 @@ executor's work gives the same records again. Everything is narrow: one pass, no
 ``serialised`` writes records as WARC/1.1 (a gzip member each, as archives do), ``parsed`` and ``read_warc`` read them back.
 
 Defined cases: a null payload is an empty one; a null url leaves out the target headers; a response that isn't HTML or text has
-a metadata record only; a block that is no HTTP message is taken as HTML; records that aren't responses are passed over;
+a metadata record only, and so has one whose transfer or content encoding can't be undone (``not-converted`` says why); encodings are
+undone for the text, and digests are of the payload as sent and as decoded; a block that is no HTTP message is taken as HTML; records that aren't responses are passed over;
 repeated rows give repeated records; an empty table gives no rows; other columns are not read.
 """
 
@@ -51,7 +53,12 @@ _IN_HEAD = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title
 _END = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "noscript", "template", "svg", "title")}
 _BREAK = re.compile(r"<(?:br|/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|aside|main|blockquote|pre|dd|dt|dl|form|title|body|html))\b[^<>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^<>]*>")
-_TITLE = re.compile(r"<title\b[^<>]*>(.*?)</title\s*>", re.S | re.I)
+_TITLE = re.compile(r"<title\b[^<>]*>", re.I)
+_HEAD_END = re.compile(rb"\r\n\r\n|\n\n")
+_CHUNK = re.compile(rb"([0-9a-fA-F]{1,15})[ \t]*(?:;[^\n]*)?\r?\n")
+_META = re.compile(rb"<meta\b[^<>]*?\bcharset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+#: fixed values: byte-order marks
+_MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
 _LANG = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _LINK = re.compile(r"<(?:a|area)\b[^<>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -102,40 +109,109 @@ def plain_text(page: str) -> str:
     return "\n".join(x for x in map(spaced, lines) if x)
 
 
-def http_message(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
-    """Status, headers (names lower-cased) and payload."""
+def http_message(block: bytes) -> tuple[int | None, list[tuple[str, str]], bytes]:
+    """Status, headers in order (names lower-cased; a name may come several times, a folded value is one) and payload as sent."""
     if not block.startswith(b"HTTP/"):
-        return None, {}, block
-    head, _, payload = block.partition(b"\r\n\r\n")
-    first, *rest = head.decode("utf-8", "replace").split("\r\n")
+        return None, [], block
+    end = _HEAD_END.search(block)
+    head, payload = (block[: end.start()], block[end.end() :]) if end else (block, b"")
+    first, *rest = head.decode("utf-8", "replace").splitlines()
     status = first.split(" ")[1:2]
-    return int(status[0]) if status and status[0].isdigit() else None, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in rest)}, payload
+    headers: list[tuple[str, str]] = []
+    for line in rest:
+        if line[:1] in " \t" and headers:
+            headers[-1] = headers[-1][0], f"{headers[-1][1]} {line.strip()}"
+        else:
+            name, _, value = line.partition(":")
+            headers.append((name.strip().lower(), value.strip()))
+    return int(status[0]) if status and status[0].isdigit() else None, headers, payload
+
+
+def unchunked(data: bytes) -> bytes:
+    """The body without its chunks' sizes; one that doesn't begin with a size was put together before it was stored."""
+    out, at = [], 0
+    while m := _CHUNK.match(data, at):
+        size = int(m[1], 16)
+        if not size:
+            return b"".join(out)
+        at = m.end() + size
+        if at > len(data):
+            raise ValueError("a chunk is cut off")
+        out.append(data[m.end() : at])
+        at += 2 if data.startswith(b"\r\n", at) else 1 if data.startswith(b"\n", at) else 0
+    if out:
+        raise ValueError("a chunk has no size")
+    return data
+
+
+def decoded(payload: bytes, headers: list[tuple[str, str]]) -> bytes:
+    """The payload without its transfer and content encodings, an error where that can't be done. A body that doesn't look encoded, as it was
+    decoded before it was stored, is taken as it is."""
+    named = lambda name: [x.strip().lower() for k, v in headers if k == name for x in v.split(",") if x.strip()]
+    for coding in [*reversed(named("transfer-encoding")), *reversed(named("content-encoding"))]:
+        if coding == "chunked":
+            payload = unchunked(payload)
+        elif coding in ("gzip", "x-gzip"):
+            payload = gzip.decompress(payload) if payload.startswith(b"\x1f\x8b") else payload
+        elif coding == "deflate":
+            try:
+                payload = zlib.decompress(payload)
+            except zlib.error:
+                payload = zlib.decompress(payload, -zlib.MAX_WBITS)
+        elif coding not in ("identity", "none"):
+            raise ValueError(f"unknown encoding {coding}")
+    return payload
+
+
+def charset_of(data: bytes, rest: str, is_html: bool) -> str:
+    """By a byte-order mark, else the header's parameter, else for HTML what a meta tag in the first kilobyte says, else UTF-8."""
+    for mark, name in _MARKS:
+        if data.startswith(mark):
+            return name
+    said = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", rest, re.I)
+    if not said and is_html and (m := _META.search(data[:1024])):
+        return m[1].decode("ascii")
+    return said[1] if said else "utf-8"
+
+
+def title_of(page: str) -> str | None:
+    """What the first title tag that is closed holds; the close is looked for once."""
+    start = _TITLE.search(page)
+    end = _END["title"].search(page, start.end()) if start else None
+    return page[start.end() : end.start()] if end else None
 
 
 def derive(source: dict) -> list[dict]:
     """The records made of one response."""
     status, headers, payload = http_message(source["block"] or b"")
-    kind, _, rest = headers.get("content-type", "text/html").partition(";")
-    charset = re.search(r"charset\s*=\s*\"?([\w-]+)", rest, re.I)
+    kind, _, rest = next((v for k, v in headers if k == "content-type"), "text/html").partition(";")
+    is_html, is_text = kind.strip().lower() in ("text/html", "application/xhtml+xml"), kind.strip().lower().startswith("text/")
     try:
-        text = payload.decode(charset[1] if charset else "utf-8", "replace")
+        body, why = decoded(payload, headers), None
+    except (ValueError, EOFError, OSError, zlib.error) as e:
+        body, why = b"", " ".join(str(e).split())
+    try:
+        text = body.decode(charset_of(body, rest, is_html), "replace").removeprefix("\ufeff")
     except LookupError:  # a charset that nobody knows
-        text = payload.decode("utf-8", "replace")
-    is_html, is_text = kind.strip().lower() in ("text/html", "application/xhtml+xml"), kind.strip().lower().startswith("text/")
+        text = body.decode("utf-8", "replace")
     refers = {"WARC-Refers-To": source["record_id"], "WARC-Source-Payload-Digest": digest(payload), "WARC-Source-Block-Digest": digest(source["block"] or b"")}
     if source["target_uri"] is not None:
         refers["WARC-Refers-To-Target-URI"] = source["target_uri"]
     if source["date"] is not None:
         refers["WARC-Refers-To-Date"] = source["date"]
     one_line = lambda v: " ".join(str(v).split())
-    fields = [("via-type", "response"), *([("http-status", status)] if status is not None else []), *[(f"http-{k}", v) for k, v in sorted(headers.items())], ("payload-digest", digest(payload)), ("payload-bytes", len(payload))]
-    if is_html:
-        title, lang = _TITLE.search(text), _LANG.search(text)
-        fields += [("title", spaced(title[1]))] if title else []
+    fields = [("via-type", "response"), *([("http-status", status)] if status is not None else []), *[(f"http-{k}", v) for k, v in sorted(headers, key=lambda h: h[0])], ("payload-digest", digest(payload)), ("payload-bytes", len(payload))]
+    if why is not None:
+        fields.append(("not-converted", why))
+    elif body != payload:
+        fields += [("decoded-digest", digest(body)), ("decoded-bytes", len(body))]
+    if is_html and why is None:
+        title, lang = title_of(text), _LANG.search(text)
+        fields += [("title", spaced(title))] if title is not None else []
         fields += [("lang", lang[1])] if lang else []
         fields += [("outlink", html.unescape(a or b or c)) for a, b, c in _LINK.findall(text)]
     out = [("metadata", "application/warc-fields", "".join(f"{k}: {one_line(v)}\r\n" for k, v in fields).encode("utf-8", "replace"))]
-    if is_html or is_text:
+    if (is_html or is_text) and why is None:
         out.append(("conversion", "text/plain; charset=utf-8", (plain_text(text) if is_html else text).encode("utf-8", "replace")))
     return [
         {"record_type": t, "record_id": record_id(source["record_id"] or "", t), "refers_to": source["record_id"], "target_uri": source["target_uri"], "date": source["date"], "content_type": c, "headers": refers | {"WARC-Block-Digest": digest(b)}, "block": b}
@@ -180,7 +256,7 @@ def to_bytes(r: dict) -> bytes:
     head = {"WARC-Type": r["record_type"], "WARC-Record-ID": r["record_id"], "WARC-Target-URI": r["target_uri"], "WARC-Date": r["date"], "Content-Type": r["content_type"], **dict(r["headers"] or {}), "Content-Length": str(len(block))}
     if r["refers_to"] is not None:
         head["WARC-Refers-To"] = r["refers_to"]
-    return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in head.items() if v is not None), "\r\n"]).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
+    return "".join(["WARC/1.1\r\n", *(f"{k}: {x}\r\n" for k, v in head.items() if v is not None for x in v.split("\n")), "\r\n"]).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
 def serialised(records: DataFrame) -> DataFrame:
@@ -202,7 +278,8 @@ def records_in(stream: io.BufferedIOBase) -> Iterator[dict]:
         head: dict[str, str] = {}
         while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
             k, _, v = line.decode("utf-8", "surrogatepass").partition(":")
-            head[k.strip().lower()] = v.strip()
+            k = k.strip().lower()
+            head[k] = f"{head[k]}\n{v.strip()}" if k in head else v.strip()
         size = int(head.pop("content-length", "0"))
         block = stream.read(size)
         if len(block) < size:

@@ -135,3 +135,61 @@ def test_whole_table_against_another_parser(spark, sf_dir):
         assert [v for k, v in fields if k == "lang"] == ([page.lang] if page.lang else [])
         assert [v for k, v in fields if k == "outlink"] == page.links
     assert len(got) == 2 * len(pages)
+
+
+def response(head, body):
+    return {"record_id": "a", "target_uri": None, "date": None, "block": b"HTTP/1.1 200 OK\r\n" + b"".join(h.encode() + b"\r\n" for h in head) + b"\r\n" + body}
+
+
+def chunked(body, size=4):
+    parts = [body[i : i + size] for i in range(0, len(body), size)]
+    return b"".join(b"%x;x=y\r\n%b\r\n" % (len(p), p) for p in parts) + b"0\r\nTrailer: t\r\n\r\n"
+
+
+def test_repeated_and_folded_headers_stay():
+    made = derive(response(["Set-Cookie: a=1", "Content-Type: text/html", "Set-Cookie: b=2", "X-Long: one", "  two"], b"<p>x"))
+    lines = made[0]["block"].decode().split("\r\n")
+    assert [x for x in lines if x.startswith("http-")] == ["http-status: 200", "http-content-type: text/html", "http-set-cookie: a=1", "http-set-cookie: b=2", "http-x-long: one two"]
+    record = {"record_type": "response", "record_id": "a", "refers_to": None, "target_uri": "u", "date": None, "content_type": None, "headers": {"warc-concurrent-to": "x\ny"}, "block": b""}
+    assert to_bytes(record).count(b"warc-concurrent-to: ") == 2 and next(parsed(to_bytes(record)))["headers"] == record["headers"]
+
+
+@pytest.mark.parametrize("codings", [["chunked"], ["gzip"], ["deflate"], ["raw"], ["gzip", "chunked"], ["deflate", "gzip", "chunked"], []])
+def test_encodings_are_undone(codings):
+    import zlib
+
+    page = "<title>Hé</title><p>Hello é".encode()
+    body = page
+    for c in codings:
+        raw = zlib.compressobj(wbits=-15)
+        body = {"chunked": chunked, "gzip": gzip.compress, "deflate": zlib.compress, "raw": lambda b, z=raw: z.compress(b) + z.flush()}[c](body)
+    content = ", ".join("deflate" if c == "raw" else c for c in codings if c != "chunked")
+    made = derive(response(["Content-Type: text/html; charset=utf-8", *([f"Content-Encoding: {content}"] if content else []), *(["Transfer-Encoding: chunked"] if "chunked" in codings else [])], body))
+    assert made[1]["block"].decode() == "Hello é" or made[1]["block"].decode().endswith("Hello é")
+    said = made[0]["block"].decode()
+    assert f"payload-digest: {digest(body)}" in said and "title: Hé" in said and (f"decoded-digest: {digest(page)}" in said) == bool(codings)
+    assert made[1]["headers"]["WARC-Source-Payload-Digest"] == digest(body)
+
+
+@pytest.mark.parametrize(("head", "body"), [("Content-Encoding: gzip", gzip.compress(b"<p>word " * 99)[:-20]), ("Content-Encoding: br", b"xx"), ("Transfer-Encoding: chunked", b"5\r\nab"), ("Transfer-Encoding: chunked", b"2\r\nab\r\nzz"), ("Content-Encoding: deflate", b"no")])
+def test_what_cannot_be_decoded_has_metadata_alone(head, body):
+    made = derive(response(["Content-Type: text/html", head], body))
+    assert [r["record_type"] for r in made] == ["metadata"] and b"not-converted: " in made[0]["block"] and b"decoded-digest" not in made[0]["block"]
+
+
+def test_bodies_that_were_decoded_before_are_taken_as_they_are():
+    assert derive(response(["Content-Encoding: gzip", "Transfer-Encoding: chunked"], b"<p>plain"))[1]["block"] == b"plain"
+
+
+@pytest.mark.parametrize(("kind", "body"), [("text/html", b"<head><meta http-equiv=x content='text/html; charset=ISO-8859-1'></head><p>caf\xe9"), ("text/html", b"<meta charset=\"latin-1\"><p>caf\xe9"), ("text/html", b"\xef\xbb\xbf<meta charset=latin-1><p>caf\xc3\xa9"), ("text/plain", "\ufeffcafé".encode("utf-16")), ("text/html; charset='utf-8'", b"<meta charset=latin-1><p>caf\xc3\xa9"), ("text/plain", b"\xff\xfec\0a\0f\0\xe9\0")])
+def test_charsets(kind, body):
+    assert derive(response([f"Content-Type: {kind}"], body))[1]["block"].decode().lstrip("\ufeff") == "café"
+
+
+@pytest.mark.parametrize("bit", ["<title>", "<title>x", "<script>", "<head>", "<svg>", "<!--", "<a href=", "<a ", "<html lang=", "<meta charset="])
+def test_a_megabyte_of_open_tags(bit):
+    import time
+
+    began = time.process_time()
+    derive(response(["Content-Type: text/html"], bit.encode() * (1_000_000 // len(bit))))
+    assert time.process_time() - began < 6
