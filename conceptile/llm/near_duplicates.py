@@ -40,6 +40,7 @@ from .common import BINARY, LONG, Scratch, batches_of, column, mixed, odd_consta
 
 REGISTERS, ROWS, BASE, SCALE, TOP = 128, 5, 1.001, 20.0, (1 << 16) - 1
 THRESHOLD = 85  # per cent
+STAGE_THRESHOLD, STAGE_ROWS = 80, 4  # of the pipeline's stage, which has no contract of its own: pairs of 80 per cent and more
 DEVIATIONS = 6
 DEALS, HAND, CHUNK, CHUNK_SHINGLES = 3, 8, 256, 1 << 21
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -256,7 +257,7 @@ def across(placed: DataFrame, classes: DataFrame, sets: DataFrame, scratch: Scra
 
 
 def decided(docs: DataFrame, threshold: int, band_rows: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, kept: a row for each of the documents."""
+    """doc_id, text_hash, group, n_shingles, component_id, kept: a row for each of the documents; ``group`` is null without words."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(sketched(docs), "sketches")
     one_each = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
@@ -280,27 +281,35 @@ def decided(docs: DataFrame, threshold: int, band_rows: int) -> DataFrame:
     labelled = classes.select("cid", "key", "doc_id").join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     labelled = labelled.join(merged.select(F.col("id").alias("root"), F.col("root").alias("last")), "root", "left").withColumn("root", F.coalesce("last", "root"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component"))
-    named = scratch.keep(labelled.join(least, "root").select("key", F.col("component"), F.lit(True).alias("found")), "components")
+    named = scratch.keep(labelled.join(least, "root").select("key", F.col("root").alias("group"), F.col("component"), F.lit(True).alias("found")), "components")
     scratch.drop(classes, shared, links, more, roots, merged)
     out = rows.select("doc_id", "text_hash", "key", "n_shingles").join(named, "key", "left").withColumn("component_id", F.when(F.col("found"), F.col("component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "text_hash", "group", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, band_rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    return decided(docs, threshold, band_rows).drop("text_hash")
-
-
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: int = THRESHOLD, band_rows: int = ROWS) -> DataFrame:
-    """One document of each group, the one with the least doc_id; rows without an id stay, and so do all of a group that have its
-    least id. Of rows that share an id, only those whose own text is a copy go."""
-    gone = decided(docs, threshold, band_rows).where(~F.col("kept") & F.col("doc_id").isNotNull())
-    gone = Scratch(spark).keep(gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_copy")).distinct(), "near-duplicates")
-    may_go = sieve(gone, "_gone")
+    return decided(docs, threshold, band_rows).drop("text_hash", "group")
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: int = STAGE_THRESHOLD, band_rows: int = STAGE_ROWS) -> DataFrame:
+    """One row of each group: the one with the least doc_id (null last), of equal ids the one with the least hash of the text, of rows that
+    are equal in both any one. Documents without words are in no group and stay."""
+    rows = decided(docs, threshold, band_rows).where("group is not null").select("group", "doc_id", "text_hash")
+    copies = Scratch(spark).keep(rows.groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("n")), "near-duplicates")
+    place = lambda: F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = copies.groupBy("group").agg(F.min(place()).alias("first"))
+    stays = place().eqNullSafe(F.col("first"))
+    # what goes, and what is there several times and of which one row stays
+    touched = copies.join(first, "group").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_copy"), stays.alias("_stays"), "n").where("not _stays or n > 1").drop("n")
+    touched = Scratch(spark).keep(touched.withColumn("_both", F.xxhash64("_gone", "_copy")), "touched")
+    may_be = sieve(touched, "_both")
     safe = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))  # whatever the columns are called
-    # only documents with an id that may go are joined, and shuffled
-    left = safe.where(may_go(F.col("_id"))).join(gone, (F.col("_id") == F.col("_gone")) & (F.col("_text") == F.col("_copy")), "left_anti")
-    return safe.where(~may_go(F.col("_id"))).unionByName(left).select("doc.*")
+    # only documents that may be touched are joined, and shuffled
+    asked = may_be(F.xxhash64("_id", "_text"))
+    joined = safe.where(asked).join(touched, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_text") == F.col("_copy")), "left")
+    once = joined.where("_stays").groupBy("_id", "_text").agg(F.first("doc").alias("doc"))
+    return safe.where(~asked).select("doc").unionByName(joined.where("_stays is null").select("doc")).unionByName(once.select("doc")).select("doc.*")
 
 
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -9,7 +9,7 @@ from conceptile.llm.near_duplicates import BASE, REGISTERS, SCALE, band_hashes,
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(rows):
+def brute(rows, threshold=85):
     """(doc_id, n_shingles, component_id) on plain sets of words; pairs come from an inverted index."""
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
@@ -29,7 +29,7 @@ def brute(rows):
             seen.update(at[x])
             at[x].append(i)
         for j in seen:
-            if 100 * len(s & sets[j]) >= 85 * len(s | sets[j]):
+            if 100 * len(s & sets[j]) >= threshold * len(s | sets[j]):
                 parent[root(i)] = root(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -63,8 +63,8 @@ def test_defined_cases(spark, docs, table_dir):
     rows = [(5, None), (6, ""), (7, " \t "), (8, "one two"), (3, "ONE\x0btwo"), (8, "one two"), (None, "one  two"), (None, "alone here"), (9, long), (9, long + " end"), (10, "İ ß É one"), (11, "i ß é one")]
     df = docs(rows, ["key", "cid", "component_id", "band"])
     assert result(near_duplicates(df)) == brute(rows)
-    left = dedup_stage(spark, df, "")
-    assert left.columns == df.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, [None, None, 10, 11, 3, 5, 6, 7, 9, 9]))
+    left = dedup_stage(spark, df, "")  # one row of each group, rows without an id and with an equal one too
+    assert left.columns == df.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, [None, 10, 11, 3, 5, 6, 7, 9]))
     assert near_duplicates(docs([])).collect() == []
 
 
@@ -122,6 +122,15 @@ def test_a_clean_row_stays_beside_a_copy_with_its_id(spark, docs):
     assert left.count() == 3
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(spark, docs):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(60))
+    rows = [(None, text(1)), (None, text(1)), (None, text(1) + " end"), (4, text(2)), (4, text(2)), (4, text(2) + " end"), (2, text(3) + " x"), (None, text(3)), (7, text(4)), (None, None), (None, None), (3, ""), (3, "")] * 2
+    left = dedup_stage(spark, docs(rows), "").collect()
+    worded = [r for r in left if r.text]
+    assert len(left) - len(worded) == 8 and sorted((str(r.doc_id), r.text.split()[0][:3]) for r in worded) == [("2", "t3w"), ("4", "t2w"), ("7", "t4w"), ("None", "t1w")]
+    assert len({c for _, _, c in brute([(i, r.text) for i, r in enumerate(worded)], 80)}) == len(worded)
+
+
 def test_the_sieve_lets_all_keys_through(spark):
     from conceptile.llm.common import sieve
     from pyspark.sql import functions as F
