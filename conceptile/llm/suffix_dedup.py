@@ -152,14 +152,23 @@ def all_segments(docs: DataFrame, length: int = LENGTH, piece: int = PIECE) -> D
 
 def repeated(rows: DataFrame) -> DataFrame:
     """(kind, h, c, id, at): of anchors that occur twice, LATER places of equal segments, and the first places of DIFFERENT ones. Ranges are
-    read in order; an anchor at the edge of a range may go on in the next, and its rows come back as EDGE."""
+    read in order; an anchor at the edge of a range may go on in the next, and the first places of its segments come back as EDGE."""
     order = ["h", "c", "id", "at"]
 
     def batch(kind: np.ndarray, x: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(v) for v in (kind.astype(np.int32), *x)], FOUND.names)
 
-    def edge(x: list[np.ndarray]) -> pa.RecordBatch:
-        return batch(np.full(len(x[0]), EDGE), x)
+    def edge(x: list[np.ndarray], lead: list[np.ndarray] | None = None) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+        """Of rows of an anchor that other ranges may have too: only the first place here of each segment is in question. ``lead`` is the one of
+        the segment that the rows before ended with; the last one comes back."""
+        n = 0 if lead is None else 1
+        x = x if lead is None else [np.concatenate(v) for v in zip(lead, x, strict=True)]
+        _, c, id_, at = x
+        first = np.append(True, c[1:] != c[:-1])
+        of = np.maximum.accumulate(np.where(first, np.arange(len(c)), 0))
+        keep = first | (id_ != id_[of]) | (at != at[of])
+        keep[:n] = False
+        return batch(np.where(first, EDGE, LATER)[keep], [v[keep] for v in x]), [v[of[-1] : of[-1] + 1] for v in x]
 
     def judged(x: list[np.ndarray]) -> pa.RecordBatch:
         """Of rows of whole anchors."""
@@ -173,7 +182,7 @@ def repeated(rows: DataFrame) -> DataFrame:
         return batch(np.where(first, DIFFERENT, LATER)[keep], [v[keep] for v in x])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, held = None, [np.zeros(0, dtype=np.int64)] * 4
+        first, lead, held = None, None, [np.zeros(0, dtype=np.int64)] * 4
         for b in batches:
             if not b.num_rows:
                 continue
@@ -181,14 +190,15 @@ def repeated(rows: DataFrame) -> DataFrame:
             first = x[0][0] if first is None else first
             n = np.searchsorted(x[0], first, side="right")
             if n:
-                yield edge([v[:n] for v in x])
+                out, lead = edge([v[:n] for v in x], lead)
+                yield out
                 x = [v[n:] for v in x]
             last = runs(x[0])[0][-1] if len(x[0]) else 0
             if last:
                 yield judged([v[:last] for v in x])
             held = [v[last:] for v in x]
         if len(held[0]):
-            yield edge(held)
+            yield edge(held)[0]
 
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*order).mapInArrow(run, FOUND)
 
