@@ -13,14 +13,12 @@ batch that is committed already isn't taken twice. Readers see the commits there
 
 from __future__ import annotations
 
-import json
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.weights import WeightSpec
 from .analyze import DEFAULT, AnalyzerSpec, term_counts
+from .commits import APPEND, COMPACT, DELETE, Commit, CommitLog
 from .index import Index, in_blocks, weighted
 from .staging import removed
 
@@ -30,53 +28,16 @@ TABLES = {
     "df": "term string, df long",
     "gone": "doc_id long",
 }
-APPEND, DELETE, COMPACT = "append", "delete", "compact"
-
-
-@dataclass(frozen=True)
-class Commit:
-    """One line of the log: which batch it was, and up to which commit a compaction has taken everything in."""
-
-    number: int
-    name: str
-    kind: str
-    upto: int = -1
-
 
 class Segments:
     def __init__(self, spark: SparkSession, path: str, analyzer: AnalyzerSpec = DEFAULT):
         self.spark, self.path, self.analyzer = spark, path, analyzer
 
-    # ------------------------------------------------------------------------------------------------------------- the log
-
-    def _store(self):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
-
     def log(self) -> list[Commit]:
-        """The commits in order; a file that a crash has left without its line is none."""
-        store, at = self._store()
-        if not store.exists(at):
-            return []
-        rows = self.spark.read.schema("number int, name string, kind string, upto int").option("pathGlobFilter", "*.json").json(f"{self.path}/log")
-        return sorted((Commit(**r.asDict()) for r in rows.where("name is not null").collect()), key=lambda c: c.number)
+        return CommitLog(self.spark, f"{self.path}/log").commits()
 
     def commit(self, name: str, kind: str, upto: int = -1) -> None:
-        store, at = self._store()
-        store.mkdirs(at)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        taken = [int(f.getPath().getName().split(".")[0]) for f in store.listStatus(at) if f.getPath().getName().endswith(".json")]
-        number = max(taken, default=-1) + 1
-        while True:
-            try:
-                out = store.create(path(f"{self.path}/log/{number:08d}.json"), False)
-                break
-            except Exception as e:
-                if "already exists" not in str(e) and "AlreadyExists" not in str(e):
-                    raise
-                number += 1  # another writer was first
-        out.write(bytearray(json.dumps({"number": number, "name": name, "kind": kind, "upto": upto}).encode() + b"\n"))
-        out.close()
+        CommitLog(self.spark, f"{self.path}/log").add(name, kind, upto)
 
     def has(self, name: str) -> bool:
         return any(c.name == name for c in self.log())
@@ -133,9 +94,7 @@ class Segments:
     # ------------------------------------------------------------------------------------------------------------- reading
 
     def opened(self, log: list[Commit] | None = None) -> Live:
-        log = self.log() if log is None else log
-        last = max((c for c in log if c.kind == COMPACT), key=lambda c: c.number, default=None)
-        return Live(self, [c for c in log if last is None or c.number > last.upto])
+        return Live(self, CommitLog(self.spark, f"{self.path}/log").live(log))
 
     def index(self, weights: WeightSpec = WeightSpec()) -> Index:
         return self.opened().index(weights)
