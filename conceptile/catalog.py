@@ -22,11 +22,14 @@ from .operators import graph as G
 from .operators import impact as P
 from .operators import index as I
 from .operators import vectors as V
+from .operators.ancestors import are_ancestors
+from .operators.memo import VectorMemo
 from .operators.segments import Segments
 from .operators.staging import fresh, kept
 from .plans.corpus import annotated
 from .sources import dump as D
 from .sources import files as S
+from .sources.vector_store import VectorStore, unpacked
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -439,6 +442,40 @@ def vector_store(spark, d):
     return spark.read.parquet(path).select(F.lower(F.hex("id")).alias("id"), F.col("concept").cast("long").alias("concept"), F.round(F.col("weight").cast("double"), 6).alias("weight"))
 
 
+def _rewritten(spark, d) -> VectorStore:
+    """All vectors, every third written again with twice the weights, every seventh deleted."""
+    at = (spark.sparkContext.applicationId, d, "vector-store")
+    if at not in _STORED:
+        store, emb = VectorStore(spark, fresh(spark, "vector-store"), id_type="long"), _embedded(spark, d)
+        store.write(emb, "all")
+        store.write(emb.where("id % 3 = 0").withColumn("weight", F.col("weight") * 2), "thirds")
+        store.delete(emb.where("id % 7 = 0").select("id"), "sevenths")
+        _STORED[at] = store
+    return _STORED[at]
+
+
+_REWRITTEN = "SELECT id, concept, round(CASE WHEN id % 3 = 0 THEN weight * 2 ELSE weight END, 6) AS weight FROM emb WHERE id % 7 <> 0"
+
+
+@query("vector_upsert", _sql(_EMB, _REWRITTEN))
+def vector_upsert(spark, d):
+    return _r(_rewritten(spark, d).read(), "weight")
+
+
+@query("vector_lookup", _sql(_EMB, f"{_REWRITTEN} AND id % 20 = 0"))
+def vector_lookup(spark, d):
+    asked = _t(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("id"))
+    return _r(unpacked(_rewritten(spark, d).look_up(asked)), "weight")
+
+
+@query("vector_memo", SQL["concept_vector"])
+def vector_memo(spark, d):
+    """Half of the items' vectors are remembered when all are asked for."""
+    memo = VectorMemo(VectorStore(spark, fresh(spark, "memo")), _index(spark, d), "documents")
+    memo.vectors(_items(spark, d).where("item_id % 2 = 0"))
+    return _r(memo.vectors(_items(spark, d)), "score")
+
+
 # --------------------------------------------------------------------------------------------------------- titles and links
 
 
@@ -569,6 +606,17 @@ def category_closure(spark, d):
     return G.descendants(edges, spark.createDataFrame([(2,)], "node long")).select("node")
 
 
+@query("ancestor_pairs", _sql("RECURSIVE e AS (SELECT c_custkey // 3 AS parent, c_custkey AS child FROM customer UNION ALL SELECT 54, 2), p AS (SELECT DISTINCT c_custkey AS node, unnest([c_custkey // 9, c_custkey // 2, 54, 1, c_custkey]) AS ancestor FROM customer), up AS (SELECT c_custkey AS node, c_custkey AS a FROM customer UNION SELECT node, parent FROM up JOIN e ON child = a)", "SELECT p.node, ancestor, up.a IS NOT NULL AS holds FROM p LEFT JOIN up ON up.node = p.node AND up.a = ancestor"))
+def ancestor_pairs(spark, d):
+    """Pairs in a tree of three children each, one of whose leaves leads back up."""
+    k = F.col("c_custkey")
+    c = _t(spark, d, "customer")
+    third = lambda n: F.floor(k / n).cast("long")
+    edges = c.select(third(3).alias("parent"), k.alias("child")).unionByName(spark.createDataFrame([(54, 2)], "parent long, child long"))
+    pairs = c.select(k.alias("node"), F.explode(F.array(third(9), third(2), F.lit(54).cast("long"), F.lit(1).cast("long"), k)).alias("ancestor"))
+    return are_ancestors(pairs, edges)
+
+
 @query("can_index", _sql("n AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS i, CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE count(*) END AS t FROM lineitem GROUP BY 1)", "SELECT l_partkey FROM n WHERE i >= 20 AND (t IS NULL OR (t >= 25 AND t <= 40))"))
 def can_index(spark, d):
     n = _t(spark, d, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("i"), F.count("*").alias("c")).withColumn("t", F.when(F.col("l_partkey") % 4 != 0, F.col("c")))
