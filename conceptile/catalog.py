@@ -21,6 +21,7 @@ from .operators import expand as X
 from .operators import graph as G
 from .operators import impact as P
 from .operators import index as I
+from .operators import nearest as N
 from .operators import vectors as V
 from .operators.ancestors import are_ancestors
 from .operators.memo import VectorMemo
@@ -427,6 +428,13 @@ def related_docs(spark, d):
     return _r(V.related(emb, _t(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("id")), LIMIT), "cosine")
 
 
+@query("related_sparse", _sql(f"{_POST}, nrm AS (SELECT doc_id, sqrt(sum(score * score)) AS norm FROM post GROUP BY 1), dots AS (SELECT x.doc_id AS id, y.doc_id AS other, sum(x.score * y.score) AS dot FROM post x JOIN post y ON x.term = y.term AND x.doc_id <> y.doc_id WHERE x.doc_id % 20 = 0 GROUP BY 1, 2), sc AS (SELECT id, other, dot / (a.norm * b.norm) AS cosine FROM dots d JOIN nrm a ON a.doc_id = id JOIN nrm b ON b.doc_id = other)", "SELECT id, other, round(cosine, 6) AS cosine FROM sc QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(cosine, 9) DESC, other) <= 10"))
+def related_sparse(spark, d):
+    """The documents nearest to every twentieth by the weights of their terms, among all."""
+    v = _scores(_index(spark, d)).select(F.col("doc_id").alias("id"), F.col("term").alias("concept"), F.col("score").alias("weight"))
+    return _r(N.related_sparse(v, _docs(spark, d).where("doc_id % 20 = 0").select(F.col("doc_id").alias("id")), 10), "cosine")
+
+
 @query("quick_score", _sql(f"{_EMB}, pr AS (SELECT vec_id AS a, vec_id + 1 AS b FROM embeddings WHERE vec_id + 1 IN (SELECT vec_id FROM embeddings)), dots AS (SELECT a, b, sum(x.weight * y.weight) AS dot FROM pr JOIN emb x ON x.id = a JOIN emb y ON y.id = b AND y.concept = x.concept GROUP BY 1, 2)", "SELECT a, b, round(coalesce(dot, 0.0) / (u.norm * v.norm), 6) AS cosine FROM dots JOIN nrm u ON u.id = a JOIN nrm v ON v.id = b"))
 def quick_score(spark, d):
     ids = _t(spark, d, "embeddings").select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
