@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import lexer as L
 from .functions import text as T
-from .functions.weights import WeightSpec, bm25, true_bm25_idf, true_tf_idf
+from .functions.weights import WeightSpec, bm25, similarity, true_bm25_idf, true_tf_idf
 from .operators import analyze as A
 from .operators import evaluate as E
 from .operators import expand as X
@@ -103,23 +103,30 @@ def _items(spark, d):
     return _t(spark, d, "benchmark").select("item_id", "text")
 
 
-_STORED: dict[tuple, DataFrame | I.Index] = {}
+_STORED: dict[tuple, tuple] = {}
+
+
+def _stored(spark, d, name: str, tables: list[str], make: Callable):
+    """What ``make`` gives, made once for an application and a folder, and again when the files of its tables change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    stamp = []
+    for t in tables:
+        at = path(f"{d}/{t}.parquet")
+        stamp += [(f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STORED or _STORED[key][0] != stamp:
+        _STORED[key] = stamp, make()
+    return _STORED[key][1]
 
 
 def _counts(spark, d) -> DataFrame:
-    """Counts of the documents' terms, made once for an application and a folder."""
-    at = (spark.sparkContext.applicationId, d)
-    if at not in _STORED:
-        _STORED[at] = kept(A.term_counts(_docs(spark, d)), "counts")
-    return _STORED[at]
+    """Counts of the documents' terms."""
+    return _stored(spark, d, "counts", ["documents"], lambda: kept(A.term_counts(_docs(spark, d)), "counts"))
 
 
 def _index(spark, d, mode: str = "ltc") -> I.Index:
     """The stored index of the documents: the first query that needs it builds it, all others open it."""
-    at = (spark.sparkContext.applicationId, d, mode)
-    if at not in _STORED:
-        _STORED[at] = I.stored_index(_docs(spark, d), fresh(spark, f"index-{mode}"), weights=WeightSpec(mode), counts=_counts(spark, d))
-    return _STORED[at]
+    return _stored(spark, d, f"index-{mode}", ["documents"], lambda: I.stored_index(_docs(spark, d), fresh(spark, f"index-{mode}"), weights=WeightSpec(mode), counts=_counts(spark, d)))
 
 
 def _scores(index: I.Index) -> DataFrame:
@@ -224,7 +231,7 @@ def rare_word_stats(spark, d):
 
 @query("rare_word_filter", _sql(f"{_TOKENS}, {_COUNTS}, {_DF}, kept AS (SELECT tf.* FROM tf JOIN df USING (term) WHERE df >= {RARE}), dls AS (SELECT doc_id, sum(tf) AS dl FROM kept GROUP BY 1)", "SELECT doc_id, term, tf, CAST(dl AS BIGINT) AS dl FROM kept JOIN dls USING (doc_id)"))
 def rare_word_filter(spark, d):
-    counts = A.term_counts(_docs(spark, d))
+    counts = _counts(spark, d)
     return A.without_terms(counts, I.rare_words(I.document_frequency(counts), RARE)).select("doc_id", "term", "tf", "dl")
 
 
@@ -247,17 +254,14 @@ query("postings", SQL["w_ltc"])(_postings("ltc"))
 
 @query("bm25_tf", _sql(_BASE, "SELECT doc_id, term, round(CAST(tf AS DOUBLE) * 2.2 / (tf + 1.2 * (0.5 + 0.5 * dl / avg_dl)) + 0.5, 6) AS x FROM tf JOIN per USING (doc_id) CROSS JOIN st"))
 def bm25_tf(spark, d):
-    counts = A.term_counts(_docs(spark, d))
-    x = I.with_stats(counts, I.document_frequency(counts), I.collection_stats(_docs(spark, d)))
+    counts = _counts(spark, d)
+    x = I.with_stats(counts, I.document_frequency(counts), I.counted_stats(_docs(spark, d), counts))
     return x.select("doc_id", "term", F.round(bm25(F.col("tf").cast("double"), F.col("dl"), F.col("avg_dl")), 6).alias("x"))
 
 
 def _impact(spark, d) -> P.ImpactIndex:
-    """The index's postings by impact, stored once for an application and a folder."""
-    at = (spark.sparkContext.applicationId, d, "impact")
-    if at not in _STORED:
-        _STORED[at] = P.ImpactIndex.save(_scores(_index(spark, d)), fresh(spark, "impact"))
-    return _STORED[at]
+    """The index's postings by impact."""
+    return _stored(spark, d, "impact", ["documents"], lambda: P.ImpactIndex.save(_scores(_index(spark, d)), fresh(spark, "impact")))
 
 
 @query("build_index", _sql(f"{_BASE}, {_weights('ltc')}", "SELECT doc_id, term, score, row_number() OVER (PARTITION BY term ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, term, round(score, 6) AS score FROM post)"))
@@ -302,11 +306,25 @@ def index_delete(spark, d):
 
 @query("sim_true_tfidf", _sql(_BASE, "SELECT doc_id, term, round(tf * (CAST(n - df AS DOUBLE) / df), 6) AS score FROM tf JOIN df USING (term) CROSS JOIN st"))
 def sim_true_tfidf(spark, d):
-    counts = A.term_counts(_docs(spark, d))
-    x = I.with_stats(counts, I.document_frequency(counts), I.collection_stats(_docs(spark, d)))
+    counts = _counts(spark, d)
+    x = I.with_stats(counts, I.document_frequency(counts), I.counted_stats(_docs(spark, d), counts))
     return x.select("doc_id", "term", F.round(true_tf_idf(F.col("tf"), F.col("n"), F.col("df"), F.lit(1.0)), 6).alias("score"))
 
 
+def _similarity(name: str):
+    def run(spark, d):
+        counts = _counts(spark, d)
+        x = I.with_stats(counts, I.document_frequency(counts), I.counted_stats(_docs(spark, d), counts))
+        return x.select("doc_id", "term", F.round(similarity(name)(F.col("tf"), F.col("dl"), F.col("avg_dl"), F.col("n"), F.col("df"), F.lit(1.0)), 6).alias("score"))
+
+    return run
+
+
+_SIM = "SELECT doc_id, term, round({x}, 6) AS score FROM tf JOIN df USING (term) JOIN per USING (doc_id) CROSS JOIN st"
+query("sim_bm25", _sql(_BASE, _SIM.format(x="ln(1 + (n - df + 0.5) / (df + 0.5)::DOUBLE) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))")))(_similarity("BM25"))
+query("sim_tfidf", _sql(_BASE, _SIM.format(x="sqrt(tf) * pow(ln((n + 1)::DOUBLE / (df + 1)) + 1, 2) / sqrt(dl)")))(_similarity("TFIDF"))
+
+
 @query("sim_true_bm25", _sql(_BASE, "SELECT term, round(CAST(n - df AS DOUBLE) / df, 6) AS idf FROM df CROSS JOIN st"))
 def sim_true_bm25(spark, d):
     n = _docs(spark, d).count()
@@ -383,7 +401,7 @@ def cosine(spark, d):
 
 
 @query("similarity", _sql(f"{_VEC}, {_PAIRS}, {_COS.replace('top', 'vec')}", "SELECT a, b, round(cosine, 6) AS cosine FROM cos"))
-def similarity(spark, d):
+def similarity_(spark, d):
     return _r(V.similarities(_pairs(spark, d), _items(spark, d), _index(spark, d)).where(~F.isnan("cosine")), "cosine")
 
 
@@ -452,14 +470,15 @@ def vector_store(spark, d):
 
 def _rewritten(spark, d) -> VectorStore:
     """All vectors, every third written again with twice the weights, every seventh deleted."""
-    at = (spark.sparkContext.applicationId, d, "vector-store")
-    if at not in _STORED:
+
+    def make() -> VectorStore:
         store, emb = VectorStore(spark, fresh(spark, "vector-store"), id_type="long"), _embedded(spark, d)
         store.write(emb, "all")
         store.write(emb.where("id % 3 = 0").withColumn("weight", F.col("weight") * 2), "thirds")
         store.delete(emb.where("id % 7 = 0").select("id"), "sevenths")
-        _STORED[at] = store
-    return _STORED[at]
+        return store
+
+    return _stored(spark, d, "vector-store", ["embeddings"], make)
 
 
 _REWRITTEN = "SELECT id, concept, round(CASE WHEN id % 3 = 0 THEN weight * 2 ELSE weight END, 6) AS weight FROM emb WHERE id % 7 <> 0"
@@ -565,6 +584,14 @@ def title_boost(spark, d):
     return _t(spark, d, "part").select("p_partkey", G.title_boost(title).alias("boost"))
 
 
+@query("wiki_index", _sql(f"{_ARTICLES}, e AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)", "SELECT title, 'category:' || lower(left(p_brand, 1)) || substr(replace(p_brand, '#', ' '), 2) || coalesce((SELECT string_agg('|supplier ' || l_suppkey, '' ORDER BY l_suppkey) FROM e WHERE l_partkey = doc_id), '') AS links, (p_size)::BIGINT AS incoming, 1.0::DOUBLE AS boost FROM art JOIN part ON p_partkey = doc_id WHERE text IS NOT NULL"))
+def wiki_index(spark, d):
+    """Records of an index of pages; every link is written twice in the text."""
+    sizes = _t(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_size").alias("incoming_links"))
+    pages = _articles(spark, d).where("text is not null").join(sizes, "doc_id").withColumn("text", F.concat("text", F.lit(" "), "text"))
+    return G.wiki_records(pages).select("title", F.array_join("links", "|").alias("links"), F.col("incoming").cast("long").alias("incoming"), "boost")
+
+
 def _edges(spark, d) -> DataFrame:
     return _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
 
@@ -653,12 +680,14 @@ def find_article(spark, d):
 
 
 def _dump(spark, d) -> str:
-    """The articles as a multistream dump, written once for an application and a folder."""
-    at = (spark.sparkContext.applicationId, d, "dump")
-    if at not in _STORED:
-        _STORED[at] = fresh(spark, "dump")
-        D.write_dump(_articles(spark, d).select("title", "text").repartition("title"), _STORED[at])
-    return _STORED[at]
+    """The articles as a multistream dump."""
+
+    def make() -> str:
+        path = fresh(spark, "dump")
+        D.write_dump(_articles(spark, d).select("title", "text").repartition("title"), path)
+        return path
+
+    return _stored(spark, d, "dump", ["part", "lineitem"], make)
 
 
 @query("dump_multistream", _sql(_ARTICLES, "SELECT title, text FROM art"))
@@ -766,6 +795,27 @@ def tune_grid(spark, d):
     return _r(E.tune(gold, _items(spark, d), replace(index, postings=_r(_scores(index), "score", digits=9)), [5, 20], [0.02, 0.05]), "pearson")
 
 
+_SEARCH = """g AS (SELECT l_linenumber AS "window", l_quantity AS drop_off, (max(l_orderkey) % 997) / 997.0::DOUBLE AS pearson FROM lineitem GROUP BY 1, 2)"""
+
+
+def _search(spark, d) -> DataFrame:
+    """Scores that rise and fall, for a search over a grid of seven rows."""
+    score = (F.max("l_orderkey") % 997).cast("double") / F.lit(997.0)
+    return _t(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("window"), F.col("l_quantity").alias("drop_off")).agg(score.alias("pearson"))
+
+
+@query("tune_stop", _sql(f"""{_SEARCH}, f AS (SELECT *, coalesce((pearson < lag(pearson) OVER w)::INT, 0) AS fell, row_number() OVER w AS i FROM g WINDOW w AS (PARTITION BY "window" ORDER BY drop_off)),
+  s AS (SELECT *, sum(fell) OVER (PARTITION BY "window" ORDER BY drop_off ROWS 8 PRECEDING) >= 6 AND i >= 10 AS stop FROM f)""", """SELECT "window", drop_off, round(pearson, 6) AS pearson FROM s x WHERE NOT EXISTS (SELECT 1 FROM s y WHERE y."window" = x."window" AND y.drop_off < x.drop_off AND y.stop)"""))
+def tune_stop(spark, d):
+    """The cells that a search would have reached that gives a row up when most of its last scores have fallen."""
+    return _r(E.until_falling(_search(spark, d), 10, 6), "pearson")
+
+
+@query("tune_best", _sql(_SEARCH, 'SELECT "window", drop_off, round(pearson, 6) AS pearson FROM g ORDER BY pearson DESC, "window", drop_off LIMIT 1'))
+def tune_best(spark, d):
+    return _r(E.best_cell(_search(spark, d)), "pearson")
+
+
 # ---------------------------------------------------------------------------------------------------------------- templates
 
 

@@ -150,6 +150,13 @@ def title_boost(title: Column) -> Column:
     return F.lit(1.0) + F.when(lower.startswith("category"), 1.5).when(lower.startswith("list of"), 0.7).otherwise(0.0)
 
 
+def wiki_records(pages: DataFrame) -> DataFrame:
+    """(title, text, links, incoming, boost): what an index of pages (title, text, incoming_links) stores of each; links are the different ones, in the
+    order of the text; incoming is 0 where it isn't known. Pages without a title or a text are left out."""
+    whole = pages.where(T.non_empty(F.col("title")) & T.non_empty(F.col("text")))
+    return whole.select("title", "text", F.array_distinct(T.links(F.col("text"))).alias("links"), F.coalesce("incoming_links", F.lit(0)).alias("incoming"), title_boost(F.col("title")).alias("boost"))
+
+
 #: fixed value: what the titles of templates have that are left out of the text
 STRIPPED_TEMPLATES = "stub|user[ s]|disambig|copy-?edit|cleanup|page|article|/meta|/doc|category|documentation|cite|css|see below|see at|aka|see above|image|/format|wiki|disputed|please|wrongtitle|color([^a]|$)|font|lang-|time zone|icon|todo|style/|unit of|^template:[.]{1,3}$|warn-|^template:.*template.*$|discussion|usertalk|column|col-| age |did you know|uw-|see also|this is|don't|word|split|styles|^template:[A-Z]+$|citation|str "
 

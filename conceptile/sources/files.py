@@ -85,8 +85,20 @@ def write_jdbc(df: DataFrame, table: str, options: dict[str, str], batch: int =
     df.write.format("jdbc").options(**options).option("dbtable", table).option("batchsize", batch).mode("append").save()
 
 
-def read_jdbc(spark: SparkSession, table: str, options: dict[str, str]) -> DataFrame:
-    return spark.read.format("jdbc").options(**options).option("dbtable", table).load()
+def read_jdbc(spark: SparkSession, table: str, options: dict[str, str], column: str | None = None, bounds: tuple | None = None, parts: int = 0) -> DataFrame:
+    """A table of the database. With a ``column`` (number, date or timestamp) it is read in ``parts`` ranges of it, a task each; ``bounds`` are
+    its least and largest value, asked of the database if they aren't given. They only deal the rows out: all are read."""
+    reader = spark.read.format("jdbc").options(**options)
+    if column is None:
+        return reader.option("dbtable", table).load()
+    if bounds is None:
+        name = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(options["url"]).quoteIdentifier(column)  # as Spark writes it
+        bounds = tuple(reader.option("query", f"SELECT MIN({name}) AS lo, MAX({name}) AS hi FROM {table}").load().first())
+    if bounds[0] is None:  # no rows, or nothing but null
+        return spark.read.format("jdbc").options(**options).option("dbtable", table).load()
+    parts = parts or spark.sparkContext.defaultParallelism
+    dealt = {"partitionColumn": column, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1]), "numPartitions": str(parts)}
+    return spark.read.format("jdbc").options(**options).option("dbtable", table).options(**dealt).load()
 
 
 def ordered_scores(scores: DataFrame, term: str, limit: int = 0) -> DataFrame:
