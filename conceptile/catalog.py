@@ -22,6 +22,7 @@ from .operators import graph as G
 from .operators import impact as P
 from .operators import index as I
 from .operators import nearest as N
+from .operators import sketches as K
 from .operators import vectors as V
 from .operators.ancestors import are_ancestors
 from .operators.memo import VectorMemo
@@ -229,6 +230,18 @@ def rare_word_stats(spark, d):
     return _r(got.withColumn("percent", F.col("percent").cast("double")), "percent")
 
 
+@query("rare_words_merged", _sql(f"{_TOKENS}, {_COUNTS}, {_DF}", f"SELECT true AS within, 4 AS parts"))
+def rare_words_merged(spark, d):
+    """Samples of four parts of the documents, merged: their estimates lie within their errors of the counts of all terms and of rare ones."""
+    counts, parts = _counts(spark, d), None
+    for i in range(4):
+        one = K.sample(I.document_frequency(counts.where(f"doc_id % 4 = {i}")))
+        parts = one if parts is None else parts.unionByName(one)
+    true = I.document_frequency(counts).agg(F.count("*").alias("t"), F.count(F.when(F.col("df") < RARE, 1)).alias("r"))
+    near = (F.abs(F.col("terms") - F.col("t")) <= F.col("terms_error") + 1e-6) & (F.abs(F.col("rare") - F.col("r")) <= F.col("rare_error") + 1e-6)
+    return K.estimated(K.merged(parts), RARE).join(true).select(near.alias("within"), F.lit(4).alias("parts"))
+
+
 @query("rare_word_filter", _sql(f"{_TOKENS}, {_COUNTS}, {_DF}, kept AS (SELECT tf.* FROM tf JOIN df USING (term) WHERE df >= {RARE}), dls AS (SELECT doc_id, sum(tf) AS dl FROM kept GROUP BY 1)", "SELECT doc_id, term, tf, CAST(dl AS BIGINT) AS dl FROM kept JOIN dls USING (doc_id)"))
 def rare_word_filter(spark, d):
     counts = _counts(spark, d)
