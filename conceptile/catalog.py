@@ -23,6 +23,7 @@ from .operators import impact as P
 from .operators import index as I
 from .operators import nearest as N
 from .operators import sketches as K
+from .operators import tagger as R
 from .operators import vectors as V
 from .operators.ancestors import are_ancestors
 from .operators.memo import VectorMemo
@@ -253,6 +254,21 @@ def stem(spark, d):
     return A.stemmed(A.term_counts(_docs(spark, d)).select("doc_id", "term", "tf"), 3).select("doc_id", "term", "tf", "dl")
 
 
+@query("tagged_counts")
+def tagged_counts(spark, d):
+    """Counts of the documents' words as word/TAG, tagged in context by a model that is made of the corpus: what a word may be, by how often it
+    is there and how long it is."""
+    counts = _counts(spark, d).groupBy("term").agg(F.sum("tf").alias("n"))
+    size = F.length("term")
+    options = F.array(F.struct(F.lit("NN").alias("tag"), F.lit(0.5).alias("p")), F.struct(F.lit("VB").alias("tag"), (1.0 / (size + 1)).alias("p")), F.struct(F.lit("FW").alias("tag"), F.when(size < 4, 0.9).otherwise(0.0).alias("p")))
+    emissions = counts.select("term", F.explode(options).alias("x")).select("term", "x.tag", "x.p")
+    rows = [(None, "NN", 0.5), (None, "FW", 0.4), (None, "VB", 0.1), ("NN", "VB", 0.5), ("NN", "FW", 0.4), ("NN", "NN", 0.1), ("VB", "FW", 0.6), ("VB", "NN", 0.4), ("FW", "NN", 0.9), ("FW", "VB", 0.1)]
+    transitions = spark.createDataFrame(rows, "before string, tag string, p double")
+    words = R.tagged(R.sentences(_docs(spark, d)), emissions, transitions)
+    lemmas = counts.select("term", F.explode(F.array(F.lit("NN"), F.lit("VB"), F.lit("FW"))).alias("tag")).select("term", "tag", F.concat_ws("/", "term", "tag").alias("lemma"))
+    return R.lemma_counts(words, lemmas).select("doc_id", "term", "tf", "dl")
+
+
 # ------------------------------------------------------------------------------------------------------------------ weights
 
 
