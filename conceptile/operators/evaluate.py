@@ -35,11 +35,17 @@ def tune(gold: DataFrame, texts: DataFrame, index: Index, windows: list[int], dr
     The texts' postings are ranked once, each with the cells in which it stays; vectors, cosines and correlations of all cells are
     one plan, keyed by cell."""
     cells = [(w, d) for w in windows for d in drop_offs]
-    weights = kept(query_weights(texts, index, key=key).where(positive(F.col("score"))).select(key, "term", F.col("score").alias("q")), "weights")
-    own = index.postings.select("doc_id", "term", "score").join(weights.select("term").distinct(), "term", "left_semi")
+    by_block = "block" in index.postings.columns
+    block = [c for c in ("block",) if by_block]
+    weights = query_weights(texts, index, key=key).where(positive(F.col("score"))).select(key, "term", F.col("score").alias("q"), "blocks")
+    weights = kept(weights, "weights")
+    own = index.postings.select("doc_id", "term", "score", *block).join(weights.select("term").distinct(), "term", "left_semi")
     own = pruned_cells(own, cells)
-    scores = weights.join(own, "term").select(key, "doc_id", F.explode("cells").alias("cell"), (F.col("q") * F.col("score")).alias("s"))
-    vectors = scores.groupBy("cell", key, "doc_id").agg(F.sum("s").alias("score")).where(positive(F.col("score")))
+    # a frequent term's postings are joined block by block, and a pair is one row for all cells
+    asked = weights.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) if by_block else weights
+    scores = asked.join(own, ["term", *block]).select(key, "doc_id", "cells", (F.col("q") * F.col("score")).alias("s"))
+    sums = F.array(*[F.sum(F.when(F.array_contains("cells", i), F.col("s"))) for i in range(len(cells))])
+    vectors = scores.groupBy(key, "doc_id").agg(sums.alias("_s")).select(key, "doc_id", F.posexplode("_s").alias("cell", "score")).where(F.col("score").isNotNull() & positive(F.col("score")))
     vectors = kept(vectors.select(F.struct("cell", F.col(key).alias("k")).alias("key"), "doc_id", "score"), "vectors")
     number = F.explode(F.sequence(F.lit(0), F.lit(len(cells) - 1))).alias("cell")
     asked = gold.select("a", "b", "human", number)
