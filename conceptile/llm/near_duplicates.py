@@ -196,7 +196,9 @@ def hub_pairs(shared: DataFrame) -> DataFrame:
     few = shared.where(F.col("n") <= HAND)
     all_ = few.select("band", F.col("cid").alias("a")).join(few.select("band", F.col("cid").alias("b")), "band").where("a < b").select("a", "b")
     many = shared.where(F.col("n") > HAND)
-    hand = lambda d: F.struct(F.lit(d).alias("deal"), F.pmod(F.xxhash64("cid", F.lit(d)), F.ceil(F.col("n") / HAND)).alias("hand"))
+    # a power of two of hands: buckets of like sizes deal their members alike, so that most of their pairs are the same ones
+    hands = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / HAND))).cast("long")
+    hand = lambda d: F.struct(F.lit(d).alias("deal"), F.pmod(F.xxhash64("cid", F.lit(d)), hands).alias("hand"))
     dealt = many.select("band", "cid", F.explode(F.array(*map(hand, range(DEALS)))).alias("d")).select("band", "cid", "d.*")
     firsts = dealt.groupBy("band", "deal", "hand").agg(F.min("cid").alias("hub"))
     both = many.select("hub", "cid").unionByName(dealt.join(firsts, ["band", "deal", "hand"]).select("hub", "cid"))
