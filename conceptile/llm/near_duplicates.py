@@ -13,9 +13,9 @@
 5. What is left is verified on the whole sets; links make components by alternating large and small stars.
 6. A large bucket whose members are now in several components has pairs that no hub has tested. They are tested as in 4 and 5,
    in chunks of bounded size against one another, and only links are returned (pairs within one component change nothing): no
-   pair is listed, and no link that shares a bucket is lost. The work for texts that look alike but are no near-duplicates
-   grows with the square of their number (a pair is 128 comparisons of small integers, a member is copied once for each 256);
-   nothing else does.
+   pair is listed, and no link that shares a bucket is lost. The bucket's largest component is not compared with itself, so that
+   its members are copied once for each CHUNK members of the others. The work for texts that look alike but are no
+   near-duplicates grows with the square of their number (a pair is 128 comparisons of small integers); nothing else does.
 
 Copies are never expanded into pairs. Everything between the steps is written to the shared folder.
 
@@ -42,7 +42,7 @@ REGISTERS, ROWS, BASE, SCALE, TOP = 128, 5, 1.001, 20.0, (1 << 16) - 1
 THRESHOLD = 85  # per cent
 STAGE_THRESHOLD, STAGE_ROWS = 80, 4  # of the pipeline's stage, which has no contract of its own: pairs of 80 per cent and more
 DEVIATIONS = 6
-DEALS, HAND, CHUNK, CHUNK_SHINGLES = 3, 8, 256, 1 << 21
+DEALS, HAND, CHUNK, CHUNK_SHINGLES = 3, 8, 1024, 1 << 21
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -205,6 +205,24 @@ def hub_pairs(shared: DataFrame) -> DataFrame:
     return both.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).unionByName(all_).distinct()
 
 
+def dealt_chunks(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(band, cid, root, n_shingles, chunk, lo, hi) of members (band, cid, root, n_shingles): each row is in the group that compares the
+    chunks lo and hi of its bucket. Any two members of different roots meet in one group. The root that has most of a bucket's members
+    has chunks of its own, which meet only those of the others: where few are outside of it, the copies grow with the members."""
+    roots = members.groupBy("band", "root").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("k"))
+    most = F.max(F.struct("m", "root", "k"))
+    chunks = lambda m, k: F.greatest(F.ceil(m / CHUNK), F.ceil(k / CHUNK_SHINGLES)).cast("int")
+    size = roots.groupBy("band").agg(most.alias("x"), F.sum("m").alias("m"), F.sum("k").alias("k"))
+    size = size.select("band", F.col("x.root").alias("most"), chunks(F.col("m") - F.col("x.m"), F.col("k") - F.col("x.k")).alias("others"), chunks(F.col("x.m"), F.col("x.k")).alias("own"))
+    size = scratch.keep(size.where("others > 0"), "chunks")
+    inside, hash_ = F.col("root") == F.col("most"), F.xxhash64("cid")
+    chunk = F.when(inside, F.col("others") + F.pmod(hash_, F.col("own"))).otherwise(F.pmod(hash_, F.col("others"))).cast("int")
+    cut = members.join(size.hint("merge"), "band").withColumn("chunk", chunk)
+    met = F.sequence(F.lit(0), F.col("others") + F.when(inside, 0).otherwise(F.col("own")) - 1)
+    both = F.transform(met, lambda k: F.struct(F.least("chunk", k).alias("lo"), F.greatest("chunk", k).alias("hi")))
+    return cut.withColumn("p", F.explode(both)).select("band", "cid", "root", "n_shingles", "chunk", "p.lo", "p.hi")
+
+
 def across(placed: DataFrame, classes: DataFrame, sets: DataFrame, scratch: Scratch, threshold: int, rows: int = ROWS) -> DataFrame:
     """Links (a, b) between members (band, cid, root) of one bucket with different roots.
 
@@ -214,11 +232,7 @@ def across(placed: DataFrame, classes: DataFrame, sets: DataFrame, scratch: Scra
     large is ever moved by its bucket."""
     several = scratch.keep(placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band"), "several")
     light = scratch.keep(placed.join(several.hint("merge"), "band", "left_semi").join(classes.select("cid", "n_shingles"), "cid"), "members")
-    size = light.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    size = scratch.keep(size, "chunks")
-    cut = light.join(size.hint("merge"), "band").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
-    both = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("chunk", k).alias("lo"), F.greatest("chunk", k).alias("hi")))
-    dealt = cut.withColumn("p", F.explode(both)).select("band", "cid", "root", "n_shingles", "chunk", "p.lo", "p.hi")
+    dealt = dealt_chunks(light, scratch)
     needed = light.select("cid").distinct()
     own = lambda df: df.join(needed, "cid", "left_semi")
     pairs = dealt.join(own(classes.select("cid", "sketch")).join(own(sets), "cid"), "cid")

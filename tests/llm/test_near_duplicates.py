@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from conceptile.llm.common import LONG, Scratch, schema
-from conceptile.llm.near_duplicates import BASE, REGISTERS, SCALE, band_hashes, components, dedup_stage, estimates, near_duplicates, op3_near_duplicates, shingles, sketches, words
+from conceptile.llm.near_duplicates import BASE, REGISTERS, SCALE, band_hashes, components, dealt_chunks, dedup_stage, estimates, near_duplicates, op3_near_duplicates, shingles, sketches, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -143,3 +143,19 @@ def test_the_sieve_lets_all_keys_through(spark):
     assert want <= got and len(got - want) < 20 and None not in got
     assert df.where(~may_be(F.col("id"))).count() == df.count() - len(got)
     assert df.where(sieve(keys.limit(0), "id")(F.col("id"))).count() == 0
+
+
+def test_members_of_the_largest_component_are_not_dealt_against_each_other(spark):
+    rows = [(1, i, 0 if i % 60 else i + 1, 10) for i in range(6000)] + [(2, i, i % 2, 10) for i in range(10)] + [(3, 7, 7, 10)]
+    got = dealt_chunks(spark.createDataFrame(rows, "band long, cid long, root long, n_shingles long"), Scratch(spark)).collect()
+    assert len([r for r in got if r.band == 1]) < 2 * 6000  # 24 copies of each when all chunks of a bucket met
+    chunk, groups = {(r.band, r.cid): r.chunk for r in got}, defaultdict(set)
+    for r in got:
+        assert r.chunk in (r.lo, r.hi)
+        groups[r.band, r.cid].add((r.lo, r.hi))
+    for band, a, ra, _ in rows:
+        if band == 2 or ra:
+            for other, b, rb, _ in rows:
+                if other == band and ra != rb:
+                    x, y = chunk[band, a], chunk[band, b]
+                    assert (min(x, y), max(x, y)) in groups[band, a] & groups[band, b]
