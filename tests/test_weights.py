@@ -98,3 +98,28 @@ def test_lists_that_are_joined(spark):
     the = spark.createDataFrame([("the",)], "term string")
     assert flat(without_terms(counts, the)) == [(1, "mice", 1, 3), (1, "mouse", 1, 3), (1, "ran", 1, 3)]
     assert flat(only_terms(counts, the)) == [(1, "the", 1, 1), (2, "the", 2, 2)]
+
+
+@pytest.mark.parametrize("mode", ["ltc", "atb", "Lpn", "bbc"])
+def test_weights_by_document_equal_those_over_all_counts(spark, sf_dir, monkeypatch, mode):
+    """Frequent terms don't leave their documents, others are joined; documents without an id and ids that repeat are one group each."""
+    from conceptile.operators import index as I
+    from conceptile.operators.analyze import packed_counts, unpacked_counts
+
+    monkeypatch.setattr(I, "HEAD", 40)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60)
+    docs = docs.unionByName(spark.createDataFrame([(None, "a b"), (None, "b c the"), (1, "twice the same id"), (9**9, ""), (9**9 + 1, None)], "doc_id long, text string"))
+    packed = packed_counts(docs).cache()
+    counts, stats = unpacked_counts(packed), I.packed_stats(packed)
+    df = I.document_frequency(counts)
+    assert 0 < I.head_of(df)[0].count() <= 40
+    spec = WeightSpec(mode)
+    rows = lambda x: sorted((str(r.doc_id), r.term, round(r.score, 9), r.blocks) for r in x.collect())
+    assert rows(I.document_weights(packed, df, stats, spec)) == rows(I.weighted(counts, df, stats, spec))
+
+
+def test_frequent_terms_are_not_shuffled_for_the_weights(spark, sf_dir):
+    from conceptile.operators.index import build_index
+
+    plan = build_index(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).postings._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan
