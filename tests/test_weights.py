@@ -123,3 +123,16 @@ def test_frequent_terms_are_not_shuffled_for_the_weights(spark, sf_dir):
 
     plan = build_index(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).postings._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("few", [1 << 14, 0])
+def test_cosines_of_few_and_of_many_pairs(spark, monkeypatch, few):
+    from conceptile.operators import vectors as V
+
+    monkeypatch.setattr(V, "FEW", few)
+    data = [(1, 1, 1.0), (1, 2, 2.0), (2, 2, 3.0), (2, 3, 4.0), (3, 9, 1.0), (5, 7, float("inf")), (5, 1, 1.0)]
+    v = spark.createDataFrame(data, "item_id long, doc_id long, score double").repartition(3)
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (1, 3), (1, 1), (1, 8), (1, 5), (3, 5)], "a long, b long")
+    got = {(r.a, r.b): r.cosine if r.cosine is None else round(r.cosine, 9) for r in V.cosines(pairs, v).collect()}
+    assert got[1, 2] == got[2, 1] == round(6 / 5 / 5**0.5, 9) and got[1, 3] == 0 and got[1, 1] == 1 and str(got[1, 8]) == "nan"
+    assert got[1, 5] == got[3, 5] == 0
