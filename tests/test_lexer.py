@@ -142,3 +142,12 @@ def test_the_chain_drops_types(spark):
     spec = AnalyzerSpec(drop_types=L.STOPPED, ascii=True)
     assert dumped_tokens(df, spec).first().tokens == "a title see supplier the one c d k e1 open ref x"
     assert {r.term for r in term_counts(df, spec).collect()} == set("a title see supplier the one c d k e1 open ref x".split())
+
+
+def test_tasks_that_count_typed_tokens_grow_in_number(spark, sf_dir, monkeypatch):
+    from conceptile import catalog
+
+    monkeypatch.setattr(catalog, "PAGES", 20)
+    plan = catalog.QUERIES["typed_tokens"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    tasks = -(-spark.read.parquet(f"{sf_dir}/part.parquet").count() // 20)
+    assert re.search(rf"hashpartitioning\(p_partkey#\d+L?, {tasks}\), REPARTITION_BY_NUM", plan)
