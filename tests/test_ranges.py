@@ -89,3 +89,17 @@ def test_a_row_that_falls_is_left(spark):
     rows = [(1, float(i), 1.0 - i / 100) for i in range(15)] + [(2, float(i), i / 100) for i in range(15)] + [(3, float(i), 1.0 - i / 100 + (i % 4 == 0) * 0.2) for i in range(15)]
     left = until_falling(spark.createDataFrame(rows, "window int, drop_off double, pearson double")).collect()
     assert [sum(r.window == w for r in left) for w in (1, 2, 3)] == [10, 15, 15]
+
+
+@pytest.mark.parametrize("longest", [5, 1 << 16])
+def test_what_cannot_stay_is_not_ranked(spark, postings, monkeypatch, longest):
+    """Few rows of a frequent term are in reach; lists of any length give the same, ranked by one task or in ranges."""
+    rows, df = postings
+    frequent = df.unionByName(spark.range(5000).selectExpr("id as doc_id", "'the' as term", "round(1 / (1 + id % 97), 4) as score"))
+    assert vectors.in_reach(frequent, [(5, 0.05)])[0].where("term = 'the'").count() < 500
+    odd = spark.createDataFrame([(i, "odd", s) for i, s in enumerate([float("nan"), 3.0, 3.0, 3.0, 0.0, -1.0, None, float("inf"), 2.9, 2.9])], df.schema)
+    monkeypatch.setattr(vectors, "LIST", longest)
+    for w, d in ((2, 0.1), (5, 0.05), (2, 0.0)):
+        both = frequent.unionByName(odd)
+        got = sorted((r.term, r.doc_id) for r in prune_window(both, w, d).collect())
+        assert got == sorted((r.term, r.doc_id) for r in vectors.ranged_cells(both, [(w, d)], "term").collect())
