@@ -31,13 +31,14 @@ class VectorMemo:
         """(key, doc_id, score) of the texts (key, text). ``counter`` observes how many texts were projected (``projected``); a batch that is
         named and is run again finds its texts remembered."""
         asked = kept(self.named(texts, key), "asked")
-        new = asked.join(self.store.look_up(asked).select("id"), "id", "left_anti").groupBy("id").agg(F.first("text").alias("text"))
+        new = asked.join(self.store.look_up(asked).select("id"), "id", "left_anti").groupBy("id").agg(F.first("text").alias("text")).withColumn("text_id", F.monotonically_increasing_id())
         new = kept(new.observe(counter, F.count("*").alias("projected")) if counter else new, "new")
         if not new.isEmpty():
-            found = concept_vectors(query_weights(new, self.index, key="id"), self.index.postings, self.prune, "id")
+            # a row for each text and concept is shuffled: with a number, not with the hash
+            found = concept_vectors(query_weights(new, self.index, key="text_id"), self.index.postings, self.prune, "text_id", self.index.df)
             one = F.sort_array(F.collect_list(F.struct(F.col("doc_id").alias("c"), F.col("score").alias("w"))))
-            packed = found.groupBy("id").agg(one.alias("v"))
+            packed = found.groupBy("text_id").agg(one.alias("v"))
             empty = lambda c, kind: F.coalesce(F.col(f"v.{c}"), F.array().cast(f"array<{kind}>")).alias(c)  # noqa: E731  no concept is an answer too
-            self.store.write_packed(new.select("id").join(packed, "id", "left").select("id", empty("c", "bigint"), empty("w", "double")), batch or uuid.uuid4().hex)
-        rows = unpacked(self.store.look_up(asked)).join(asked.select(key, "id"), "id")
-        return rows.select(key, F.col("concept").alias("doc_id"), F.col("weight").alias("score"))
+            self.store.write_packed(new.select("id", "text_id").join(packed, "text_id", "left").select("id", empty("c", "bigint"), empty("w", "double")), batch or uuid.uuid4().hex)
+        rows = self.store.look_up(asked).join(asked.select(key, "id"), "id").select(F.col(key).alias("id"), "c", "w")
+        return unpacked(rows).select(F.col("id").alias(key), F.col("concept").alias("doc_id"), F.col("weight").alias("score"))

@@ -63,7 +63,9 @@ class VectorStore:
         if out is None:
             return self.spark.createDataFrame([], self.schema).select("id", "c", "w")
         if len(live) > 1:
-            out = out.groupBy("id").agg(F.max_by(F.struct("c", "w"), "seq").alias("v")).select("id", "v.c", "v.w")
+            # the ids alone are grouped; where they are few, no vector is shuffled
+            last = out.groupBy(F.col("id").alias("_id")).agg(F.max("seq").alias("_seq"))
+            out = out.join(last, F.col("id").eqNullSafe(F.col("_id")) & (F.col("seq") == F.col("_seq")))
         return out.where("c is not null").select("id", "c", "w")
 
     def read(self) -> DataFrame:

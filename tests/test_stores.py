@@ -84,3 +84,13 @@ def test_texts_are_projected_once(spark, store):
     assert asked(VectorMemo(store, index, "v1", PruneSpec(limit=1)), texts("bird")) == 1
     keys = {VectorMemo(store, build_index(spark.createDataFrame(DOCS, "doc_id long, text string"), a, w), "v1").options for a in (AnalyzerSpec(), AnalyzerSpec(stop_words=frozenset({"a", "b"}))) for w in (WeightSpec(), WeightSpec("nnn"))}
     assert len(keys) == 4
+
+
+def test_last_vectors_are_chosen_by_ids_alone(spark, tmp_path):
+    from conceptile.sources.vector_store import VectorStore
+
+    store = VectorStore(spark, f"file://{tmp_path}/s", buckets=2)
+    for name, w in (("a", 1.0), ("b", 2.0)):
+        store.write(spark.createDataFrame([("x", 1, w), ("x", 2, w), (name, 3, w)], "id string, concept long, weight double"), name)
+    assert sorted(map(tuple, store.read().collect())) == [("a", 3, 1.0), ("b", 3, 2.0), ("x", 1, 2.0), ("x", 2, 2.0)]
+    assert "max_by" not in store.packed()._jdf.queryExecution().optimizedPlan().toString()
