@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .staging import kept, numbered
-from .vectors import positive, top
+from .vectors import LIST, positive, top
 
 SIZE, PARTS, PUSHED, SLACK = 1024, 64, 1000, 1e-9
 POSTINGS = "doc_id long, term string, score double, rank long, block long, level int"
@@ -32,24 +32,36 @@ class ImpactIndex:
     parts: int
 
     @classmethod
-    def save(cls, postings: DataFrame, path: str, size: int = SIZE, parts: int = PARTS, digits: int = 9) -> ImpactIndex:
-        """Ranks hang on scores to so many digits, then on the document."""
-        ranked = numbered(postings.select("doc_id", "term", "score"), ["term"], [F.desc(F.round("score", digits)), "doc_id"], "rank").drop("_part")
+    def save(cls, postings: DataFrame, path: str, size: int = SIZE, parts: int = PARTS, digits: int = 9, forward: DataFrame | None = None) -> ImpactIndex:
+        """Ranks hang on scores to so many digits, then on the document. Postings go by term in one exchange and are ranked there; those of
+        terms with over LIST of them, in ranges. ``forward`` is a stored table (doc_id, term, score) of the same postings, if there is one:
+        it is read as it lies, and not written again."""
+        spark = postings.sparkSession
+        rows = postings.select("doc_id", "term", "score")
+        order = [F.desc(F.round("score", digits)), "doc_id"]
+        often = kept(rows.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") > LIST).select("term"), "long")
+        rank = F.row_number().over(Window.partitionBy("term").orderBy(*order)).cast("long")
+        if often.isEmpty():
+            ranked = rows.withColumn("rank", rank)
+        else:  # at most one term for each LIST postings
+            long = numbered(rows.join(F.broadcast(often), "term", "left_semi"), ["term"], order, "rank").drop("_part")
+            ranked = rows.join(F.broadcast(often), "term", "left_anti").withColumn("rank", rank).unionByName(long)
         block = F.floor((F.col("rank") - 1) / size).cast("long")
         level = F.ceil(F.log2(F.col("block") + 1)).cast("int")
         placed = ranked.withColumn("block", block).withColumn("level", level)
-        placed.repartitionByRange("level", "term", "rank").sortWithinPartitions("level", "term", "rank").write.partitionBy("level").parquet(f"{path}/postings")
-        spark = postings.sparkSession
+        placed.sortWithinPartitions("level", "term", "rank").write.partitionBy("level").parquet(f"{path}/postings")
         spark.read.schema(POSTINGS).parquet(f"{path}/postings").groupBy("term", "block", "level").agg(F.count("*").alias("n"), F.max("score").alias("hi"), F.min("score").alias("lo")).write.parquet(f"{path}/blocks")
+        if forward is not None:
+            return cls.load(spark, path, size, parts, forward)
         part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
         by_document = postings.select("doc_id", "term", "score", part.alias("part"))
         by_document.repartitionByRange("part", "doc_id").sortWithinPartitions("part", "doc_id").write.partitionBy("part").parquet(f"{path}/forward")
         return cls.load(spark, path, size, parts)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, size: int = SIZE, parts: int = PARTS) -> ImpactIndex:
-        tables = (spark.read.schema(s).parquet(f"{path}/{t}") for t, s in (("postings", POSTINGS), ("blocks", BLOCKS), ("forward", FORWARD)))
-        return cls(*tables, size, parts)
+    def load(cls, spark: SparkSession, path: str, size: int = SIZE, parts: int = PARTS, forward: DataFrame | None = None) -> ImpactIndex:
+        table = lambda t, schema: spark.read.schema(schema).parquet(f"{path}/{t}")
+        return cls(table("postings", POSTINGS), table("blocks", BLOCKS), table("forward", FORWARD) if forward is None else forward, size, parts)
 
     def read(self, needed: DataFrame, key: str) -> DataFrame:
         """(key, term, doc_id, s): what the postings of the needed (key, term, q, block, level) add to each vector. Levels are pruned by folder;
@@ -98,29 +110,40 @@ class ImpactIndex:
 
     def scored(self, asked: DataFrame, w: DataFrame, key: str) -> DataFrame:
         """(key, doc_id, score) of the asked documents, from the parts of the forward table that have them."""
+        if "part" not in self.forward.columns:
+            rows = self.forward.join(w.select("term").distinct(), "term", "left_semi")
+            return rows.join(kept(asked, "able"), "doc_id").join(w, [key, "term"]).groupBy(key, "doc_id").agg(F.sum(F.col("q") * F.col("score")).alias("score"))
         part = F.pmod(F.xxhash64("doc_id"), F.lit(self.parts)).cast("int")
         parts = [r.part for r in asked.select(part.alias("part")).distinct().collect()]  # at most ``parts``
         rows = self.forward.where(F.col("part").isin(parts)) if parts else self.forward.limit(0)
         return rows.join(asked, "doc_id").join(w, [key, "term"]).groupBy(key, "doc_id").agg(F.sum(F.col("q") * F.col("score")).alias("score"))
 
     def pruned(self, window: int, drop_off: float, digits: int = 9) -> DataFrame:
-        """(doc_id, term, score) as ``prune_window`` leaves them, from the stored ranks: one exchange of the postings. The first rows of a block
-        come to the one before it too, for the rows that look ahead; a stop is told to later blocks by a row for each block."""
-        rows = self.postings.select("doc_id", "term", F.round("score", digits).alias("score"), "rank", "block")
-        at = (F.col("rank") - 1) % self.size
-        copies = F.when((at < window) & (F.col("block") > 0), F.array(F.col("block"), F.col("block") - 1)).otherwise(F.array("block"))
+        """(doc_id, term, score) as ``prune_window`` leaves them, from the stored ranks. The first blocks of the terms, and the first rows of the
+        second ones for what looks ahead, end most lists; only the terms that don't stop there are read on."""
         if window > self.size:
             raise ValueError("a window has at most the rows of a block")
+        rows = self.postings.select("doc_id", "term", F.round("score", digits).alias("score"), "rank", "block", "level")
+        near = kept(self.ended(rows.where("level <= 1").where(F.col("rank") <= self.size + window), window, drop_off).where("block = 0"), "near")
+        stopped = near.groupBy("term").agg(F.max("_stopped").alias("_ends"))
+        open_ = self.blocks.where("block = 1").select("term").join(stopped.where("not _ends"), "term", "left_semi")
+        deep = self.ended(rows.where("level >= 1").join(open_, "term", "left_semi"), window, drop_off)
+        deep = kept(deep, "unpruned")
+        end = deep.where("_stopped").groupBy("term").agg(F.min("block").alias("_end"))
+        deep = deep.join(end, "term", "left").where("_end is null or block <= _end")
+        return near.select("doc_id", "term", "score").unionByName(deep.select("doc_id", "term", "score"))
+
+    def ended(self, rows: DataFrame, window: int, drop_off: float) -> DataFrame:
+        """(doc_id, term, score, block, _stopped): the rows of each block up to its first stop. The first rows of a block come to the one before
+        it too, for the rows that look ahead."""
+        at = (F.col("rank") - 1) % self.size
+        copies = F.when((at < window) & (F.col("block") > 0), F.array(F.col("block"), F.col("block") - 1)).otherwise(F.array("block"))
         rows = rows.select("*", F.explode(copies).alias("_in"))
         within = Window.partitionBy("term", "_in").orderBy("rank")
-        ahead = F.lead("score", window).over(within)
-        stops = F.coalesce((F.col("score") - ahead) < F.col("score") * drop_off, F.lit(False)) & (F.col("block") == F.col("_in"))
+        stops = F.coalesce((F.col("score") - F.lead("score", window).over(within)) < F.col("score") * drop_off, F.lit(False)) & (F.col("block") == F.col("_in"))
         rows = rows.withColumn("_stops", stops)
         rows = rows.withColumn("_first", F.min(F.when(F.col("_stops"), F.col("rank"))).over(Window.partitionBy("term", "_in"))).where("block = _in")
-        rows = kept(rows.where("_first is null or rank <= _first").select("doc_id", "term", "score", "block", F.col("_first").isNotNull().alias("_stopped")), "unpruned")
-        end = rows.where("_stopped").groupBy("term").agg(F.min("block").alias("_end"))
-        deep = rows.where("block > 0").join(end, "term", "left").where("_end is null or block <= _end")
-        return rows.where("block = 0").unionByName(deep.select(rows.columns)).select("doc_id", "term", "score")
+        return rows.where("_first is null or rank <= _first").select("doc_id", "term", "score", "block", F.col("_first").isNotNull().alias("_stopped"))
 
 
 def kth(scores: DataFrame, limit: int, key: str) -> DataFrame:

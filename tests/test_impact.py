@@ -61,3 +61,16 @@ def test_an_empty_index_and_no_queries(spark, postings, index, tmp_path):
     assert index.best(weights, 5).count() == 0
     none = ImpactIndex.save(postings.limit(0), f"file://{tmp_path}/i")
     assert none.best(spark.createDataFrame(QUERIES, weights.schema), 5).count() == 0 and none.pruned(3, 0.1).count() == 0
+
+
+def test_long_lists_are_ranked_in_ranges_and_postings_not_written_twice(spark, postings, tmp_path, monkeypatch):
+    from conceptile.operators import impact
+
+    monkeypatch.setattr(impact, "LIST", 500)
+    index = ImpactIndex.save(postings, f"file://{tmp_path}/i", size=64, forward=postings)
+    assert not (tmp_path / "i" / "forward").exists()
+    rows = lambda df: sorted((r.doc_id, r.score) for r in df.collect())
+    assert rows(index.pruned(5, 0.05)) == rows(prune_window(postings, 5, 0.05))
+    weights = spark.createDataFrame([(7, "the", 0.1), (7, "cat", 0.2), (7, "sat", 0.3), (7, "rare", 0.5)], "item_id long, term string, score double")
+    near = lambda df: sorted((r.doc_id, round(r.score, 9)) for r in df.collect())
+    assert near(index.best(weights, 10)) == near(top(concept_vectors(weights, postings), 10, digits=9))
