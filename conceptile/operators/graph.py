@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .analyze import once
 from .staging import shared_root
 
 
@@ -46,10 +47,15 @@ def one_redirect(titles: DataFrame) -> DataFrame:
 
 def redirect_closure(titles: DataFrame) -> DataFrame:
     """(title, target), a row for each title: redirects followed to their end, by doubling. Titles on a cycle lead to the least title
-    of the cycle; of a title that occurs several times one redirect counts (``one_redirect``), so that no round adds rows."""
+    of the cycle; of a title that occurs several times one redirect counts (``one_redirect``), so that no round adds rows. Articles
+    are their own ends: only redirects take part in the rounds."""
     titles = ensure_checkpoints(one_redirect(titles))
-    hop = titles.select("title", F.col("redirect").alias("target"), F.least("title", "redirect").alias("least"))
-    rows = titles.count()
+    ends = titles.where("title = redirect").select("title", F.col("redirect").alias("target"))
+    moves = titles.where("title <> redirect")
+    rows = moves.count()
+    if not rows:
+        return ends
+    hop = moves.select("title", F.col("redirect").alias("target"), F.least("title", "redirect").alias("least"))
     steps = 1
     while True:
         nxt = hop.select(F.col("title").alias("target"), F.col("target").alias("t2"), F.col("least").alias("l2"))
@@ -57,24 +63,38 @@ def redirect_closure(titles: DataFrame) -> DataFrame:
         after = ensure_checkpoints(after)
         moved, hop, steps = after.where("moved").count(), after.drop("moved"), steps * 2
         # all have ended, or gone longer than any path: what leads into a cycle has been round it, and its titles have its least
-        if moved == 0 or steps > 2 * rows:
-            cycle = hop.alias("a").join(titles.alias("b"), F.col("a.target") == F.col("b.title")).select("a.title", (F.col("b.redirect") != F.col("b.title")).alias("turns"))
-            ends = hop.select(F.col("title").alias("target"), F.col("least").alias("end"))
-            return hop.join(cycle, "title", "left").join(ends, "target", "left").select("title", F.when(F.col("turns"), F.col("end")).otherwise(F.col("target")).alias("target"))
+        if moved == 0 or steps > 2 * (rows + 1):
+            turns = hop.select(F.col("title").alias("target"), F.col("least").alias("end"))  # an end that is a redirect is on a cycle
+            return ends.unionByName(hop.join(turns, "target", "left").select("title", F.coalesce("end", "target").alias("target")))
+
+
+def named_edges(names: DataFrame, targets: DataFrame, valid: DataFrame) -> DataFrame:
+    """(src, dst), each once: what the names (src, title) lead to by the targets (title, target), where that is a valid title."""
+    reached = targets.join(valid.select(F.col("title").alias("target")), "target", "left_semi")
+    return names.join(reached, "title").select("src", F.col("target").alias("dst")).distinct()
+
+
+def link_names(articles: DataFrame) -> DataFrame:
+    """(src, title): the normalised names of an article's links; (title, text) in, titles normalised."""
+    raw = articles.select(F.col("title").alias("src"), F.explode(once(F.array_distinct(T.raw_links(F.col("text"))))).alias("raw"))
+    return raw.select("src", once(T.normalize_title(F.col("raw"))).alias("title"))
 
 
 def link_edges(articles: DataFrame, targets: DataFrame) -> DataFrame:
     """(src, dst): distinct links between valid articles (title, text); targets (title, target) resolve what links name."""
-    named = articles.select(T.normalize_title(F.col("title")).alias("src"), F.explode(T.links(F.col("text"))).alias("title"))
-    resolved = named.join(targets, "title").select("src", F.col("target").alias("dst"))
-    valid = articles.select(T.normalize_title(F.col("title")).alias("dst")).distinct()
-    return resolved.join(valid, "dst", "left_semi").select("src", "dst").distinct()
+    named = articles.select(T.normalize_title(F.col("title")).alias("title"), "text")
+    return named_edges(link_names(named), targets, named)
+
+
+def counted_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(title, incoming) and (title, outgoing) of the titles that have any; links to oneself count."""
+    count = lambda c, name: edges.groupBy(F.col(c).alias("title")).agg(F.count("*").alias(name))
+    return count("dst", "incoming"), count("src", "outgoing")
 
 
 def link_counts(articles: DataFrame, edges: DataFrame) -> DataFrame:
     """(title, incoming, outgoing) for all articles; links to oneself count."""
-    ins = edges.groupBy(F.col("dst").alias("title")).agg(F.count("*").alias("incoming"))
-    outs = edges.groupBy(F.col("src").alias("title")).agg(F.count("*").alias("outgoing"))
+    ins, outs = counted_edges(edges)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     titles = articles.select(T.normalize_title(F.col("title")).alias("title")).distinct()
     return titles.join(ins, "title", "left").join(outs, "title", "left").select("title", zero("incoming"), zero("outgoing"))

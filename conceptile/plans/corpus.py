@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.templates import TemplateTable, reachable, template_bodies
-from ..operators.analyze import DEFAULT, AnalyzerSpec
-from ..operators.graph import category_edges, descendants, excluded_title, in_categories, link_counts, link_edges, redirect_closure, stripped_template, title_map
+from ..operators.analyze import DEFAULT, AnalyzerSpec, once
+from ..operators.graph import category_edges, counted_edges, descendants, excluded_title, in_categories, link_names, named_edges, redirect_closure, stripped_template
+from ..operators.staging import kept
 
 
 @dataclass(frozen=True)
@@ -42,12 +43,16 @@ def prepared(pages: DataFrame, seeds: DataFrame | None = None, spec: PrepareSpec
 
 def annotated(articles: DataFrame, titles: DataFrame | None = None, min_in: int = 0, min_out: int = 0, min_terms: int = 0, analyzer: AnalyzerSpec = DEFAULT) -> DataFrame:
     """(title, text, incoming_links, outgoing_links, terms) of the articles that reach the minima; links go to such articles only
-    as have enough terms, over redirects."""
-    own = articles.select(T.normalize_title(F.col("title")).alias("title"), "text", F.size(analyzer.tokens(F.col("text"))).alias("terms"))
+    as have enough terms, over redirects. Texts are made, tokenised and searched for redirects once, into a kept table."""
+    title = T.normalize_title(F.col("title"))
+    own = articles.select(title.alias("title"), "text", F.coalesce(T.redirect_target(F.col("text")), title).alias("redirect"), once(F.size(analyzer.tokens(F.col("text")))).alias("terms"))
+    own = kept(own, "articles")
     valid = own.where(F.col("terms") >= min_terms)
-    targets = redirect_closure(titles if titles is not None else title_map(articles))
-    numbers = link_counts(valid, link_edges(valid, targets))
-    out = valid.join(numbers, "title").where((F.col("incoming") >= min_in) & (F.col("outgoing") >= min_out))
+    targets = redirect_closure(titles if titles is not None else own.select("title", "redirect"))
+    ins, outs = counted_edges(kept(named_edges(link_names(valid), targets, valid), "edges"))
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("incoming", "outgoing")]
+    out = valid.where("title is not null").join(ins, "title", "left").join(outs, "title", "left").select("title", "text", *numbers, "terms")
+    out = out.where((F.col("incoming") >= min_in) & (F.col("outgoing") >= min_out))
     return out.select("title", "text", F.col("incoming").cast("int").alias("incoming_links"), F.col("outgoing").cast("int").alias("outgoing_links"), "terms")
 
 

@@ -123,6 +123,21 @@ def test_a_dump_becomes_annotated_articles(spark, tmp_path):
     assert {(r.title, r.incoming_links) for r in S.articles_xml(spark, str(tmp_path / "out")).collect()} == {("cat", 1), ("dog", 1)}
 
 
+def test_annotated_makes_each_text_once(spark):
+    """Titles are normalised once, too: one that another pass would change keeps its links."""
+    made = spark.sparkContext.accumulator(0)
+
+    def text(x):
+        made.add(1)
+        return x
+
+    rows = [("_X:Y", "to [[B]]"), ("B", "to [[_X:Y]] and [[ x:Y]], [[B]], [[Gone]]"), ("C", "#REDIRECT [[B]]"), ("D", "[[C]] [[b]]")]
+    pages = spark.createDataFrame(rows, "title string, text string").withColumn("text", F.udf(text, "string").asNondeterministic()("text"))
+    got = annotated(pages, min_in=1).collect()
+    assert {(r.title, r.incoming_links, r.outgoing_links) for r in got} == {("X:y", 1, 1), ("b", 4, 2)}
+    assert made.value == len(rows)
+
+
 def test_small_sources(spark, tmp_path):
     (tmp_path / "w.txt").write_text("The\n\nof\nTHE\n")
     assert {r.term for r in S.words(spark, str(tmp_path / "w.txt"), ["More"]).collect()} == {"the", "of", "more"}
