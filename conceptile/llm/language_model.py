@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ from .common import BINARY, BOOL, DOUBLE, INT, LONG, Scratch, batches_of, column
 SMOOTH, HEAD, NEAR, FAR = 0.1, 1 << 19, 12, 4
 CLASSES = SLOTS = NEAR + FAR
 MOST_ROWS, BLOCK, ROUNDS, STEP, RATE = 1 << 18, 1 << 12, 2, 8192, 0.15
+READ = 2048  # tokens scored at once: their rows stay in a core's cache
 DEALT = 256  # changes of one block that one task adds up
 PER_MODEL = 1 << 22  # training tokens of a task in a round, at least
 HELD = 10
@@ -114,13 +116,27 @@ class Vocabulary:
         """Of weights: a power of 2, and whole blocks."""
         return min(MOST_ROWS, max(BLOCK, 1 << int(self.n // 4).bit_length()))
 
+    @cached_property
+    def buckets(self) -> tuple[np.uint64, np.ndarray, int]:
+        """The head by the first bits of its hashes, about one to a bucket: the shift, where each bucket begins, the longest one."""
+        bits = max(1, len(self.hashes).bit_length())
+        shift = np.uint64(64 - bits)
+        first = np.searchsorted((self.hashes >> shift).view(np.int64), np.arange((1 << bits) + 1)).astype(np.int32)
+        return shift, first, int(np.diff(first).max())
+
     def place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each hash: its place in the head or -1, and the number of its path."""
         far = len(self.hashes) + (h >> np.uint64(62)).astype(np.int64)
         if not len(self.hashes):
             return np.full(len(h), -1), far
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        at = np.where(self.hashes[at] == h, at, -1)
+        shift, first, longest = self.buckets
+        at = np.take(first, (h >> shift).view(np.int64)).astype(np.int64)
+        ahead = np.arange(len(h))  # those whose hash is beyond the place looked at
+        for _ in range(longest):
+            place = at[ahead]
+            ahead = ahead[np.take(self.hashes, place, mode="clip") < h[ahead]]
+            at[ahead] += 1
+        at[np.take(self.hashes, at, mode="clip") != h] = -1
         return at, np.where(at >= 0, at, far)
 
 
@@ -216,6 +232,9 @@ class Batch:
         self.slot = np.where(self.at >= 0, 0, -1)
 
 
+ONES = np.ones(SLOTS, dtype=np.float32)
+
+
 def softmax(logits: np.ndarray) -> np.ndarray:
     logits = np.exp(logits - logits.max(axis=1, keepdims=True))
     return logits / logits.sum(axis=1, keepdims=True)
@@ -264,22 +283,23 @@ class Weights:
     def descend(self, rows: np.ndarray, error: np.ndarray) -> None:
         """One adaptive step: the errors that meet in a row of weights are summed first. Most are alone in theirs."""
         flat, m = rows.ravel(), len(error)
-        alone = np.bincount(flat, minlength=len(self.rows))[flat] == 1
+        times = np.bincount(flat, minlength=len(self.rows))
+        self.touched += times
+        alone = np.take(times, flat) == 1
         for k, row in enumerate(rows):
             i = np.flatnonzero(alone[k * m : (k + 1) * m])
-            self.move(row[i], np.take(error, i, axis=0), 1)
+            self.move(row[i], np.take(error, i, axis=0))
         i = np.flatnonzero(~alone)
         if len(i):
             i = i[np.argsort(flat[i].astype(np.int32))]
             first = starts(flat[i])
             gradient = np.add.reduceat(np.take(error, i % m, axis=0), first, axis=0)
-            self.move(flat[i[first]], gradient, np.diff(np.append(first, len(i))))
+            self.move(flat[i[first]], gradient)
 
-    def move(self, at: np.ndarray, gradient: np.ndarray, times) -> None:
+    def move(self, at: np.ndarray, gradient: np.ndarray) -> None:
         squares = np.take(self.squares, at)
         squares += np.einsum("ij,ij->i", gradient, gradient) / SLOTS
         self.squares[at] = squares
-        self.touched[at] += times
         gradient *= (RATE / np.sqrt(squares))[:, None]
         row = f"V{SLOTS * 4}"  # a row as one value, which numpy moves at once
         whole = self.rows.view(row)[:, 0]
@@ -292,7 +312,7 @@ class Weights:
             s = slice(i, i + STEP)
             for digit, x, rows in (self.root(b, s), self.below(b, s)[1:]):
                 np.exp(x, out=x)
-                x *= (1 / x.sum(axis=1))[:, None]
+                x *= (1 / (x @ ONES))[:, None]
                 x[np.arange(len(x)), digit] -= 1
                 self.descend(rows, x)
 
@@ -303,10 +323,10 @@ class Weights:
         def logs(digit: np.ndarray, x: np.ndarray) -> np.ndarray:
             chosen = x[np.arange(len(x)), digit]
             np.exp(x, out=x)
-            return (chosen - np.log(x.sum(axis=1))) / np.log(10)
+            return (chosen - np.log(x @ ONES)) / np.log(10)
 
-        for i in range(0, len(b.h), STEP):
-            s = slice(i, i + STEP)
+        for i in range(0, len(b.h), READ):
+            s = slice(i, i + READ)
             digit, x, _ = self.root(b, s)
             out[s] = logs(digit, x)
             token, digit, x, _ = self.below(b, s)

@@ -98,3 +98,19 @@ def test_contexts_choose_rare_words(spark, docs):
     b = Batch(known, [token_hashes(f"a{k} b{k}") for k in range(0, 4000, 7)])
     cost = w.log10s(b).reshape(-1, 3)
     assert cost[:, 1].mean() > cost[:, 0].mean() + 0.8
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000, 5000])
+def test_places_are_found_by_the_first_bits(n):
+    """About one hash lies in a bucket, so that a word is looked up in few steps; equal first bits only take more of them."""
+    rng = np.random.default_rng(n)
+    far = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    h = np.unique(np.append(rng.integers(0, 2**64, n, dtype=np.uint64), np.arange(n // 100, dtype=np.uint64)))
+    v = lm.Vocabulary(1, 1, h, *[np.zeros(0)] * 8)
+    asked = np.concatenate([h, far, np.array([0, 1, 2**64 - 1], dtype=np.uint64)])
+    known = {x: i for i, x in enumerate(h.tolist())}
+    at, path = v.place(asked)
+    assert at.tolist() == [known.get(x, -1) for x in asked.tolist()]
+    assert path.tolist() == [known.get(x, len(h) + (x >> 62)) for x in asked.tolist()]
+    if n:
+        assert v.buckets[2] <= 12 + n // 100 and len(v.buckets[1]) <= 4 * len(h) + 2
