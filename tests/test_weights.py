@@ -1,7 +1,10 @@
 import math
+from collections import Counter
 
 import pytest
 from conceptile.functions.weights import WeightSpec, bm25, true_bm25_idf
+from conceptile.operators import analyze as A
+from conceptile.operators import index as I
 from conceptile.operators.analyze import AnalyzerSpec, lemmatised, only_terms, term_counts, without_terms
 from conceptile.operators.index import Index, build_index, impact_ordered
 from conceptile.operators.vectors import PruneSpec, concept_vectors, cosines, prune_window, query_weights, top, weighted_query
@@ -136,3 +139,19 @@ def test_cosines_of_few_and_of_many_pairs(spark, monkeypatch, few):
     got = {(r.a, r.b): r.cosine if r.cosine is None else round(r.cosine, 9) for r in V.cosines(pairs, v).collect()}
     assert got[1, 2] == got[2, 1] == round(6 / 5 / 5**0.5, 9) and got[1, 3] == 0 and got[1, 1] == 1 and str(got[1, 8]) == "nan"
     assert got[1, 5] == got[3, 5] == 0
+
+
+def test_slim_counts_come_back_whole(spark):
+    """Whatever the terms are: separators in them, an empty one, none at all."""
+    rows = [(1, [("a", 2), ("b", 1)]), (2, [("x\x01y", 1), ("z", 3)]), (3, []), (4, [("", 5)]), (5, [("", 1), ("\x01", 2)]), (None, [("n", 1)]), (6, [("é |.", 7)])]
+    packed = spark.createDataFrame([(d, t, sum(n for _, n in t), 1, 1.5) for d, t in rows], "doc_id long, terms array<struct<term string, tf long>>, dl long, max_tf long, avg_tf double")
+    got, want = I.widened(I.slim(packed)), A.unpacked_counts(packed)
+    assert got.columns == want.columns and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
+def test_schemes_read_once_are_not_stored(spark, sf_dir):
+    from conceptile import catalog
+
+    kept = len(catalog.QUERIES["w_anb"](spark, sf_dir).collect())
+    assert kept and not any(name.startswith("index-") and name != "index-ltc" for _, _, name in catalog._STORED)
