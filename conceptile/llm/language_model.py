@@ -20,7 +20,7 @@ collected. How documents lie in parts decides in which task they are learned, so
 its last digits when the same rows are read in other parts or by another number of cores; read alike, it is the same.
 
 Scoring: sparse batches in numpy, one pass. Counts of words outside the head are joined: a document sends each such word once.
-Words are known by 64-bit hashes.
+Words are known by 64-bit hashes, which are made of all words of some texts at once.
 
 Defined cases: a null or empty text is one token, the end; a null doc_id counts as the text "null" for the fold and stays null;
 rows that repeat a document are scored and counted each; without training documents N and V are 0 and every word is unknown;
@@ -38,15 +38,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BINARY, BOOL, DOUBLE, INT, LONG, Scratch, batches_of, column, mixed, odd_constants, schema, signed, table, word_hashes, words
+from .common import BINARY, BOOL, DOUBLE, INT, LONG, Scratch, batches_of, column, mixed, odd_constants, schema, signed, table, word_hashes
 
 SMOOTH, HEAD, NEAR, FAR = 0.1, 1 << 19, 12, 4
 CLASSES = SLOTS = NEAR + FAR
 MOST_ROWS, BLOCK, ROUNDS, STEP, RATE = 1 << 18, 1 << 12, 2, 8192, 0.15
-READ = 2048  # tokens scored at once: their rows stay in a core's cache
+READ = 2048  # tokens scored, or rows moved, at once: they stay in a core's cache
 DEALT = 256  # changes of one block that one task adds up
 PER_MODEL = 1 << 22  # training tokens of a task in a round, at least
 HELD = 10
+LANES = 8  # of 8 bytes, in a word that is hashed with others
 END = np.uint64(0x0E4D0F7E47000001)
 START = np.uint64(0x57A2701000000001)
 _M = odd_constants(8, 41)
@@ -57,7 +58,45 @@ def remainder() -> Column:
 
 
 def token_hashes(text: str | None) -> np.ndarray:
-    return np.append(word_hashes(words(text)), END)
+    return hashed([text.encode("utf-8", "surrogatepass") if text else None])[0]
+
+
+def hashed(texts: list[bytes | None]) -> list[np.ndarray]:
+    """Hashes of the tokens of each text, those of all texts at once: words are read 8 bytes at a time, long ones are hashed alone."""
+    data = b"\n".join([b"", *(t or b"" for t in texts), b""]).lower()
+    x = np.frombuffer(data, dtype=np.uint8)
+    white = (x == 32) | (x - np.uint8(9) < 5)
+    edges = np.flatnonzero(white[1:] != white[:-1]) + 1
+    first, size = edges[::2], edges[1::2] - edges[::2]
+    eights = np.frombuffer(data + bytes(16 - len(data) % 8), dtype="<u8")
+
+    def lane(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The n bytes, 8 at most, that begin there: of the two aligned values that hold them."""
+        k, bit = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        both = eights[k] >> bit | eights[k + 1] << np.uint64(1) << (np.uint64(63) - bit)
+        return both << ((8 - np.minimum(n, 8)) << 3).astype(np.uint64)
+
+    with np.errstate(over="ignore"):
+        h = mixed(lane(first, size) * _M[0] + size.astype(np.uint64) * _M[1])
+        long = np.flatnonzero(size > LANES * 8)
+        h[long] = word_hashes([data[a : a + n] for a, n in zip(first[long].tolist(), size[long].tolist(), strict=True)])
+        more = np.flatnonzero((size > 8) & (size <= LANES * 8))
+        for k in range(8, LANES * 8, 8):
+            more = more[size[more] > k]
+            h[more] = mixed((h[more] ^ lane(first[more] + k, size[more] - k)) * _M[2])
+    ends = np.cumsum([len(t or b"") + 1 for t in texts])  # the white space after each text
+    last = np.searchsorted(first, ends) + np.arange(len(texts))
+    out = np.full(len(h) + len(texts), END)
+    word = np.ones(len(out), dtype=bool)
+    word[last] = False
+    out[word] = h
+    return np.split(out, last[:-1] + 1)
+
+
+def tokens_of(batch: pa.RecordBatch, texts: int = 64) -> list[np.ndarray]:
+    """Hashes of the tokens of each text, so many texts at once that they stay in a core's cache."""
+    utf8 = batch.column(batch.schema.names.index("text")).cast(pa.large_binary()).to_pylist()
+    return [h for i in range(0, len(utf8), texts) for h in hashed(utf8[i : i + texts])]
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -77,7 +116,7 @@ def counted(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches_of(batches):
-            parts.append(tuple(np.unique(np.concatenate([token_hashes(t) for t in column(batch, "text")]), return_counts=True)))
+            parts.append(tuple(np.unique(np.concatenate(tokens_of(batch)), return_counts=True)))
             size += len(parts[-1][0])
             if size > 1 << 21:
                 parts = [merged(parts)]
@@ -282,30 +321,36 @@ class Weights:
 
     def descend(self, rows: np.ndarray, error: np.ndarray) -> None:
         """One adaptive step: the errors that meet in a row of weights are summed first. Most are alone in theirs."""
-        flat, m = rows.ravel(), len(error)
-        times = np.bincount(flat, minlength=len(self.rows))
-        self.touched += times
-        alone = np.take(times, flat) == 1
-        for k, row in enumerate(rows):
-            i = np.flatnonzero(alone[k * m : (k + 1) * m])
-            self.move(row[i], np.take(error, i, axis=0))
-        i = np.flatnonzero(~alone)
-        if len(i):
-            i = i[np.argsort(flat[i].astype(np.int32))]
-            first = starts(flat[i])
-            gradient = np.add.reduceat(np.take(error, i % m, axis=0), first, axis=0)
-            self.move(flat[i[first]], gradient)
-
-    def move(self, at: np.ndarray, gradient: np.ndarray) -> None:
-        squares = np.take(self.squares, at)
-        squares += np.einsum("ij,ij->i", gradient, gradient) / SLOTS
-        self.squares[at] = squares
-        gradient *= (RATE / np.sqrt(squares))[:, None]
-        row = f"V{SLOTS * 4}"  # a row as one value, which numpy moves at once
-        whole = self.rows.view(row)[:, 0]
-        moved = np.take(whole, at).view(np.float32).reshape(-1, SLOTS)
+        m = len(error)
+        bits = m.bit_length()
+        met = np.sort((rows << bits | np.arange(m)).ravel())  # rows are moved in their order
+        row, i = met >> bits, met & ((1 << bits) - 1)
+        first = starts(row)
+        times = np.diff(np.append(first, len(row)))
+        at, alone, several = row[first], np.flatnonzero(times == 1), np.flatnonzero(times > 1)
+        norms = np.take(np.einsum("ij,ij->i", error, error), i[first])
+        if len(several):
+            meet = np.repeat(times > 1, times)
+            pairs = np.take(error, i[meet], axis=0).view(np.complex64)  # two sums for one
+            sums = np.add.reduceat(pairs, starts(row[meet]), axis=0).view(np.float32)
+            norms[several] = np.einsum("ij,ij->i", sums, sums)
+        norms /= SLOTS
+        norms += np.take(self.squares, at)
+        self.squares[at] = norms
+        self.touched[at] += times
+        rate = RATE / np.sqrt(norms)
+        if len(several):
+            self.move(at[several], sums, rate[several])
+        for k in range(0, len(alone), READ):
+            j = alone[k : k + READ]
+            self.move(at[j], np.take(error, i[first[j]], axis=0), rate[j])
+
+    def move(self, at: np.ndarray, gradient: np.ndarray, rate: np.ndarray) -> None:
+        gradient *= rate[:, None]
+        moved = np.take(self.rows, at, axis=0)
         moved -= gradient
-        whole[at] = moved.view(row)[:, 0]
+        row = f"V{SLOTS * 4}"  # a row as one value, which numpy moves at once
+        self.rows.view(row)[:, 0][at] = moved.view(row)[:, 0]
 
     def learn(self, b: Batch) -> None:
         for i in range(0, len(b.h), STEP):
@@ -313,7 +358,7 @@ class Weights:
             for digit, x, rows in (self.root(b, s), self.below(b, s)[1:]):
                 np.exp(x, out=x)
                 x *= (1 / (x @ ONES))[:, None]
-                x[np.arange(len(x)), digit] -= 1
+                x.ravel()[np.arange(0, x.size, SLOTS) + digit] -= 1
                 self.descend(rows, x)
 
     def log10s(self, b: Batch) -> np.ndarray:
@@ -321,7 +366,7 @@ class Weights:
         out = np.empty(len(b.h))
 
         def logs(digit: np.ndarray, x: np.ndarray) -> np.ndarray:
-            chosen = x[np.arange(len(x)), digit]
+            chosen = np.take(x.ravel(), np.arange(0, x.size, SLOTS) + digit)
             np.exp(x, out=x)
             return (chosen - np.log(x @ ONES)) / np.log(10)
 
@@ -368,7 +413,7 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np
             known, start = sent.value
             w = Weights(known, start.copy())
             for batch in batches_of(batches):
-                w.learn(Batch(known, [token_hashes(t) for t in column(batch, "text")]))
+                w.learn(Batch(known, tokens_of(batch)))
             change = (w.rows - start).astype(np.float16)
             salt = TaskContext.get().partitionId() % salts
             for k in range(blocks):
@@ -401,7 +446,7 @@ def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         vocabulary, rows = sent.value
         w = Weights(vocabulary, rows)
         for batch in batches_of(batches):
-            hashes = [token_hashes(t) for t in column(batch, "text")]
+            hashes = tokens_of(batch)
             b = Batch(vocabulary, hashes)
             head, sizes = b.at >= 0, np.array([len(x) for x in hashes])
             logs = np.zeros(len(b.h))

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conceptile.llm import language_model as lm
 from conceptile.llm.language_model import CLASSES, END, NEAR, SLOTS, Batch, Weights, counted, op5_language_model, scored, softmax, token_hashes, trained, vocabulary
@@ -114,3 +115,40 @@ def test_places_are_found_by_the_first_bits(n):
     assert path.tolist() == [known.get(x, len(h) + (x >> 62)) for x in asked.tolist()]
     if n:
         assert v.buckets[2] <= 12 + n // 100 and len(v.buckets[1]) <= 4 * len(h) + 2
+
+
+def test_words_of_many_texts_are_hashed_at_once(monkeypatch):
+    """Only words of more than 64 bytes are hashed one by one; equal words, and no others, have equal hashes in all texts."""
+    alone = []
+    monkeypatch.setattr(lm, "word_hashes", lambda ws, f=lm.word_hashes: alone.extend(ws) or f(ws))
+    rng = np.random.default_rng(3)
+    parts = ["a", "B", "é", "Ж", "漢", "\0", "\x1c", "\x85", "\xa0", " ", "İ", "K", " ", "\t", "\n", "\x0b", "\r", *(c * n for c in "yz" for n in (7, 8, 9, 16, 63, 64, 65, 200))]
+    texts = [None, "", " ", *("".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(300)), None, "last"]
+    utf8 = [None if t is None else t.encode() for t in texts]
+    want = [(t or b"").lower().split() + [None] for t in utf8]
+    for kind in (pa.string(), pa.large_string()):
+        for at, size in ((0, 400), (1, 70), (100, 130)):
+            got = lm.tokens_of(pa.RecordBatch.from_arrays([pa.array(texts, kind)], ["text"]).slice(at, size))
+            assert [len(h) for h in got] == [len(w) for w in want[at : at + size]]
+            pairs = {(w, h) for ws, hs in zip(want[at:], got) for w, h in zip(ws, hs.tolist(), strict=True)}
+            assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs}) and all(h == END for w, h in pairs if w is None)
+    assert alone and all(len(w) > 64 for w in alone)
+    assert [h.tolist() for h in lm.hashed(utf8)] == [token_hashes(t).tolist() for t in texts]
+
+
+def test_a_step_moves_each_row_by_the_sum_of_its_errors():
+    """Against a loop over rows, where some are met once, some often, and some by several features; others stay as they are."""
+    rng = np.random.default_rng(4)
+    v = lm.Vocabulary(4 * lm.BLOCK, 1, *[np.zeros(0)] * 9)
+    w = Weights(v, rng.normal(size=(v.rows, SLOTS)).astype(np.float32))
+    for n, least in ((5000, 0), (1, 0), (3, v.rows - 1)):
+        before, squares, touched = w.rows.copy(), w.squares.copy(), w.touched.copy()
+        met = np.maximum((v.rows * rng.random((3, n)) ** 4).astype(np.int64), least)
+        error = rng.normal(size=(n, SLOTS)).astype(np.float32)
+        w.descend(met, error.copy())
+        for row in np.unique(met):
+            g = sum(error[m == row].sum(axis=0, dtype=np.float64) for m in met)
+            squares[row] += (g @ g) / SLOTS
+            touched[row] += (met == row).sum()
+            before[row] -= lm.RATE / np.sqrt(squares[row]) * g
+        assert np.allclose(w.rows, before, rtol=1e-4, atol=1e-4) and np.allclose(w.squares, squares, rtol=1e-4) and (w.touched == touched).all()
