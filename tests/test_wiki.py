@@ -216,3 +216,15 @@ def test_scores_of_a_store_are_read_in_order_and_pruned(spark):
     assert [r.document for r in S.ordered_scores(df, "t", 3).collect()] == [0, 1, 2]
     left = S.pruned_scores(df, 2, 0.5)
     assert set(left.columns) == {"term", "document", "score"} and 2 <= left.where("term = 't'").count() < 30
+
+
+@pytest.mark.parametrize("name", ["pre_wiki"])
+def test_texts_without_words_equal_the_sql(spark, tmp_path, name):
+    import duckdb
+    from conceptile.catalog import QUERIES, SQL
+
+    texts = ["", "!!! ...", None, " ", "\x00", "a\x00b", "a\r\nb", "[[x]]", "́", "ab", "-- a"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {r.doc_id: r.text for r in QUERIES[name](spark, str(tmp_path)).collect()} == dict(con.sql(SQL[name]).fetchall())
