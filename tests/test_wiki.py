@@ -218,7 +218,7 @@ def test_scores_of_a_store_are_read_in_order_and_pruned(spark):
     assert set(left.columns) == {"term", "document", "score"} and 2 <= left.where("term = 't'").count() < 30
 
 
-@pytest.mark.parametrize("name", ["pre_wiki"])
+@pytest.mark.parametrize("name", ["pre_wiki", "pre_chain"])
 def test_texts_without_words_equal_the_sql(spark, tmp_path, name):
     import duckdb
     from conceptile.catalog import QUERIES, SQL
