@@ -155,3 +155,23 @@ def test_schemes_read_once_are_not_stored(spark, sf_dir):
 
     kept = len(catalog.QUERIES["w_anb"](spark, sf_dir).collect())
     assert kept and not any(name.startswith("index-") and name != "index-ltc" for _, _, name in catalog._STORED)
+
+
+@pytest.mark.parametrize("dense", [0, 1 << 17])
+def test_all_pairs_of_texts_are_compared(spark, sf_dir, monkeypatch, dense):
+    """Not each text with its eight next ones alone; many pairs of few keys are multiplied at once."""
+    from conceptile import catalog
+    from conceptile.operators import vectors as V
+
+    monkeypatch.setattr(V, "FEW", 0)
+    monkeypatch.setattr(V, "DENSE", dense)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").count()
+    got = catalog.QUERIES["similarity"](spark, sf_dir).collect()
+    own = {(r.item_id, r.doc_id): r.score for r in catalog._vectors(spark, sf_dir).collect()}
+    vec = {}
+    for (i, d), s in own.items():
+        vec.setdefault(i, {})[d] = s
+    norm = {i: sum(s * s for s in v.values()) ** 0.5 for i, v in vec.items()}
+    want = {(a, b): sum(s * vec[b].get(d, 0.0) for d, s in vec[a].items()) / norm[a] / norm[b] for a in vec for b in vec if a < b}
+    assert len(got) == len(want) == items * (items - 1) // 2
+    assert all(abs(r.cosine - want[r.a, r.b]) < 2e-6 for r in got)
