@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +50,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_order(docs: DataFrame, name: str = "position") -> DataFrame:
+    """Adds the place of each row, gapless from 0, in the order that the rows were written in: that of the files' numbers, and within files. A scan
+    deals files to tasks by their sizes, so that the order it gives says nothing. What doesn't come from files is written first.
+
+    A file begins where those before it end, by a row for each file; no row is moved."""
+    file, at = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")
+    try:
+        rows = docs.select("*", file, at)
+    except AnalysisException:
+        rows = Scratch(docs.sparkSession).keep(docs, "in-order").select("*", file, at)
+    number = lambda p: F.regexp_extract("_file", p, 1).try_cast("long")
+    files = rows.groupBy("_file").agg((F.max("_at") + 1).alias("_n"))
+    before = Window.orderBy(number(r"/part-(\d+)[^/]*$"), number(r"-c(\d+)[^/]*$"), "_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return rows.join(files, "_file").select(*[c for c in docs.columns if c != name], (F.col("_base") + F.col("_at")).alias(name))
+
+
 def words(text: str | None) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased; none for null."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

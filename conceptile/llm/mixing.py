@@ -169,7 +169,8 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bl
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the mixture: parts hold ranges of positions, and are sorted."""
+    """All documents in the order of the mixture: parts hold ranges of positions, and are sorted. Written, the order is that of the files and of the
+    rows in them, from which the next stage takes each document's position (``common.in_order``)."""
     renamed = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source")
     placed = mixed(renamed, columns=["doc"])
     return placed.repartitionByRange("position").sortWithinPartitions("position").select("doc.*")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, numbered, table
+from .common import Scratch, in_order, numbered, table
 
 MULTIPLIER = 2862933555777941757
 LOW, HALF = (1 << 32) - 1, (1 << 16) - 1
@@ -83,8 +83,8 @@ def shard_slots(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shards, in the order they came in; nothing is moved."""
-    return assign_shards(docs)
+    """All documents with their shards and ``position``, their place in the mixture: rows are read in any order, but were written in its."""
+    return assign_shards(in_order(docs))
 
 
 #: The same walk on 128-bit integers; the CRC by the table of its reflected polynomial, a fixed value.

@@ -38,3 +38,21 @@ def test_an_empty_table_stays_empty(spark, docs, table_dir, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.lit(False))
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     assert corpus_pipeline.run(spark, table_dir(documents=docs([]), labels=labels, benchmark=bench)).collect() == []
+
+
+def test_positions_are_those_of_the_mixture(spark, result):
+    """The mixture is in the result, not in the order of files alone, which a scan does not keep."""
+    from conceptile.llm.mixing import mixed
+
+    docs = spark.createDataFrame([(r.doc_id, r.source) for r in result], "doc_id long, source string")
+    want = {r.doc_id: r.position for r in mixed(docs).collect()}
+    assert {r.doc_id: r.position for r in result} == want and sorted(want.values()) == list(range(len(result)))
+
+
+def test_rows_that_do_not_come_from_files_keep_their_order(spark, docs):
+    from conceptile.llm.common import in_order
+
+    rows = [(i * 7 % 100, "x" * (i % 9), None, "s") for i in range(100)]
+    got = in_order(docs(rows, ["position"]).repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id")).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.position)] == sorted(r[0] for r in rows)
+    assert sorted(r.position for r in got) == list(range(100)) and in_order(docs([])).collect() == []
